@@ -18,3 +18,24 @@ m AS (SELECT doc_id, min(peer) AS component_id FROM r GROUP BY ALL)
 SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept
 FROM m LEFT JOIN n USING (doc_id)
 """
+
+SUFFIX_DEDUP = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (
+  SELECT doc_id, p, md5(b[p:p + 199]) AS h
+  FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS p FROM d WHERE octet_length(b) >= 200)),
+t AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+i AS (SELECT doc_id, p, sum(CASE WHEN p <= q + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k
+      FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM t)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 199 AS z FROM i GROUP BY doc_id, k),
+g AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS start FROM s
+  UNION ALL
+  SELECT doc_id, NULL, NULL, coalesce(max(z), 0) + 1 FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+r AS (
+  SELECT doc_id, coalesce(sum(z - a + 1), 0)::BIGINT AS n_removed, count(a) AS n_spans,
+    string_agg(hex(b[start:coalesce(a - 1, octet_length(b))]), '' ORDER BY start) AS x
+  FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN r USING (doc_id)
+"""

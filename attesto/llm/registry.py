@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from ._common import table
 from .near_dedup import near_duplicates
+from .suffix_dedup import repeats_removed
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +21,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op9_near_dedup": oracles.NEAR_DEDUP,
 }

@@ -41,6 +41,10 @@ WIDTH = 8 + LENGTH + LEFT + 2
 RUN_KEYS = 150_000
 #: Bytes of a long text whose hashes are in memory at once.
 SEGMENT = 1 << 20
+#: Bits of a position among the bytes hashed at once.
+BITS = 22
+#: What names a row: its id and a hash of its text.
+ID = np.dtype([("d", "<i8"), ("p", "<i4")])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     grams *= hashing.powers(n + 1)[1][: len(grams)]
     grams = hashing.mix(grams)
     # The least of each window's LEFT + 1 hashes; the upper bits decide, then the position.
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(BITS)
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while 2 * span <= LEFT + 1:
@@ -89,8 +93,8 @@ def _anchor_rows(batches):
             doc = np.searchsorted(own, at, "right") - 1
             lists = pa.array(bounds.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("sha").slice(a, b - a), pa.array(np.diff(own), pa.int64()), pa.ListArray.from_arrays(lists, pa.array((at - own[doc]).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(grams.view(np.int64)))],
-                ["doc_id", "sha", "n_bytes", "pos", "gram"],
+                [*(batch.column(x).slice(a, b - a) for x in ("d", "p", "sha")), pa.array(np.diff(own), pa.int64()), pa.ListArray.from_arrays(lists, pa.array((at - own[doc]).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(grams.view(np.int64)))],
+                ["d", "p", "sha", "n_bytes", "pos", "gram"],
             )
 
 
@@ -103,7 +107,7 @@ def keys_of(data: np.ndarray, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
     out = np.empty((len(at), WIDTH), np.uint8)
     out[:, :8] = grams.astype(">u8").view(np.uint8).reshape(-1, 8)
     out[:, 8 : 8 + LENGTH] = windows[:, LEFT:]
-    out[:, 8 + LENGTH : -2] = windows[:, LEFT - 1 :: -1] if LEFT == windows.shape[1] - LENGTH else 0
+    out[:, 8 + LENGTH : -2] = windows[:, LEFT - 1 :: -1]
     out[:, -2] = np.minimum(LENGTH, n - at)
     out[:, -1] = np.minimum(LEFT, at)
     return out
@@ -134,7 +138,7 @@ def run(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, ranges: int):
         lcp[0] = 0
         tail = heads[a:b][np.arange(WIDTH) >= lcp[:, None]].tobytes()
         m = slice(member[a], member[b])
-        yield int(where[a]), b"".join((np.int64(b - a).tobytes(), lcp.astype(np.uint16).tobytes(), counts[a:b].astype(np.int32).tobytes(), docs[m].astype(np.int64).tobytes(), at[m].astype(np.int32).tobytes(), tail))
+        yield int(where[a]), b"".join((np.int64(b - a).tobytes(), lcp.astype(np.uint16).tobytes(), counts[a:b].astype(np.int32).tobytes(), docs[m].tobytes(), at[m].astype(np.int32).tobytes(), tail))
 
 
 def _runs(ranges: int):
@@ -147,11 +151,15 @@ def _runs(ranges: int):
         held, count = [], 0
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, hits in enumerate(batch.column("hits")):
-                at = np.array([x["pos"] for x in hits.as_py()], np.int64)
-                grams = np.array([x["gram"] for x in hits.as_py()], np.int64).view(np.uint64)
-                held.append((keys_of(data[offsets[i] : offsets[i + 1]], at, grams), np.full(len(at), ids[i]), at))
+            hits = batch.column("hits")
+            bounds, both = hits.offsets.to_numpy(), hits.values
+            pos, gram = both.field(0).to_numpy().astype(np.int64), both.field(1).to_numpy().view(np.uint64)
+            ids = np.empty(batch.num_rows, ID)
+            ids["d"], ids["p"] = batch.column("d").to_numpy(), batch.column("p").to_numpy()
+            for i in range(batch.num_rows):
+                part = slice(bounds[i], bounds[i + 1])
+                at = pos[part]
+                held.append((keys_of(data[offsets[i] : offsets[i + 1]], at, gram[part]), np.repeat(ids[i : i + 1], len(at)), at))
                 count += len(at)
                 if count >= RUN_KEYS:
                     yield from send(held)
@@ -169,8 +177,8 @@ class Reader:
         self.lcps = np.frombuffer(blob, np.uint16, n, 8).tolist()
         self.counts = np.frombuffer(blob, np.int32, n, 8 + 2 * n)
         m, at = int(self.counts.sum()), 8 + 6 * n
-        self.docs, self.pos = np.frombuffer(blob, np.int64, m, at), np.frombuffer(blob, np.int32, m, at + 8 * m)
-        self.blob, self.at, self.i, self.n, self.key = blob, at + 12 * m, -1, n, b""
+        self.docs, self.pos = np.frombuffer(blob, ID, m, at), np.frombuffer(blob, np.int32, m, at + ID.itemsize * m)
+        self.blob, self.at, self.i, self.n, self.key = blob, at + (ID.itemsize + 4) * m, -1, n, b""
 
     def step(self) -> int:
         """Goes on by a key; the prefix that it shares with the last key, or -1 at the end."""
@@ -287,9 +295,9 @@ def _flush(keys, shared, counts, members):
         if len(offsets):
             for a, b in spans(-offsets[::-1]):
                 for d, p in zip(docs, at, strict=True):
-                    out += zip(d.tolist(), (p + a).tolist(), (p + b).tolist(), strict=True)
+                    out += zip(d["d"].tolist(), d["p"].tolist(), (p + a).tolist(), (p + b).tolist(), strict=True)
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["d", "p", "start", "end"])
 
 
 def _merge(batches):
@@ -362,32 +370,30 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts are empty. Texts under LENGTH bytes lose nothing. Removed runs that touch
     or overlap are one span. Very long texts are whole, in segments of bounded memory.
-    Rows that repeat are copies of each other. A null id takes part only through exact
-    copies of its whole text. Other columns are ignored.
+    Rows that repeat are copies of each other; rows that share an id, null included, and
+    differ in their texts are judged each by its text. Other columns are ignored.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("p"), "text")
     sampled = written(
-        docs.withColumn("sha", F.unhex(F.sha2("text", 256))).mapInArrow(_anchor_rows, "doc_id long, sha binary, n_bytes long, pos array<int>, gram array<long>")
-    )
-    classes = sampled.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    marked = sampled.select("doc_id", "sha").join(classes, "sha").select("doc_id", "sha", "copies", "rep")
-    whole = written(marked.where("copies > 1"))
-    second = whole.where("doc_id is not null and doc_id != rep").select("doc_id").distinct()
+        docs.select("d", "p", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
+        .mapInArrow(_anchor_rows, "d long, p int, sha binary, n_bytes long, pos array<int>, gram array<long>")
+    )
+    classes = sampled.groupBy("sha").agg(F.min(F.struct("d", "p")).alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    copied = written(sampled.select("d", "p", "sha").join(classes, "sha").select("d", "p", "copies", (F.col("d") != F.col("rep.d")).alias("second")).distinct())
     points = (
-        sampled.where("doc_id is not null").join(second, "doc_id", "left_anti")
-        .select("doc_id", F.explode(F.arrays_zip("pos", "gram")).alias("x")).select("doc_id", "x.pos", "x.gram")
+        sampled.join(copied.where("second"), ["d", "p"], "left_anti")
+        .select("d", "p", F.explode(F.arrays_zip("pos", "gram")).alias("x")).select("d", "p", "x.pos", "x.gram")
     )
     twice = points.groupBy("gram").count().where("count > 1").select("gram")
-    hits = points.join(twice, "gram").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "gram"))).alias("hits"))
-    texts = docs.repartition(n, "doc_id")
-    ranges = 4 * n
-    runs = texts.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_runs(ranges), "range int, run binary")
-    found = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merge, "doc_id long, start int, end int")
-    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
-    copied = whole.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    joined = texts.join(found, "doc_id", "left").join(copied, texts["doc_id"].eqNullSafe(copied["doc_id"]), "left")
-    return joined.select(texts["doc_id"], "text", F.coalesce("copies", F.lit(1)).alias("copies"), "runs").mapInArrow(
+    hits = points.join(twice, "gram").groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("pos", "gram"))).alias("hits"))
+    texts = docs.repartition(n, "d", "p")
+    runs = texts.join(hits, ["d", "p"]).select("d", "p", "text", "hits").mapInArrow(_runs(4 * n), "range int, run binary")
+    found = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merge, "d long, p int, start int, end int")
+    found = found.groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    joined = texts.join(found, ["d", "p"], "left").join(copied.drop("second"), ["d", "p"], "left")
+    return joined.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "runs").mapInArrow(
         _clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
