@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from .secrets import BASE, KINDS, RULES
+
 NEAR_DEDUP = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -39,3 +41,29 @@ r AS (
 SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, n_removed, n_spans, sha256(unhex(x)) AS kept_sha256
 FROM d JOIN r USING (doc_id)
 """
+
+
+def _secret_scan() -> str:
+    parts = []
+    for i, (kind, _, pattern, group, least) in enumerate(RULES):
+        p = pattern.replace("'", "''")
+        keep = f"length(regexp_extract(m[i], '{p}', {group})) >= {least}"
+        parts.append(rf"""
+SELECT doc_id, '{kind}' AS kind, {i} AS place, CAST(coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n FROM (
+  SELECT doc_id, m, unnest(range(2, len(m) + 1, 2)) AS i FROM (
+    SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), chr(64976), chr(64977)), '({p})', chr(64976) || '\1' || chr(64976), 'g'), chr(64976)) AS m FROM documents)) WHERE {keep}""")
+    base = ", ".join(f"'{x}'" for x in BASE)
+    item = "kind || ':' || a || ':' || (a + n)"
+    return rf"""
+WITH f AS ({" UNION ALL ".join(parts)}),
+g AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+    string_agg({item}, ',' ORDER BY a, place) FILTER (kind IN ({base})) AS b, string_agg({item}, ',' ORDER BY a, place) AS s
+  FROM f GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+assert KINDS[: len(BASE)] == BASE
+SECRET_SCAN = _secret_scan()

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from ._common import table
+from .langid import language_id
 from .near_dedup import near_duplicates
+from .secrets import secret_scan
 from .suffix_dedup import repeats_removed
 
 
@@ -16,16 +18,27 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op7_secret_scan": oracles.SECRET_SCAN,
     "op9_near_dedup": oracles.NEAR_DEDUP,
 }
