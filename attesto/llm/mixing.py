@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD
+from ._common import WORD, written
 
-#: Hash buckets of each leaf's order, and the largest number of leaves whose cuts are broadcast.
-BUCKETS, BROADCAST_LEAVES = 4096, 10_000
+#: Hexadecimal digits of the hash buckets of each leaf's order, and the largest number of leaves whose cuts are broadcast.
+BUCKET_DIGITS, BROADCAST_LEAVES = 3, 10_000
 LEVELS = ("domain", "lang", "source")
 
 
@@ -79,31 +79,32 @@ def budgets(leaves: DataFrame, total: int, weights: DataFrame | None = None, max
     return tree.drop("cap").join(fixed, keys, "left").withColumn("budget", F.coalesce("budget", F.lit(0)).cast("long"))
 
 
-def _keyed(docs: DataFrame, domain, tokens, seed: int) -> DataFrame:
-    """id, leaf, tokens and the two hashes of docs' rows."""
+def _keyed(docs: DataFrame, domain, tokens) -> DataFrame:
+    """id, leaf and tokens of docs' rows."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("id"), domain.alias("domain"), name("lang").alias("lang"), name("source").alias("source"),
-        F.greatest(tokens, F.lit(1)).cast("long").alias("n"), F.col("text").isNull().alias("none"), F.hash("text").alias("t"), F.lit(seed).alias("seed"),
+        F.greatest(tokens, F.lit(1)).cast("long").alias("n"),
     )
 
 
-def _order(epoch):
-    return F.xxhash64("seed", epoch, "id", "t")
+def _order(seed: int, epoch, doc_id):
+    """Place of a document in an epoch's order: 32 hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch, F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
 def plan(docs: DataFrame, share: float, domain, tokens, weights: DataFrame | None, max_epochs: int, seed: int) -> DataFrame:
     """A row of each leaf: tokens, budget, epochs, cut (the last order value that is kept) and last, tokens kept of it."""
-    rows = _keyed(docs, domain, tokens, seed)
+    rows = written(_keyed(docs, domain, tokens))  # the one scan of the texts; a few bytes a row
     leaf = list(LEVELS)
-    sums = rows.groupBy(*leaf).agg(F.sum("n").alias("tokens"))
+    sums = written(rows.groupBy(*leaf).agg(F.sum("n").alias("tokens")))
     total = sums.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * share).cast("long")).first()[0]
     leaves = budgets(sums, total, weights, max_epochs).withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("int"))
-    leaves = leaves.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
+    leaves = written(leaves.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")))
     small = leaves.count() <= BROADCAST_LEAVES
     held = F.broadcast(leaves) if small else leaves
-    placed = rows.join(held.select(*leaf, "epochs", "rest").where("rest > 0"), leaf).withColumn("h", _order(F.col("epochs") + 1))
-    placed = placed.withColumn("bucket", F.shiftright("h", 52) + 2048)
+    placed = rows.join(held.select(*leaf, "epochs", "rest").where("rest > 0"), leaf).withColumn("h", _order(seed, F.col("epochs") + 1, F.col("id")))
+    placed = placed.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     buckets = placed.groupBy(*leaf, "rest", "bucket").agg(F.sum("n").alias("size"))
     run = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = buckets.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0)))
@@ -113,7 +114,8 @@ def plan(docs: DataFrame, share: float, domain, tokens, weights: DataFrame | Non
     within = Window.partitionBy(*leaf).orderBy("h", F.col("id").asc_nulls_first(), "n").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))).where("before < rest")
     cuts = near.groupBy(*leaf).agg(F.max("h").alias("cut"), F.max(F.struct("h", (F.col("rest") - F.col("before")).alias("last"))).alias("x"))
-    return leaves.join(cuts.select(*leaf, "cut", F.col("x.last").alias("last")), leaf, "left").select(*leaf, "tokens", "budget", "epochs", "rest", "cut", "last")
+    out = leaves.join(cuts.select(*leaf, "cut", F.col("x.last").alias("last")), leaf, "left").select(*leaf, "tokens", "budget", "epochs", "rest", "cut", "last")
+    return written(out)
 
 
 def mixed(
@@ -126,7 +128,7 @@ def mixed(
     copy are within the budget, n_tokens but for the row where a leaf's budget ends.
     share is the part of all tokens that is asked for. Null languages and sources are a
     leaf value of their own, the empty string; a null or wordless text counts one token.
-    Rows that repeat have one place in the order and are taken together.
+    Rows that share an id have one place in their leaf's order and are taken together.
     """
     domain = domain_of() if domain is None else domain
     tokens = words() if tokens is None else tokens
@@ -138,8 +140,7 @@ def mixed(
     cut = leaves.select(*(F.col(c).alias(f"__{c}_leaf") for c in LEVELS), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"), F.col("last").alias("__last"))
     cut = F.broadcast(cut) if small else cut
     joined = marked.join(cut, (F.col("__domain") == F.col("__domain_leaf")) & (name("lang") == F.col("__lang_leaf")) & (name("source") == F.col("__source_leaf")))
-    h = F.xxhash64(F.lit(seed), F.col("__epochs") + 1, F.col("doc_id").cast("long"), F.hash("text"))
-    joined = joined.withColumn("__h", h).withColumn("__in", F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)))
+    joined = joined.withColumn("__h", _order(seed, F.col("__epochs") + 1, F.col("doc_id").cast("long"))).withColumn("__in", F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)))
     copies = (F.col("__epochs") + F.col("__in").cast("int")).cast("int")
     last = F.when(F.col("__in") & (F.col("__h") == F.col("__cut")), F.least("__n", "__last")).otherwise(F.col("__n"))
     own = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies", "last_tokens")]

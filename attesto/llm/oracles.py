@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from .chat import ESCAPES, OTHER, TEMPLATE
+from .licenses import COPYRIGHT_LINE, KNOWN, NOT_WORD, SPELLINGS
+from .quality import BASE_MASK, POLICIES, RULES as QUALITY, VERSION
 from .secrets import BASE, KINDS, RULES
 
 NEAR_DEDUP = r"""
@@ -67,3 +70,96 @@ FROM documents LEFT JOIN g USING (doc_id)
 
 assert KINDS[: len(BASE)] == BASE
 SECRET_SCAN = _secret_scan()
+
+TOP_K = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+"""
+
+
+def _canonical(text: str) -> str:
+    q = lambda x: x.replace("'", "''")
+    out = f"regexp_replace(lower({text}), '{q(COPYRIGHT_LINE)}', ' ', 'g')"
+    for pattern, form in SPELLINGS:
+        out = f"regexp_replace({out}, '{q(pattern)}', '{form}', 'g')"
+    return f"trim(regexp_replace({out}, '{q(NOT_WORD)}', ' ', 'g'), ' ')"
+
+
+def _license_scan() -> str:
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    return f"""
+WITH k AS (SELECT sha256({_canonical("t")}) AS digest, min(l) AS license FROM (VALUES {rows}) x(l, t) GROUP BY 1),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256({_canonical("coalesce(text, '')")}) AS digest,
+    CAST(len(regexp_extract_all(lower(coalesce(text, '')), '{COPYRIGHT_LINE}')) AS BIGINT) AS n_copyright_lines FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+      FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM l WHERE lower(line) LIKE '%licen%') JOIN k USING (digest) GROUP BY doc_id)
+SELECT doc_id, d.digest, license, n_copyright_lines, coalesce(notices, '') AS notices
+FROM d LEFT JOIN k ON k.digest = d.digest LEFT JOIN n USING (doc_id)
+"""
+
+
+LICENSE_SCAN = _license_scan()
+
+
+def _quality_rules() -> str:
+    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(QUALITY))
+    return rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 2], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t WHERE len(ws) > 2)),
+c AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT w) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS w FROM c) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(text) AS n_chars
+  FROM t LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, CAST({bits} AS INTEGER) AS fail_bits FROM m)
+SELECT *, CAST({VERSION} AS INTEGER) AS policy_version, fail_bits & {BASE_MASK} <> 0 AS base_failed, fail_bits & {BASE_MASK | POLICIES[VERSION]} = 0 AS kept FROM b
+"""
+
+
+QUALITY_RULES = _quality_rules()
+
+
+def _chat_format() -> str:
+    def escape(x: str) -> str:
+        for plain, code in ESCAPES:
+            x = f"replace({x}, '{plain}', '{code}')"
+        return x
+
+    marks = " ".join(f"WHEN '{role}' THEN {len(o) + len(c)}" for role, (o, c, _) in TEMPLATE.items())
+    losing = ", ".join(f"'{role}'" for role, spec in TEMPLATE.items() if spec[2])
+    other = f"{sum(map(len, OTHER))} + length({escape('role')})"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
+o AS (SELECT *, row_number() OVER w - 1 AS at, lag(role, 1, '') OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS n
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, CASE
+    WHEN role = 'system' THEN at <> 0
+    WHEN role = 'user' THEN before NOT IN ('', 'system', 'assistant') OR (before = '' AND at <> 0)
+    WHEN role = 'assistant' THEN before <> 'user' ELSE true END AS bad FROM o),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY at) FILTER (role IN ({losing})), '') AS loss,
+    CAST(sum(length({escape('text')}) + CASE role {marks} ELSE {other} END) AS BIGINT) AS formatted_chars,
+    coalesce(min(at) FILTER (bad), CASE WHEN max_by(role, at) <> 'assistant' THEN count(*) END) AS first_error
+  FROM f GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, first_error IS NULL AS valid, first_error FROM g
+"""
+
+
+CHAT_FORMAT = _chat_format()

@@ -5,19 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from ._common import table
+from .chat import chat_format
 from .langid import language_id
+from .licenses import license_scan
+from .mixing import mixed
 from .near_dedup import near_duplicates
+from .packing import packed
+from .quality import quality_rules
 from .secrets import secret_scan
 from .suffix_dedup import repeats_removed
+from .topk import top_k
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixed(docs).drop("text", "n_chars")
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -30,15 +58,27 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format(rows.unionByName(more))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op7_secret_scan": op7_secret_scan,
-    "op8_language_id": op8_language_id,
-    "op9_near_dedup": op9_near_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_suffix_dedup, op3_license_scan, op4_mixing, op5_exact_top_k,
+        op6_quality_rules, op7_secret_scan, op8_language_id, op9_near_dedup, op10_chat_format,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op3_license_scan": oracles.LICENSE_SCAN,
+    "op5_exact_top_k": oracles.TOP_K,
+    "op6_quality_rules": oracles.QUALITY_RULES,
     "op7_secret_scan": oracles.SECRET_SCAN,
     "op9_near_dedup": oracles.NEAR_DEDUP,
+    "op10_chat_format": oracles.CHAT_FORMAT,
 }
