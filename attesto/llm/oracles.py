@@ -146,17 +146,17 @@ def _chat_format() -> str:
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
-o AS (SELECT *, row_number() OVER w - 1 AS at, lag(role, 1, '') OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS n
+o AS (SELECT *, row_number() OVER w - 1 AS place, lag(role, 1, '') OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS n
       FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 f AS (SELECT *, CASE
-    WHEN role = 'system' THEN at <> 0
-    WHEN role = 'user' THEN before NOT IN ('', 'system', 'assistant') OR (before = '' AND at <> 0)
+    WHEN role = 'system' THEN place <> 0
+    WHEN role = 'user' THEN before NOT IN ('', 'system', 'assistant') OR (before = '' AND place <> 0)
     WHEN role = 'assistant' THEN before <> 'user' ELSE true END AS bad FROM o),
 g AS (
-  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
-    coalesce(string_agg(text, '' ORDER BY at) FILTER (role IN ({losing})), '') AS loss,
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (role IN ({losing})), '') AS loss,
     CAST(sum(length({escape('text')}) + CASE role {marks} ELSE {other} END) AS BIGINT) AS formatted_chars,
-    coalesce(min(at) FILTER (bad), CASE WHEN max_by(role, at) <> 'assistant' THEN count(*) END) AS first_error
+    coalesce(min(place) FILTER (bad), CASE WHEN max_by(role, place) <> 'assistant' THEN count(*) END) AS first_error
   FROM f GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, first_error IS NULL AS valid, first_error FROM g
 """

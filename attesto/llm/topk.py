@@ -137,10 +137,11 @@ def top_k(table: DataFrame, is_query, k: int = 20, **columns) -> DataFrame:
     def search(q: DataFrame) -> DataFrame:
         return q.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
 
-    near = written(search(asked.withColumn("least", F.lit(NONE).cast("long"))))
+    near = written(search(written(asked.withColumn("least", F.lit(NONE).cast("long")))))
     kth = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
     others = asked.join(kth.select(F.col("query_id").alias("id"), "least"), "id", "left")
     others = others.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("other != shard")
-    far = search(others.select("id", "vector", "size", F.col("other").alias("shard"), "block", F.coalesce("least", F.lit(NONE)).cast("long").alias("least")))
+    others = others.select("id", "vector", "size", F.col("other").alias("shard"), "block", F.coalesce("least", F.lit(NONE)).cast("long").alias("least"))
+    far = search(written(others))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
