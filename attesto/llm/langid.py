@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import blocks, utf8
 
@@ -135,11 +136,11 @@ def learn(docs: DataFrame, label_col: str = "lang", seed: int = 5) -> ByteNet |
     return ByteNet(languages).fit(windows, np.array([languages.index(x[0]) for x in found]))
 
 
-def _predict(net: ByteNet | None):
+def _predict(net: ByteNet | None, keep_text: bool = False):
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            rest = batch.drop_columns(["text"])
+            rest = batch if keep_text else batch.drop_columns(["text"])
             for a, b in blocks(offsets):
                 own, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
                 letters = np.concatenate(([0], np.cumsum(_LETTER[part])))
@@ -157,7 +158,7 @@ def _predict(net: ByteNet | None):
                     best = total.argmax(1)
                     label[has] = np.array(net.languages, object)[best[has]]
                     score[has] = total[np.arange(b - a), best][has]
-                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in rest.columns), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], [*rest.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in rest.columns), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], [*rest.schema.names, "__lang", "__score"])
 
     return run
 
@@ -174,7 +175,15 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     text is null, empty or has no letter, or if nothing could be learned. Texts are read
     whole. Repeated rows, null ids and other columns are no matter.
     """
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predict(net), "doc_id long, held_out boolean, __lang string, __score double")
+    return rows.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})
+
+
+def recognised(docs: DataFrame, net: ByteNet | None, least: float = 0.0) -> DataFrame:
+    """docs' rows whose language is recognised, not und, with a score of least or more; a null lang becomes the predicted one."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    rows = docs.mapInArrow(_predict(net, keep_text=True), schema).where((F.col("__lang") != "und") & (F.col("__score") >= least))
+    return rows.select(*(F.coalesce(c, "__lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def language_id(docs: DataFrame, label_col: str = "lang") -> DataFrame:

@@ -150,3 +150,14 @@ def mixed(
 def domain_of(source: str = "source"):
     """Three domains, by the checksum of the source's name; a null source is the empty one."""
     return F.concat(F.lit("domain"), F.crc32(F.coalesce(F.col(source).cast("string"), F.lit(""))) % 3)
+
+
+def repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """What mixed() chose as documents: a row for each copy, the last one cut to its last_tokens words."""
+    words_of = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    cut = (F.col("__copy") == F.col("copies")) & (F.col("last_tokens") < F.col("n_tokens"))
+    rows = rows.withColumn("__cut", cut).withColumn("text", F.when(F.col("__cut"), F.array_join(F.slice(words_of, F.lit(1), F.col("last_tokens").cast("int")), "")).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__cut"), F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return rows.select(*columns)

@@ -172,3 +172,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs' rows of which near_duplicates() keeps the document; of rows that share an id one stays."""
+    found = written(near_duplicates(docs, percent=percent))
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = found.where("kept and doc_id is not null")
+    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return left

@@ -122,7 +122,8 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 def redacted(docs: DataFrame, ledger: DataFrame | None = None, placeholder: str = "[secret]") -> DataFrame:
     """docs with each run of found spans in its text replaced; other columns and clean texts stay as they are.
 
-    Overlapping and touching spans are one run. Null texts stay null.
+    Overlapping and touching spans are one run. Null texts stay null. A column n_chars
+    follows the text.
     """
     dirty = found_by_blob(docs, ledger).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
     ordered = F.array_sort(F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
@@ -135,4 +136,7 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None, placeholder: str
         ),
     )
     text = F.when(F.col("__found").isNotNull(), F.concat(state["out"], F.col("text").substr(state["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    return docs.withColumn("__blob", blob_of()).join(dirty, "__blob", "left").withColumn("text", text).select(*docs.columns)
+    rows = docs.withColumn("__blob", blob_of()).join(dirty, "__blob", "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
