@@ -19,6 +19,10 @@ in the LENGTH - o bytes to the right; with the agreement in o bytes to the left
 the windows that occur twice, exactly and without comparing pairs.
 
 Texts that have an exact copy of LENGTH bytes or more are removed whole and sorted once.
+A stretch of short period has an anchor each period. All windows within it recur a period
+on, so it is removed without a search, and of its anchors only the first, one from its
+inside and those near its end are sorted: every window that holds it in part has one of
+these as its anchor, and every window within it equals one at the anchor from its inside.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ SEGMENT = 1 << 20
 #: Bits of a position among the bytes hashed at once.
 BITS = 22
 #: What names a row: its id and a hash of its text.
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 ID = np.dtype([("d", "<i8"), ("p", "<i4")])
 
 
@@ -77,6 +82,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, grams[at]
 
 
+def thinned(at: np.ndarray, grams: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Which anchors to keep, and (doc, start, end) of the stretches that repeat in themselves."""
+    keep = np.ones(len(at), bool)
+    if len(at) < 3:
+        return keep, []
+    step = np.diff(at, prepend=at[:1])
+    linked = np.zeros(len(at), bool)
+    linked[1:] = (grams[1:] == grams[:-1]) & (doc[1:] == doc[:-1]) & (step[1:] <= K)
+    fresh = ~linked
+    fresh[1:] |= linked[:-1] & (step[1:] != step[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(at)) - 1
+    found = []
+    for a, b in zip(first[last - first > 8].tolist(), last[last - first > 8].tolist(), strict=True):
+        period, end = int(step[a + 1]), int(at[b]) + K
+        inner = a - (-LEFT // period)
+        if inner < b and at[inner] + LENGTH <= end:
+            keep[a + 1 : b + 1] = at[a + 1 : b + 1] + LENGTH + period > end
+            keep[inner] = True
+            found.append((int(doc[a]), int(at[a]), end))
+    return keep, found
+
+
 def _anchor_rows(batches):
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
@@ -89,12 +117,17 @@ def _anchor_rows(batches):
                 found = [(s, *anchors(part[s : s + SEGMENT + LENGTH - 1], np.array([0, min(size, s + SEGMENT + LENGTH - 1) - s]))) for s in range(0, size, SEGMENT)]
                 at, where = np.unique(np.concatenate([s + x for s, x, _ in found]), return_index=True)
                 grams = np.concatenate([x for *_, x in found])[where]
-            bounds = np.searchsorted(at, own)
             doc = np.searchsorted(own, at, "right") - 1
+            keep, stretches = thinned(at, grams, doc)
+            at, grams, doc = at[keep], grams[keep], doc[keep]
+            bounds = np.searchsorted(at, own)
+            stretched: list[list[dict]] = [[] for _ in range(b - a)]
+            for i, start, end in stretches:
+                stretched[i].append({"start": start - own[i], "end": end - own[i]})
             lists = pa.array(bounds.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x).slice(a, b - a) for x in ("d", "p", "sha")), pa.array(np.diff(own), pa.int64()), pa.ListArray.from_arrays(lists, pa.array((at - own[doc]).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(grams.view(np.int64)))],
-                ["d", "p", "sha", "n_bytes", "pos", "gram"],
+                [*(batch.column(x).slice(a, b - a) for x in ("d", "p", "sha")), pa.array(np.diff(own), pa.int64()), pa.ListArray.from_arrays(lists, pa.array((at - own[doc]).astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(grams.view(np.int64))), pa.array(stretched, _SPANS)],
+                ["d", "p", "sha", "n_bytes", "pos", "gram", "stretches"],
             )
 
 
@@ -379,7 +412,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("p"), "text")
     sampled = written(
         docs.select("d", "p", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
-        .mapInArrow(_anchor_rows, "d long, p int, sha binary, n_bytes long, pos array<int>, gram array<long>")
+        .mapInArrow(_anchor_rows, "d long, p int, sha binary, n_bytes long, pos array<int>, gram array<long>, stretches array<struct<start:int,end:int>>")
     )
     classes = sampled.groupBy("sha").agg(F.min(F.struct("d", "p")).alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copied = written(sampled.select("d", "p", "sha").join(classes, "sha").select("d", "p", "copies", (F.col("d") != F.col("rep.d")).alias("second")).distinct())
@@ -392,7 +425,8 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.repartition(n, "d", "p")
     runs = texts.join(hits, ["d", "p"]).select("d", "p", "text", "hits").mapInArrow(_runs(4 * n), "range int, run binary")
     found = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merge, "d long, p int, start int, end int")
-    found = found.groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    within = sampled.where(F.size("stretches") > 0).select("d", "p", F.explode("stretches").alias("x")).select("d", "p", "x.start", "x.end")
+    found = found.unionByName(within).groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
     joined = texts.join(found, ["d", "p"], "left").join(copied.drop("second"), ["d", "p"], "left")
     return joined.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "runs").mapInArrow(
         _clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
