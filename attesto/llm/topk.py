@@ -99,7 +99,7 @@ def _search(k: int):
             for a in range(0, len(q), 256):
                 bounds = tree.bounds(q[a : a + 256])
                 for i in range(len(bounds)):
-                    found = tree.search(q[a + i], int(ids[a + i]), bounds[i], k, -np.inf if least[a + i] == NONE else float(least[a + i]))
+                    found = tree.search(q[a + i], int(ids[a + i]), bounds[i], k, -np.inf if least[a + i] == NONE else int(least[a + i]))
                     out += [(int(ids[a + i]), -x, s) for s, x in found]
         columns = zip(*out, strict=True) if out else ([], [], [])
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
