@@ -98,34 +98,46 @@ class ByteNet:
                     p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
-    def predict(self, windows: np.ndarray, block: int = 256) -> np.ndarray:
-        """Probabilities of each window; pairs of bytes are looked up at once."""
-        if not hasattr(self, "_pairs"):
-            pair = lambda t, i: (t[i][:, None] + t[i + 1][None]).reshape(65536, FILTERS)
-            self._pairs = np.ascontiguousarray(np.concatenate([pair(t, 0) for t in self.tables], 1))
-            self._third, self._last = np.ascontiguousarray(self.tables[1][2]), np.ascontiguousarray(pair(self.tables[2], 2))
+    def predict(self, windows: np.ndarray, block: int = 32) -> np.ndarray:
+        """Probabilities of each window.
+
+        Pairs of bytes are looked up at once, and a row of a table is one item of its size,
+        so a lookup is a copy. Blocks are small enough to stay in a core's cache.
+        """
+        if not hasattr(self, "_rows"):
+            item = lambda t: np.ascontiguousarray(t).view(f"V{4 * FILTERS}").ravel()
+            pair = lambda t, i: item((t[i][:, None] + t[i + 1][None]).reshape(65536, FILTERS))
+            self._rows = [(pair(t, 0), None if w == 2 else item(t[2]) if w == 3 else pair(t, 2)) for w, t in zip(WIDTHS, self.tables, strict=True)]
         out = np.empty((len(windows), len(self.languages)), np.float32)
-        f = FILTERS
         for a in range(0, len(windows), block):
-            x = windows[a : a + block].astype(np.int64)
-            pairs = x[:, :-1] * 256 + x[:, 1:]
-            both = self._pairs[pairs]
-            both[:, :-1, f : 2 * f] += self._third[x[:, 2:]]
-            both[:, :-2, 2 * f :] += self._last[pairs[:, 2:]]
-            top = np.concatenate([both[:, : WINDOW - w + 1, k * f : (k + 1) * f].max(1) for k, w in enumerate(WIDTHS)], 1)
-            out[a : a + block] = self._softmax(np.maximum(top + self.bias, 0) @ self.dense + self.shift)
+            x = windows[a : a + block]
+            pairs = (x[:, :-1].astype(np.int64) << 8) | x[:, 1:]
+            tops = []
+            for w, (head, rest) in zip(WIDTHS, self._rows, strict=True):
+                n = WINDOW - w + 1
+                active = np.take(head, pairs[:, :n], mode="clip").view(np.float32).reshape(len(x), n, FILTERS)
+                if rest is not None:
+                    active += np.take(rest, x[:, 2:] if w == 3 else pairs[:, 2:], mode="clip").view(np.float32).reshape(len(x), n, FILTERS)
+                tops.append(active.max(1))
+            out[a : a + block] = self._softmax(np.maximum(np.concatenate(tops, 1) + self.bias, 0) @ self.dense + self.shift)
         return out
 
 
 def learn(docs: DataFrame, label_col: str = "lang", seed: int = 5) -> ByteNet | None:
     """A network fitted to at most SAMPLE texts of each label, those with the least hashes.
 
-    None without any labelled text. Only ids and labels are ranked; the texts are then
-    fetched through a broadcast of the chosen ids, SAMPLE for each label.
+    None without any labelled text. Counts by label and hash bucket say which buckets hold
+    the least SAMPLE hashes; only the ids in these are ranked. The texts are then fetched
+    through a broadcast of the chosen ids, SAMPLE for each label.
     """
     docs = docs.select("doc_id", F.col(label_col).alias("label"), "text").where("label is not null and doc_id is not null")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    chosen = docs.select("doc_id", "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select("doc_id").distinct()
+    ids = docs.select("doc_id", "label", F.xxhash64("doc_id", F.lit(seed)).alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 48))
+    before = F.sum("count").over(Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = ids.groupBy("label", "bucket").count().withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE)
+    cuts = cuts.groupBy(F.col("label").alias("l")).agg(F.max("bucket").alias("cut"))
+    near = ids.join(F.broadcast(cuts), F.col("label") == F.col("l")).where("bucket <= cut")  # a row a label is broadcast
+    order = Window.partitionBy("label").orderBy("h", "doc_id")
+    chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select("doc_id").distinct()
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.encode("text", "utf-8").alias("text")).where("length(text) > 0")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring("text", (F.floor(F.greatest(F.length("text") - WINDOW, F.lit(0)) * i / (SAMPLE_WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW)))
     found = sorted({(r.label, r.doc_id, i, bytes(p)) for r in rows.select("doc_id", "label", F.array_distinct(pieces).alias("p")).toLocalIterator() for i, p in enumerate(r.p)})
