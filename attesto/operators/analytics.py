@@ -323,6 +323,27 @@ def cross_with_record(positions: DataFrame, events: DataFrame, conduct: DataFram
 
 def normalised_positions(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Broker rows as positions: symbol from the nested object, units else fractional units, value else units times price."""
-    symbol = F.coalesce("symbol.symbol.symbol", "symbol.symbol.raw_symbol")
+    symbol = F.coalesce("symbol.symbol", "symbol.raw_symbol")
     units = F.coalesce("units", "fractional_units")
     return rows.select(symbol.alias("symbol"), units.alias("quantity"), F.coalesce("market_value", units * F.col("price")).alias("market_value")).where(given(symbol).isNotNull())
+
+
+def price_report(prices: DataFrame, docs: DataFrame, days: int = 365, threshold_pct: float = 5.0, window_days: int = 7) -> DataFrame:
+    """Each significant move of the trailing days with the documents before it."""
+    return nearby_receipts(significant_moves(trailing(prices, days), threshold_pct), docs, window_days)
+
+
+def promised_total(rollup: DataFrame) -> DataFrame:
+    return rollup.agg(F.coalesce(F.sum("n_quantified"), F.lit(0)).alias("n_quantified"))
+
+
+def recent_mentions(rows: DataFrame, as_of: str, window: int, k: int) -> DataFrame:
+    """The best k mentions of the days up to as_of; co-mentions were counted before this cut."""
+    if not (1 <= window <= 365 and 1 <= k <= 200):
+        raise ValueError("window is 1 to 365 days, k 1 to 200")
+    return rows.where(F.datediff(F.lit(as_of).cast("date"), F.try_to_date("date")).between(0, window)).orderBy(F.desc("return_pct"), "doc_id").limit(k)
+
+
+def upcoming(entries: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Live streams, and the first k that are to come."""
+    return entries.where("status = 'is_live'"), entries.where("status = 'is_upcoming'").orderBy("jurisdiction", "video_id").limit(k)

@@ -112,3 +112,54 @@ def read_judgments(spark: SparkSession, path: str, ddl=schema.JUDGMENT) -> DataF
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Insider transactions; malformed lines are skipped."""
     return spark.read.schema(schema.TRANSACTION).option("mode", "DROPMALFORMED").json(path).where(given(F.col("ticker")).isNotNull())
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """place, jurisdiction of a JSON object from one to the other; no file, no places."""
+    try:
+        text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    except Exception:  # a mapping that is not there maps nothing
+        text = "{}"
+    rows = [(k, v) for k, v in json.loads(text).items() if isinstance(v, str)]
+    return spark.createDataFrame(rows, "place string, jurisdiction string")
+
+
+def read_registry(path: str) -> dict:
+    """The registry's lists, from YAML where a reader for it is installed, else from JSON."""
+    from pathlib import Path
+
+    text = Path(path).read_text()
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def read_video_dir(spark: SparkSession, path: str, jurisdiction: str | None) -> DataFrame:
+    """Files for parsers.caption_docs: each .info.json with the first .vtt of its stem; others are left out."""
+    read = lambda glob: spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), "value")
+    info = read("*.info.json").select(F.regexp_replace("name", r"\.info\.json$", "").alias("stem"), F.from_json("value", "id string, upload_date string").alias("i"))
+    info = info.where("i is not null")
+    # A caption file's stem is one of the dotted prefixes of its name, so the pairing is an equality.
+    parts = F.split("name", r"\.")
+    stems = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    vtt = read("*.vtt").select("name", F.col("value").alias("vtt"), F.explode(stems).alias("stem"))
+    first = vtt.groupBy("stem").agg(F.min_by("vtt", "name").alias("vtt"))
+    rows = info.join(first, "stem")
+    return rows.select(F.coalesce(given(F.col("i.id")), "stem").alias("video"), F.coalesce("i.upload_date", F.lit("")).alias("upload_date"), "vtt", F.lit(jurisdiction).alias("jurisdiction"))
+
+
+SAFE_TICKER = r"^[A-Za-z0-9.\-]{1,15}$"
+
+
+def fresh_prices(cache: DataFrame, now: str, days: int = 1) -> DataFrame:
+    """Rows of a price cache (ticker, date, close, fetched_at) that are younger than days; unsafe names are misses."""
+    return cache.where(F.col("ticker").rlike(SAFE_TICKER) & (F.to_timestamp("fetched_at") > F.to_timestamp(F.lit(now)) - F.make_interval(days=F.lit(days))))
+
+
+def file_sha256(path: str) -> str:
+    import hashlib
+
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()

@@ -126,3 +126,74 @@ def test_streams(spark, tmp_path):
     assert ("a", "x y") in {(r.video, r.text) for r in run(streams.tumbling_captions(read()), "cap")}
     counts = run(streams.over_limit(streams.windowed_counts(read(), ["video"]), 1), "lim")
     assert [(r.video, r.n) for r in counts] == [("a", 2)]
+
+
+def test_video_directory(spark, tmp_path):
+    (tmp_path / "a.info.json").write_text('{"id": "vid", "upload_date": "20240102"}')
+    (tmp_path / "a.en.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nhello\n")
+    (tmp_path / "a.zz.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nother\n")
+    (tmp_path / "b.info.json").write_text('{"id": "none"}')
+    docs = parsers.caption_docs(documents.read_video_dir(spark, str(tmp_path), "Alpha")).collect()
+    assert [(r.id, r.text, r.date, r.jurisdiction) for r in docs] == [("yt:vid:seg000", "hello", "2024-01-02", "Alpha")]
+
+
+def test_mapping_cache_and_digest(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"Polk, IA": "Polk County, IA"}')
+    assert [tuple(r) for r in documents.read_mapping(spark, str(tmp_path / "m.json")).collect()] == [("Polk, IA", "Polk County, IA")]
+    assert documents.read_mapping(spark, str(tmp_path / "none.json")).count() == 0
+    cache = spark.createDataFrame([("A", "2024-01-02 10:00:00"), ("B", "2024-01-01 00:00:00"), ("../C", "2024-01-02 10:00:00")], "ticker string, fetched_at string")
+    assert [r.ticker for r in documents.fresh_prices(cache, "2024-01-02 12:00:00").collect()] == ["A"]
+    (tmp_path / "f").write_bytes(b"abc")
+    assert documents.file_sha256(str(tmp_path / "f")).startswith("ba7816bf")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from attesto import __main__ as cli
+
+    doc = {"text": "substation permit granted", "source_type": "s", "venue_type": "v", "date": "2024", "deep_link": "l"}
+    (tmp_path / "d.jsonl").write_text("\n".join(json.dumps(doc | {"id": i, "source_type": s}) for i, s in (("1", "s"), ("2", "t"))))
+    where = str(tmp_path / "i")
+    assert cli.main(["build", str(tmp_path / "d.jsonl"), where], spark) == 0
+    cli.main(["search", "permit", "--index", where, "--source", "t"], spark)
+    assert "\t2\t" in (out := capsys.readouterr().out) and "\t1\t" not in out
+    cli.main(["search", "substation permit", "--phrase", "--k", "1", "--index", where], spark)
+    assert "\t1\t" in capsys.readouterr().out
+    cli.main(["demo", "--index", where, "--op", "AND"], spark)
+    assert capsys.readouterr().out.count("#") == 3
+    with pytest.raises(SystemExit):
+        cli.main(["search", "x", "--index", where, "--k", "0"], spark)
+
+
+def test_sql_surface(spark):
+    from attesto.operators.index import build
+    from attesto.plans import sql
+
+    sql.register(spark, build(spark.createDataFrame([("1", "300 MW substation"), ("2", "none of it")], "id string, text string")))
+    assert spark.sql("SELECT id FROM hits WHERE term = 'substation'").first().id == "1"
+    assert spark.sql("SELECT analyze('Straße')[0] AS t").first().t == "strasse"
+    row = spark.sql("SELECT d.id, q.* FROM docs d, LATERAL quantities(d.text) q").first()
+    assert (row.id, row.kind, row.value, row.unit) == ("1", "power", 300.0, "MW")
+
+
+def test_lanes(spark, tmp_path):
+    from attesto.plans import lanes
+
+    def broken(s, day):
+        raise RuntimeError("feed is down")
+
+    made = lanes.refresh(spark, {"a": lambda s, day: s.createDataFrame([(day,)], "d string"), "b": lambda s, day: None, "c": broken}, lanes.since({"created_at": "2024-05-06T00:00:00"}), str(tmp_path / "lanes"))
+    assert [(r["lane"], r["status"], r["rows"]) for r in made] == [("a", "ok", 1), ("b", "skipped", 0), ("c", "failed", 0)]
+    assert lanes.since(None) == "2024-01-01"
+
+
+def test_positions_and_reports(spark):
+    from attesto.operators import analytics
+
+    rows = spark.createDataFrame([(("AAA", None), None, 2.0, None, 3.0), ((None, "BBB"), 4.0, None, 9.0, 1.0), ((None, None), 1.0, None, None, 1.0)], "symbol struct<symbol:string,raw_symbol:string>, units double, fractional_units double, market_value double, price double")
+    assert sorted(tuple(r) for r in analytics.normalised_positions(spark, rows).collect()) == [("AAA", 2.0, 6.0), ("BBB", 4.0, 9.0)]
+    mentions = spark.createDataFrame([("d1", "2024-01-05", 3.0), ("d2", "2023-01-05", 9.0), ("d3", "2024-01-06", 5.0)], "doc_id string, date string, return_pct double")
+    assert [r.doc_id for r in analytics.recent_mentions(mentions, "2024-01-10", 30, 5).collect()] == ["d3", "d1"]
+    with pytest.raises(ValueError):
+        analytics.recent_mentions(mentions, "2024-01-10", 0, 5)
+    live, soon = analytics.upcoming(spark.createDataFrame([("j", "v1", "is_live"), ("j", "v2", "is_upcoming")], "jurisdiction string, video_id string, status string"))
+    assert live.first().video_id == "v1" and soon.first().video_id == "v2"
