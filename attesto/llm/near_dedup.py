@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from ._common import blocks, partitions, utf8, written
+from ._common import blocks, partitions, small, utf8, written
 from .components import components
 
 #: Bands of each collection, minhashes of a band.
 BANDS, ROWS = 12, 3
 #: Shingles and members that one verification task holds of a candidate group's block.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 3_000_000, 3_000
+#: Ids of documents to leave out that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(9173)
 _MULTIPLY = _rng.integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs' rows of which near_duplicates() keeps the document; of rows that share an id one stays."""
     found = written(near_duplicates(docs, percent=percent))
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = small(written(found.where("not kept").select("doc_id").distinct()), BROADCAST_IDS)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     ids = found.where("kept and doc_id is not null")
     if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():

@@ -15,6 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import small, written
+
+#: Blobs with findings that are broadcast to the texts, some 200 bytes each; more are joined by a shuffle.
+BROADCAST_BLOBS = 200_000
 #: Fixed values of the contract, in its order, then this module's own rules: kind, version,
 #: pattern, group that is measured, its least length.
 RULES = (
@@ -125,7 +129,8 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None, placeholder: str
     Overlapping and touching spans are one run. Null texts stay null. A column n_chars
     follows the text.
     """
-    dirty = found_by_blob(docs, ledger).select(F.col("blob").alias("__blob"), F.col("found").alias("__found"))
+    dirty = written(found_by_blob(docs, ledger).select(F.col("blob").alias("__blob"), F.col("found").alias("__found")))
+    dirty = small(dirty, BROADCAST_BLOBS)
     ordered = F.array_sort(F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
     state = F.aggregate(
         ordered,
