@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import event_items, quantities, shell_names
@@ -321,11 +321,26 @@ def cross_with_record(positions: DataFrame, events: DataFrame, conduct: DataFram
     return out.withColumn("on_record", F.coalesce(*names).isNotNull())
 
 
-def normalised_positions(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Broker rows as positions: symbol from the nested object, units else fractional units, value else units times price."""
-    symbol = F.coalesce("symbol.symbol", "symbol.raw_symbol")
-    units = F.coalesce("units", "fractional_units")
-    return rows.select(symbol.alias("symbol"), units.alias("quantity"), F.coalesce("market_value", units * F.col("price")).alias("market_value")).where(given(symbol).isNotNull())
+def normalised_positions(rows: DataFrame) -> DataFrame:
+    """Broker rows (json) as symbol, quantity, market_value, currency, kind.
+
+    The symbol may stand in up to three nested objects of that name; currency and kind are
+    those of the innermost. Units come before fractional units, a stated value before
+    units times price. Rows without a symbol are dropped.
+    """
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    number = lambda path: at(path).try_cast("double")
+    depth = F.when(at("symbol.symbol.symbol").isNotNull(), 3).when(at("symbol.symbol").isNotNull(), 2).otherwise(1)
+    inner = lambda field: F.when(F.col("depth") == 3, at(f"symbol.symbol.{field}")).when(F.col("depth") == 2, at(f"symbol.{field}"))
+    rows = rows.withColumn("depth", depth)
+    symbol = F.when(F.col("depth") == 1, at("symbol")).otherwise(inner("symbol"))
+    currency = F.coalesce(inner("currency.code"), F.when(~inner("currency").startswith("{"), inner("currency")))
+    units = F.coalesce(number("units"), number("fractional_units"))
+    out = rows.select(
+        symbol.alias("symbol"), units.alias("quantity"), F.coalesce(number("market_value"), units * number("price")).alias("market_value"),
+        currency.alias("currency"), F.coalesce(inner("type.description"), inner("type.code")).alias("kind"),
+    )
+    return out.where(given(F.col("symbol")).isNotNull() & ~F.col("symbol").startswith("{"))
 
 
 def price_report(prices: DataFrame, docs: DataFrame, days: int = 365, threshold_pct: float = 5.0, window_days: int = 7) -> DataFrame:

@@ -189,8 +189,13 @@ def test_lanes(spark, tmp_path):
 def test_positions_and_reports(spark):
     from attesto.operators import analytics
 
-    rows = spark.createDataFrame([(("AAA", None), None, 2.0, None, 3.0), ((None, "BBB"), 4.0, None, 9.0, 1.0), ((None, None), 1.0, None, None, 1.0)], "symbol struct<symbol:string,raw_symbol:string>, units double, fractional_units double, market_value double, price double")
-    assert sorted(tuple(r) for r in analytics.normalised_positions(spark, rows).collect()) == [("AAA", 2.0, 6.0), ("BBB", 4.0, 9.0)]
+    raw = [
+        {"symbol": {"symbol": {"symbol": "AAA", "currency": {"code": "USD"}, "type": {"description": "Stock"}}}, "fractional_units": 2, "price": 3},
+        {"symbol": {"symbol": "BBB", "currency": "CAD"}, "units": 4, "market_value": 9}, {"symbol": "CCC"}, {"symbol": {}}, {"units": 1},
+    ]
+    rows = spark.createDataFrame([(json.dumps(r),) for r in raw], "json string")
+    got = sorted((r.symbol, r.quantity, r.market_value, r.currency, r.kind) for r in analytics.normalised_positions(rows).collect())
+    assert got == [("AAA", 2.0, 6.0, "USD", "Stock"), ("BBB", 4.0, 9.0, "CAD", None), ("CCC", None, None, None, None)]
     mentions = spark.createDataFrame([("d1", "2024-01-05", 3.0), ("d2", "2023-01-05", 9.0), ("d3", "2024-01-06", 5.0)], "doc_id string, date string, return_pct double")
     assert [r.doc_id for r in analytics.recent_mentions(mentions, "2024-01-10", 30, 5).collect()] == ["d3", "d1"]
     with pytest.raises(ValueError):
