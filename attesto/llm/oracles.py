@@ -163,3 +163,42 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 
 
 CHAT_FORMAT = _chat_format()
+
+
+def _mixing(share: float = 0.5, epochs: int = 4, seed: int = 17) -> str:
+    keys = ("domain", "lang_", "source_")
+    ctes = []
+    for depth in (1, 2, 3):
+        own, parent = ", ".join(keys[:depth]), ", ".join(keys[: depth - 1]) or "1"
+        n = f"l{depth}"
+        before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        nodes = f"SELECT {own}, CAST(sum(tokens) * {epochs} AS BIGINT) AS cap, 1.0::DOUBLE AS weight FROM s GROUP BY {own}"
+        budget = "CAST(least(t, sum(cap) OVER ()) AS BIGINT) AS b FROM n CROSS JOIN total" if depth == 1 else f"budget AS b FROM n JOIN l{depth - 1} USING ({parent})"
+        select = "n.*" if depth == 1 else f"{own}, n.cap, n.weight"
+        ctes.append(f"""
+{n}0 AS (WITH n AS ({nodes}) SELECT {select}, {budget}),
+{n}1 AS (SELECT *, coalesce(sum(cap) OVER (o {before}), 0) AS taken, sum(weight) OVER p - coalesce(sum(weight) OVER (o {before}), 0) AS remaining
+  FROM {n}0 WINDOW o AS (PARTITION BY {parent} ORDER BY cap / weight, {own}), p AS (PARTITION BY {parent})),
+{n}2 AS (SELECT *, cap <= weight * ((b - taken) / remaining) AS f FROM {n}1),
+{n}3 AS (SELECT *, f AND coalesce(cap / weight < min(cap / weight) FILTER (NOT f) OVER (PARTITION BY {parent}), true) AS g FROM {n}2),
+{n}4 AS (SELECT *, CASE WHEN g THEN CAST(cap AS DOUBLE) ELSE (b - coalesce(sum(cap) FILTER (g) OVER (PARTITION BY {parent}), 0)) * weight / sum(weight) FILTER (NOT g) OVER (PARTITION BY {parent}) END AS share FROM {n}3),
+{n}5 AS (SELECT *, least(cap, CAST(floor(share + 1e-6) AS BIGINT)) AS low FROM {n}4),
+{n}6 AS (SELECT *, least(b, sum(cap) OVER q) - sum(low) OVER q AS over, row_number() OVER (PARTITION BY {parent} ORDER BY low >= cap, round(share - low, 6) DESC, {own}) AS place
+  FROM {n}5 WINDOW q AS (PARTITION BY {parent})),
+{n} AS (SELECT {own}, low + CASE WHEN place <= over AND low < cap THEN 1 ELSE 0 END AS budget FROM {n}6)""")
+    return rf"""
+WITH k AS (
+  SELECT doc_id, lang, source, 'domain' || (CAST('0x' || substr(md5(coalesce(source, '')), 1, 4) AS INTEGER) % 3) AS domain, coalesce(lang, '') AS lang_, coalesce(source, '') AS source_,
+    CAST(greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) AS BIGINT) AS n FROM documents),
+s AS (SELECT domain, lang_, source_, CAST(sum(n) AS BIGINT) AS tokens FROM k GROUP BY ALL),
+total AS (SELECT CAST(floor(sum(tokens) * {share}) AS BIGINT) AS t FROM s),{",".join(ctes)},
+e AS (SELECT s.*, budget // tokens AS epochs, budget % tokens AS rest FROM s JOIN l3 USING (domain, lang_, source_)),
+h AS (SELECT k.*, epochs, rest, md5('{seed}:' || (epochs + 1) || ':' || doc_id) AS h FROM k JOIN e USING (domain, lang_, source_)),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang_, source_ ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT doc_id, lang, source, domain, n AS n_tokens, CAST(epochs + CASE WHEN before < rest THEN 1 ELSE 0 END AS INTEGER) AS copies,
+  CAST(CASE WHEN before < rest THEN least(n, rest - before) ELSE n END AS BIGINT) AS last_tokens
+FROM c WHERE epochs > 0 OR before < rest
+"""
+
+
+MIXING = _mixing()

@@ -77,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op3_license_scan": oracles.LICENSE_SCAN,
+    "op4_mixing": oracles.MIXING,
     "op5_exact_top_k": oracles.TOP_K,
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op7_secret_scan": oracles.SECRET_SCAN,
