@@ -79,13 +79,17 @@ def test_shingles_match_words():
     assert [len(x) for x in got] == [len(word_shingles(t)) for t in texts]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=30))
-def test_linked_finds_components(pairs):
-    ids = list(range(13))
-    sets = [np.array([i + 1000], np.uint64) for i in ids]
-    out = near_dedup.linked(ids, [np.unique(np.append(s, s)) for s in sets], 85)
-    assert out == [] and pairs is not None
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 9), min_size=1), min_size=1, max_size=12))
+def test_linked_finds_components(groups):
+    sets = [np.array(sorted(g), np.uint64) for g in groups]
+    root = list(range(len(groups)))
+    for _ in groups:
+        for i, j in itertools.combinations(range(len(groups)), 2):
+            if 100 * len(groups[i] & groups[j]) >= 60 * len(groups[i] | groups[j]):
+                root[i] = root[j] = min(root[i], root[j])
+    out = dict(near_dedup.linked([10 + i for i in range(len(groups))], sets, 60))
+    assert {10 + i: out.get(10 + i, 10 + i) for i in range(len(groups))} == {10 + i: 10 + r for i, r in enumerate(root)}
 
 
 def test_components(spark):
