@@ -10,7 +10,7 @@ Sort key of an anchor: hash of its K-gram, the LENGTH bytes from the anchor, the
 before it in reverse, and how many of each exist. Leading with the hash deals ranges of
 keys evenly without sampling splitters, and keeps equal K-grams in one range. Each map
 task sorts its keys, merges equal ones and sends each range as one front-coded run (common
-prefix with the key before, then the rest). A range's task merges its runs with a loser
+prefix with the key before, then the rest, deflated). A range's task merges its runs with a loser
 tree whose nodes hold the length of the prefix shared with the last winner: keys with
 different lengths are ordered by these alone, and equal ones are compared from there on.
 
@@ -28,6 +28,7 @@ these as its anchor, and every window within it equals one at the anchor from it
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,16 @@ LEFT = LENGTH - K
 #: Bytes of a key: hash, right, left, the lengths of both.
 WIDTH = 8 + LENGTH + LEFT + 2
 #: Keys that a map task holds before it sends a run.
-RUN_KEYS = 150_000
+RUN_KEYS = 50_000
+#: Places of keys that a merge task gathers before it looks for windows, if the K-gram ends there.
+FLUSH = 20_000
 #: Bytes of a long text whose hashes are in memory at once.
 SEGMENT = 1 << 20
 #: Bits of a position among the bytes hashed at once.
 BITS = 22
+NO_ID = -(2**63)
+#: Start of a run that says that a text has an exact copy; runs are in order, so it comes first.
+COPY = -1
 #: What names a row: its id and a hash of its text.
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 ID = np.dtype([("d", "<i8"), ("p", "<i4")])
@@ -79,7 +85,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(found):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.unique(found)
-    return at, grams[at]
+    return at, hashing.mix(grams[at])  # mixed again: least hashes alone would crowd in the first range
 
 
 def thinned(at: np.ndarray, grams: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -171,7 +177,7 @@ def run(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, ranges: int):
         lcp[0] = 0
         tail = heads[a:b][np.arange(WIDTH) >= lcp[:, None]].tobytes()
         m = slice(member[a], member[b])
-        yield int(where[a]), b"".join((np.int64(b - a).tobytes(), lcp.astype(np.uint16).tobytes(), counts[a:b].astype(np.int32).tobytes(), docs[m].tobytes(), at[m].astype(np.int32).tobytes(), tail))
+        yield int(where[a]), b"".join((np.int64(b - a).tobytes(), lcp.astype(np.uint16).tobytes(), counts[a:b].astype(np.int32).tobytes(), docs[m].tobytes(), at[m].astype(np.int32).tobytes(), zlib.compress(tail, 1)))
 
 
 def _runs(ranges: int):
@@ -211,7 +217,8 @@ class Reader:
         self.counts = np.frombuffer(blob, np.int32, n, 8 + 2 * n)
         m, at = int(self.counts.sum()), 8 + 6 * n
         self.docs, self.pos = np.frombuffer(blob, ID, m, at), np.frombuffer(blob, np.int32, m, at + ID.itemsize * m)
-        self.blob, self.at, self.i, self.n, self.key = blob, at + (ID.itemsize + 4) * m, -1, n, b""
+        self.blob = zlib.decompress(memoryview(blob)[at + (ID.itemsize + 4) * m :])
+        self.at, self.i, self.n, self.key = 0, -1, n, b""
 
     def step(self) -> int:
         """Goes on by a key; the prefix that it shares with the last key, or -1 at the end."""
@@ -322,15 +329,20 @@ def spans(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _flush(keys, shared, counts, members):
+    """(d, p, start, end) of what goes, for each place that has one of the keys."""
     rows = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, WIDTH)
-    out: list[tuple] = []
+    ids, starts, ends = [], [], []
     for offsets, (docs, at) in zip(windows(rows, np.array(shared), np.array(counts)), members, strict=True):
-        if len(offsets):
-            for a, b in spans(-offsets[::-1]):
-                for d, p in zip(docs, at, strict=True):
-                    out += zip(d["d"].tolist(), d["p"].tolist(), (p + a).tolist(), (p + b).tolist(), strict=True)
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["d", "p", "start", "end"])
+        for a, b in spans(-offsets[::-1]):
+            for d, p in zip(docs, at, strict=True):
+                ids.append(d)
+                starts.append(p + np.int32(a))
+                ends.append(p + np.int32(b))
+    if ids:
+        ids = np.concatenate(ids)
+        columns = [np.ascontiguousarray(ids["d"]), np.ascontiguousarray(ids["p"]), np.concatenate(starts), np.concatenate(ends)]
+        for i in range(0, len(ids), FLUSH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + FLUSH]) for x in columns], ["d", "p", "start", "end"])
 
 
 def _merge(batches):
@@ -343,19 +355,19 @@ def _merge(batches):
         place = {id(r): b for r, b in zip(readers, bounds, strict=True)}
         for lcp, r in merged(readers):
             a, b = place[id(r)][r.i : r.i + 2]
+            fresh += b - a
             if lcp == WIDTH:
                 counts[-1] += b - a
                 members[-1][0].append(r.docs[a:b])
                 members[-1][1].append(r.pos[a:b])
                 continue
-            if lcp < 8 + K and fresh >= 20_000:  # a block ends where another K-gram begins
+            if keys and lcp < 8 + K and fresh >= FLUSH:  # a block ends where another K-gram begins
                 yield from _flush(keys, shared, counts, members)
                 keys, shared, counts, members, fresh = [], [], [], [], 0
             keys.append(r.key)
             shared.append(lcp)
             counts.append(b - a)
             members.append(([r.docs[a:b]], [r.pos[a:b]]))
-            fresh += 1
         if keys:
             yield from _flush(keys, shared, counts, members)
 
@@ -376,26 +388,27 @@ def _clean(batches):
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        out: list[list] = [[], [], [], [], []]
-        for i, (copies, runs) in enumerate(zip(batch.column("copies").to_pylist(), batch.column("runs"), strict=True)):
-            text = data[offsets[i] : offsets[i + 1]]
-            joined: list[list[int]] = []
-            if copies > 1 and len(text) >= LENGTH:
-                joined = [[0, len(text)]]
-            elif runs.is_valid:
-                for x in runs.as_py():
-                    if joined and x["start"] <= joined[-1][1]:
+        for first, last in blocks(offsets):
+            part = batch.slice(first, last - first)
+            out: list[list] = [[], [], [], [], []]
+            for i, runs in zip(range(first, last), part.column("runs").to_pylist(), strict=True):
+                text = data[offsets[i] : offsets[i + 1]]
+                joined: list[list[int]] = []
+                for x in runs or []:
+                    if x["start"] == COPY:
+                        joined += [[0, len(text)]] if len(text) >= LENGTH else []
+                    elif joined and x["start"] <= joined[-1][1]:
                         joined[-1][1] = max(joined[-1][1], x["end"])
                     else:
                         joined.append([x["start"], x["end"]])
-            kept, last = [], 0
-            for a, b in joined:
-                kept.append(text[last:a])
-                last = b
-            rest = b"".join(x.tobytes() for x in (*kept, text[last:]))
-            for column, value in zip(out, (len(text), sum(b - a for a, b in joined), len(joined), hashlib.sha256(rest).hexdigest(), rest), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], names)
+                kept, end = [], 0
+                for a, b in joined:
+                    kept.append(text[end:a])
+                    end = b
+                rest = b"".join(x.tobytes() for x in (*kept, text[end:]))
+                for column, value in zip(out, (len(text), sum(b - a for a, b in joined), len(joined), hashlib.sha256(rest).hexdigest(), rest), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], names)
 
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,25 +422,28 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("p"), "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.hash("text").alias("p"), "text")
     sampled = written(
         docs.select("d", "p", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
         .mapInArrow(_anchor_rows, "d long, p int, sha binary, n_bytes long, pos array<int>, gram array<long>, stretches array<struct<start:int,end:int>>")
     )
     classes = sampled.groupBy("sha").agg(F.min(F.struct("d", "p")).alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    copied = written(sampled.select("d", "p", "sha").join(classes, "sha").select("d", "p", "copies", (F.col("d") != F.col("rep.d")).alias("second")).distinct())
+    copied = sampled.select("d", "p", "sha").join(classes, "sha")
+    second = copied.where(F.col("d") != F.col("rep.d")).select("d", "p")
     points = (
-        sampled.join(copied.where("second"), ["d", "p"], "left_anti")
+        sampled.join(second, ["d", "p"], "left_anti")
         .select("d", "p", F.explode(F.arrays_zip("pos", "gram")).alias("x")).select("d", "p", "x.pos", "x.gram")
     )
     twice = points.groupBy("gram").count().where("count > 1").select("gram")
     hits = points.join(twice, "gram").groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("pos", "gram"))).alias("hits"))
-    texts = docs.repartition(n, "d", "p")
-    runs = texts.join(hits, ["d", "p"]).select("d", "p", "text", "hits").mapInArrow(_runs(4 * n), "range int, run binary")
+    texts = docs.repartition(n, "d", "p")  # both uses read the same three columns, so Spark moves the texts once
+    # The small sides are hashed and the texts stream by: sorting them for a merge would hold them in memory.
+    runs = texts.join(hits.hint("shuffle_hash"), ["d", "p"]).select("d", "p", "text", "hits").mapInArrow(_runs(4 * n), "range int, run binary")
     found = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merge, "d long, p int, start int, end int")
     within = sampled.where(F.size("stretches") > 0).select("d", "p", F.explode("stretches").alias("x")).select("d", "p", "x.start", "x.end")
-    found = found.unionByName(within).groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
-    joined = texts.join(found, ["d", "p"], "left").join(copied.drop("second"), ["d", "p"], "left")
-    return joined.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "runs").mapInArrow(
+    copies = copied.select("d", "p", F.lit(COPY).alias("start"), F.lit(0).alias("end"))
+    found = found.unionByName(within).unionByName(copies).groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    joined = texts.join(found.hint("shuffle_hash"), ["d", "p"], "left")
+    return joined.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "text", "p", "runs").mapInArrow(
         _clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
