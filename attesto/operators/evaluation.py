@@ -13,6 +13,7 @@ from ..functions.scoring import bm25, idf, idf_okapi
 from ..functions.text import analyze_text
 from .chunking import chunk_corpus
 from .index import Index
+from .ranking import global_rank
 from .search import scores, top
 
 METRICS = (("precision", 10), ("recall", 10), ("recall", 100), ("mrr", 0), ("ndcg", 10), ("ndcg", 20))
@@ -156,8 +157,8 @@ def differential(index: Index, query: str) -> DataFrame:
     words = sorted(set(analyze_text(query)))
     dfs = index.term_stats.where(F.col("term").isin(words)).crossJoin(index.corpus_stats)
     flag = dfs.agg(F.coalesce((F.min("df") == F.max("df")) & (F.max("df") < F.max("n") / 2), F.lit(False)).alias("proportional"))
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "id"))
-    return ours.join(other, "id").withColumn("our_rank", place("ours")).withColumn("other_rank", place("other")).crossJoin(F.broadcast(flag))
+    both = global_rank(ours.join(other, "id"), [F.desc("ours"), F.col("id")], "our_rank")
+    return global_rank(both, [F.desc("other"), F.col("id")], "other_rank").crossJoin(F.broadcast(flag))
 
 
 def qa_from_judgments(judgments: DataFrame, least: int = 1, order: str = "ord") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import RRF_K, reciprocal
 from ..functions.text import head_snippet
+from .ranking import global_rank
 
 DEPTH = 2000
 
@@ -29,10 +30,12 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, depth: int | None =
     """
     arms = []
     for arm in (lexical, semantic):
-        order = Window.orderBy(F.desc("score"), "id")
-        if depth is not None:
-            arm = arm.orderBy(F.desc("score"), "id").limit(max(k, depth))
-        arms.append(arm.select("id", F.row_number().over(order).alias("rank")))
+        order = [F.desc("score"), F.col("id")]
+        if depth is None:
+            arms.append(global_rank(arm.select("id", "score"), order).select("id", "rank"))
+        else:  # the limit bounds what the window sorts
+            best = arm.orderBy(*order).limit(max(k, depth))
+            arms.append(best.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank")))
     fused = rrf_fuse(arms, digits=digits).orderBy(F.desc("score"), "id").limit(max(0, k))
     return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 

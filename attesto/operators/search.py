@@ -112,22 +112,25 @@ def filtered(docs: DataFrame, source_type=None, venue_type=None, ticker=None, ju
     return docs
 
 
-def tail(ranked: DataFrame, docs: DataFrame, k: int, sort: str = "relevance", **filters) -> DataFrame:
-    """Result rows: filter, then sort, then cut. date_desc keeps the rank order within a day."""
-    rows = ranked.join(filtered(docs, **filters), "id")
-    order = [F.desc(F.coalesce("date", F.lit(""))), "rank"] if sort == "date_desc" else ["rank"]
-    rows = rows.select("id", "score", "rank", head_snippet(F.col("text")).alias("snippet"), *(c for c in ("source_type", "venue_type", "date", "deep_link", "ticker", "jurisdiction") if c in docs.columns))
-    return rows.orderBy(*order).limit(k)
+FIELDS = ("source_type", "venue_type", "date", "deep_link", "ticker", "jurisdiction")
 
 
 def search(index: Index, query: str, k: int = 10, op: str = "OR", sort: str = "relevance", **filters) -> DataFrame:
-    """Lexical search: filters are applied before the cut, statistics are those of the whole corpus."""
+    """Result rows of a lexical search: id, score, snippet and the document's fields.
+
+    Filters come before the cut, and statistics are those of the whole corpus. date_desc
+    sorts by day, rows of one day by relevance. The order is a top k, so no rank over all
+    hits is made.
+    """
     found = scores(index, query)
     if op == "AND":
         found = found.join(boolean_search(index, query, "AND"), "id", "left_semi")
-    order = Window.orderBy(F.desc("score"), "id")
+    docs = filtered(index.docs, **filters)
+    order = [F.desc("score"), "id"]
     if sort == "relevance":
-        found = top(found.join(filtered(index.docs, **filters).select("id"), "id", "left_semi"), k)
+        best = found.join(docs.select("id"), "id", "left_semi").orderBy(*order).limit(max(0, k))
     else:
-        found = found.withColumn("rank", F.row_number().over(order))
-    return tail(found, index.docs, k, sort, **filters)
+        order = [F.desc(F.coalesce("date", F.lit(""))), *order]
+        best = found.join(docs.select("id", "date"), "id").orderBy(*order).limit(max(0, k)).select("id", "score")
+    rows = best.join(docs, "id").select("id", "score", head_snippet(F.col("text")).alias("snippet"), *(c for c in FIELDS if c in docs.columns))
+    return rows.orderBy(*order)

@@ -275,3 +275,12 @@ def test_context_and_grounding(spark):
     a = rag.answers(spark.createDataFrame([("q", "Where is the substation?")], "question_id string, question string"), found, lambda d: d.withColumn("answer", F.lit("Here [1][7]")))
     assert rag.grounded(a, found).first().grounded and a.first().answer == "Here [1]"
     assert [r.cited for r in rag.retrieved_rows(found, a).orderBy("rank").collect()] == [True, False]
+
+
+def test_global_rank(spark):
+    from attesto.operators.ranking import global_rank
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.col("id").alias("id"))
+    got = {(r.x, r["rank"]) for r in global_rank(df, [F.desc("x"), F.col("id")]).collect()}
+    assert got == {(x, 1000 - x) for x in range(1000)}
+    assert global_rank(df.limit(0), [F.col("x")]).count() == 0
