@@ -275,19 +275,32 @@ def outcomes(promises: DataFrame, docs: DataFrame, entity_terms: DataFrame | Non
     A document takes it up by an equal quantity, else by one of the promise's entity
     terms (promise_id, terms array), else by four of its words in order with at most short
     ones between. Without a trail the promise is quiet if a document came over QUIET_DAYS
-    later, else too recent. One equi-join on jurisdiction; quantities and words are taken
-    once from each text before it.
+    later, else too recent.
+
+    Pairs come from an equality on jurisdiction and a key that any of the three needs in
+    the document: the quantity, the term's first word, the longest of the four words. A
+    jurisdiction's last day is an aggregate, so no promise meets all its documents.
     """
     p = promises.select("promise_id", "jurisdiction", F.coalesce("date", F.lit("")).alias("promise_date"), F.coalesce("quote", F.lit("")).alias("quote"))
     p = p.withColumn("promised", F.transform(quantities(F.col("quote")), lambda q: F.struct(q["kind"].alias("kind"), q["value"].alias("value"))))
     p = p.withColumn("grams", F.array_distinct(k_grams(content_tokens(F.col("quote")))))
     if entity_terms is not None:
-        p = p.join(entity_terms, "promise_id", "left")
+        p = p.join(entity_terms, "promise_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
     else:
         p = p.withColumn("terms", F.array().cast("array<string>"))
     d = docs.where(given(F.col("jurisdiction")).isNotNull()).select("jurisdiction", F.col("id").alias("doc_id"), "date", "deep_link", "text")
     d = d.withColumn("found", quantities(F.col("text"))).withColumn("held", F.array_distinct(content_tokens(F.col("text"))))
-    pairs = p.where("promise_date <> ''").join(d, "jurisdiction").where(F.col("date") > F.col("promise_date"))
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), 0)
+    amount = lambda q: F.concat_ws(":", F.lit("q"), q["kind"], q["value"])
+    tagged = lambda tag, items: F.transform(items, lambda x: F.concat(F.lit(tag), x))
+    longest = lambda g: F.array_max(F.transform(g, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    first_word = lambda t: F.coalesce(F.get(words(t), F.lit(0)), F.lit(""))
+    asked = F.concat(F.transform("promised", amount), tagged("w", F.transform("terms", first_word)), tagged("t", F.transform("grams", longest)))
+    has = F.concat(F.transform("found", amount), tagged("w", words(F.col("text"))), tagged("t", F.col("held")))
+    p_keys = p.where("promise_date <> ''").select("promise_id", "jurisdiction", "promise_date", F.explode(F.array_distinct(asked)).alias("key"))
+    d_keys = d.select("jurisdiction", "doc_id", "date", F.explode(F.array_distinct(has)).alias("key"))
+    meet = p_keys.join(d_keys, ["jurisdiction", "key"]).where(F.col("date") > F.col("promise_date")).select("promise_id", "doc_id").distinct()
+    pairs = meet.join(p.drop("jurisdiction"), "promise_id").join(d, "doc_id")
     same = F.get(F.filter("found", lambda q: F.array_contains("promised", F.struct(q["kind"].alias("kind"), q["value"].alias("value")))), F.lit(0))
     by_term = F.get(F.filter("terms", lambda t: (t != "") & F.call_function("rlike", F.col("text"), bounded(t))), F.lit(0))
     filler = r"(?:\W+\w{1,3})*\W+"
@@ -297,7 +310,8 @@ def outcomes(promises: DataFrame, docs: DataFrame, entity_terms: DataFrame | Non
     signal = F.when(same.isNotNull(), "quantity").when(by_term.isNotNull(), "entity").when(phrase.isNotNull(), "phrase")
     span = F.coalesce(same["raw_span"], by_term, phrase)
     signals = pairs.select("promise_id", "promise_date", "doc_id", "date", "deep_link", signal.alias("signal"), span.alias("matched_span"))
-    last = signals.groupBy("promise_id", "promise_date").agg(F.max("date").alias("last"))
+    ends = d.groupBy("jurisdiction").agg(F.max("date").alias("end"))
+    last = p.join(ends, "jurisdiction", "left").select("promise_id", "promise_date", F.when((F.col("end") > F.col("promise_date")) & (F.col("promise_date") != ""), F.col("end")).alias("last"))
     trail = first_samples(signals.where("signal is not null"), ["promise_id"], ["date", "doc_id"], ["doc_id", "date", "signal", "matched_span", "deep_link"], TRAIL, "trail")
     gap = F.datediff(F.try_to_date(F.substring("last", 1, 10)), F.try_to_date(F.substring("promise_date", 1, 10)))
     status = F.when(F.col("trail").isNotNull(), "followed_up").when(gap > QUIET_DAYS, "quiet").otherwise("too_recent")

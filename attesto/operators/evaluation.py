@@ -85,7 +85,7 @@ def batch_scores(index: Index, queries: DataFrame, grid: DataFrame | None = None
     spark = index.postings.sparkSession
     asked = F.broadcast(spark.createDataFrame(query_terms(queries), "query_id string, term string, times int"))
     hits = index.postings.join(asked, "term").join(F.broadcast(index.term_stats.join(asked.select("term").distinct(), "term").crossJoin(index.corpus_stats)), "term")
-    hits = hits.join(index.doc_stats, "id").select("query_id", "id", "times", "tf", "df", "n", "length", "average")
+    hits = hits.select("query_id", "id", "times", "tf", "df", "n", "length", "average")
     extra = []
     if grid is not None:
         hits, extra = hits.crossJoin(F.broadcast(grid)), ["k1", "b"]

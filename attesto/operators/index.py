@@ -12,7 +12,7 @@ from ..functions.text import tokens
 
 @dataclass(frozen=True)
 class Index:
-    """docs(id, ...), postings(term, id, tf, positions), term_stats(term, df), doc_stats(id, length), corpus_stats(n, average)."""
+    """docs(id, ...), postings(term, id, tf, length, positions), term_stats(term, df), doc_stats(id, length), corpus_stats(n, average)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -69,10 +69,11 @@ def corpus_stats(doc_stats: DataFrame) -> DataFrame:
 def build(docs: DataFrame, analyzer=tokens) -> Index:
     """docs has id and text. Positions start at 0 and are in order; ids must be unique.
 
-    One explode and one shuffle on (term, id); document lengths come from the scan itself.
+    One explode and one shuffle on (term, id). A posting carries its document's length, so
+    that scoring joins no table of all documents.
     """
-    terms = docs.select("id", F.posexplode(analyzer(F.col("text"))).alias("pos", "term"))
-    postings = terms.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    terms = docs.select("id", analyzer(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("length"), F.posexplode("t").alias("pos", "term"))
+    postings = terms.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
     lengths = docs.select("id", F.size(analyzer(F.col("text"))).cast("long").alias("length"))
     return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths))
 

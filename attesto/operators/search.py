@@ -55,10 +55,10 @@ def scores(index: Index, query: str, k1: float = K1, b: float = B, weight=None)
     """id, score of every document that holds a term; a repeated term counts as often as it is asked."""
     asked = _terms(index.postings, query, "term string, times int", lambda ws: sorted(Counter(ws).items()))
     extra = {"weight": weight} if weight else {}
-    hits = index.postings.join(asked, "term").select("term", "id", "tf", "times")
+    hits = index.postings.join(asked, "term").select("term", "id", "tf", "length", "times")
     # One row of corpus statistics, and one row a query term: both bounded, both broadcast.
     stats = F.broadcast(index.term_stats.join(asked.select("term"), "term").crossJoin(index.corpus_stats))
-    hits = hits.join(stats, "term").join(index.doc_stats, "id")
+    hits = hits.join(stats, "term")
     score = F.col("times") * bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b, **extra)
     return hits.groupBy("id").agg(F.sum(score).alias("score"))
 

@@ -107,7 +107,7 @@ def phrase(spark, sf_dir):
 
 @query(f"{BASE} SELECT term, id, CAST(tf AS INTEGER) AS tf, list_transform(positions, lambda x: CAST(x AS INTEGER)) AS positions FROM post WHERE term = 'that'")
 def index_postings(spark, sf_dir):
-    return built(spark, sf_dir).posting("that")
+    return built(spark, sf_dir).posting("that").drop("length")
 
 
 @query(f"{BASE} SELECT term, count(*) AS df FROM post GROUP BY term")

@@ -43,5 +43,5 @@ def register(spark: SparkSession, index: Index | None = None) -> None:
     if index is not None:
         for name in ("docs", "postings", "term_stats", "doc_stats", "corpus_stats"):
             getattr(index, name).createOrReplaceTempView(name)
-        rows = index.postings.join(index.term_stats, "term").join(index.doc_stats, "id").crossJoin(F.broadcast(index.corpus_stats))
+        rows = index.postings.join(index.term_stats, "term").crossJoin(F.broadcast(index.corpus_stats))
         rows.select("id", "term", "tf", scoring.bm25(*(F.col(c) for c in ("tf", "df", "n", "length", "average"))).alias("bm25")).createOrReplaceTempView("hits")
