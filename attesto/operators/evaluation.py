@@ -14,7 +14,7 @@ from ..functions.text import analyze_text
 from .chunking import chunk_corpus
 from .index import Index
 from .ranking import global_rank
-from .search import scores, top
+from .search import of_terms, scores, top
 
 METRICS = (("precision", 10), ("recall", 10), ("recall", 100), ("mrr", 0), ("ndcg", 10), ("ndcg", 20))
 GATE = 0.5
@@ -83,8 +83,9 @@ def batch_scores(index: Index, queries: DataFrame, grid: DataFrame | None = None
     column on the rows that are left, so a sweep is one plan and one more shuffle.
     """
     spark = index.postings.sparkSession
-    asked = F.broadcast(spark.createDataFrame(query_terms(queries), "query_id string, term string, times int"))
-    hits = index.postings.join(asked, "term").join(F.broadcast(index.term_stats.join(asked.select("term").distinct(), "term").crossJoin(index.corpus_stats)), "term")
+    terms = query_terms(queries)
+    asked, words = F.broadcast(spark.createDataFrame(terms, "query_id string, term string, times int")), [t for _, t, _ in terms]
+    hits = of_terms(index.postings, words).join(asked, "term").join(F.broadcast(of_terms(index.term_stats, words).crossJoin(index.corpus_stats)), "term")
     hits = hits.select("query_id", "id", "times", "tf", "df", "n", "length", "average")
     extra = []
     if grid is not None:

@@ -17,12 +17,17 @@ def _terms(df: DataFrame, query: str, schema: str, rows) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows(analyze_text(query)), schema))
 
 
+def of_terms(rows: DataFrame, words) -> DataFrame:
+    """Rows of these terms. The condition goes into the files' scan, or below the index' own aggregation, where a join would not."""
+    return rows.where(F.col("term").isin(sorted(set(words)))) if words else rows.limit(0)
+
+
 def boolean_search(index: Index, query: str, op: str = "OR") -> DataFrame:
     """id of the documents that hold every term (AND) or any (OR), in order of id; no terms, no documents."""
     if op not in ("AND", "OR"):
         raise ValueError(f"unknown operator {op!r}")
     words = sorted(set(analyze_text(query)))
-    hits = index.postings.where(F.col("term").isin(words)) if words else index.postings.limit(0)
+    hits = of_terms(index.postings, words)
     found = hits.groupBy("id").agg(F.count("*").alias("n"))  # a row for each term and document
     need = len(words) if op == "AND" else 1
     return found.where(F.col("n") >= need).select("id").orderBy("id")
@@ -46,18 +51,28 @@ def phrase_search(index: Index, phrase: str) -> DataFrame:
     """
     words = analyze_text(phrase)
     places = _terms(index.postings, phrase, "term string, place int", lambda ws: [(w, i) for i, w in enumerate(ws)])
-    starts = index.postings.join(places, "term").select("id", "place", F.explode("positions").alias("pos")).select("id", (F.col("pos") - F.col("place")).alias("start"))
+    starts = of_terms(index.postings, words).join(places, "term").select("id", "place", F.explode("positions").alias("pos")).select("id", (F.col("pos") - F.col("place")).alias("start"))
     full = starts.groupBy("id", "start").count().where(F.col("count") == len(words))
     return full.select("id").distinct().orderBy("id")
 
 
+def phrase_scan(docs: DataFrame, phrase: str) -> DataFrame:
+    """phrase_search without an index: one pass, no shuffle. Tokens hold no space, so the text of tokens between
+    spaces holds the phrase between spaces where its words follow each other."""
+    words = analyze_text(phrase)
+    if not words:
+        return docs.select("id").limit(0)
+    return docs.where(F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" ")).contains(f" {' '.join(words)} ")).select("id")
+
+
 def scores(index: Index, query: str, k1: float = K1, b: float = B, weight=None) -> DataFrame:
     """id, score of every document that holds a term; a repeated term counts as often as it is asked."""
     asked = _terms(index.postings, query, "term string, times int", lambda ws: sorted(Counter(ws).items()))
     extra = {"weight": weight} if weight else {}
-    hits = index.postings.join(asked, "term").select("term", "id", "tf", "length", "times")
+    words = analyze_text(query)
+    hits = of_terms(index.postings, words).join(asked, "term").select("term", "id", "tf", "length", "times")
     # One row of corpus statistics, and one row a query term: both bounded, both broadcast.
-    stats = F.broadcast(index.term_stats.join(asked.select("term"), "term").crossJoin(index.corpus_stats))
+    stats = F.broadcast(of_terms(index.term_stats, words).crossJoin(index.corpus_stats))
     hits = hits.join(stats, "term")
     score = F.col("times") * bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b, **extra)
     return hits.groupBy("id").agg(F.sum(score).alias("score"))
@@ -70,10 +85,10 @@ def scan_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, weigh
     """
     asked = sorted(Counter(analyze_text(query)).items())
     extra = {"weight": weight} if weight else {}
-    times_in = lambda word: F.size(F.filter("t", lambda x: x == word))
-    counted = docs.select("id", *(keep or []), tokens(F.col("text")).alias("t")).select(
-        "id", *(keep or []), F.size("t").cast("long").alias("length"), *(times_in(w).alias(f"tf{i}") for i, (w, _) in enumerate(asked))
-    )
+    times_in = lambda t, word: F.size(F.filter(t, lambda x: x == word))
+    # A lambda's variable is evaluated once; a column of tokens would be taken from the text again for each count.
+    all_counts = lambda t: F.struct(F.size(t).cast("long").alias("length"), *(times_in(t, w).alias(f"tf{i}") for i, (w, _) in enumerate(asked)))
+    counted = docs.select("id", *(keep or []), F.inline(F.transform(F.array(tokens(F.col("text"))), all_counts)))
     stats = counted.agg(
         F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"),
         *(F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(asked))),

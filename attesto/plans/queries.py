@@ -105,6 +105,11 @@ def phrase(spark, sf_dir):
     return search.phrase_search(built(spark, sf_dir), PHRASE)
 
 
+@query(ORACLES["phrase"])
+def phrase_scan(spark, sf_dir):
+    return search.phrase_scan(corpus(spark, sf_dir), PHRASE)
+
+
 @query(f"{BASE} SELECT term, id, CAST(tf AS INTEGER) AS tf, list_transform(positions, lambda x: CAST(x AS INTEGER)) AS positions FROM post WHERE term = 'that'")
 def index_postings(spark, sf_dir):
     return built(spark, sf_dir).posting("that").drop("length")
