@@ -18,7 +18,8 @@ def test_query(spark, name):
     assert found.startswith(("same", "rows")), found
 
 
-def test_entry_imports_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("leaves_folder", [False, True])
+def test_entry_imports_without_the_subpackage(tmp_path, leaves_folder):
     """The driver may delete the training-data subpackage and the pipeline."""
     import shutil
     import subprocess
@@ -28,6 +29,8 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "attesto", tmp_path / "attesto", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if leaves_folder:
+        (tmp_path / "attesto" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op')] and 'pipeline' not in q; assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
