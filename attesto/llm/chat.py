@@ -46,7 +46,10 @@ def _by_role(role, part: int, other):
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """conv_id and turns, an array of (turn, role, text) in order of turn, then role and text; nulls are empty."""
+    """conv_id and turns, an array of (turn, role, text) in order of turn, then role and text; nulls are empty.
+
+    A conversation is one value, as its formatted text is, so its turns meet in one task.
+    """
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
 

@@ -86,7 +86,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     results; null ids are ids like others. Texts are canonicalised whole. Other columns
     are ignored.
     """
-    table = F.broadcast(known(docs.sparkSession))
+    table = known(docs.sparkSession)
+    names = F.create_map(*(F.lit(x) for r in table.collect() for x in (r.digest, r.license)))  # the fixed table, a few rows
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).contains("licen"))
     rows = docs.select(
@@ -95,10 +96,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.regexp_count(F.lower(text), F.lit(COPYRIGHT_LINE)).cast("long").alias("n_copyright_lines"),
         F.array_distinct(F.transform(lines, digest)).alias("lines"),
     )
-    whole = rows.join(table, "digest", "left").select("doc_id", "digest", "license", "n_copyright_lines", "lines")
-    # Each row's line digests are few; those of one row stay with it.
-    names = table.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("names"))
-    return whole.join(F.broadcast(names)).select(
+    whole = rows.join(F.broadcast(table), "digest", "left")
+    return whole.select(
         "doc_id", "digest", "license", "n_copyright_lines",
-        F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform("lines", lambda x: F.try_element_at("names", x))))), ",").alias("notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform("lines", lambda x: F.try_element_at(names, x))))), ",").alias("notices"),
     )
