@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import extract, scoring, text
+from ..functions import extract, text
 from ..operators import analytics, chunking, evaluation, fusion, index, joins, rag, search, vectors
 from ..sources import documents, parsers
 from . import fixtures as fx
@@ -684,5 +684,3 @@ def rrf_fixture(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_top10(spark, sf_dir)
 
-
-_ = scoring

@@ -29,7 +29,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
 
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of every .jsonl file below path, with ord, their order by file and line; no files, no documents."""
+    """Documents of every .jsonl file below path, in no order; no folder, no documents. Lines that are rejected are left out."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
