@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the driver found it by sys.path alone.
+
+    Workers get the driver's PYTHONPATH, not its sys.path. On a cluster where the package is
+    installed, or the path is not there, this changes nothing.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def series_udf(ddl: str) -> Callable:
     """Decorates a function of pandas Series; the UDF is made when it is first applied to columns."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
+from ..functions.udf import reachable
 from ..operators import analytics, chunking, evaluation, fusion, index, joins, rag, search, vectors
 from ..sources import documents, parsers
 from . import fixtures as fx
@@ -51,6 +52,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,7 +71,7 @@ def built(spark: SparkSession, sf_dir: str) -> index.Index:
 # ---- index and lexical search
 
 
-@query(f"{BASE}, {bm25_sql()} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc ORDER BY score DESC, id LIMIT 10")
+@query(f"{BASE}, {bm25_sql()} SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc ORDER BY score DESC, id LIMIT 10")
 def bm25_top10(spark, sf_dir):
     return search.top(search.scan_scores(corpus(spark, sf_dir), ASKED), 10, DIGITS).select("id", "score", "rank")
 
@@ -79,7 +81,7 @@ def bm25_index_top10(spark, sf_dir):
     return search.top(search.scores(built(spark, sf_dir), ASKED), 10, DIGITS).select("id", "score", "rank")
 
 
-@query(f"{BASE}, {bm25_sql()}, a AS (SELECT id FROM post JOIN q USING (term) GROUP BY id HAVING count(*) = 3) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc SEMI JOIN a USING (id) ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"{BASE}, {bm25_sql()}, a AS (SELECT id FROM post JOIN q USING (term) GROUP BY id HAVING count(*) = 3) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc SEMI JOIN a USING (id) ORDER BY 2 DESC, 1 LIMIT 10")
 def bm25_and_top10(spark, sf_dir):
     i = built(spark, sf_dir)
     return search.top(search.scores(i, ASKED).join(search.boolean_search(i, ASKED, "AND"), "id", "left_semi"), 10, DIGITS).select("id", "score", "rank")
@@ -181,7 +183,7 @@ def _query_vector(spark, sf_dir):
     return [float(x) for x in store(spark, sf_dir).where("row = 0").first().vec]
 
 
-@query(f"WITH {_VECTOR}, {_COSINE} SELECT vec_id AS \"row\", score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM cs ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"WITH {_VECTOR}, {_COSINE} SELECT vec_id AS \"row\", score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM cs ORDER BY score DESC, vec_id LIMIT 10")
 def cosine_top10(spark, sf_dir):
     return vectors.cosine_top_k(store(spark, sf_dir), _query_vector(spark, sf_dir), 10, digits=DIGITS).select("row", "score", "rank")
 
@@ -193,7 +195,7 @@ def covered_top10(spark, sf_dir):
     return vectors.cosine_top_k(s.join(chunks, "id", "left_semi"), _query_vector(spark, sf_dir), 10, digits=DIGITS).select("row", "score")
 
 
-@query(f"{BASE}, {bm25_sql()}, {_VECTOR}, {_COSINE}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc), b AS (SELECT CAST(vec_id AS VARCHAR) AS id, row_number() OVER (ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank FROM cs), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY id) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f ORDER BY score DESC, id LIMIT 20")
+@query(f"{BASE}, {bm25_sql()}, {_VECTOR}, {_COSINE}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc), b AS (SELECT CAST(vec_id AS VARCHAR) AS id, row_number() OVER (ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank FROM cs), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY id) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM f ORDER BY score DESC, id LIMIT 20")
 def hybrid_top20(spark, sf_dir):
     lexical = search.scan_scores(corpus(spark, sf_dir), ASKED).withColumn("score", F.round("score", DIGITS))
     q = F.array(*(F.lit(x) for x in _query_vector(spark, sf_dir)))
@@ -624,13 +626,13 @@ def event_fixture(spark, sf_dir):
     return analytics.build_events(rows).select("doc_id", "items")
 
 
-@query(values("name, n_docs, first_seen, jurisdictions", "('Project Falcon', 2, '2024-01-01', ['Alpha', 'Beta'])", "('Jade River Holdings LLC', 1, '2024-01-01', ['Alpha'])", "('Blue Partners', 1, '2024-01-01', ['Alpha'])"))
+@query(values("name, n_docs, first_seen, jurisdictions", "('Project Falcon', 2::BIGINT, '2024-01-01', ['Alpha', 'Beta'])", "('Jade River Holdings LLC', 1, '2024-01-01', ['Alpha'])", "('Blue Partners', 1, '2024-01-01', ['Alpha'])"))
 def shell_fixture(spark, sf_dir):
     rows = spark.createDataFrame(fx.SHELL_DOCS, "id string, text string, source_type string, jurisdiction string, date string, deep_link string")
     return analytics.mine_shell_candidates(rows).select("name", "n_docs", "first_seen", "jurisdictions")
 
 
-@query(values("shell, ticker, n_cooccurrence_docs", "('Project Falcon', 'ACM', 1)"))
+@query(values("shell, ticker, n_cooccurrence_docs", "('Project Falcon', 'ACM', 1::BIGINT)"))
 def evidence_fixture(spark, sf_dir):
     rows = spark.createDataFrame(fx.SHELL_DOCS, "id string, text string, source_type string, jurisdiction string, date string, deep_link string")
     terms = spark.createDataFrame([("ACM", "Acme Corp")], "ticker string, term string")
@@ -660,7 +662,7 @@ def answer_fixture(spark, sf_dir):
     return rag.answers(questions, found, generate, 0.5).select("question_id", "refused", "answer", "cited")
 
 
-@query(values("answer_id, claims, errors, faithfulness", "('a', 2, 0, 0.5::DOUBLE)", "('b', 1, 1, NULL)"))
+@query(values("answer_id, claims, errors, faithfulness", "('a', 2::BIGINT, 0::BIGINT, 0.5::DOUBLE)", "('b', 1, 1, NULL)"))
 def faithfulness_fixture(spark, sf_dir):
     return evaluation.faithfulness(spark.createDataFrame([("a", "supported"), ("a", "unsupported"), ("b", "unparseable")], "answer_id string, verdict string"))
 
