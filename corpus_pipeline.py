@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attesto.functions.udf import reachable
 from attesto.llm._common import table, written
 from attesto.llm.langid import held_out, learn, recognised
 from attesto.llm.mixing import mixed, repeated
@@ -21,11 +22,13 @@ SHARE, EPOCHS = 0.8, 2
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not recognised (null texts and those without a letter) go; a null lang is filled."""
+    reachable(spark)
     return recognised(docs, learn(docs.where(~held_out())))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least id."""
+    reachable(spark)
     return deduplicated(docs)
 
 
@@ -41,6 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each bin: shard, bin, capacity, used and what it holds in order, as doc_ids, starts and lengths."""
+    reachable(spark)
     return bins(packed(docs))
 
 
