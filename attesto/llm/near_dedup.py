@@ -3,8 +3,8 @@
 Two collections of m bands, each of r minhashes, give m * m tables: the key of table
 (i, j) combines band i of the first and band j of the second collection. So 2 * m * r
 minhashes serve m * m tables of 2 * r minhashes each. A link of similarity s is missed
-with a probability of about 2 * (1 - s**r)**m, 2e-5 for s = 0.85, r = 3, m = 12, and
-less wherever links form paths.
+with a probability of about 2 * (1 - s**r)**m, 2e-5 for s = 0.8, r = 3, m = 16, 5e-7
+for s = 0.85, and less wherever links form paths.
 
 Plan: one pass over the texts makes signatures. Texts with equal shingle sets collapse
 into one class. Only bands that two classes share are expanded to table keys. Each
@@ -27,7 +27,7 @@ from ._common import blocks, partitions, small, utf8, written
 from .components import components
 
 #: Bands of each collection, minhashes of a band.
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 16, 3
 #: Shingles and members that one verification task holds of a candidate group's block.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 3_000_000, 3_000
 #: Ids of documents to leave out that are broadcast; more are joined by a shuffle.

@@ -16,6 +16,8 @@ from attesto.llm.near_dedup import deduplicated
 from attesto.llm.packing import bins, packed
 from attesto.llm.secrets import redacted
 
+#: Similarity of word shingles, in hundredths, from which documents are near copies.
+PERCENT = 80
 #: Part of all tokens that the mix asks for, and epochs of a source at most.
 SHARE, EPOCHS = 0.8, 2
 
@@ -29,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least id."""
     reachable(spark)
-    return deduplicated(docs)
+    return deduplicated(docs, percent=PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from attesto.llm import hashing, near_dedup, suffix_dedup
 from attesto.llm.components import components
 
@@ -71,6 +72,17 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert len(ids) == len(set(ids))
 
 
+def test_pipeline_stage_links_from_80_hundredths(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, far = ([*words[:n], *(f"x{i}" for i in range(n, 100))] for n in (91, 89))  # 87 and 85 of 105 and 107 shingles are common
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"y{w}" for w in words)), (4, " ".join(f"y{w}" for w in far))]
+    both = [len(word_shingles(a) & word_shingles(b)) / len(word_shingles(a) | word_shingles(b)) for (_, a), (_, b) in (rows[:2], rows[2:])]
+    assert 0.80 <= both[0] < 0.85 and both[1] < 0.80
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4]
+    assert 2 * (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 3e-5
+
+
 def test_shingles_match_words():
     texts = [t or "" for _, t in documents()]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
