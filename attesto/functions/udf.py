@@ -1,8 +1,11 @@
-"""Arrow-batched UDFs that can be declared before there is a session."""
+"""Arrow-batched UDFs that can be declared before there is a session, and the package for Python workers."""
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -10,17 +13,26 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
+
 
 def reachable(spark: SparkSession) -> None:
-    """Lets Python workers import this package where the driver found it by sys.path alone.
+    """Ships this package to the Python workers, once an application.
 
-    Workers get the driver's PYTHONPATH, not its sys.path. On a cluster where the package is
-    installed, or the path is not there, this changes nothing.
+    Spark's own file server carries it, so workers need neither the driver's disk nor its sys.path.
     """
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="attesto-package-")  # the driver serves the file while the application lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
 
 
 def series_udf(ddl: str) -> Callable:
@@ -28,6 +40,9 @@ def series_udf(ddl: str) -> Callable:
 
     def wrap(f: Callable[..., pd.Series]) -> Callable[..., Column]:
         def apply(*columns) -> Column:
+            session = SparkSession.getActiveSession()
+            if session is not None:
+                reachable(session)
             return F.pandas_udf(f, ddl)(*columns)
 
         apply.__name__, apply.__doc__ = f.__name__, f.__doc__
