@@ -13,10 +13,12 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _P = int(_rng.integers(2**62, 2**63)) * 2 + 1
 _P_INVERSE = pow(_P, -1, 2**64)
 _C = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of a long text whose sums are in memory at once.
+SEGMENT = 1 << 21
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -54,23 +56,56 @@ def of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of data[start:end] of spans in order that don't overlap; SEGMENT bytes or a few are in work at once."""
+    out = np.zeros(len(starts), np.uint64)
+    i, n = 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        if b - a <= SEGMENT:
+            sums = prefix(data[a:b], lower)
+            out[i:j] = of(sums, starts[i:j] - a, ends[i:j] - a)
+        else:  # one long span: the sums of its segments, each times its place
+            total = 0
+            for s in range(a, b, SEGMENT):
+                part = int(prefix(data[s : min(b, s + SEGMENT)], lower)[-1])
+                total = (total + part * pow(_P, s - a, 2**64)) % 2**64
+            out[i] = mix(np.array([total], np.uint64))[0]
+        i = j
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of each text, and the text's number of each."""
-    if not len(data):
-        return (np.zeros(0, np.int64),) * 3
-    inside = ~_SPACE[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = inside[:-1]
-    first = offsets[:-1]
-    before[first[first < len(data)]] = False
-    after = np.zeros(len(data), bool)
-    after[:-1] = inside[1:]
-    last = offsets[1:]
-    after[last[last > 0] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(data), SEGMENT):
+        b = min(len(data), a + SEGMENT)
+        inside = ~SPACE[data[max(0, a - 1) : b + 1]]  # with a neighbour on either side
+        if a == 0:
+            inside = np.concatenate(([False], inside))
+        if b == len(data):
+            inside = np.append(inside, False)
+        own = inside[1:-1]
+        before, after = inside[:-2].copy(), inside[2:].copy()
+        edges = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a
+        before[edges[edges < b - a]] = False
+        after[edges[edges > 0] - 1] = False
+        starts.append(np.flatnonzero(own & ~before) + a)
+        ends.append(np.flatnonzero(own & ~after) + a + 1)
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def totals(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many places of each text a mask of its bytes marks."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for a in range(0, len(mask), SEGMENT):
+        at = np.flatnonzero(mask[a : a + SEGMENT]) + a
+        out += np.bincount(np.searchsorted(offsets, at, "right") - 1, minlength=len(out))
+    return out
+
+
 def combined(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Hash of the size values that follow each position at."""
     out = np.full(len(at), size, np.uint64)
@@ -82,7 +117,7 @@ def combined(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5, lower: bool = True) -> list[np.ndarray]:
     """Each text's distinct word shingles as sorted hashes; fewer words make one shingle, none the empty set."""
     starts, ends, doc = words(data, offsets)
-    hashes = of(prefix(data, lower), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    hashes = spans(data, starts, ends, lower)
     n = len(offsets) - 1
     first = np.searchsorted(doc, np.arange(n + 1))
     out = []

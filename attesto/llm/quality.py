@@ -56,13 +56,12 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(data):
         return out
     starts, ends, doc = hashing.words(data, offsets)
-    sums = hashing.prefix(data)
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    point = (data & 0xC0) != 0x80
     out[:, 0] = np.bincount(doc, minlength=n)
-    out[:, 1] = np.bincount(doc, points[ends] - points[starts], n).astype(np.int64)
-    symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))
-    out[:, 2] = symbols[offsets[1:]] - symbols[offsets[:-1]]
-    out[:, 6] = points[offsets[1:]] - points[offsets[:-1]]
+    out[:, 1] = hashing.totals(point & ~hashing.SPACE[data], offsets)
+    out[:, 2] = hashing.totals(_SYMBOL[data], offsets)
+    out[:, 6] = hashing.totals(point, offsets)
+    del point
     # Lines: cut at \n and at the ends of texts; those with a word count.
     newline = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate((offsets[:-1][np.diff(offsets) > 0], newline + 1)))
@@ -72,12 +71,12 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     until -= data[until - 1] == 10
     has = np.searchsorted(starts, until) > np.searchsorted(starts, begin)
     begin, until, owner = begin[has], until[has], owner[has]
-    _, later = _repeats(hashing.of(sums, begin, until), owner)
+    _, later = _repeats(hashing.spans(data, begin, until), owner)
     out[:, 5] = np.bincount(owner, minlength=n)
     out[:, 3] = np.bincount(owner[later], minlength=n)
     # Windows of three words.
     if len(starts) > 2:
-        hashes = hashing.of(sums, starts, ends)
+        hashes = hashing.spans(data, starts, ends)
         at = np.arange(len(starts) - 2)
         at = at[doc[at] == doc[at + 2]]
         twice, _ = _repeats(hashing.combined(hashes, at, 3), doc[at])
