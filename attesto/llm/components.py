@@ -10,14 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import small, written
+
+#: Edges from which a node's are joined by a broadcast of the node's row, and such rows that are broadcast at most.
+HOT, BROADCAST_HOT = 2_000, 1_000_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u != v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    up = both.where("v > u")
+    hot = written(least.where(F.col("c") > HOT).drop("c"))
+    out = up.join(least.drop("c"), "u")
+    if hot.limit(1).count():  # a node with very many edges is not one task's work
+        held = small(hot, BROADCAST_HOT)
+        out = up.join(held, "u").unionByName(up.join(held.select("u"), "u", "left_anti").join(least.where(F.col("c") <= HOT).drop("c"), "u"))
+    return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:

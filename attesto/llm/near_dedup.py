@@ -8,11 +8,14 @@ for s = 0.85, and less wherever links form paths.
 
 Plan: one pass over the texts makes signatures. Texts with equal shingle sets collapse
 into one class. Only bands that two classes share are expanded to table keys. Each
-table bucket links its members to its least member, a star, never pairs. Components of
-these stars are candidate groups; the members' full shingle sets meet in one task per
-group, or per pair of blocks where a group exceeds a task's bound, and there a
-breadth-first search over exact similarities finds the components. Components of what
-the tasks found are the result. Nothing is capped.
+table bucket links its members to its least member, a star, never pairs. Every edge of
+a star is verified on the full sets, a centre's members dealt to tasks of bounded size,
+and components of verified edges collapse most of each bucket. What is left are buckets
+in which members other than the centre are in different components; there, those outside
+of the bucket's largest component meet its members, in blocks, and a breadth-first search
+over exact similarities that passes over pairs of one component finds the other links.
+So a dense group of any size is linear, no group is a closure of unverified hits, and only
+rows that a star left out are ever sent to more than one block. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from ._common import blocks, partitions, small, utf8, written
+from ._common import blocks, in_arrow, partitions, small, utf8, written
 from .components import components
 
 #: Bands of each collection, minhashes of a band.
 BANDS, ROWS = 16, 3
-#: Shingles and members that one verification task holds of a candidate group's block.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 3_000_000, 3_000
+#: Similarity of word shingles, in hundredths, from which texts are near copies.
+PERCENT = 80
+#: Shingles and members of a bucket's block, and members of a star, that one task checks together.
+BLOCK_SHINGLES, BLOCK_MEMBERS, STAR = 3_000_000, 3_000, 5_000
 #: Ids of documents to leave out that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -77,17 +82,33 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in rest.columns), pa.array([x.tobytes() for x in sets], pa.binary())], [*rest.schema.names, "shingles"])
 
 
-def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(id, least id) for each member of a component of more than one id."""
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least percent / 100."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def linked(ids: list[int], sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """(id, least id) for each member of a component of more than one id.
+
+    known numbers the members' components as far as they are known; pairs of one are not compared.
+    """
     n = len(ids)
     sizes = np.array([len(x) for x in sets])
     values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     own = np.split(flat, np.cumsum(sizes)[:-1])
+    group = np.unique(known, return_inverse=True)[1] if known is not None else np.arange(n)
     left, out = np.arange(n), []
     mark = np.zeros(len(values), bool)
     while len(left):
-        found, queue = [int(left[0])], [int(left[0])]
-        left = left[1:]
+        whole = group[left] == group[left[0]]
+        found = left[whole].tolist()
+        queue = list(found)
+        left = left[~whole]
         flat = np.concatenate([own[i] for i in left]) if len(left) else np.zeros(0, np.int64)
         while queue and len(left):
             i = queue.pop()
@@ -96,6 +117,7 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
             mark[own[i]] = False
             hit = 100 * both >= percent * (sizes[left] + sizes[i] - both)
             if hit.any():
+                hit = np.isin(group[left], group[left[hit]])
                 found += (new := left[hit].tolist())
                 queue += new
                 flat = flat[np.repeat(~hit, sizes[left])]
@@ -106,29 +128,87 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     return out
 
 
+def _pairs(pairs: list[tuple[int, int]]):
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["u", "v"])
+
+
+def _stars(percent: int):
+    """(u, v) of members u like their centre v; rows come by centre and salt, the centre's sets first."""
+
+    def run(batches):
+        key, centres = None, []
+        for batch in batches:
+            out = []
+            columns = [batch.column(x).to_pylist() for x in ("v", "salt", "member", "rid")]
+            for *now, member, i, x in zip(*columns, batch.column("shingles"), strict=True):
+                if now != key:
+                    key, centres = now, []
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                if not member:
+                    centres.append(x)
+                elif any(alike(x, c, percent) for c in centres):
+                    out.append((i, now[0]))
+            yield from _pairs(out)
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches):
-        key, ids, sets = None, [], []
+        key, ids, known, sets = None, [], [], []
 
         def done():
-            pairs = linked(ids, sets, percent) if len(ids) > 1 else []
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["u", "v"])
+            yield from _pairs(linked(ids, sets, percent, known) if len(ids) > 1 else [])
 
         for batch in batches:
-            columns = [batch.column(x).to_pylist() for x in ("comp", "b1", "b2", "rid")]
-            for *now, i, x in zip(*columns, batch.column("shingles"), strict=True):
+            columns = [batch.column(x).to_pylist() for x in ("key", "block", "other", "rid", "comp")]
+            for *now, i, comp, x in zip(*columns, batch.column("shingles"), strict=True):
                 if now != key:
                     yield from done()
-                    key, ids, sets = now, [], []
+                    key, ids, known, sets = now, [], [], []
                 ids.append(i)
+                known.append(comp)
                 sets.append(np.frombuffer(x.as_buffer(), np.uint64))
         yield from done()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges from the buckets' members to their centres that hold on the full sets."""
+    edges = written(members.where("rid != v").select(F.col("rid").alias("u"), "v").distinct())
+    salts = edges.groupBy("v").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    spokes = edges.join(salts, "v").select("v", F.pmod(F.hash("u"), "salts").alias("salt"), F.lit(1).alias("member"), F.col("u").alias("rid"))
+    hubs = salts.select("v", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("v").alias("rid"))
+    rows = spokes.unionByName(hubs).join(sets, "rid")
+    dealt = rows.repartition(partitions(members.sparkSession), "v", "salt").sortWithinPartitions("v", "salt", "member")
+    return in_arrow(dealt.select("v", "salt", "member", "rid", "shingles"), _stars(percent), "u long, v long")
+
+
+def _other_links(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket, its centre apart, that are not in one component yet."""
+    rows = members.where("rid != v").join(comps, F.col("rid") == F.col("id"), "left").select("key", "rid", "n_shingles", F.coalesce("root", "rid").alias("comp"))
+    split = rows.groupBy("key").agg(
+        F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("n"), F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("print"),
+        F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("blocks"),
+    ).where("first != last")
+    split = split.groupBy("n", "first", "last", "print").agg(F.min("key").alias("key"), F.max("blocks").alias("blocks"))  # buckets of the same members once
+    left = rows.join(split.select("key", "blocks"), "key")
+    by_comp = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    largest = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest"))
+    marked = left.join(largest, "key").withColumn("others", F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK_MEMBERS).cast("int")))
+    own, other = F.pmod(F.hash("rid"), F.col("blocks")), F.pmod(F.hash("rid", F.lit(1)), F.col("others"))
+    pair = lambda a, b: F.struct(a.cast("int").alias("block"), b.cast("int").alias("other"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    held = F.transform(each(F.col("others")), lambda x: pair(own, x))
+    brought = F.when(F.col("comp") != F.col("largest"), F.transform(each(F.col("blocks")), lambda x: pair(x, other))).otherwise(F.array().cast("array<struct<block:int,other:int>>"))
+    tasks = marked.select("key", "rid", "comp", F.explode(F.array_distinct(F.concat(held, brought))).alias("x")).select("key", "x.block", "x.other", "rid", "comp")
+    dealt = tasks.join(sets, "rid").repartition(partitions(members.sparkSession), "key", "block", "other").sortWithinPartitions("key", "block", "other")
+    return in_arrow(dealt.select("key", "block", "other", "rid", "comp", "shingles"), _verify(percent), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Links join texts whose sets of five-word shingles (A-Z lower-cased) have a Jaccard
@@ -139,34 +219,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes no part: component_id is null and the row is kept. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_sign, "doc_id long, n_shingles long, k1 long, k2 long, a array<long>, b array<long>"))
+    rows = written(in_arrow(docs, _sign, "doc_id long, n_shingles long, k1 long, k2 long, a array<long>, b array<long>"))
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = written(some.groupBy("n_shingles", "k1", "k2").agg(F.min_by(F.struct("doc_id", "a", "b"), "doc_id").alias("x")).select("n_shingles", "k1", "k2", F.col("x.doc_id").alias("rid"), "x.a", "x.b"))
     band = classes.select("rid", F.posexplode("a").alias("i", "x"))
     common = band.groupBy("i", "x").count().where("count > 1").drop("count")
     keys = (
         band.join(common, ["i", "x"])
-        .join(classes.select("rid", "b"), "rid")
-        .select("rid", "i", "x", F.posexplode("b").alias("j", "y"))
-        .select("rid", F.xxhash64("i", "x", "j", "y").alias("key"))
+        .join(classes.select("rid", "n_shingles", "b"), "rid")
+        .select("rid", "n_shingles", "i", "x", F.posexplode("b").alias("j", "y"))
+        .select("rid", "n_shingles", F.xxhash64("i", "x", "j", "y").alias("key"))
     )
     centre = keys.groupBy("key").agg(F.min("rid").alias("v"), F.max("rid").alias("top")).where("v != top").drop("top")
-    stars = keys.join(centre, "key").select(F.col("rid").alias("u"), "v").where("u != v").distinct()
-    groups = components(stars)
-    groups = groups.unionByName(groups.select(F.col("root").alias("id"), "root").distinct()).join(
-        classes.select(F.col("rid").alias("id"), "n_shingles"), "id"
-    )
-    sizes = groups.groupBy("root").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("int").alias("nb"))
-    members = groups.join(sizes, "root").select(F.col("id").alias("rid"), F.col("root").alias("comp"), "nb", F.pmod(F.hash("id"), "nb").alias("at"))
-    sets = docs.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("rid")).select("rid", "comp", "nb", "at", "text")
-    sets = sets.mapInArrow(_sets, "rid long, comp long, nb int, at int, shingles binary").where("length(shingles) > 0")
-    tasks = sets.select(
-        "comp", "rid", "shingles", "at",
-        F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, nb - 1), x -> x != at)"))).alias("other"),
-    ).select("comp", F.least("at", "other").alias("b1"), F.greatest("at", "other").alias("b2"), "rid", "shingles")
-    n = partitions(docs.sparkSession)
-    found = tasks.repartition(n, "comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2").mapInArrow(_verify(percent), "u long, v long")
-    final = components(found)
+    members = written(keys.join(centre, "key"))
+    wanted = members.select("rid").distinct()
+    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rid")).select("rid", "text")
+    sets = written(in_arrow(texts, _sets, "rid long, shingles binary").where("length(shingles) > 0"))
+    links = written(_star_links(members, sets, percent))
+    final = components(links)
+    more = written(_other_links(members, sets, final, percent))
+    if more.limit(1).count():
+        final = components(links.unionByName(more))
     classes = classes.join(final, F.col("rid") == F.col("id"), "left").select("n_shingles", "k1", "k2", F.coalesce("root", "rid").alias("component"))
     return (
         rows.drop("a", "b")
@@ -176,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs' rows of which near_duplicates() keeps the document; of rows that share an id one stays."""
     found = written(near_duplicates(docs, percent=percent))
     gone = small(written(found.where("not kept").select("doc_id").distinct()), BROADCAST_IDS)
