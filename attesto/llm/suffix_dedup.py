@@ -18,11 +18,16 @@ In the merged order, common prefixes give for each offset o the sets of anchors
 in the LENGTH - o bytes to the right; with the agreement in o bytes to the left they give
 the windows that occur twice, exactly and without comparing pairs.
 
-Texts that have an exact copy of LENGTH bytes or more are removed whole and sorted once.
-A stretch of short period has an anchor each period. All windows within it recur a period
-on, so it is removed without a search, and of its anchors only the first, one from its
-inside and those near its end are sorted: every window that holds it in part has one of
-these as its anchor, and every window within it equals one at the anchor from its inside.
+Three things shorten the sort, and none decides what it does not prove:
+- Only anchors whose K-gram occurs twice are sorted; the others have no equal window.
+- Texts that have an exact copy of LENGTH bytes or more go whole, as all their windows
+  recur, and one of them is sorted for the others' sake.
+- A stretch of short period has an anchor each period. All windows within it recur a period
+  on, so it goes without a search, and of its anchors only the first, one from its inside
+  and those near its end are sorted: every window that holds it in part has one of these as
+  its anchor, and every window within it equals one at the anchor from its inside.
+The last two are shortcuts of repeats_removed(); without them the merge alone decides, with
+the same result.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from ._common import blocks, partitions, utf8, written
+from ._common import blocks, in_arrow, partitions, utf8, written
 
 LENGTH, K = 200, 32
 LEFT = LENGTH - K
@@ -55,7 +60,9 @@ NO_ID = -(2**63)
 COPY = -1
 #: What names a row: its id and a hash of its text.
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-ID = np.dtype([("d", "<i8"), ("p", "<i4")])
+ID = np.dtype([("d", "<i8"), ("p", "<i8")])
+#: Anchors of a range of keys, about; a merge task holds the runs of one range.
+RANGE_KEYS = 150_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +118,11 @@ def thinned(at: np.ndarray, grams: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     return keep, found
 
 
-def _anchor_rows(batches):
+def _anchor_rows(shortcuts: bool):
+    return lambda batches: _sampled(batches, shortcuts)
+
+
+def _sampled(batches, shortcuts: bool):
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for a, b in blocks(offsets, SEGMENT):
@@ -124,7 +135,7 @@ def _anchor_rows(batches):
                 at, where = np.unique(np.concatenate([s + x for s, x, _ in found]), return_index=True)
                 grams = np.concatenate([x for *_, x in found])[where]
             doc = np.searchsorted(own, at, "right") - 1
-            keep, stretches = thinned(at, grams, doc)
+            keep, stretches = thinned(at, grams, doc) if shortcuts else (np.ones(len(at), bool), [])
             at, grams, doc = at[keep], grams[keep], doc[keep]
             bounds = np.searchsorted(at, own)
             stretched: list[list[dict]] = [[] for _ in range(b - a)]
@@ -411,25 +422,31 @@ def _clean(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], names)
 
 
-def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortcuts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) per row of docs.
 
     Null texts are empty. Texts under LENGTH bytes lose nothing. Removed runs that touch
     or overlap are one span. Very long texts are whole, in segments of bounded memory.
     Rows that repeat are copies of each other; rows that share an id, null included, and
-    differ in their texts are judged each by its text. Other columns are ignored.
+    differ in their texts are judged each by its text. Other columns are ignored. The id
+    -2**63 stands for null. Without shortcuts every text and stretch goes through the merge.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.hash("text").alias("p"), "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("p"), "text")
     sampled = written(
-        docs.select("d", "p", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
-        .mapInArrow(_anchor_rows, "d long, p int, sha binary, n_bytes long, pos array<int>, gram array<long>, stretches array<struct<start:int,end:int>>")
+        in_arrow(
+            docs.select("d", "p", "text", F.unhex(F.sha2("text", 256)).alias("sha")), _anchor_rows(shortcuts),
+            "d long, p long, sha binary, n_bytes long, pos array<int>, gram array<long>, stretches array<struct<start:int,end:int>>",
+        )
     )
+    anchored = sampled.agg(F.sum(F.size("pos"))).first()[0] or 0
+    ranges = max(4 * n, -(-anchored // RANGE_KEYS))
     classes = sampled.groupBy("sha").agg(F.min(F.struct("d", "p")).alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copied = sampled.select("d", "p", "sha").join(classes, "sha")
-    second = copied.where(F.col("d") != F.col("rep.d")).select("d", "p")
+    copied = copied if shortcuts else copied.limit(0)
+    second = copied.where((F.col("d") != F.col("rep.d")) | (F.col("p") != F.col("rep.p"))).select("d", "p")
     points = (
         sampled.join(second, ["d", "p"], "left_anti")
         .select("d", "p", F.explode(F.arrays_zip("pos", "gram")).alias("x")).select("d", "p", "x.pos", "x.gram")
@@ -438,12 +455,12 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = points.join(twice, "gram").groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("pos", "gram"))).alias("hits"))
     texts = docs.repartition(n, "d", "p")  # both uses read the same three columns, so Spark moves the texts once
     # The small sides are hashed and the texts stream by: sorting them for a merge would hold them in memory.
-    runs = texts.join(hits.hint("shuffle_hash"), ["d", "p"]).select("d", "p", "text", "hits").mapInArrow(_runs(4 * n), "range int, run binary")
-    found = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merge, "d long, p int, start int, end int")
+    runs = texts.join(hits.hint("shuffle_hash"), ["d", "p"]).select("d", "p", "text", "hits")
+    runs = in_arrow(runs, _runs(ranges), "range int, run binary")
+    found = in_arrow(runs.repartition(n, "range").sortWithinPartitions("range"), _merge, "d long, p long, start int, end int")
     within = sampled.where(F.size("stretches") > 0).select("d", "p", F.explode("stretches").alias("x")).select("d", "p", "x.start", "x.end")
     copies = copied.select("d", "p", F.lit(COPY).alias("start"), F.lit(0).alias("end"))
     found = found.unionByName(within).unionByName(copies).groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
     joined = texts.join(found.hint("shuffle_hash"), ["d", "p"], "left")
-    return joined.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "text", "p", "runs").mapInArrow(
-        _clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+    done = joined.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "text", "p", "runs")
+    return in_arrow(done, _clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -46,17 +46,44 @@ def key(rows):
     return sorted(map(repr, rows))
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_equal_brute_force(spark, percent):
     rows = documents()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", root string, count int")
-    assert key(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == key(brute_components(rows))
+    assert key(tuple(r) for r in near_dedup.near_duplicates(df, percent=percent).collect()) == key(brute_components(rows, percent))
 
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(near_dedup, "STAR", 2)
+    monkeypatch.setattr("attesto.llm.components.HOT", 3)
     rows = documents()
     df = spark.createDataFrame(rows, SCHEMA)
-    assert key(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == key(brute_components(rows))
+    assert key(tuple(r) for r in near_dedup.near_duplicates(df, percent=85).collect()) == key(brute_components(rows))
+
+
+@pytest.mark.parametrize("block", [3_000, 4])
+def test_chains_that_stars_leave_out(spark, monkeypatch, block):
+    """Each text is like the next only, so most links are not with a bucket's centre."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
+    words = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 150])) for i in range(30)] + [(100 + i, " ".join(words[13 * i : 13 * i + 100])) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute_components(rows, 80)
+    assert {c for d, _, c, _ in want if d < 100} == {0}
+    assert key(tuple(r) for r in near_dedup.near_duplicates(df, percent=80).collect()) == key(want)
+
+
+def test_recall_of_links(spark):
+    """All links of pairs that nothing else joins, from just above the threshold."""
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for g in range(120):
+        base = [f"g{g}{w}" for w in words]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base[: 91 + g % 8], *(f"e{g}{i}" for i in range(9 - g % 8))]))]
+    want = brute_components(rows, 80)
+    assert sum(d != c for d, _, c, _ in want) == 120
+    assert key(tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == key(want)
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -65,7 +92,7 @@ def test_near_duplicates_of_nothing(spark):
 
 def test_deduplicated_keeps_one_of_each_group(spark):
     rows = documents()
-    kept = near_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()
+    kept = near_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA), percent=85).collect()
     want = {d for d, _, _, k in brute_components(rows) if k}
     assert {r.doc_id for r in kept} == want
     ids = [r.doc_id for r in kept if r.doc_id is not None]
@@ -83,12 +110,16 @@ def test_pipeline_stage_links_from_80_hundredths(spark):
     assert 2 * (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 3e-5
 
 
-def test_shingles_match_words():
+@pytest.mark.parametrize("segment", [7, 64, 1 << 21])
+def test_shingles_match_words(monkeypatch, segment):
+    monkeypatch.setattr(hashing, "SEGMENT", segment)
     texts = [t or "" for _, t in documents()]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
     got = hashing.shingles(data, offsets)
     assert [len(x) for x in got] == [len(word_shingles(t)) for t in texts]
+    monkeypatch.setattr(hashing, "SEGMENT", 1 << 21)
+    assert all((a == b).all() for a, b in zip(got, hashing.shingles(data, offsets)))
 
 
 @settings(max_examples=80, deadline=None)
@@ -129,18 +160,21 @@ def brute_removed(rows, length=200):
     return out
 
 
-def removed(spark, rows):
+def removed(spark, rows, shortcuts=True):
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", pos string")
-    return key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeats_removed(df).collect())
+    return key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeats_removed(df, shortcuts=shortcuts).collect())
 
 
 def small(rows):
     return [(d, t if t is None else t[:4000]) for d, t in rows]
 
 
-def test_repeats_removed_equal_brute_force(spark):
+@pytest.mark.parametrize("shortcuts", [True, False])
+def test_repeats_removed_equal_brute_force(spark, shortcuts, monkeypatch):
+    """Also where the merge alone decides, and with many ranges."""
+    monkeypatch.setattr(suffix_dedup, "RANGE_KEYS", 40)
     rows = small(documents()) + [(0, "another text under a repeated id " * 9), (90, "é" * 150 + "q"), (91, "z" + "é" * 150)]
-    assert removed(spark, rows) == key(brute_removed(rows))
+    assert removed(spark, rows, shortcuts) == key(brute_removed(rows))
 
 
 @pytest.mark.parametrize("period", [1, 3, 9, 31, 32, 33, 40])
@@ -148,7 +182,7 @@ def test_periodic_stretches(spark, period):
     unit = "".join(chr(97 + (7 * i + i * i) % 26) for i in range(period))
     body = unit * (900 // period)
     rows = [(1, "start of one " + body + " end of one"), (2, "other " + body[: 200 + period // 2] + "!"), (3, body[1:201]), (4, body[:199] + "~" + body[:230]), (5, "clean text " * 3)]
-    assert removed(spark, rows) == key(brute_removed(rows))
+    assert removed(spark, rows) == removed(spark, rows, shortcuts=False) == key(brute_removed(rows))
 
 
 def test_segments_of_long_texts(spark, monkeypatch):
