@@ -7,9 +7,11 @@ size of least cost is opened. What that is depends on what is still to come, so
 shard is packed under several opening rules and the cheapest packing is kept. At last
 each bin is downsized to the least permitted length that holds its contents.
 
-Shards are a hash of id and piece, so no source or length is a task of its own; the number
-of shards follows the number of pieces, and a shard is one task's work in memory of a few
-bytes a piece. Only ids and lengths are packed and moved.
+Shards are a hash of a row's number and piece, so no id, source or length is a task of its
+own, however often it occurs; rows are numbered when their lengths are written, so a task
+that runs again deals them as before. The number of shards follows the number of pieces,
+and a shard is one task's work in memory of a few bytes a piece. Only ids and lengths are
+packed and moved.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions, written
+from ._common import in_arrow, partitions, written
 from .mixing import words
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -85,9 +87,9 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> t
 
 
 def _pack(capacities: tuple[int, ...]):
-    def one(shard, ids, pieces, lengths):
-        order = np.lexsort((pieces, ids, -lengths))
-        ids, pieces, lengths = ids[order], pieces[order], lengths[order]
+    def one(shard, known, ids, pieces, lengths):
+        order = np.lexsort((pieces, ids, known, -lengths))
+        known, ids, pieces, lengths = known[order], ids[order], pieces[order], lengths[order]
         bins, used, final = best_fit(lengths, capacities)
         bins = np.array(bins)
         by_bin = np.argsort(bins, kind="stable")
@@ -97,14 +99,15 @@ def _pack(capacities: tuple[int, ...]):
         counts = np.diff(np.append(first, len(b)))
         offset = before - np.repeat(before[first], counts)
         slot = np.arange(len(b)) - np.repeat(first, counts)
-        columns = [np.full(len(b), shard), b, np.array(final)[b], np.array(used)[b], slot, offset, ids[by_bin], pieces[by_bin], n]
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "bin", "capacity", "used", "slot", "offset", "id", "piece", "n_tokens"])
+        names = ["shard", "bin", "capacity", "used", "slot", "offset", "piece", "n_tokens"]
+        columns = [np.full(len(b), shard), b, np.array(final)[b], np.array(used)[b], slot, offset, pieces[by_bin], n]
+        arrays = [pa.array(c, pa.int32()) for c in columns] + [pa.array(ids[by_bin], pa.int64(), mask=~known[by_bin])]
+        return pa.RecordBatch.from_arrays(arrays, [*names, "id"])
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            shard, *rest = (batch.column(c).to_numpy() for c in ("shard", "id", "piece", "n"))
+            shard, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "known", "id", "piece", "n"))
             cuts = np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1)) if len(shard) else []
             for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True):
                 if shard[a] != now:
@@ -123,27 +126,27 @@ def packed(docs: DataFrame, tokens=None, capacities: tuple[int, ...] = CAPACITIE
 
     Every token of every row is in one piece: piece p starts at token p * max(capacities).
     A row has its tokens (by default its words) and extra, an end mark, so null and empty
-    texts have extra tokens. Rows that repeat are packed each. A null id is packed and
-    comes back null. With no rows there are no bins.
+    texts have extra tokens. Rows that repeat are packed each, and dealt to shards each by
+    itself. A null id is packed and comes back null. With no rows there are no bins.
     """
     tokens = words() if tokens is None else tokens
     largest = max(capacities)
-    spark = docs.sparkSession
-    rows = written(docs.select(F.col(id_col).cast("long").alias("id"), (tokens + extra).cast("long").alias("n")))
+    own = F.col(id_col).cast("long")
+    rows = written(docs.select(own.alias("id"), (tokens + extra).cast("long").alias("n"), F.monotonically_increasing_id().alias("at")))
     count = rows.agg(F.sum(F.ceil(F.col("n") / largest))).first()[0] or 0
     shards = max(1, -(-int(count) // shard))
-    n = partitions(spark)
     pieces = rows.where("n > 0").select(
-        F.coalesce("id", F.lit(-(2**63))).alias("id"), "n", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / largest) - 1).cast("int"))).alias("piece")
-    ).select("id", "piece", F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).cast("long").alias("n"))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
-    done = pieces.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(
-        _pack(tuple(capacities)), "shard int, bin int, capacity int, used int, slot int, offset int, id long, piece int, n_tokens int"
+        "at", "n", F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id"),
+        F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / largest) - 1).cast("int"))).alias("piece"),
+    )
+    pieces = pieces.select(
+        F.pmod(F.xxhash64("at", "piece"), F.lit(shards)).cast("int").alias("shard"), "known", "id", "piece", F.least(F.lit(largest), F.col("n") - F.col("piece") * largest).cast("long").alias("n")
     )
-    return done.select(
-        "shard", "bin", "capacity", "used", "slot", "offset", F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"),
-        "piece", (F.col("piece").cast("long") * largest).alias("start"), "n_tokens",
+    done = in_arrow(
+        pieces.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard"), _pack(tuple(capacities)),
+        "shard int, bin int, capacity int, used int, slot int, offset int, piece int, n_tokens int, id long",
     )
+    return done.select("shard", "bin", "capacity", "used", "slot", "offset", F.col("id").alias("doc_id"), "piece", (F.col("piece").cast("long") * largest).alias("start"), "n_tokens")
 
 
 def bins(placed: DataFrame) -> DataFrame:
