@@ -1,7 +1,8 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 from .chat import ESCAPES, OTHER, TEMPLATE
-from .licenses import COPYRIGHT_LINE, KNOWN, NOT_WORD, SPELLINGS
+from .licenses import KNOWN
+from .mixing import WEIGHTS
 from .quality import BASE_MASK, POLICIES, RULES as QUALITY, VERSION
 from .secrets import BASE, KINDS, RULES
 
@@ -83,24 +84,38 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
-def _canonical(text: str) -> str:
-    q = lambda x: x.replace("'", "''")
-    out = f"regexp_replace(lower({text}), '{q(COPYRIGHT_LINE)}', ' ', 'g')"
-    for pattern, form in SPELLINGS:
-        out = f"regexp_replace({out}, '{q(pattern)}', '{form}', 'g')"
-    return f"trim(regexp_replace({out}, '{q(NOT_WORD)}', ' ', 'g'), ' ')"
+_COPYRIGHT = (
+    r"(?m)^[^\p{L}\n©]*(?:(?:(?i:copyright)[ \t]*(?:(?i:\(c\))|©|[12][0-9]{3}|\[|<)|(?i:\(c\))[ \t]*(?:(?i:copyright)|[12][0-9]{3})|©)[^\n]*?(?:\.[ \t]+((?i:licen[sc]ed|released|distributed|this [a-z]+ is licen)[^\n]*))?"
+    r"|(?i:copyright)[ \t]+(?:(?i:by)[ \t]+)?\p{Lu}[\p{Ll}.]+(?:[ \t,&.]+\p{Lu}[\p{Ll}.]+)*[ \t\r]*|(?i:all rights reserved)[. \t\r]*)$"
+)
+
+
+def _unified(text: str) -> str:
+    out = f"lower(regexp_replace({text}, '{_COPYRIGHT}', ' \\1', 'g'))"
+    for pattern, form in (
+        ("licenc", "licens"), (r"\bnon[ -]?infringement\b", "noninfringement"), (r"\bnon[ -]commercial\b", "noncommercial"), (r"\bsub[ -]licens", "sublicens"), (r"\borganisation", "organization"),
+        (r"\bauthoris", "authoriz"), (r"\backnowledgement", "acknowledgment"), (r"\bhttps\b", "http"),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{form}', 'g')"
+    return out
+
+
+def _bare(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
 
 
 def _license_scan() -> str:
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
     return f"""
-WITH k AS (SELECT sha256({_canonical("t")}) AS digest, min(l) AS license FROM (VALUES {rows}) x(l, t) GROUP BY 1),
+WITH k AS (SELECT sha256({_bare(_unified("t"))}) AS digest, min(l) AS license FROM (VALUES {rows}) x(l, t) GROUP BY 1),
 d AS (
-  SELECT doc_id, coalesce(text, '') AS text, sha256({_canonical("coalesce(text, '')")}) AS digest,
-    CAST(len(regexp_extract_all(lower(coalesce(text, '')), '{COPYRIGHT_LINE}')) AS BIGINT) AS n_copyright_lines FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+  SELECT doc_id, u, sha256({_bare("u")}) AS digest, n_copyright_lines FROM (
+    SELECT doc_id, {_unified("coalesce(text, '')")} AS u, CAST(len(regexp_extract_all(coalesce(text, ''), '{_COPYRIGHT}')) AS BIGINT) AS n_copyright_lines FROM documents)),
+l AS (
+  SELECT doc_id, unnest(string_split(u, chr(10))) AS piece FROM d
+  UNION ALL SELECT doc_id, unnest(string_split_regex(u, '\\n[ \\t\\r]*\\n')) FROM d),
 n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-      FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM l WHERE lower(line) LIKE '%licen%') JOIN k USING (digest) GROUP BY doc_id)
+      FROM (SELECT doc_id, sha256({_bare("piece")}) AS digest FROM l) JOIN k USING (digest) GROUP BY doc_id)
 SELECT doc_id, d.digest, license, n_copyright_lines, coalesce(notices, '') AS notices
 FROM d LEFT JOIN k ON k.digest = d.digest LEFT JOIN n USING (doc_id)
 """
@@ -167,12 +182,12 @@ CHAT_FORMAT = _chat_format()
 
 def _mixing(share: float = 0.5, epochs: int = 4, seed: int = 17) -> str:
     keys = ("domain", "lang_", "source_")
+    given = ", ".join(f"({level}, {', '.join('NULL' if x is None else repr(x) for x in names)}, {weight})" for level, *names, weight in WEIGHTS)
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     ctes = []
     for depth in (1, 2, 3):
-        own, parent = ", ".join(keys[:depth]), ", ".join(keys[: depth - 1]) or "1"
-        n = f"l{depth}"
-        before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-        nodes = f"SELECT {own}, CAST(sum(tokens) * {epochs} AS BIGINT) AS cap, 1.0::DOUBLE AS weight FROM s GROUP BY {own}"
+        own, parent, n = ", ".join(keys[:depth]), ", ".join(keys[: depth - 1]) or "1", f"l{depth}"
+        nodes = f"SELECT {own}, CAST(sum(tokens) * {epochs} AS BIGINT) AS cap, max(w{depth}) AS weight FROM alive GROUP BY {own}"
         budget = "CAST(least(t, sum(cap) OVER ()) AS BIGINT) AS b FROM n CROSS JOIN total" if depth == 1 else f"budget AS b FROM n JOIN l{depth - 1} USING ({parent})"
         select = "n.*" if depth == 1 else f"{own}, n.cap, n.weight"
         ctes.append(f"""
@@ -186,14 +201,17 @@ def _mixing(share: float = 0.5, epochs: int = 4, seed: int = 17) -> str:
 {n}6 AS (SELECT *, least(b, sum(cap) OVER q) - sum(low) OVER q AS over, row_number() OVER (PARTITION BY {parent} ORDER BY low >= cap, round(share - low, 6) DESC, {own}) AS place
   FROM {n}5 WINDOW q AS (PARTITION BY {parent})),
 {n} AS (SELECT {own}, low + CASE WHEN place <= over AND low < cap THEN 1 ELSE 0 END AS budget FROM {n}6)""")
+    weights = ", ".join(f"coalesce((SELECT min(weight) FROM wt WHERE level = {d} AND {' AND '.join(f'wt.{k} = s.{k}' for k in keys[:d])}), 1) AS w{d}" for d in (1, 2, 3))
     return rf"""
-WITH k AS (
+WITH wt AS (SELECT level, domain, lang_, source_, CAST(weight AS DOUBLE) AS weight FROM (VALUES {given}) x(level, domain, lang_, source_, weight)),
+k AS (
   SELECT doc_id, lang, source, 'domain' || (CAST('0x' || substr(md5(coalesce(source, '')), 1, 4) AS INTEGER) % 3) AS domain, coalesce(lang, '') AS lang_, coalesce(source, '') AS source_,
-    CAST(greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) AS BIGINT) AS n FROM documents),
+    CAST(greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1) AS BIGINT) AS n, md5(coalesce(text, '')) AS print FROM documents),
 s AS (SELECT domain, lang_, source_, CAST(sum(n) AS BIGINT) AS tokens FROM k GROUP BY ALL),
-total AS (SELECT CAST(floor(sum(tokens) * {share}) AS BIGINT) AS t FROM s),{",".join(ctes)},
+total AS (SELECT CAST(floor(sum(tokens) * {share}) AS BIGINT) AS t FROM s),
+alive AS (SELECT * FROM (SELECT s.*, {weights} FROM s) WHERE w1 > 0 AND w2 > 0 AND w3 > 0),{",".join(ctes)},
 e AS (SELECT s.*, budget // tokens AS epochs, budget % tokens AS rest FROM s JOIN l3 USING (domain, lang_, source_)),
-h AS (SELECT k.*, epochs, rest, md5('{seed}:' || (epochs + 1) || ':' || doc_id) AS h FROM k JOIN e USING (domain, lang_, source_)),
+h AS (SELECT k.*, epochs, rest, md5('{seed}:' || (epochs + 1) || ':' || doc_id || ':' || print || ':' || n) AS h FROM k JOIN e USING (domain, lang_, source_)),
 c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang_, source_ ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
 SELECT doc_id, lang, source, domain, n AS n_tokens, CAST(epochs + CASE WHEN before < rest THEN 1 ELSE 0 END AS INTEGER) AS copies,
   CAST(CASE WHEN before < rest THEN least(n, rest - before) ELSE n END AS BIGINT) AS last_tokens

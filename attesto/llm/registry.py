@@ -12,7 +12,7 @@ from ._common import table
 from .chat import chat_format
 from .langid import language_id
 from .licenses import license_scan
-from .mixing import mixed
+from .mixing import mixed, weight_table
 from .near_dedup import near_duplicates
 from .packing import packed
 from .quality import quality_rules
@@ -35,7 +35,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixed(docs).drop("text", "n_chars")
+    return mixed(docs, weights=weight_table(spark)).drop("text", "n_chars")
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -44,6 +45,41 @@ def test_packing_places_every_token_once(spark):
     assert sum(sum(b.lengths) for b in bins) == sum(want.values())
 
 
+def test_one_id_is_dealt_to_many_shards(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(-(2**63))).when(F.col("id") % 3 == 1, 7).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    out = packing.packed(df, shard=100).collect()
+    sizes = Counter(r.shard for r in out)
+    assert len(sizes) == 30 and max(sizes.values()) < 200
+    assert Counter(r.doc_id for r in out) == {-(2**63): 1000, 7: 1000, None: 1000}
+
+
+def simulated(lengths, sizes, opening):
+    """Best fit the plain way: look at every open bin, take the one with the least room that holds the piece."""
+    bins, left = [], sum(lengths)
+    for n in lengths:
+        room = [(c - u, i) for i, (c, u) in enumerate(bins) if c - u >= n]
+        if room:
+            i = min(room)[1]
+            bins[i] = (bins[i][0], bins[i][1] + n)
+        else:
+            bins.append((opening(n, left), n))
+        left -= n
+    return [u for _, u in bins]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
+def test_best_fit_equals_a_plain_simulation(lengths):
+    sizes, lengths = (16, 32, 64), sorted(lengths, reverse=True)
+    smallest = lambda n: min(c for c in sizes if c >= n)
+    price = lambda c: c + c * c / 65536 + 8
+    rules = [lambda n, left, c=c: max(c, smallest(n)) for c in sizes] + [lambda n, left: min((c for c in sizes if c >= n), key=lambda c: price(c) / min(c, left))]
+    cheapest = min(sum(price(smallest(u)) for u in simulated(lengths, sizes, r)) for r in rules)
+    bins, used, final = packing.best_fit(np.array(lengths), sizes)
+    assert sum(price(c) for c in final) == pytest.approx(cheapest)
+    assert sorted(final) == sorted(smallest(u) for u in used)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 64), min_size=1, max_size=60))
 def test_best_fit(lengths):
@@ -51,7 +87,7 @@ def test_best_fit(lengths):
     bins, used, final = packing.best_fit(lengths, (16, 32, 64))
     assert np.bincount(bins, weights=lengths).tolist() == used
     assert all(f == min(c for c in (16, 32, 64) if c >= u) for u, f in zip(used, final))
-    # No cheaper single-size rule, and no piece that would have fitted an open bin opened one.
+    # No single-size rule is cheaper.
     costs = sum(packing.cost(f) for f in final)
     for size in (16, 32, 64):
         b, u = packing._fit(lengths.tolist(), (16, 32, 64), lambda n, left, size=size: max(size, min(c for c in (16, 32, 64) if c >= n)))
@@ -60,15 +96,43 @@ def test_best_fit(lengths):
 
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
-    other = "  mit LICENCE!!\n Copyright (c) 2024 Someone\n" + mit.split("\n", 1)[1].replace("noninfringement", "non-infringement").replace("NONINFRINGEMENT", "NON INFRINGEMENT") + "\nAll rights reserved."
-    rows = [(1, mit), (2, other), (3, mit + " more"), (4, "Prose.\nReleased under the MIT Licence.\nlicensed under CC BY-NC 4.0\nCopyright 2020 X"), (5, None), (6, ""), (1, mit), (None, mit), (7, "word " * 60000)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", license string")
+    other = "  mit LICENCE!!\n Copyright (c) 2024 Someone\n" + mit.split("\n", 1)[1].replace("NONINFRINGEMENT", "NON INFRINGEMENT") + "\nAll rights reserved."
+    inside = "Prose.\nReleased under the MIT Licence.\nlicensed under CC BY-NC 4.0\nCopyright 2020 X"
+    after = "Prose\n# Copyright (c) 2020 Acme. Licensed under the MIT License.\n\nSPDX-License-Identifier: ISC\n"
+    rows = [(1, mit), (2, other), (3, mit + " more"), (4, inside), (5, None), (6, ""), (1, mit), (None, mit), (7, "word " * 60000), (8, after)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA + ", license string, row string")
     got = [(r.doc_id, r.license, r.n_copyright_lines, r.notices) for r in licenses.license_scan(df).collect()]
-    want = [(1, "MIT", 0, "MIT"), (2, "MIT", 2, "MIT"), (3, None, 0, ""), (4, None, 1, "CC-BY-NC-4.0,MIT"), (5, None, 0, ""), (6, None, 0, ""), (1, "MIT", 0, "MIT"), (None, "MIT", 0, "MIT"), (7, None, 0, "")]
+    want = [(1, "MIT", 0, ""), (2, "MIT", 2, ""), (3, None, 0, ""), (4, None, 1, "CC-BY-NC-4.0,MIT"), (5, None, 0, ""), (6, None, 0, ""), (1, "MIT", 0, ""), (None, "MIT", 0, ""), (7, None, 0, ""), (8, None, 1, "ISC,MIT")]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_every_known_text_at_every_wrap(spark):
+    """Wherever lines break, also before "copyright notice", and behind comment marks."""
+    rows = []
+    for name, text in licenses.KNOWN:
+        for width in (30, 52, 64, 70, 72, 76, 79, 100):
+            for head, mark in (("", ""), ("Copyright (c) 2020, Jane Doe <jane@example.org>\nCopyright Acme Widgets Inc.\nAll rights reserved.\n\n", "# ")):
+                lines = [line for part in text.split("\n") for line in (textwrap.wrap(part, width, break_on_hyphens=False, break_long_words=False) or [""])]
+                rows.append((len(rows), "\n".join(mark + line for line in [*head.split("\n"), *lines]), name))
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert [(i, got[i], n) for i, _, n in rows if got[i] != n] == []
+
+
+@pytest.mark.parametrize(
+    "line", ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "copyright notice, this list of conditions", "(c) You must retain the notices", "copyright owner that is granting", "Copyright law applies"]
+)
+def test_lines_that_are_no_copyright_statement(spark, line):
+    assert spark.createDataFrame([(f"a\n{line}\nb",)], "t string").select(licenses.canonical(F.col("t")).alias("c")).first().c.startswith("a " + line.lower().strip("(").split(" ")[0].strip("()"))
+
+
+def test_a_table_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "House   Rules!"), (2, "x\nhouse rules\ny")], SCHEMA)
+    own = spark.createDataFrame([("House", "house rules"), ("None", "")], "license string, text string")
+    for table in (own, [("House", "house rules")]):
+        assert sorted((r.doc_id, r.license, r.notices) for r in licenses.license_scan(df, table=table).collect()) == [(1, "House", "House"), (2, None, "House")]
+
+
 @pytest.mark.parametrize("scale", [1, 2.0**20])
 def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "SHARD", 40)

@@ -72,31 +72,41 @@ def fill(children, budget):
     return [min(c, w * high) for c, w in children]
 
 
+LEAVES = [("a", "en", "s1", 100), ("a", "en", "s2", 10), ("a", "fr", "s1", 5), ("b", "en", "s1", 900), ("b", "de", "s3", 1), ("c", "en", "s9", 7)]
+
+
+@pytest.mark.parametrize("zeros", [[], [(3, "b", "en", "s1", 0.0)], [(1, "c", None, None, 0.0), (2, "a", "en", None, -1.0)], [(1, "a", None, None, float("nan")), (1, "b", None, None, 0.0), (1, "c", None, None, 0.0)]])
 @pytest.mark.parametrize("total", [0, 1, 37, 500, 1111, 4000, 10**6])
-def test_budgets(spark, total):
-    leaves = [("a", "en", "s1", 100), ("a", "en", "s2", 10), ("a", "fr", "s1", 5), ("b", "en", "s1", 900), ("b", "de", "s3", 1), ("c", "en", "s9", 7)]
-    weights = [(1, "a", None, None, 3.0), (2, "a", "fr", None, 2.0), (3, "a", "en", "s2", 0.5)]
-    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+def test_budgets(spark, total, zeros):
+    weights = [w for w in [(1, "a", None, None, 3.0), (2, "a", "fr", None, 2.0), (3, "a", "en", "s2", 0.5)] if w[:4] not in {z[:4] for z in zeros}] + zeros
+    df = spark.createDataFrame(LEAVES, "domain string, lang string, source string, tokens long")
     w = spark.createDataFrame(weights, "level int, domain string, lang string, source string, weight double")
     got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(df, total, w, 2).collect()}
     weight = {k[1:4]: k[4] for k in weights}
+    key = lambda prefix: tuple([*prefix] + [None] * (3 - len(prefix)))
+    alive = [r for r in LEAVES if all(weight.get(key(r[:n]), 1.0) > 0 for n in (1, 2, 3))]
 
     def descend(prefix, budget, rows):
         if len(prefix) == 3:
             return {prefix: budget}
         names = sorted({r[len(prefix)] for r in rows})
         parts = [[r for r in rows if r[len(prefix)] == n] for n in names]
-        key = lambda n: tuple([*prefix, n] + [None] * (2 - len(prefix)))
-        shares = fill([(2 * sum(r[3] for r in p), weight.get(key(n), 1.0)) for n, p in zip(names, parts)], budget)
+        shares = fill([(2 * sum(r[3] for r in p), weight.get(key((*prefix, n)), 1.0)) for n, p in zip(names, parts)], budget)
         out = {}
         for n, p, s in zip(names, parts, shares):
             out |= descend((*prefix, n), s, p)
         return out
 
-    want = descend((), total, leaves)
-    assert sum(got.values()) == min(total, 2 * sum(r[3] for r in leaves))
+    want = {r[:3]: 0 for r in LEAVES} | (descend((), total, alive) if alive else {})
+    assert sum(got.values()) == min(total, 2 * sum(r[3] for r in alive))
     assert all(abs(got[k] - want[k]) <= 3.01 for k in want), (got, want)
-    assert all(got[r[:3]] <= 2 * r[3] for r in leaves)
+    assert all(got[r[:3]] <= 2 * r[3] for r in LEAVES)
+
+
+def test_a_leaf_without_weight_leaves_its_share_to_the_others(spark):
+    df = spark.createDataFrame([("A", "x", "a1", 1000), ("A", "x", "a2", 10), ("B", "x", "b1", 1000)], "domain string, lang string, source string, tokens long")
+    w = spark.createDataFrame([(3, "A", "x", "a1", 0.0)], "level int, domain string, lang string, source string, weight double")
+    assert {r.source: r.budget for r in mixing.budgets(df, 600, w, 1).collect()} == {"a1": 0, "a2": 10, "b1": 590}
 
 
 def _mix_docs(spark):
@@ -109,6 +119,7 @@ def test_mix_takes_the_prefix_of_each_leaf(spark, share, epochs):
     rows, df = _mix_docs(spark)
     out = mixing.mixed(df, share, max_epochs=epochs, seed=3).collect()
     tokens = {r[0]: max(1, len((r[1] or "").split())) for r in rows}
+    texts = {r[0]: r[1] or "" for r in rows}
     leaf_of = {r[0]: (r[2] or "", r[3] or "") for r in rows}
     taken: dict = {}
     for r in out:
@@ -119,7 +130,7 @@ def test_mix_takes_the_prefix_of_each_leaf(spark, share, epochs):
         ids = [d for d in leaf_of if leaf_of[d] == (lang, source)]
         budget = sum(n for n, _ in kept.values())
         full, rest = divmod(budget, sum(tokens[d] for d in ids))
-        digest = lambda d: hashlib.md5(f"3:{full + 1}:{'' if d is None else d}".encode()).hexdigest()  # noqa: B023, E731
+        digest = lambda d: hashlib.md5(f"3:{full + 1}:{'' if d is None else d}:{hashlib.md5(texts[d].encode()).hexdigest()}:{tokens[d]}".encode()).hexdigest()  # noqa: B023, E731
         want = {d: full * tokens[d] for d in ids}
         copies = {d: full for d in ids}
         for d in sorted(ids, key=digest):
@@ -130,6 +141,21 @@ def test_mix_takes_the_prefix_of_each_leaf(spark, share, epochs):
         assert {d: (n, copies[d]) for d, n in want.items() if n} == kept
 
 
+@pytest.mark.parametrize("share,epochs", [(0.1, 1), (0.55, 1), (1.3, 2)])
+def test_copies_and_null_ids_meet_the_budget(spark, share, epochs):
+    """All rows have one id, or none, and few texts: the budget ends among copies."""
+    rows = [(None, "a b c d e f g h i j", "en", "s0") for _ in range(100)] + [(7, f"w {i % 2}", "fr", "s1") for i in range(60)] + [(7, "one two three", "fr", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    out = mixing.mixed(df, share, max_epochs=epochs).collect()
+    assert sum((r.copies - 1) * r.n_tokens + r.last_tokens for r in out) == math.floor(share * (1000 + 120 + 3))
+    assert all(0 < r.last_tokens <= r.n_tokens and 1 <= r.copies <= epochs for r in out)
+    assert sum(r.last_tokens < r.n_tokens for r in out) <= 2
+
+
+def test_weights_of_the_registered_query_fit_their_schema(spark):
+    assert mixing.weight_table(spark).where("weight is null or level not in (1, 2, 3)").count() == 0
+
+
 def test_mix_of_nothing(spark):
     _, df = _mix_docs(spark)
     assert mixing.mixed(df.limit(0)).count() == 0
