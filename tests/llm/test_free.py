@@ -137,10 +137,12 @@ def test_a_table_of_ones_own(spark):
 def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "SHARD", 40)
     monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "BOXES", 3)
+    monkeypatch.setattr(topk, "LEAF", 4)
     rng = np.random.default_rng(4)
-    vectors = {i: (np.round(rng.standard_normal(6), 1) * scale).tolist() for i in range(200)}
+    vectors = {i: (np.round(rng.standard_normal(6), 1) * scale).tolist() for i in range(200)} | {i: [float(scale)] * 6 for i in range(200, 300)}  # one vector a third of all
     rows = list(vectors.items()) + [(500, None), (520, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (540, [float("nan")] * 6), (560, [float("inf")] + [0.0] * 5), (None, [0.0] * 6), (3, vectors[3]), (580, []), (600, [1.0, 2.0])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, vector string")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, vector string, shard int")
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, 5).collect())
     ints = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors.items()}
     want = []
@@ -151,6 +153,28 @@ def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     assert topk.top_k(df.limit(0), F.col("id") % 20 == 0, 5).count() == 0
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(0, [3e12, 1.0]), (1, [3e12, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_k(df, F.col("id") == 0, 1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.integers(1, 9), st.integers(0, 10**6), st.sampled_from([2, 9, 10**8]))
+def test_a_tree_finds_what_a_scan_finds(n, k, seed, reach):
+    rng = np.random.default_rng(seed)
+    points, ids = rng.integers(-reach, reach, (n, 3)), rng.permutation(n).astype(np.int64)
+    leaf, topk.LEAF = topk.LEAF, 4
+    tree = topk.Tree.unpacked(topk.Tree(points, ids, k).packed())
+    topk.LEAF = leaf
+    least = np.where(rng.random(n) < 0.5, topk.NONE, 0)
+    row, found, score = tree.search(points, ids, k, least)
+    got = [[(int(s), int(i)) for r, i, s in zip(row, found, score) if r == q and s >= least[q]] for q in range(n)]
+    scores = points @ points.T
+    want = [[(-s, i) for s, i in sorted((-int(scores[q, j]), int(ids[j])) for j in range(n) if j != q)[:k] if -s >= least[q]] for q in range(n)]
+    assert got == want
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
