@@ -3,8 +3,6 @@
 from .chat import ESCAPES, OTHER, TEMPLATE
 from .licenses import KNOWN
 from .mixing import WEIGHTS
-from .quality import BASE_MASK, POLICIES, RULES as QUALITY, VERSION
-from .secrets import BASE, KINDS, RULES
 
 NEAR_DEDUP = r"""
 WITH RECURSIVE w AS (
@@ -48,28 +46,37 @@ FROM d JOIN r USING (doc_id)
 
 
 def _secret_scan() -> str:
+    base = ("assign", "access", "hex")
+    rules = (
+        ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+        ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+        ("forge", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+        ("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 0),
+        ("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    )
     parts = []
-    for i, (kind, _, pattern, group, least) in enumerate(RULES):
+    for i, (kind, pattern, group, least) in enumerate(rules):
         p = pattern.replace("'", "''")
         keep = f"length(regexp_extract(m[i], '{p}', {group})) >= {least}"
         parts.append(rf"""
 SELECT doc_id, '{kind}' AS kind, {i} AS place, CAST(coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n FROM (
   SELECT doc_id, m, unnest(range(2, len(m) + 1, 2)) AS i FROM (
     SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), chr(64976), chr(64977)), '({p})', chr(64976) || '\1' || chr(64976), 'g'), chr(64976)) AS m FROM documents)) WHERE {keep}""")
-    base = ", ".join(f"'{x}'" for x in BASE)
+    named = ", ".join(f"'{x}'" for x in base)
     item = "kind || ':' || a || ':' || (a + n)"
     return rf"""
 WITH f AS ({" UNION ALL ".join(parts)}),
 g AS (
-  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
-    string_agg({item}, ',' ORDER BY a, place) FILTER (kind IN ({base})) AS b, string_agg({item}, ',' ORDER BY a, place) AS s
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)},
+    string_agg({item}, ',' ORDER BY a, place) FILTER (kind IN ({named})) AS b, string_agg({item}, ',' ORDER BY a, place) AS s
   FROM f GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
 FROM documents LEFT JOIN g USING (doc_id)
 """
 
 
-assert KINDS[: len(BASE)] == BASE
 SECRET_SCAN = _secret_scan()
 
 TOP_K = r"""
@@ -122,11 +129,10 @@ FROM d LEFT JOIN k ON k.digest = d.digest LEFT JOIN n USING (doc_id)
 
 
 LICENSE_SCAN = _license_scan()
+LICENSE_FIXTURE = "SELECT CAST(d AS BIGINT) AS doc_id, license, CAST(1 AS BIGINT) AS n_copyright_lines FROM (VALUES " + ", ".join(f"({3 * i + j}, '{name}')" for i, (name, _) in enumerate(KNOWN) for j in range(3)) + ") x(d, license)"
 
 
-def _quality_rules() -> str:
-    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(QUALITY))
-    return rf"""
+_MEASURED = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 l AS (
@@ -140,12 +146,29 @@ m AS (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(text) AS n_chars
   FROM t LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-b AS (SELECT *, CAST({bits} AS INTEGER) AS fail_bits FROM m)
-SELECT *, CAST({VERSION} AS INTEGER) AS policy_version, fail_bits & {BASE_MASK} <> 0 AS base_failed, fail_bits & {BASE_MASK | POLICIES[VERSION]} = 0 AS kept FROM b
+f AS (
+  SELECT *, n_words < 50 AS few_words, 100 * n_repeat_words > 50 * n_words AS repeated_windows, n_words > 0 AND n_symbols > 0.4 * n_words AS symbols,
+    n_lines > 0 AND n_dup_lines > 0.6 * n_lines AS duplicate_lines, word_chars < 2 * n_words AS short_words, word_chars > 14 * n_words AS long_words, n_words > 1000000 AS many_words FROM m)
+"""
+
+QUALITY_RULES = _MEASURED + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_chars,
+  few_words::INTEGER + 2 * repeated_windows::INTEGER + 4 * symbols::INTEGER + 8 * duplicate_lines::INTEGER + 16 * short_words::INTEGER + 32 * long_words::INTEGER + 64 * many_words::INTEGER AS fail_bits,
+  2 AS policy_version, few_words OR repeated_windows AS base_failed,
+  NOT (few_words OR repeated_windows OR symbols OR duplicate_lines OR short_words OR long_words) AS kept FROM f
 """
 
 
-QUALITY_RULES = _quality_rules()
+def _ablations() -> str:
+    parts = []
+    for version, rules in ((1, ("few_words", "repeated_windows")), (2, ("few_words", "repeated_windows", "symbols", "duplicate_lines", "short_words", "long_words"))):
+        for rule in rules:
+            others = " OR ".join(r for r in rules if r != rule)
+            parts.append(f"SELECT {version} AS policy_version, '{rule}' AS rule, count(*) FILTER ({rule}) AS n_failed, count(*) FILTER ({rule} AND NOT ({others})) AS n_only, count(*) FILTER (NOT ({others})) AS n_kept_without FROM f")
+    return _MEASURED + " UNION ALL ".join(parts)
+
+
+ABLATIONS = _ablations()
 
 
 def _chat_format() -> str:

@@ -8,13 +8,15 @@ rule alone removes, what leaving it out would bring back), read the ledger, neve
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from ._common import blocks, utf8
+from ._common import blocks, in_arrow, utf8, written
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars")
 #: Rule i sets bit i where it is true. The first two are the contract's base.
@@ -102,7 +104,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     A null text is empty: no words, so it fails few_words only. Texts are read whole.
     Repeated rows and null ids are rows like others; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(_measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    rows = in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text"), _measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
     total = bits[0]
     for x in bits[1:]:
@@ -135,4 +137,12 @@ def ablation(rows: DataFrame, version: int = VERSION) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, version: int = VERSION) -> DataFrame:
-    return decided(ledger(docs), version)
+    """A policy's verdict on every row, read from the stored ledger."""
+    return decided(written(ledger(docs)), version)
+
+
+def ablations(docs: DataFrame, versions=tuple(POLICIES)) -> DataFrame:
+    """ablation() of each policy version, from one stored ledger."""
+    rows = written(ledger(docs))
+    parts = [ablation(rows, v).select(F.lit(v).alias("policy_version"), "*") for v in versions]
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import textwrap
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,12 @@ from . import oracles
 from ._common import table
 from .chat import chat_format
 from .langid import language_id
-from .licenses import license_scan
+from .licenses import KNOWN, license_scan
 from .mixing import mixed, weight_table
 from .near_dedup import near_duplicates
 from .packing import packed
-from .quality import quality_rules
-from .secrets import secret_scan
+from .quality import ablations, quality_rules
+from .secrets import RULES, secret_scan, update
 from .suffix_dedup import repeats_removed
 from .topk import top_k
 
@@ -47,7 +48,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents"))
+    """The ledger grows in two steps: English documents under the first rules, then all documents under all rules."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan(docs, update(docs.where("lang = 'en'"), rules=RULES[:3]))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,11 +69,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(rows.unionByName(more))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablations(table(spark, sf_dir, "documents"))
+
+
+def license_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole licence texts, wrapped at several widths behind a copyright line."""
+    rows = []
+    for _, body in KNOWN:
+        for width in (60, 72, 79):
+            lines = [x for part in body.split("\n") for x in (textwrap.wrap(part, width, break_on_hyphens=False, break_long_words=False) or [""])]
+            rows.append((len(rows), "\n".join(["Copyright (c) 2021 Jane Doe", "", *lines])))
+    return license_scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "license", "n_copyright_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_suffix_dedup, op3_license_scan, op4_mixing, op5_exact_top_k,
         op6_quality_rules, op7_secret_scan, op8_language_id, op9_near_dedup, op10_chat_format,
+        quality_ablation, license_fixture,
     )
 }
 
@@ -83,4 +101,6 @@ ORACLES: dict[str, str] = {
     "op7_secret_scan": oracles.SECRET_SCAN,
     "op9_near_dedup": oracles.NEAR_DEDUP,
     "op10_chat_format": oracles.CHAT_FORMAT,
+    "quality_ablation": oracles.ABLATIONS,
+    "license_fixture": oracles.LICENSE_FIXTURE,
 }

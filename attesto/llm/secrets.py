@@ -1,18 +1,20 @@
 """Secret scans through an incremental ledger of text blobs; DataFrame functions only.
 
-A blob is the content of one version of a document, addressed by its SHA-256. The ledger
-holds (blob, rule, version) with that scan's spans. A scan reads only blobs and rule
-versions that the ledger lacks, each blob once however many paths have it, and findings
-are joined back to every path.
+A blob is the content of one version of a document, addressed by its SHA-256. A ledger row
+names a blob, the rules and versions that a scan tried on it, and what they found; no pair
+of a blob and a rule version is in two rows. A scan reads only blobs and rule versions
+that the ledger lacks, each blob once however many paths have it, and findings are joined
+back to every path.
 
 Spans come from one pass a rule: a regular expression brackets each match with marks that
 are no characters, and the text, split at the marks, alternates between the rest and
-matches, whose lengths add up to code-point positions.
+matches. A running sum of the parts' lengths gives code-point positions, in time that is
+linear in the parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import small, written
@@ -34,35 +36,35 @@ BASE = ("assign", "access", "hex")
 KINDS = tuple(x[0] for x in RULES)
 #: A noncharacter, and what stands for it where a text has it, of equal length.
 MARK, STAND_IN = "\ufdd0", "\ufdd1"
-SPAN = "array<struct<start:int,end:int>>"
-FOUND = "array<struct<kind:string,start:int,end:int>>"
+VERSIONS = "array<struct<kind:string,version:int>>"
+FOUND = "array<struct<kind:string,version:int,start:int,end:int>>"
+#: Characters of the blocks that a text is cut into before runs are taken out of it.
+BLOCK = 4096
 
 
-def spans(text, pattern: str, group: int, least: int):
-    """Start and end, in code points, of the leftmost non-overlapping matches whose group is long enough."""
-    parts = F.split(F.regexp_replace(F.translate(text, MARK, STAND_IN), f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+def parts(text, pattern: str, group: int, least: int):
+    """(n, hit) of the text's parts between and within the leftmost non-overlapping matches; hit if its group is long enough."""
+    cut = F.split(F.regexp_replace(F.translate(text, MARK, STAND_IN), f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
     measure = lambda x: F.length(F.regexp_extract(x, pattern, group)) if group else F.length(x)
-    pairs = F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), ((i % 2 == 1) & (measure(x) >= least)).alias("hit")))
-    state = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")),
-        lambda s, p: F.struct(
-            (s["at"] + p["n"]).alias("at"),
-            F.when(p["hit"], F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), (s["at"] + p["n"]).alias("end"))))).otherwise(s["found"]).alias("found"),
-        ),
-    )
-    return state["found"]
+    return F.transform(cut, lambda x, i: F.struct(F.length(x).alias("n"), ((i % 2 == 1) & (measure(x) >= least)).alias("hit")))
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, kind, version, spans): a ledger row for each blob and each rule whose place is in its array todo."""
-    rows = []
+    """blob, scanned, found: a ledger row for each blob (blob, text) with the rules whose places are in its array todo."""
+    tried, cut = [], []
     for i, (kind, version, pattern, group, least) in enumerate(rules):
         probe = pattern.replace("]+)", "]{%d,})" % least) if group else pattern  # matches at least where a span is
-        found = F.when(F.col("text").rlike(probe), spans(F.col("text"), pattern, group, least))
-        row = F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), F.coalesce(found, F.array().cast(SPAN)).alias("spans"))
-        rows.append(F.when(F.array_contains("todo", i), row))
-    return blobs.select("blob", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("blob", "x.kind", "x.version", "x.spans")
+        name = (F.lit(kind).alias("kind"), F.lit(version).alias("version"))
+        due = F.array_contains("todo", i)
+        tried.append(F.when(due, F.struct(*name)))
+        cut.append(F.when(due & F.col("text").rlike(probe), F.struct(*name, parts(F.col("text"), pattern, group, least).alias("parts"))))
+    rows = written(blobs.select("blob", F.array_compact(F.array(*tried)).alias("scanned"), F.array_compact(F.array(*cut)).alias("cut")))
+    each = rows.where(F.size("cut") > 0).select("blob", F.explode("cut").alias("c")).select("blob", "c.kind", "c.version", F.posexplode("c.parts").alias("at", "p"))
+    before = F.sum("p.n").over(Window.partitionBy("blob", "kind", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    hits = each.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).where("p.hit")
+    span = F.struct("kind", "version", "start", (F.col("start") + F.col("p.n")).cast("int").alias("end"))
+    found = written(hits.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found")))
+    return rows.select("blob", "scanned").join(small(found, BROADCAST_BLOBS), "blob", "left").select("blob", "scanned", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
 def blob_of(text: str = "text"):
@@ -74,38 +76,48 @@ def _versions(rules):
 
 
 def update(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_col: str = "doc_id") -> DataFrame:
-    """New rows of the ledger: blob, kind, version, spans; only for pairs of blob and rule version that it lacks.
+    """New rows of the ledger, written: blob, scanned, found; only for pairs of blob and rule version that it lacks.
 
     docs holds every version of every document, a row each. Of each unseen blob one path
-    is scanned, that of the least id, for the rules that the ledger lacks. A null text is
-    the empty blob; without a row there is no blob.
+    is scanned, that of the least id, and of rows that repeat one, for the rules that the
+    ledger lacks. A null text is the empty blob; without a row there is no blob.
     """
     marked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("at"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob_of())
-    wanted = marked.groupBy("blob").agg(F.min("at").alias("at"))
-    every = F.array(*(F.lit(i) for i in range(len(rules))))
+    paths = marked.groupBy("blob", "at").agg(F.count("*").alias("n"))
+    wanted = paths.groupBy("blob").agg(F.min(F.struct("at", "n")).alias("x")).select("blob", "x.at", "x.n")
     if ledger is None:
-        wanted = wanted.withColumn("todo", every)
+        wanted = wanted.withColumn("todo", F.array(*(F.lit(i) for i in range(len(rules)))))
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
+        seen = ledger.select("blob", F.explode("scanned").alias("v")).groupBy("blob").agg(F.collect_set("v").alias("seen"))
         known = [F.array_contains("seen", v) for v in _versions(rules)]
         todo = F.array_compact(F.array(*(F.when(F.coalesce(~k, F.lit(True)), F.lit(i)) for i, k in enumerate(known))))
-        wanted = wanted.join(seen, "blob", "left").select("blob", "at", todo.alias("todo")).where(F.size("todo") > 0)
-    return scan(marked.join(wanted.hint("shuffle_hash"), ["at", "blob"]), rules)
+        wanted = wanted.join(seen, "blob", "left").select("blob", "at", "n", todo.alias("todo")).where(F.size("todo") > 0)
+    wanted = written(wanted)
+    blobs = marked.join(wanted.where("n = 1").drop("n").hint("shuffle_hash"), ["at", "blob"]).select("blob", "text", "todo")
+    if wanted.where("n > 1").limit(1).count():  # rows of one id and text: one of them
+        again = marked.join(small(wanted.where("n > 1").drop("n"), BROADCAST_BLOBS), ["at", "blob"])
+        blobs = blobs.unionByName(again.groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("todo").alias("todo")))
+    return written(scan(blobs, rules))
 
 
-def found_by_blob(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
-    """blob and found, an array of (kind, start, end), of the blobs of docs or the ledger that have findings."""
-    rows = update(docs, ledger, rules)
-    if ledger is not None:
-        rows = rows.unionByName(ledger.select(*rows.columns).where(F.array_contains(F.array(*_versions(rules)), F.struct("kind", "version"))))
-    dirty = rows.where(F.size("spans") > 0).select("blob", "kind", F.explode("spans").alias("s"))
-    return dirty.groupBy("blob").agg(F.collect_set(F.struct("kind", "s.start", "s.end")).alias("found"))
+def complete(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
+    """The ledger with what it lacks of docs."""
+    more = update(docs, ledger, rules)
+    return more if ledger is None else ledger.select(*more.columns).unionByName(more)
+
+
+def _found(ledger: DataFrame, rules) -> DataFrame:
+    """blob, kind, start, end of what these rules' versions found."""
+    rows = ledger.where(F.size("found") > 0).select("blob", F.inline("found"))
+    return rows.where(F.array_contains(F.array(*_versions(rules)), F.struct("kind", "version"))).select("blob", "kind", "start", "end")
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Every row of docs as doc_id, blob and found; copies have equal findings, clean texts an empty array."""
+    dirty = written(_found(complete(docs, ledger, rules), rules).groupBy("blob").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found")))
     paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_of().alias("blob"))
-    return paths.join(found_by_blob(docs, ledger, rules), "blob", "left").select("doc_id", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    return paths.join(small(dirty, BROADCAST_BLOBS), "blob", "left").select("doc_id", "blob", F.coalesce("found", empty).alias("found"))
 
 
 def _joined(found, kinds: tuple[str, ...]):
@@ -123,25 +135,39 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(F.col("found"), BASE), 256).alias("base_sha256"), _joined(F.col("found"), KINDS).alias("spans"))
 
 
+def _runs(rows: DataFrame) -> DataFrame:
+    """blob and runs, an array of (start, end) in order: the unions of a blob's overlapping or touching spans."""
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    rows = rows.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.count_if(F.col("reach").isNull() | (F.col("start") > F.col("reach"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = rows.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+
+
+def without_runs(text, runs, placeholder: str):
+    """The text with each run replaced. It is cut into blocks first, so that a piece is found without counting from the start."""
+    held = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+    def piece(blocks, a, b):
+        within = lambda j: F.substring(F.get(blocks, j), F.greatest(a - j * BLOCK, F.lit(0)) + 1, F.least(b - j * BLOCK, F.lit(BLOCK)) - F.greatest(a - j * BLOCK, F.lit(0)))
+        whole = F.transform(F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")), within)
+        return F.when(b > a, F.array_join(whole, "")).otherwise("")
+
+    ends = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+    starts = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.length(text)))
+    joined = lambda blocks: F.array_join(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda g: piece(blocks, g["a"], g["b"])), placeholder)
+    return F.get(F.transform(F.array(held), joined), F.lit(0))
+
+
 def redacted(docs: DataFrame, ledger: DataFrame | None = None, placeholder: str = "[secret]") -> DataFrame:
     """docs with each run of found spans in its text replaced; other columns and clean texts stay as they are.
 
     Overlapping and touching spans are one run. Null texts stay null. A column n_chars
     follows the text.
     """
-    dirty = written(found_by_blob(docs, ledger).select(F.col("blob").alias("__blob"), F.col("found").alias("__found")))
-    dirty = small(dirty, BROADCAST_BLOBS)
-    ordered = F.array_sort(F.transform("__found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    state = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when((x["start"] > s["at"]) | ((s["at"] == 0) & (s["out"] == "")), F.concat(s["out"], F.col("text").substr(s["at"] + 1, x["start"] - s["at"]), F.lit(placeholder))).otherwise(s["out"]).alias("out"),
-        ),
-    )
-    text = F.when(F.col("__found").isNotNull(), F.concat(state["out"], F.col("text").substr(state["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    rows = docs.withColumn("__blob", blob_of()).join(dirty, "__blob", "left").withColumn("text", text)
+    dirty = written(_runs(_found(complete(docs, ledger), RULES)).select(F.col("blob").alias("__blob"), F.col("runs").alias("__runs")))
+    text = F.when(F.col("__runs").isNotNull(), without_runs(F.col("text"), F.col("__runs"), placeholder)).otherwise(F.col("text"))
+    rows = docs.withColumn("__blob", blob_of()).join(small(dirty, BROADCAST_BLOBS), "__blob", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col("__runs").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

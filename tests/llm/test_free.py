@@ -197,6 +197,19 @@ def test_quality_measures_equal_brute_force(spark):
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("segment", [5, 64])
+def test_texts_longer_than_a_segment_are_measured_alike(monkeypatch, segment):
+    from attesto.llm import hashing
+
+    texts = [t or "" for _, t in documents() if not t or len(t) < 6000] + ["a b c a b c", "x\nx\n x\n\n\nx", "é" * 200 + "\n" + "é" * 200]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    whole = quality.measured(data, offsets)
+    assert [tuple(r[:5]) for r in whole.tolist()] == [brute_quality(t) for t in texts]
+    monkeypatch.setattr(hashing, "SEGMENT", segment)
+    assert (quality.measured(data, offsets) == whole).all()
+
+
 def test_policies_and_ablation_read_the_ledger(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(documents())] + [(900, prose(5, 80).replace(" ", " #"))], "doc_id long, text string")
     ledger = quality.ledger(df).cache()
@@ -236,6 +249,68 @@ def test_language_id_on_held_out_texts(spark):
     assert sorted(map(repr, swapped)) == sorted(map(repr, out))
 
 
+def _small_net(dtype=np.float64):
+    net = langid.ByteNet(["a", "b", "c"], seed=3)
+    rng = np.random.default_rng(8)
+    net.tables = [rng.standard_normal(t.shape).astype(dtype) for t in net.tables]
+    net.bias, net.dense, net.shift = (rng.standard_normal(p.shape).astype(dtype) for p in (net.bias, net.dense, net.shift))
+    return net, rng.integers(0, 256, (5, langid.WINDOW), dtype=np.uint8), np.array([0, 2, 1, 1, 0])
+
+
+def test_prediction_equals_a_plain_convolution():
+    net, x, _ = _small_net(np.float32)
+    for i, p in enumerate(net.predict(x)):
+        tops = []
+        for w, table in zip(langid.WIDTHS, net.tables):
+            for f in range(langid.FILTERS):
+                tops.append(max(sum(float(table[j, x[i, at + j], f]) for j in range(w)) for at in range(langid.WINDOW - w + 1)))
+        hidden = [max(0.0, t + float(b)) for t, b in zip(tops, net.bias)]
+        out = [sum(h * float(net.dense[k, c]) for k, h in enumerate(hidden)) + float(net.shift[c]) for c in range(3)]
+        e = np.exp(np.array(out) - max(out))
+        assert np.allclose(p, e / e.sum(), atol=1e-3)
+
+
+def test_gradients_equal_finite_differences():
+    net, x, y = _small_net()
+    net.dense, net.shift = net.dense * 0.1, net.shift * 0.1
+    _, grads = net.gradients(x, y)
+    rng = np.random.default_rng(1)
+    for p, g in zip(net._parameters(), grads):
+        flat, slope = p.reshape(-1), np.asarray(g).reshape(-1)
+        for i in {*rng.integers(0, len(flat), 4).tolist(), int(np.abs(slope).argmax())}:
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = net.gradients(x, y)[0]
+            flat[i] = old - 1e-6
+            down = net.gradients(x, y)[0]
+            flat[i] = old
+            assert abs((up - down) / 2e-6 - slope[i]) < 1e-5
+
+
+def test_an_id_that_repeats_is_learned_from_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    seen = []
+    monkeypatch.setattr(langid.ByteNet, "fit", lambda self, windows, labels, seed=12: seen.append((len(windows), sorted(set(labels.tolist())))) or self)
+    rows = [(3, f"text number {i} with letters", "en") for i in range(2000)] + [(i, f"ein text {i}", "de") for i in range(100, 200)]
+    langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen == [(1 + 20, [0, 1])]
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="labels"):
+        langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_stages_take_nothing_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __lang string, __score double, copies int, found string, h long, component_id long"
+    rows = [(i, f"{prose(i, 30)} token=abcdefgh{i}", "en", f"s{i % 3}", 5, "x", 0.5, 7, "f", 9, 1) for i in range(12)] + [(20, None, None, None, None, None, None, None, None, None, None)]
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == df.columns and docs.schema.simpleString() == df.schema.simpleString()
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert bool(out) == bool(df.count())
+
+
 def test_language_id_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.score) for r in langid.language_id(df).collect()} == {("und", 0.0)}
