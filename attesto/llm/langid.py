@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import blocks, utf8
+from ._common import blocks, in_arrow, small, utf8, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Labelled texts of each language, and windows of each text, that training takes at most.
-SAMPLE, SAMPLE_WINDOWS = 400, 4
+#: Labelled texts of each language, and windows of each text, that training takes at most; languages at most, more are an error.
+SAMPLE, SAMPLE_WINDOWS, LANGUAGES = 400, 4, 1000
 EPOCHS, BATCH, RATE = 10, 64, 0.01
 
 _LETTER = np.zeros(256, bool)
@@ -59,7 +59,34 @@ class ByteNet:
         x = np.exp(x - x.max(1, keepdims=True))
         return x / x.sum(1, keepdims=True)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy of labelled windows, and its gradient by each parameter."""
+        n = len(x)
+        peaks, tops = [], []
+        for w, table in zip(WIDTHS, self.tables, strict=True):
+            active = sum(table[j][x[:, j : WINDOW - w + 1 + j]] for j in range(w))
+            peaks.append(active.argmax(1))
+            tops.append(np.take_along_axis(active, peaks[-1][:, None], 1)[:, 0])
+        top = np.concatenate(tops, 1) + self.bias
+        hidden = np.maximum(top, 0)
+        error = self._softmax(hidden @ self.dense + self.shift)
+        loss = float(-np.log(np.maximum(error[np.arange(n), y], 1e-30)).mean())
+        error[np.arange(n), y] -= 1
+        error /= n
+        back = (error @ self.dense.T) * (top > 0)
+        grads = []
+        for k, (w, table) in enumerate(zip(WIDTHS, self.tables, strict=True)):
+            own = back[:, k * FILTERS : (k + 1) * FILTERS]
+            grad = np.zeros_like(table)
+            for j in range(w):
+                seen = np.take_along_axis(x, peaks[k] + j, 1).astype(np.int64)
+                flat = np.bincount((seen * FILTERS + np.arange(FILTERS)).ravel(), own.ravel(), 256 * FILTERS)
+                grad[j] = flat.reshape(256, FILTERS)
+            grads.append(grad)
+        return loss, [*grads, back.sum(0), hidden.T @ error, error.sum(0)]
+
     def fit(self, windows: np.ndarray, labels: np.ndarray, seed: int = 12) -> ByteNet:
+        """Adam over shuffled batches."""
         rng = np.random.default_rng(seed)
         params = self._parameters()
         means, squares = ([np.zeros_like(p) for p in params] for _ in range(2))
@@ -68,29 +95,7 @@ class ByteNet:
             order = rng.permutation(len(windows))
             for start in range(0, len(order), BATCH):
                 part = order[start : start + BATCH]
-                x, y = windows[part], labels[part]
-                n = len(x)
-                peaks, tops = [], []
-                for w, table in zip(WIDTHS, self.tables, strict=True):
-                    active = sum(table[j][x[:, j : WINDOW - w + 1 + j]] for j in range(w))
-                    peaks.append(active.argmax(1))
-                    tops.append(np.take_along_axis(active, peaks[-1][:, None], 1)[:, 0])
-                top = np.concatenate(tops, 1) + self.bias
-                hidden = np.maximum(top, 0)
-                error = self._softmax(hidden @ self.dense + self.shift)
-                error[np.arange(n), y] -= 1
-                error /= n
-                back = (error @ self.dense.T) * (top > 0)
-                grads = []
-                for k, (w, table) in enumerate(zip(WIDTHS, self.tables, strict=True)):
-                    own = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    grad = np.zeros_like(table)
-                    for j in range(w):
-                        seen = np.take_along_axis(x, peaks[k] + j, 1).astype(np.int64)
-                        flat = np.bincount((seen * FILTERS + np.arange(FILTERS)).ravel(), own.ravel(), 256 * FILTERS)
-                        grad[j] = flat.reshape(256, FILTERS)
-                    grads.append(grad)
-                grads += [back.sum(0), hidden.T @ error, error.sum(0)]
+                _, grads = self.gradients(windows[part], labels[part])
                 step += 1
                 for p, g, m, v in zip(params, grads, means, squares, strict=True):
                     m += 0.1 * (g - m)
@@ -123,24 +128,34 @@ class ByteNet:
         return out
 
 
+def _least_hashes(ids: DataFrame, n: int) -> DataFrame:
+    """Each label's rows (label, h) whose hashes may be among its n least: two histograms of 256 buckets a label cut the rest off."""
+    for shift in (56, 48):
+        buckets = ids.withColumn("bucket", F.shiftrightunsigned("h", shift))
+        before = F.sum("count").over(Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        cuts = buckets.groupBy("label", "bucket").count().withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n)
+        cuts = written(cuts.groupBy(F.col("label").alias("l")).agg(F.max("bucket").alias("cut")))
+        ids = buckets.join(small(cuts, LANGUAGES), F.col("label") == F.col("l")).where("bucket <= cut").drop("l", "cut", "bucket")
+    return ids.select("label", "h")
+
+
 def learn(docs: DataFrame, label_col: str = "lang", seed: int = 5) -> ByteNet | None:
-    """A network fitted to at most SAMPLE texts of each label, those with the least hashes.
+    """A network fitted to at most SAMPLE texts of each label, those of the ids with the least hashes.
 
-    None without any labelled text. Counts by label and hash bucket say which buckets hold
-    the least SAMPLE hashes; only the ids in these are ranked. The texts are then fetched
-    through a broadcast of the chosen ids, SAMPLE for each label.
+    None without any labelled text. Rows without an id are not learned from; of rows that
+    share id and label one text is taken, that of the least pieces, so what comes to the
+    driver is bounded by labels, SAMPLE and windows, whatever repeats.
     """
-    docs = docs.select("doc_id", F.col(label_col).alias("label"), "text").where("label is not null and doc_id is not null")
-    ids = docs.select("doc_id", "label", F.xxhash64("doc_id", F.lit(seed)).alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 48))
-    before = F.sum("count").over(Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = ids.groupBy("label", "bucket").count().withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < SAMPLE)
-    cuts = cuts.groupBy(F.col("label").alias("l")).agg(F.max("bucket").alias("cut"))
-    near = ids.join(F.broadcast(cuts), F.col("label") == F.col("l")).where("bucket <= cut")  # a row a label is broadcast
-    order = Window.partitionBy("label").orderBy("h", "doc_id")
-    chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select("doc_id").distinct()
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.encode("text", "utf-8").alias("text")).where("length(text) > 0")
+    docs = docs.select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col(label_col).alias("label"), "text", "doc_id").where("label is not null and doc_id is not null")
+    near = _least_hashes(docs.select("label", "h").distinct(), SAMPLE)
+    order = Window.partitionBy("label").orderBy("h")
+    chosen = written(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select("label", "h"))
+    if chosen.select("label").distinct().count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
+    rows = docs.join(small(chosen, LANGUAGES * SAMPLE), ["label", "h"]).select("label", "h", F.encode("text", "utf-8").alias("text")).where("length(text) > 0")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring("text", (F.floor(F.greatest(F.length("text") - WINDOW, F.lit(0)) * i / (SAMPLE_WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW)))
-    found = sorted({(r.label, r.doc_id, i, bytes(p)) for r in rows.select("doc_id", "label", F.array_distinct(pieces).alias("p")).toLocalIterator() for i, p in enumerate(r.p)})
+    rows = rows.select("label", "h", F.array_distinct(pieces).alias("p")).groupBy("label", "h").agg(F.min("p").alias("p"))
+    found = sorted({(r.label, r.h, i, bytes(p)) for r in rows.toLocalIterator() for i, p in enumerate(r.p)})
     if not found:
         return None
     languages = sorted({x[0] for x in found})
@@ -148,7 +163,7 @@ def learn(docs: DataFrame, label_col: str = "lang", seed: int = 5) -> ByteNet |
     return ByteNet(languages).fit(windows, np.array([languages.index(x[0]) for x in found]))
 
 
-def _predict(net: ByteNet | None, keep_text: bool = False):
+def _predict(net: ByteNet | None, names: tuple[str, str] = ("__lang", "__score"), keep_text: bool = False):
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
@@ -170,7 +185,7 @@ def _predict(net: ByteNet | None, keep_text: bool = False):
                     best = total.argmax(1)
                     label[has] = np.array(net.languages, object)[best[has]]
                     score[has] = total[np.arange(b - a), best][has]
-                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in rest.columns), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], [*rest.schema.names, "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*(x.slice(a, b - a) for x in rest.columns), pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], [*rest.schema.names, *names])
 
     return run
 
@@ -187,15 +202,23 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     text is null, empty or has no letter, or if nothing could be learned. Texts are read
     whole. Repeated rows, null ids and other columns are no matter.
     """
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predict(net), "doc_id long, held_out boolean, __lang string, __score double")
-    return rows.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return in_arrow(rows, _predict(net, ("lang_pred", "score")), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, net: ByteNet | None, least: float = 0.0) -> DataFrame:
-    """docs' rows whose language is recognised, not und, with a score of least or more; a null lang becomes the predicted one."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    rows = docs.mapInArrow(_predict(net, keep_text=True), schema).where((F.col("__lang") != "und") & (F.col("__score") >= least))
-    return rows.select(*(F.coalesce(c, "__lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns))
+    """docs' rows whose language is recognised, not und, with a score of least or more; a null lang becomes the predicted one.
+
+    A lang that is given is never overruled. With least 0 only und goes: null and empty
+    texts, and those without a letter. An empty table stays empty.
+    """
+    lang, score = "__lang", "__score"
+    while lang in docs.columns or score in docs.columns:
+        lang, score = f"_{lang}", f"_{score}"
+    names = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(docs.schema[c] for c in names), docs.schema["text"], T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    rows = in_arrow(docs.select(*names, "text"), _predict(net, (lang, score), keep_text=True), schema).where((F.col(lang) != "und") & (F.col(score) >= least))
+    return rows.select(*(F.coalesce(c, lang).alias(c) if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def language_id(docs: DataFrame, label_col: str = "lang") -> DataFrame:
