@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesto.functions.udf import reachable
-from attesto.llm._common import table, written
+from attesto.llm._common import cleared, table, written
 from attesto.llm.langid import held_out, learn, recognised
-from attesto.llm.mixing import mixed, repeated
+from attesto.llm.mixing import mixed, repeated, weight_table
 from attesto.llm.near_dedup import deduplicated
 from attesto.llm.packing import bins, packed
 from attesto.llm.secrets import redacted
@@ -23,14 +22,12 @@ SHARE, EPOCHS = 0.8, 2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not recognised (null texts and those without a letter) go; a null lang is filled."""
-    reachable(spark)
+    """Documents whose language is not recognised (und: null texts and those without a letter) go; a null lang is filled, a given one kept."""
     return recognised(docs, learn(docs.where(~held_out())))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least id."""
-    reachable(spark)
     return deduplicated(docs, percent=PERCENT)
 
 
@@ -40,13 +37,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the budgets of their domain, language and source: some go, some repeat, one a source is cut."""
-    return repeated(mixed(docs, share=SHARE, max_epochs=EPOCHS), docs.columns)
+    """Documents by the budgets that mixing.WEIGHTS give their domain, language and source: some go, some repeat, one a source is cut."""
+    return repeated(mixed(docs, share=SHARE, max_epochs=EPOCHS, weights=weight_table(spark)), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each bin: shard, bin, capacity, used and what it holds in order, as doc_ids, starts and lengths."""
-    reachable(spark)
     return bins(packed(docs))
 
 
@@ -64,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for _, stage in STAGES[:-1]:
+        with cleared(keep=1):  # what a stage wrote for itself goes when its result is written
+            docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
