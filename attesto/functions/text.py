@@ -1,8 +1,9 @@
 """Text columns: tokens, snippets, marker counts and small coercions, as Catalyst expressions.
 
-analyze() is exact for every Unicode text (NFKC, casefold) and runs as an Arrow-batched
-UDF; tokens() stays in generated code and agrees with it wherever lower case and one
-sharp-s rule say all that casefolding would.
+There is one analyzer, for texts and queries: NFKC, casefold, runs of letters and digits.
+tokens() is that analyzer as a column. Texts of PLAIN characters, for which lower case and
+one rule for the sharp s say all that NFKC and casefold would, stay in generated code; only
+others go to an Arrow-batched UDF, analyze(), which is exact for every Unicode text.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .udf import series_udf
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: ASCII, the letters of Latin-1 and punctuation that parts words in every form: nothing here composes or folds to anything else.
+PLAIN = r"^[\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u00FF\u2010-\u2016\u2018-\u201F\u2020-\u2022\u20AC]*$"
 _TOKEN = re.compile(r"[^\W_]+")
 SNIPPET, MARGIN = 160, 80
 
@@ -31,8 +34,18 @@ def analyze(text: pd.Series) -> pd.Series:
 
 
 def tokens(text) -> Column:
-    text = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
-    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
+    """The analyzed words of a text, in order; none of a null."""
+    text = F.coalesce(text, F.lit(""))
+    plain = text.rlike(PLAIN)
+    native = F.regexp_extract_all(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit(TOKEN), 0)
+    return F.when(plain, native).otherwise(analyze(F.when(~plain, text)))
+
+
+def token_count(text) -> Column:
+    """How many words tokens() finds; nothing is collected for plain texts."""
+    text = F.coalesce(text, F.lit(""))
+    plain = text.rlike(PLAIN)
+    return F.when(plain, F.regexp_count(text, F.lit(TOKEN))).otherwise(F.size(analyze(F.when(~plain, text)))).cast("long")
 
 
 def head_snippet(text) -> Column:
@@ -107,8 +120,15 @@ def flattened(x) -> Column:
 
 #: Words that carry no content.
 STOPWORDS = (
-    "the a an of to in on for and or this that these those will we they it is are was were be been our its their his her at with by as from"
-).split()
+    "the", "a", "an", "of", "to", "in", "on", "for", "and", "or", "this", "that", "these", "those", "will", "we", "they", "it", "is", "are", "was", "were", "be", "been", "our", "its", "their",
+    "his", "her", "at", "by", "with", "as", "from",
+)
+#: Words of a question that name nothing.
+QUESTION_STOPWORDS = (
+    "about", "after", "again", "against", "because", "been", "before", "being", "between", "could", "does", "doing", "during", "each", "from", "have", "having", "here", "into", "just", "more", "most",
+    "only", "other", "over", "same", "should", "some", "such", "tell", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "told", "under", "until", "very", "were", "what",
+    "when", "where", "which", "while", "will", "with", "would", "your",
+)
 WINDOW = 4
 
 
@@ -123,11 +143,14 @@ def k_grams(items, k: int = WINDOW) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.slice(items, i, F.lit(k)))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def stop_terms(question, stopwords=STOPWORDS) -> Column:
-    """Distinct words of four or more characters, the longest first, in order of appearance."""
-    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(question), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: (F.length(w) >= 4) & ~w.isin(list(stopwords))))
-    keyed = F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
-    return F.transform(F.array_sort(keyed), lambda x: x["w"])
+def question_terms(question, limit: int = 3) -> Column:
+    """The longest words of four or more letters that name something, as written at their first place, the first of equal length first."""
+    words = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(r"[A-Za-z][A-Za-z'-]+"), 0)
+    keyed = F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"), F.lower(w).alias("k")))
+    kept = F.filter(keyed, lambda x: (F.length(x["k"]) >= 4) & ~x["k"].isin(list(QUESTION_STOPWORDS)))
+    keys = F.transform(kept, lambda x: x["k"])
+    first = F.filter(kept, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+    return F.slice(F.transform(F.array_sort(first), lambda x: x["w"]), 1, limit)
 
 
 def valid_markers(answer, n) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import event_items, quantities, shell_names
 from ..functions.text import content_tokens, count_phrases, given, head_snippet, k_grams
+from .tables import small
 
 #: Phrases of an evasive answer.
 DODGE_MARKERS = (
@@ -32,6 +33,8 @@ EVENT_ITEMS = {
     "9.01": "Financial Statements and Exhibits",
 }
 QUIET_DAYS, TRAIL, SAMPLES = 90, 5, 3
+#: Terms that are broadcast to the words of texts; more are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 
 
 def first_samples(rows: DataFrame, key: list[str], order: list, fields: list[str], n: int = SAMPLES, name: str = "samples") -> DataFrame:
@@ -152,13 +155,16 @@ def bounded(term):
 def term_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, term) where a text holds a term as whole words; terms is one column, term, of fixed names.
 
-    Terms are found through a word of theirs: an equi-join on the first word, then the
-    pattern; no pair of a text and a term that share no word is made.
+    Terms are found through a word of theirs: an equi-join of ids and words with the terms'
+    first words, so no pair of a text and a term that share no word is made. Only ids and
+    words are joined; the texts of ids that are left meet their terms once.
     """
     word = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), 0)
     keyed = terms.select("term", F.get(word(F.col("term")), F.lit(0)).alias("word")).where("word is not null").distinct()
-    texts = docs.select("id", "text", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
-    return texts.join(keyed, "word").where(F.call_function("rlike", F.col("text"), bounded(F.col("term")))).select("id", "term").distinct()
+    words = docs.select("id", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
+    near = words.join(small(keyed, BROADCAST_TERMS), "word").groupBy("id").agg(F.collect_set("term").alias("terms"))
+    held = docs.select("id", "text").join(near, "id").select("id", "text", F.explode("terms").alias("term"))
+    return held.where(F.call_function("rlike", F.col("text"), bounded(F.col("term")))).select("id", "term").distinct()
 
 
 def link_evidence(candidates: DataFrame, docs: DataFrame, company_terms: DataFrame) -> DataFrame:
@@ -216,7 +222,8 @@ def mention_returns(docs: DataFrame, prices: DataFrame, since: str) -> DataFrame
     points = prices.select("ticker", "date", F.lit(None).cast("string").alias("doc_id"), "close")
     stream = points.unionByName(hits.withColumn("close", F.lit(None).cast("double")))
     back = Window.partitionBy("ticker").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy("ticker").orderBy("date").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the last day backwards, so that this frame too only ever grows; to the end of the partition it would be summed anew for each row.
+    ahead = Window.partitionBy("ticker").orderBy(F.desc("date")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("ticker")
     stream = stream.select(
         "ticker", "date", "doc_id", F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).over(back).alias("entry"), F.max("close").over(ahead).alias("peak"),
@@ -303,7 +310,7 @@ def outcomes(promises: DataFrame, docs: DataFrame, entity_terms: DataFrame | Non
     pairs = meet.join(p.drop("jurisdiction"), "promise_id").join(d, "doc_id")
     same = F.get(F.filter("found", lambda q: F.array_contains("promised", F.struct(q["kind"].alias("kind"), q["value"].alias("value")))), F.lit(0))
     by_term = F.get(F.filter("terms", lambda t: (t != "") & F.call_function("rlike", F.col("text"), bounded(t))), F.lit(0))
-    filler = r"(?:\W+\w{1,3})*\W+"
+    filler = r"\W+(?:\w{1,3}\W+)*"  # words of up to three letters may stand between
     pattern = lambda g: F.concat(F.lit("(?iU)"), F.array_join(F.transform(g, lambda t: F.replace(t, F.lit("$"), F.lit(r"\$"))), filler))
     possible = F.filter("grams", lambda g: F.size(F.array_except(g, F.col("held"))) == 0)
     phrase = F.get(F.filter(F.transform(possible, lambda g: F.call_function("regexp_extract", F.col("text"), pattern(g), F.lit(0))), lambda s: s != ""), F.lit(0))
@@ -319,6 +326,30 @@ def outcomes(promises: DataFrame, docs: DataFrame, entity_terms: DataFrame | Non
     return rows.select("promise_id", "status", F.coalesce("trail", F.array().cast(trail.schema["trail"].dataType)).alias("trail"))
 
 
+def with_outcomes(promises: DataFrame, found: DataFrame) -> DataFrame:
+    """promises with status and trail of their outcomes; null where there is none."""
+    return promises.join(found.select("promise_id", "status", "trail"), "promise_id", "left")
+
+
+def later_documents(promises: DataFrame, docs: DataFrame, n: int = TRAIL) -> DataFrame:
+    """promise_id, doc_id, place: the first n documents of the promise's jurisdiction after its day, by day and id.
+
+    No promise meets all its documents: a day's first n documents and the days that follow
+    a day are found once each, so a promise joins the few days that its n documents can be of.
+    """
+    d = docs.where(given(F.col("jurisdiction")).isNotNull() & given(F.col("date")).isNotNull())
+    first = F.row_number().over(Window.partitionBy("jurisdiction", "date").orderBy("id"))
+    d = d.select("jurisdiction", "date", F.col("id").alias("doc_id"), first.alias("__n")).where(F.col("__n") <= n)
+    days = d.select("jurisdiction", "date").unionByName(promises.where("date is not null").select("jurisdiction", "date")).distinct()
+    held = days.join(d.groupBy("jurisdiction", "date").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")), ["jurisdiction", "date"], "left")
+    # Every day that has documents brings at least one, so the n first after a day are of the next n such days.
+    held = held.withColumn("__day", F.count(F.col("ids")).over(Window.partitionBy("jurisdiction").orderBy("date")))
+    ends = promises.join(held.select("jurisdiction", "date", "__day"), ["jurisdiction", "date"]).select("promise_id", "jurisdiction", F.explode(F.sequence(F.col("__day") + 1, F.col("__day") + n)).alias("__day"))
+    rows = ends.join(held.where("ids is not null"), ["jurisdiction", "__day"]).select("promise_id", "date", F.explode("ids").alias("doc_id"))
+    place = F.row_number().over(Window.partitionBy("promise_id").orderBy("date", "doc_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= n).select("promise_id", "doc_id", "place")
+
+
 def outcome_summary(promises: DataFrame, found: DataFrame) -> DataFrame:
     """Counts of each status, by jurisdiction and (jurisdiction null, everyone true) in all."""
     rows = promises.join(found.select("promise_id", "status"), "promise_id", "left")

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import RRF_K, reciprocal
 from ..functions.text import head_snippet
 from .ranking import global_rank
-
-DEPTH = 2000
+from .tables import written
 
 
 def rrf_fuse(rankings: list[DataFrame], k: int = RRF_K, digits: int | None = None) -> DataFrame:
@@ -23,11 +22,18 @@ def rrf_fuse(rankings: list[DataFrame], k: int = RRF_K, digits: int | None = Non
     return union.groupBy("id").agg((F.round(score, digits) if digits else score).alias("score"))
 
 
-def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, depth: int | None = DEPTH, digits: int | None = None) -> DataFrame:
+#: Results up to which a hybrid search counts ranks instead of sorting all hits.
+COUNTED = 500
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, depth: int | None = None, digits: int | None = None) -> DataFrame:
     """The k best of two scored rankings (id, score), fused; rank from 1, ties by id.
 
     depth bounds both arms before the fusion, which is an approximation; None is exact.
     """
+    k = max(0, k)
+    if depth is None and 0 < k <= COUNTED:
+        return _counted(lexical, semantic, k, digits)
     arms = []
     for arm in (lexical, semantic):
         order = [F.desc("score"), F.col("id")]
@@ -36,12 +42,56 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, depth: int | None =
         else:  # the limit bounds what the window sorts
             best = arm.orderBy(*order).limit(max(k, depth))
             arms.append(best.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank")))
-    fused = rrf_fuse(arms, digits=digits).orderBy(F.desc("score"), "id").limit(max(0, k))
+    fused = rrf_fuse(arms, digits=digits).orderBy(F.desc("score"), "id").limit(k)
     return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def hybrid_rows(fused: DataFrame, docs: DataFrame) -> DataFrame:
-    return fused.join(docs, "id").select("id", "score", "rank", head_snippet(F.col("text")).alias("snippet"))
+def fused_scores(lexical: DataFrame, semantic: DataFrame, digits: int | None = None) -> DataFrame:
+    """id, score of every hit of two scored rankings, fused by their ranks over all hits."""
+    order = [F.desc("score"), F.col("id")]
+    return rrf_fuse([global_rank(arm.select("id", "score"), order).select("id", "rank") for arm in (lexical, semantic)], digits=digits)
+
+
+def _counted(lexical: DataFrame, semantic: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """hybrid() in full, without sorting all hits.
+
+    The k first of an arm have 1 / (RRF_K + k) each at least, so whoever is not among the
+    first 2 * (RRF_K + k) of either arm, with 2 / (RRF_K + that) at most, is not among the
+    k best. The candidates, twice as many at most, are collected; where one is deep in the
+    other arm, its rank is the count of hits above it, and one pass over the arm counts all.
+    """
+    spark = lexical.sparkSession
+    reach = 2 * (RRF_K + k)
+    arms = [written(arm.select("id", "score")) for arm in (lexical, semantic)]
+    ranks: list[dict[str, int]] = []
+    for arm in arms:
+        best = arm.orderBy(F.desc("score"), "id").limit(reach).collect()
+        ranks.append({r.id: i + 1 for i, r in enumerate(best)})
+    for own, other, arm in ((ranks[0], ranks[1], arms[0]), (ranks[1], ranks[0], arms[1])):
+        deep = arm.where(F.col("id").isin([x for x in other if x not in own])).collect() if len(own) >= reach and len(other) else []
+        deep.sort(key=lambda r: (-r.score, r.id))
+        if deep:
+            above = F.lit(len(deep))
+            for i, r in reversed(list(enumerate(deep))):  # the first candidate that a hit is above of
+                above = F.when((F.col("score") > F.lit(r.score)) | ((F.col("score") == F.lit(r.score)) & (F.col("id") < F.lit(r.id))), i).otherwise(above)
+            counts = {r.above: r.n for r in arm.groupBy(above.alias("above")).agg(F.count("*").alias("n")).collect()}
+            total = 0
+            for i, r in enumerate(deep):
+                total += counts.get(i, 0)
+                own[r.id] = total + 1
+    fused = {i: sum(1.0 / (RRF_K + r[i]) for r in ranks if i in r) for i in {*ranks[0], *ranks[1]}}
+    fused = spark.createDataFrame(list(fused.items()), "id string, score double")
+    fused = fused.withColumn("score", F.round("score", digits)) if digits else fused
+    best = fused.orderBy(F.desc("score"), "id").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
+def hybrid_rows(fused: DataFrame, docs: DataFrame, lexical: DataFrame | None = None) -> DataFrame:
+    """fused with each document's snippet, that of its lexical hit (id, snippet) if it has one, else its head."""
+    rows = fused.join(docs.select("id", head_snippet(F.col("text")).alias("__head")), "id")
+    if lexical is not None:
+        rows = rows.join(lexical.select("id", F.col("snippet").alias("__hit")), "id", "left")
+    return rows.select("id", "score", "rank", F.coalesce("__hit", "__head").alias("snippet") if lexical is not None else F.col("__head").alias("snippet"))
 
 
 def require_identity_chunks(chunks: DataFrame) -> DataFrame:

@@ -7,25 +7,42 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_count, tokens
+
+#: Postings of a file of a saved index, about.
+FILE_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """docs(id, ...), postings(term, id, tf, length, positions), term_stats(term, df), doc_stats(id, length), corpus_stats(n, average)."""
+    """docs(id, ...), postings(term, id, tf, length, positions), term_stats(term, df), doc_stats(id, length), corpus_stats(n, average).
+
+    Saved postings lie in buckets by a hash of the term: bucketed are they with that column.
+    """
 
     docs: DataFrame
     postings: DataFrame
     term_stats: DataFrame
     doc_stats: DataFrame
     corpus_stats: DataFrame
+    buckets: int | None = None
+    bucketed: DataFrame | None = None
+
+    def of_terms(self, words) -> DataFrame:
+        """Postings of these terms. The condition goes into the files' scan, or below the aggregation that builds them, where a join would not."""
+        words = sorted(set(words))
+        rows = self.postings
+        if self.buckets and words:
+            wanted = [F.pmod(F.hash(F.lit(w)), F.lit(self.buckets)) for w in words]  # folds to numbers: other folders are not read
+            rows = self.bucketed.where(F.col("bucket").isin(wanted)).drop("bucket")
+        return of_terms(rows, words)
 
     def df(self, term: str) -> DataFrame:
         """One row with the number of documents that hold term, 0 if none."""
         return self.term_stats.where(F.col("term") == term).agg(F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("df"))
 
     def posting(self, term: str) -> DataFrame:
-        return self.postings.where(F.col("term") == term).orderBy("id")
+        return self.of_terms([term]).orderBy("id")
 
     def doc(self, doc_id: str) -> DataFrame:
         """The document's row; an error if there is none."""
@@ -41,20 +58,38 @@ class Index:
         unknown = ids.join(self.docs, "id", "left_anti").limit(1).collect()
         if unknown:
             raise KeyError(unknown[0].id)
-        out = [x.join(ids, "id", "left_anti") for x in (self.docs, self.postings, self.doc_stats)]
-        return Index(out[0], out[1], term_stats(out[1]), out[2], corpus_stats(out[2]))
-
-    def save(self, path: str, buckets: int = 32) -> None:
-        """Parquet tables; postings are laid out by term, so that a term reads few files."""
-        for name in ("docs", "term_stats", "doc_stats", "corpus_stats"):
+        docs, postings, lengths = (x.join(ids, "id", "left_anti") for x in (self.docs, self.postings, self.doc_stats))
+        bucketed = self.bucketed.join(ids, "id", "left_anti") if self.bucketed is not None else None
+        return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths), self.buckets, bucketed)
+
+    def save(self, path: str) -> None:
+        """Parquet tables, built once each: what follows from a table is read from what was written of it.
+
+        Postings lie in buckets by term, so that a term reads one folder, and in slots by
+        id within, so that a term of all documents is many files; both numbers follow from
+        the corpus' size.
+        """
+        spark = self.docs.sparkSession
+        written = lambda name: spark.read.parquet(f"{path}/{name}")
+        for name in ("docs", "doc_stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        postings = self.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
-        postings.repartition(buckets, "bucket").sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        sizes = written("doc_stats").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        slots = max(1, -(-sizes[0] // FILE_ROWS))
+        buckets = max(8, -(-sizes[1] // (FILE_ROWS * slots)))
+        rows = self.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)))
+        rows.repartition(int(buckets * slots), "bucket", "slot").sortWithinPartitions("term", "id").drop("slot").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        term_stats(written("postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
+        corpus_stats(written("doc_stats")).withColumn("buckets", F.lit(int(buckets))).write.mode("overwrite").parquet(f"{path}/corpus_stats")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Index(read("docs"), read("postings").drop("bucket"), read("term_stats"), read("doc_stats"), read("corpus_stats"))
+        stats, postings = read("corpus_stats"), read("postings")
+        return Index(read("docs"), postings.drop("bucket"), read("term_stats"), read("doc_stats"), stats.drop("buckets"), stats.first().buckets, postings)
+
+
+def of_terms(rows: DataFrame, words) -> DataFrame:
+    return rows.where(F.col("term").isin(sorted(set(words)))) if words else rows.limit(0)
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -66,15 +101,18 @@ def corpus_stats(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"))
 
 
-def build(docs: DataFrame, analyzer=tokens) -> Index:
+def build(docs: DataFrame, analyzer=tokens, counter=None) -> Index:
     """docs has id and text. Positions start at 0 and are in order; ids must be unique.
 
     One explode and one shuffle on (term, id). A posting carries its document's length, so
-    that scoring joins no table of all documents.
+    that scoring joins no table of all documents. counter gives the number of tokens where
+    that is cheaper than to take them. The tables are plans; save() computes each once, and
+    searches of more than one query are meant to run on a saved index.
     """
+    counter = counter or (token_count if analyzer is tokens else lambda text: F.size(analyzer(text)).cast("long"))
     terms = docs.select("id", analyzer(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("length"), F.posexplode("t").alias("pos", "term"))
     postings = terms.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    lengths = docs.select("id", F.size(analyzer(F.col("text"))).cast("long").alias("length"))
+    lengths = docs.select("id", counter(F.col("text")).alias("length"))
     return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, given
+from .tables import small
 
 ACCESSION = r"^\d{10}-\d{2}-\d{6}$"
 FORMS = ("8-K", "10-K", "10-Q")
@@ -13,15 +14,10 @@ FORMS = ("8-K", "10-K", "10-Q")
 BROADCAST_ROWS = 100_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else as it is for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def join_jurisdictions(rows: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses): rows with the jurisdiction of exactly "county, state" in mapping (place, jurisdiction), and the others."""
     key = F.concat(F.coalesce("county", F.lit("")), F.lit(", "), F.coalesce("state", F.lit("")))
-    dim = small(mapping.select(F.col("place").alias("__place"), F.col("jurisdiction").alias("__jurisdiction")))
+    dim = small(mapping.select(F.col("place").alias("__place"), F.col("jurisdiction").alias("__jurisdiction")), BROADCAST_ROWS)
     joined = rows.withColumn("__key", key).join(dim, F.col("__key") == F.col("__place"), "left")
     own = [c for c in rows.columns if c != "jurisdiction"]
     hits = joined.where("__jurisdiction is not null").select(*own, F.col("__jurisdiction").alias("jurisdiction"))
@@ -83,7 +79,7 @@ def newest_alive(docs: DataFrame, alive: DataFrame, order: str = "ord") -> DataF
 def cik_for_ticker(tickers: DataFrame, mapping: DataFrame, order: str = "ord") -> DataFrame:
     """ticker, cik of ten digits by mapping (ticker, cik_str), whatever the case, with - for a dot."""
     known = first_by(mapping.select(F.upper("ticker").alias("__t"), F.lpad(F.col("cik_str").cast("string"), 10, "0").alias("cik"), order), ["__t"], [order]).drop(order)
-    return tickers.join(small(known), F.replace(F.upper("ticker"), F.lit("."), F.lit("-")) == F.col("__t"), "left").drop("__t")
+    return tickers.join(small(known, BROADCAST_ROWS), F.replace(F.upper("ticker"), F.lit("."), F.lit("-")) == F.col("__t"), "left").drop("__t")
 
 
 def county_queries(mapping: DataFrame) -> DataFrame:

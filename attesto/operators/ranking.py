@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 #: Bits of monotonically_increasing_id that count within a partition.
 _LOCAL = 33
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once into the cluster's checkpoint folder; one is made only where the cluster names none."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesto-"))
-    return df.checkpoint()
-
-
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with the place, from 1, of each row in an order that has no ties.
 
@@ -27,9 +19,9 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     A window without a partition would sort all rows in one task.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = kept(dealt.withColumn("__at", F.monotonically_increasing_id()))
+    placed = written(dealt.withColumn("__at", F.monotonically_increasing_id()))
     placed = placed.withColumn("__range", F.shiftright("__at", _LOCAL)).withColumn("__local", F.col("__at").bitwiseAND(F.lit(2**_LOCAL - 1)))
     sizes = placed.groupBy("__range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__range", before.alias("__before"))
+    starts = sizes.select("__range", before.alias("__before"))  # a row a partition
     return placed.join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + F.col("__local") + 1).drop("__at", "__range", "__local", "__before")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import B, K1, bm25
 from ..functions.text import analyze_text, given, head_snippet, tokens
-from .index import Index
+from .fusion import fused_scores, hybrid, project_to_docs
+from .index import Index, of_terms
+from .tables import written
+from .vectors import cosine
 
 
 def _terms(df: DataFrame, query: str, schema: str, rows) -> DataFrame:
@@ -17,17 +20,12 @@ def _terms(df: DataFrame, query: str, schema: str, rows) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows(analyze_text(query)), schema))
 
 
-def of_terms(rows: DataFrame, words) -> DataFrame:
-    """Rows of these terms. The condition goes into the files' scan, or below the index' own aggregation, where a join would not."""
-    return rows.where(F.col("term").isin(sorted(set(words)))) if words else rows.limit(0)
-
-
 def boolean_search(index: Index, query: str, op: str = "OR") -> DataFrame:
     """id of the documents that hold every term (AND) or any (OR), in order of id; no terms, no documents."""
     if op not in ("AND", "OR"):
         raise ValueError(f"unknown operator {op!r}")
     words = sorted(set(analyze_text(query)))
-    hits = of_terms(index.postings, words)
+    hits = index.of_terms(words)
     found = hits.groupBy("id").agg(F.count("*").alias("n"))  # a row for each term and document
     need = len(words) if op == "AND" else 1
     return found.where(F.col("n") >= need).select("id").orderBy("id")
@@ -51,7 +49,7 @@ def phrase_search(index: Index, phrase: str) -> DataFrame:
     """
     words = analyze_text(phrase)
     places = _terms(index.postings, phrase, "term string, place int", lambda ws: [(w, i) for i, w in enumerate(ws)])
-    starts = of_terms(index.postings, words).join(places, "term").select("id", "place", F.explode("positions").alias("pos")).select("id", (F.col("pos") - F.col("place")).alias("start"))
+    starts = index.of_terms(words).join(places, "term").select("id", "place", F.explode("positions").alias("pos")).select("id", (F.col("pos") - F.col("place")).alias("start"))
     full = starts.groupBy("id", "start").count().where(F.col("count") == len(words))
     return full.select("id").distinct().orderBy("id")
 
@@ -70,7 +68,7 @@ def scores(index: Index, query: str, k1: float = K1, b: float = B, weight=None)
     asked = _terms(index.postings, query, "term string, times int", lambda ws: sorted(Counter(ws).items()))
     extra = {"weight": weight} if weight else {}
     words = analyze_text(query)
-    hits = of_terms(index.postings, words).join(asked, "term").select("term", "id", "tf", "length", "times")
+    hits = index.of_terms(words).join(asked, "term").select("term", "id", "tf", "length", "times")
     # One row of corpus statistics, and one row a query term: both bounded, both broadcast.
     stats = F.broadcast(of_terms(index.term_stats, words).crossJoin(index.corpus_stats))
     hits = hits.join(stats, "term")
@@ -79,16 +77,17 @@ def scores(index: Index, query: str, k1: float = K1, b: float = B, weight=None)
 
 
 def scan_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, weight=None, keep: list[str] | None = None) -> DataFrame:
-    """scores() without an index: term counts are taken from each text; nothing is exploded.
+    """scores() without an index: term counts are taken from each text, once; nothing is exploded.
 
-    The corpus statistics are one row from a first pass and cross to every document of the second.
+    What the one pass finds of a document, a few numbers, is written; the corpus statistics
+    are one row of it and cross to every document.
     """
     asked = sorted(Counter(analyze_text(query)).items())
     extra = {"weight": weight} if weight else {}
     times_in = lambda t, word: F.size(F.filter(t, lambda x: x == word))
     # A lambda's variable is evaluated once; a column of tokens would be taken from the text again for each count.
     all_counts = lambda t: F.struct(F.size(t).cast("long").alias("length"), *(times_in(t, w).alias(f"tf{i}") for i, (w, _) in enumerate(asked)))
-    counted = docs.select("id", *(keep or []), F.inline(F.transform(F.array(tokens(F.col("text"))), all_counts)))
+    counted = written(docs.select("id", *(keep or []), F.inline(F.transform(F.array(tokens(F.col("text"))), all_counts))))
     stats = counted.agg(
         F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"),
         *(F.coalesce(F.sum((F.col(f"tf{i}") > 0).cast("long")), F.lit(0)).alias(f"df{i}") for i in range(len(asked))),
@@ -149,3 +148,41 @@ def search(index: Index, query: str, k: int = 10, op: str = "OR", sort: str = "r
         best = found.join(docs.select("id", "date"), "id").orderBy(*order).limit(max(0, k)).select("id", "score")
     rows = best.join(docs, "id").select("id", "score", head_snippet(F.col("text")).alias("snippet"), *(c for c in FIELDS if c in docs.columns))
     return rows.orderBy(*order)
+
+
+MODES, SORTS = ("lexical", "semantic", "hybrid"), ("score", "date_desc")
+
+
+def find(index: Index, query: str, mode: str = "lexical", k: int = 20, op: str = "OR", sort: str = "score", store: DataFrame | None = None, chunks: DataFrame | None = None, vector=None, **filters) -> DataFrame:
+    """Result rows of a search in any mode: id, score, snippet and the document's fields.
+
+    store (chunk_id, vec) and chunks (chunk_id, doc_ids) are the vectors' side, vector the
+    query's embedding. A document's score in it is that of its best chunk that begins with
+    it. op narrows lexical searches only, but must be one of the two in all. Every filter,
+    dates too, comes before the cut, so the depth of a ranking is the whole corpus as soon
+    as anything is asked of documents; without, it is the first k.
+    """
+    if mode not in MODES or op not in ("AND", "OR") or sort not in SORTS or k < 1:
+        raise ValueError(f"unknown mode {mode!r}, operator {op!r}, sort {sort!r} or k {k}")
+    if mode == "lexical":
+        return search(index, query, k, op, "relevance" if sort == "score" else sort, **filters)
+    if store is None or chunks is None or vector is None:
+        raise ValueError(f"{mode} search needs store, chunks and vector")
+    asked = {name: x for name, x in filters.items() if x is not None}
+    docs = filtered(index.docs, **asked)
+    whole = bool(asked) or sort != "score"
+    hits = store.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", cosine(F.col("vec"), F.array(*(F.lit(float(x)) for x in vector))).alias("score"))
+    semantic = project_to_docs(hits, chunks, index.docs).groupBy("id").agg(F.max("score").alias("score"))
+    if mode == "semantic":
+        ranked = semantic
+    elif whole:
+        ranked = fused_scores(scores(index, query), semantic)
+    else:
+        ranked = hybrid(scores(index, query), semantic, k).select("id", "score")
+    order = [F.desc("score"), F.col("id")]
+    if sort != "score":
+        order = [F.desc(F.coalesce("date", F.lit(""))), *order]
+    kept = ranked.join(docs.select("id", "date"), "id") if whole else ranked
+    best = kept.orderBy(*order).limit(k).select("id", "score")
+    rows = best.join(index.docs, "id").select("id", "score", head_snippet(F.col("text")).alias("snippet"), *(c for c in FIELDS if c in index.docs.columns))
+    return rows.orderBy(*order)

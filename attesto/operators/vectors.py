@@ -57,7 +57,7 @@ def semantic_search(store: DataFrame, chunks: DataFrame, query: list[float], k:
 
 def check_store(store: DataFrame, model: str, dim: int) -> None:
     """Errors for repeated ids, vectors of another width, foreign model or dimension, components that are not finite."""
-    bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v))
+    bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     row = store.agg(
         F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"), F.count_if(F.size("vec") != dim).alias("width"),
         F.count_if((F.col("model") != model) | (F.col("dim") != dim)).alias("foreign"), F.count_if(bad).alias("bad"),
@@ -94,5 +94,43 @@ def embed_corpus(pairs: DataFrame, provider: Callable[[list[str]], list[list[flo
     )
 
 
+HALF_MAX = 65504.0
+
+
+def half(x):
+    """A vector rounded to half precision, as a store of two bytes a component would hold it; still floats."""
+    mantissa = lambda v: F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-14.0)) - 10)
+    one = lambda v: F.when(v == 0, v).otherwise(F.bround(v.cast("double") / mantissa(v), 0) * mantissa(v))
+    return F.transform(x, lambda v: F.when(F.abs(v) > HALF_MAX, F.raise_error(F.lit("component beyond half precision"))).otherwise(one(v)).cast("float"))
+
+
+def embed_in_steps(pairs: DataFrame, provider: Callable[[list[str]], list[list[float]]], model: str, dim: int, path: str, every: int = 50_000, batch: int = 512) -> DataFrame:
+    """embed_corpus() by steps of about every pairs, each appended to a store below path when it is done.
+
+    A run that was stopped goes on with what the store lacks; steps are dealt by a hash of
+    the id, so what a step holds does not depend on what is there. Equal texts of different
+    steps share the vector of the first.
+    """
+    from .tables import exists
+
+    spark = pairs.sparkSession
+    steps = max(1, -(-pairs.count() // every))
+    for step in range(steps):
+        due = pairs.where(F.pmod(F.xxhash64("chunk_id"), F.lit(steps)) == step)
+        held = spark.read.parquet(path) if exists(spark, path) else None
+        rows = due if held is None else due.join(held.select("chunk_id"), "chunk_id", "left_anti")
+        if not rows.limit(1).count():
+            continue
+        if held is not None:
+            known = held.select("content_hash", F.col("vec").alias("__vec")).dropDuplicates(["content_hash"])
+            hashed = rows.withColumn("content_hash", content_hash(F.lit(model), F.lit(dim), F.col("text"))).join(known, "content_hash", "left")
+            shared = hashed.where("__vec is not null").select("chunk_id", "content_hash", F.col("__vec").alias("vec"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), (F.length("text") > INPUT_CHARS).alias("truncated"))
+            made = embed_corpus(hashed.where("__vec is null").select("chunk_id", "text"), provider, model, dim, batch=batch).unionByName(shared)
+        else:
+            made = embed_corpus(rows, provider, model, dim, batch=batch)
+        made.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def rows_for(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids.select("chunk_id"), "chunk_id", "left_semi")
