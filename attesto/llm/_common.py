@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.udf import reachable
+from ..operators.tables import cleared, shared_dir, small, written
+
+__all__ = ["WORD", "blocks", "chars", "cleared", "in_arrow", "partitions", "shared_dir", "small", "table", "utf8", "written"]
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
-_open: list[list[tuple[SparkSession, str]]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,65 +28,6 @@ def in_arrow(df: DataFrame, f: Callable, ddl) -> DataFrame:
     return df.mapInArrow(f, ddl)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application inside the cluster's shared checkpoint folder.
-
-    The folder is spark.checkpoint.dir of the session. Where that is unset, a temporary
-    folder is taken if all runs on this machine, as in tests; on a cluster it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="attesto-")
-    path = f"{root}/attesto-{spark.sparkContext.applicationId}"
-    if not any(p == path for _, p in _made):
-        _made.append((spark, path))
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended before
-            pass
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared folder; cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for paths in _open:
-        paths.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def cleared(keep: int = 0) -> Iterator[None]:
-    """Deletes the tables written within, but for the last keep ones; whoever reads them must be done by then."""
-    paths: list[tuple[SparkSession, str]] = []
-    _open.append(paths)
-    try:
-        yield
-    finally:
-        _open.pop()
-        for spark, path in paths[: len(paths) - keep]:
-            _delete(spark, path)
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df to be broadcast if a count finds at most so many rows, else as it is for a shuffled join. df is a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
