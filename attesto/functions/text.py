@@ -134,7 +134,7 @@ WINDOW = 4
 
 def content_tokens(text) -> Column:
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[A-Za-z0-9$']+"), 0)
-    return F.filter(found, lambda t: ~t.isin(STOPWORDS))
+    return F.filter(found, lambda t: ~t.isin(list(STOPWORDS)))
 
 
 def k_grams(items, k: int = WINDOW) -> Column:

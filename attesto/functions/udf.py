@@ -8,11 +8,14 @@ import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:  # workers that need no pandas don't load it
+    import pandas as pd
+
 _shipped: set[str] = set()
 
 

@@ -48,6 +48,16 @@ def chunk_corpus(docs: DataFrame, window: int = 1, overlap: int = 0) -> DataFram
     return rest.unionByName(made.select(name.alias("chunk_id"), F.col("p.id").alias("doc_ids"), text.alias("text"), *(F.col("p")[0][c].alias(c) for c in fields)))
 
 
+def islands(rows: DataFrame, group: list[str], order: str, key: str, text: str) -> DataFrame:
+    """group, island (from 1), key and the joined texts of each run of neighbours that share a key, null being a key like others."""
+    at = Window.partitionBy(*group).orderBy(order)
+    changed = ~F.col(key).eqNullSafe(F.lag(key).over(at)) | (F.row_number().over(at) == 1)
+    marked = rows.withColumn("island", F.sum(changed.cast("int")).over(at))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text"))))
+    runs = marked.groupBy(*group, "island", key).agg(parts.alias("p"))
+    return runs.select(*group, "island", key, F.array_join(F.transform("p", lambda x: x["text"]), " ").alias(text))
+
+
 def caption_windows(cues: DataFrame, seconds: int = CAPTION_SECONDS) -> DataFrame:
     """cues (video, ord, start, text) as one text for each window of time in which they start."""
     at = F.floor(F.col("start") / seconds).cast("int")

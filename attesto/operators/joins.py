@@ -82,6 +82,11 @@ def cik_for_ticker(tickers: DataFrame, mapping: DataFrame, order: str = "ord") -
     return tickers.join(small(known, BROADCAST_ROWS), F.replace(F.upper("ticker"), F.lit("."), F.lit("-")) == F.col("__t"), "left").drop("__t")
 
 
+def raw_document_name(primary):
+    """The file itself of a document that may be named by a rendered copy in a folder."""
+    return F.substring_index(primary, "/", -1)
+
+
 def county_queries(mapping: DataFrame) -> DataFrame:
     """county, state of the places that end in a state of two letters."""
     m = F.regexp_extract("place", r"^(.+), ([^,]{2})$", 1), F.regexp_extract("place", r"^(.+), ([^,]{2})$", 2)

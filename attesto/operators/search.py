@@ -99,6 +99,18 @@ def scan_scores(docs: DataFrame, query: str, k1: float = K1, b: float = B, weigh
     return counted.where(some).crossJoin(F.broadcast(stats)).select("id", *(keep or []), total.alias("score"))
 
 
+def combined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Ids of both sets (and), of either (or), or of the first only (not); each once."""
+    a, b = a.select("id"), b.select("id")
+    if how == "and":
+        return a.intersect(b)
+    if how == "or":
+        return a.union(b).distinct()
+    if how == "not":
+        return a.distinct().join(b, "id", "left_anti")
+    raise ValueError(f"unknown operation {how!r}")
+
+
 def top(scored: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The k best by score, ties by id as text; rank from 1. k of 0 or less gives none."""
     score = F.round("score", digits) if digits else F.col("score")

@@ -34,9 +34,9 @@ def _top(rows: DataFrame, k: int, order: str, digits: int | None = None) -> Data
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), order)))
 
 
-def covered_top_k(store: DataFrame, chunks: DataFrame, query: list[float], k: int) -> DataFrame:
+def covered_top_k(store: DataFrame, chunks: DataFrame, query: list[float], k: int, digits: int | None = None) -> DataFrame:
     """cosine_top_k among vectors that have a chunk: the semi-join comes before the cut."""
-    return cosine_top_k(store.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), query, k, order="chunk_id")
+    return cosine_top_k(store.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), query, k, order="chunk_id", digits=digits)
 
 
 def semantic_search(store: DataFrame, chunks: DataFrame, query: list[float], k: int) -> DataFrame:

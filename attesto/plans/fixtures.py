@@ -1,5 +1,8 @@
 """Small literal inputs for parsers and extractors that have no table among the test data."""
 
+import io
+import zipfile
+
 QUOTES = [
     ("q1", "We will invest $1.5 billion and create two hundred jobs, 300 megawatts of power and 2,000 gallons per day"),
     ("q2", "A payment of $2 million a year to the county; 50 permanent full-time positions"),
@@ -13,7 +16,7 @@ ANSWERS = [
     ("a3", "It cost 3.5 million. Yes?[1] No"),
     ("a4", ""),
 ]
-JUDGED = [("v1", 'Sure: {"verdict": "supported", "why": "a } b"} trailing'), ("v2", "no json"), ("v3", '{"verdict": "CONTRADICTED"}'), ("v4", '{"verdict": 3}'), ("v5", None)]
+JUDGED = [("v1", 'Sure: {"verdict": "supported", "why": "a } b"} trailing'), ("v2", "no json"), ("v3", '{"verdict": "CONTRADICTED", "evidence_chunk": 2}'), ("v4", '{"verdict": 3}'), ("v5", None), ("v6", '{oops} {"verdict": "supported"}')]
 VTT = "WEBVTT\nKind: captions\n\n00:00:01.000 --> 00:00:03.000\ngood <c>evening</c>\n\n00:00:03.000 --> 00:00:05.000\ngood evening everyone\n\n00:00:05.000 --> 00:00:06.000\neveryone\n\n01:20.000 --> 01:22.000\nitem &amp; motion\n"
 VIDEOS = [("v1", "20240102", VTT, "Alpha County, VA"), ("v2", "20240103", "no header", "Beta"), ("v3", "20240104", "WEBVTT\n\n00:01 --> bad\nx\n", "Gamma")]
 _LONG = "Risk text of this section goes on and on. " * 8
@@ -61,3 +64,38 @@ PROMISES = [
     ("p3", "Gamma", "2024-02-01", "something nice"), ("p4", "Nowhere", "2024-02-01", "x"),
 ]
 LETTERS = [("l1", 'As said, "nothing at all" [d5] and "never said" [d1] and "soon" [zz]')]
+
+
+def workbook(sheets: dict[str, list[list]]) -> bytes:
+    """A minimal workbook with inline strings; tuples are days."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        for i, rows in enumerate(sheets.values(), 1):
+            body = ""
+            for r, row in enumerate(rows, 1):
+                cells = ""
+                for c, v in enumerate(row):
+                    ref = f"{chr(65 + c)}{r}"
+                    if isinstance(v, tuple):
+                        cells += f'<c r="{ref}" s="1"><v>{v[0]}</v></c>'
+                    elif isinstance(v, str):
+                        cells += f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+                    elif v is not None:
+                        cells += f'<c r="{ref}"><v>{v}</v></c>'
+                body += f'<row r="{r}">{cells}</row>'
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+SHEETS = {
+    "Project Details - Large Gen": [["title"], [], ["INR", "County", "Capacity (MW)", "Fuel", "Projected COD", "Air Permit"], ["I1", "Polk", 120.5, "GAS", (45292,), "yes"], [None, "none"]],
+    "Grid GenerationQueue": [["Queue Position", "County", "State", "Net MWs to Grid", "MW-1", "Application Status", "Fuel-1", "Queue Date"], ["7", "Kern", "CA", None, "1,000", "Withdrawn", "Sun", (45293,)]],
+    "Planned": [["x"], ["Entity Name", "Plant Name", "Plant State", "County", "Nameplate Capacity (MW)", "Technology", "Sector", "Planned Operation Month", "Planned Operation Year"], ["E", "P", "TX", "Polk", 5, "Wind", "IPP", 3, 2026], ["E2", "P2", "TX", "Polk", 5, "Wind", "IPP", None, 2026]],
+}

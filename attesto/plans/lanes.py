@@ -33,3 +33,23 @@ def refresh(spark: SparkSession, lanes: dict[str, Lane], day: str, path: str) ->
         except Exception as error:  # a lane's failure is its report
             report.append({"lane": name, "status": "failed", "rows": 0, "error": str(error).split("\n")[0][:300]})
     return report
+
+
+def rows_artifact(rows: DataFrame, path: str, said: str | None = None) -> str:
+    """Writes rows, and beside them a summary of when, how many, and what is said of them."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    n = rows.sparkSession.read.parquet(f"{path}/rows").agg(F.count("*").alias("n"))
+    summary = n.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mmXXX").alias("generated_at"), "n", F.lit(said).cast("string").alias("said"))
+    summary.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/summary")
+    return path
+
+
+def outcomes_artifact(found: DataFrame, path: str) -> str:
+    """Outcomes of promises, with the number of each status."""
+    statuses = sorted((r.status, r["count"]) for r in found.groupBy("status").count().collect())
+    return rows_artifact(found, path, ",".join(f"{k}={n}" for k, n in statuses))
+
+
+def grid_artifact(hits: DataFrame, misses: DataFrame, sources: list[str], path: str) -> str:
+    """Queue rows that have a jurisdiction, with their sources and how many have none."""
+    return rows_artifact(hits.withColumn("sources", F.array(*(F.lit(x) for x in sources))), path, f"misses={misses.count()}")

@@ -1,74 +1,27 @@
-"""The library's queries over the driver's tables, each with DuckDB SQL of the same result.
-
-Documents stand for the corpus: lang is the source type, source the jurisdiction and the
-ticker, and the day follows from the id.
-"""
+"""The library's queries over the driver's tables, each with DuckDB SQL of the same result."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..functions.udf import reachable
-from ..operators import analytics, chunking, evaluation, fusion, index, joins, rag, search, vectors
+from ..operators import analytics, chunking, evaluation, fusion, joins, rag, search, vectors
+from ..operators.tables import small, written
 from ..sources import documents, parsers
 from . import fixtures as fx
+from . import lifecycle, literals  # noqa: F401  (they register their queries)
+from .base import ALL, ASKED, BASE, DIGITS, DOCS, MARKERS, ORACLES, PHRASE, QUERIES, bm25_sql, build_index, built, corpus, query, table, values
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-ASKED, PHRASE, ALL = "that with from that", "of the", "the and that"
-TERMS = "('that', 2), ('with', 1), ('from', 1)"
-MARKERS = ("the the", "of the", "de la")
-DIGITS = 6
-
-DOCS = """docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, lang AS source_type, 'public' AS venue_type, source AS jurisdiction, source AS ticker,
-  CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS VARCHAR) AS date, 'link:' || doc_id AS deep_link, doc_id AS ord FROM documents)"""
-TOKENS = r"""tok AS (SELECT id, ts, len(ts) AS length FROM (SELECT id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}]+') AS ts FROM docs)),
-pos AS (SELECT id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM tok),
-post AS (SELECT term, id, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM pos GROUP BY term, id),
-stat AS (SELECT count(*) AS n, avg(length) AS average FROM tok)"""
-BASE = f"WITH {DOCS}, {TOKENS}"
-
-
-def bm25_sql(terms: str = TERMS, k1: str = "1.5", b: str = "0.75", idf: str = "ln(1 + (n - df + 0.5) / (df + 0.5))") -> str:
-    return f"""q AS (SELECT * FROM (VALUES {terms}) x(term, times)),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-sc AS (SELECT id, round(sum(times * {idf} * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * length / average))), {DIGITS}) AS score
-  FROM post JOIN q USING (term) JOIN df USING (term) JOIN tok USING (id) CROSS JOIN stat GROUP BY id)"""
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reachable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select(
-        F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("source_type"), F.lit("public").alias("venue_type"), F.col("source").alias("jurisdiction"), F.col("source").alias("ticker"),
-        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("string").alias("date"), F.concat(F.lit("link:"), "doc_id").alias("deep_link"), F.col("doc_id").alias("ord"),
-    )
-
-
-def built(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build(corpus(spark, sf_dir))
+# ---- index and lexical search
 
 
-# ---- index and lexical search
+@query(f"{BASE} SELECT n, round(average, {DIGITS}) AS average, (SELECT count(*) FROM post) AS postings, (SELECT count(DISTINCT term) FROM post) AS terms FROM stat")
+def index_build(spark, sf_dir):
+    """Builds, saves and loads the index that all searches by index read."""
+    i = build_index(spark, sf_dir)
+    sizes = i.postings.agg(F.count("*").alias("postings")).crossJoin(i.term_stats.agg(F.count("*").alias("terms")))
+    return i.corpus_stats.crossJoin(sizes).select("n", F.round("average", DIGITS).alias("average"), "postings", "terms")
 
 
 @query(f"{BASE}, {bm25_sql()} SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc ORDER BY score DESC, id LIMIT 10")
@@ -143,13 +96,16 @@ def head_snippets(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", text.head_snippet(F.col("text")).alias("snippet"))
 
 
-@query()
+_BEFORE = r"'(?s)^(.*?(?:^|[^\p{L}\p{N}]))(?:that|with)(?:[^\p{L}\p{N}]|$)'"
+
+
+@query(rf"WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{N}}])(?:that|with)(?:[^\p{{L}}\p{{N}}]|$)') AS hit, length(regexp_extract(lower(text), {_BEFORE}, 1)) AS a FROM documents) SELECT id, CASE WHEN hit THEN substr(text, greatest(a - 80, 0) + 1, a + 84 - greatest(a - 80, 0)) ELSE substr(text, 1, 160) END AS snippet FROM d")
 def centred_snippets(spark, sf_dir):
     terms = F.array(F.lit("that"), F.lit("with"))
     return corpus(spark, sf_dir).select("id", text.centred_snippet(F.col("text"), terms).alias("snippet"))
 
 
-@query()
+@query(f"{BASE} SELECT id, ts AS tokens FROM tok")
 def analyzed_tokens(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", text.analyze(F.col("text")).alias("tokens"))
 
@@ -188,11 +144,54 @@ def cosine_top10(spark, sf_dir):
     return vectors.cosine_top_k(store(spark, sf_dir), _query_vector(spark, sf_dir), 10, digits=DIGITS).select("row", "score", "rank")
 
 
-@query(f"WITH {_VECTOR}, {_COSINE} SELECT vec_id AS \"row\", score FROM cs WHERE vec_id % 3 = 0 ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"WITH {_VECTOR}, {_COSINE} SELECT CAST(vec_id AS VARCHAR) AS chunk_id, score FROM cs JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) WHERE label % 2 = 1 ORDER BY score DESC, 1 LIMIT 10")
 def covered_top10(spark, sf_dir):
-    s = store(spark, sf_dir)
-    chunks = s.where("row % 3 = 0").select("id")
-    return vectors.cosine_top_k(s.join(chunks, "id", "left_semi"), _query_vector(spark, sf_dir), 10, digits=DIGITS).select("row", "score")
+    """Chunks are there for vectors of odd labels only."""
+    rows = table(spark, sf_dir, "embeddings")
+    chunks = rows.where("label % 2 = 1").select(F.col("vec_id").cast("string").alias("chunk_id"))
+    found = vectors.covered_top_k(store(spark, sf_dir).withColumnRenamed("id", "chunk_id"), chunks, _query_vector(spark, sf_dir), 10, DIGITS)
+    return found.select("chunk_id", "score")
+
+
+def _side(spark, sf_dir) -> dict:
+    """The vectors' side of a search: each vector is its document's."""
+    rows = store(spark, sf_dir).select(F.col("id").alias("chunk_id"), "vec")
+    return {"store": rows, "chunks": rows.select("chunk_id", F.array("chunk_id").alias("doc_ids")), "vector": _query_vector(spark, sf_dir)}
+
+
+_MEANT = f"sem AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))) AS score FROM v CROSS JOIN q0 WHERE vec_id IN (SELECT doc_id FROM documents))"
+
+
+@query(f"{BASE}, {_VECTOR}, {_MEANT} SELECT id, round(score, {DIGITS}) AS score FROM sem JOIN docs USING (id) WHERE source_type = 'en' AND date >= '2024-03-01' ORDER BY sem.score DESC, id LIMIT 15")
+def find_semantic(spark, sf_dir):
+    rows = search.find(built(spark, sf_dir), ASKED, "semantic", 15, source_type="en", date_from="2024-03-01", **_side(spark, sf_dir))
+    return rows.select("id", F.round("score", DIGITS).alias("score"))
+
+
+_FUSED = f"""{bm25_sql().replace(f", {DIGITS}) AS score", ", 15) AS score")}, {_MEANT}, a AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM sc), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sem),
+fu AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id)"""
+
+
+@query(f"{BASE}, {_VECTOR}, {_FUSED} SELECT id, round(score, 9) AS score, date FROM fu JOIN docs USING (id) WHERE jurisdiction = 'src3' ORDER BY date DESC, score DESC, id LIMIT 15")
+def find_hybrid_by_date(spark, sf_dir):
+    rows = search.find(built(spark, sf_dir), ASKED, "hybrid", 15, sort="date_desc", jurisdiction="src3", **_side(spark, sf_dir))
+    return rows.select("id", F.round("score", 9).alias("score"), "date")
+
+
+@query(f"WITH {_VECTOR} SELECT CAST(vec_id AS VARCHAR) AS chunk_id, round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))), {DIGITS}) AS score, sha256('m' || chr(10) || '64' || chr(10) || text) AS content_hash FROM v CROSS JOIN q0 JOIN documents ON doc_id = vec_id ORDER BY 2 DESC, 1 LIMIT 8")
+def semantic_search(spark, sf_dir):
+    """Every vector has its document as its chunk; the hashes of those that are returned are checked."""
+    pairs = corpus(spark, sf_dir).select(F.col("id").alias("chunk_id"), "text")
+    rows = store(spark, sf_dir).select(F.col("id").alias("chunk_id"), "vec").join(pairs, "chunk_id")
+    held = rows.select("chunk_id", "vec", F.lit("m").alias("model"), F.lit(64).alias("dim"), text.content_hash(F.lit("m"), F.lit(64), F.col("text")).alias("content_hash"))
+    chunks = pairs.join(held.select("chunk_id"), "chunk_id", "left_semi")
+    return vectors.semantic_search(held, chunks, _query_vector(spark, sf_dir), 8).select("chunk_id", F.round("score", DIGITS).alias("score"), "content_hash")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS chunk_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
+def rows_for_labels(spark, sf_dir):
+    held = store(spark, sf_dir).select(F.col("id").alias("chunk_id"), "vec")
+    return vectors.rows_for(held, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"))).select("chunk_id")
 
 
 @query(f"{BASE}, {bm25_sql()}, {_VECTOR}, {_COSINE}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc), b AS (SELECT CAST(vec_id AS VARCHAR) AS id, row_number() OVER (ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank FROM cs), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY id) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM f ORDER BY score DESC, id LIMIT 20")
@@ -274,30 +273,90 @@ def parameter_sweep(spark, sf_dir):
 _OKAPI = bm25_sql(idf="ln((n - df + 0.5) / (df + 0.5))").replace("q AS (", "q2 AS (").replace("JOIN q ", "JOIN q2 ").replace("df AS (SELECT term", "df2 AS (SELECT term").replace("JOIN df ", "JOIN df2 ").replace("sc AS", "sc2 AS")
 
 
+@query(f"{BASE} SELECT * FROM ({_GRID}) ORDER BY ndcg DESC, k1, b LIMIT 1")
+def sweep_best(spark, sf_dir):
+    queries, grades = _graded(spark, sf_dir)
+    cells = evaluation.sweep(built(spark, sf_dir), queries, grades, (0.9, 1.5), (0.4, 0.75), 10, DIGITS)
+    made = evaluation.sweep_artifact(cells.withColumn("ndcg", F.round("ndcg", DIGITS)), 3, 10)
+    return made.select("best.k1", "best.b", F.col("best.ndcg10").alias("ndcg"))
+
+
+_LABELS = (("P@5", "precision", 5), ("P@10", "precision", 10), ("R@10", "recall", 10), ("R@50", "recall", 50), ("MRR", "mrr", 0), ("NDCG@10", "ndcg", 10))
+
+
+def _label_sql(what: str, k: int) -> str:
+    hits = f"count(*) FILTER (grade >= 1 AND rank <= {k})"
+    return {"precision": f"{hits} / {k}.0", "recall": f"{hits} / max(relevant)", "mrr": "coalesce(1.0 / min(rank) FILTER (grade >= 1), 0)", "ndcg": f"sum(coalesce(grade, 0) / log2(rank + 1)) FILTER (rank <= {k}) / max(best)"}[what]
+
+
+_RUN = f"SELECT query_id, {', '.join(f'round(CAST({_label_sql(w, k)} AS DOUBLE), {DIGITS}) AS \"{n}\"' for n, w, k in _LABELS)} FROM r3 LEFT JOIN gr USING (query_id, id) JOIN ideal USING (query_id) GROUP BY query_id"
+
+
+@query(f"{BASE}, {_scored3()} {_RUN}")
+def evaluation_run(spark, sf_dir):
+    """The six labels of a run; the labels' rows are judgments of three queries."""
+    queries, grades = _graded(spark, sf_dir)
+    found = evaluation.ranks(evaluation.batch_scores(built(spark, sf_dir), queries), ["query_id"], 50, DIGITS).withColumnRenamed("id", "doc_id")
+    rows, _, _ = evaluation.evaluation_run(found, grades.withColumn("ord", F.lit(0)))
+    return rows.select("query_id", *(F.round(F.col(f"`{n}`"), DIGITS).alias(n) for n, *_ in _LABELS))
+
+
+def _top(score: str) -> str:
+    return f"list(id ORDER BY {score} DESC, id) FILTER (place_{score} <= 10)"
+
+
+@query(f"{BASE}, {bm25_sql()}, {_OKAPI}, x AS (SELECT id, sc.score AS ours, sc2.score AS other FROM sc JOIN sc2 USING (id)), y AS (SELECT *, row_number() OVER (ORDER BY ours DESC, id) AS place_ours, row_number() OVER (ORDER BY other DESC, id) AS place_other FROM x) SELECT '{ASKED}' AS query, {_top('ours')} AS our_ranking, {_top('other')} AS reference_ranking, {_top('ours')} = {_top('other')} AS order_agrees FROM y")
+def differential_report(spark, sf_dir):
+    rows = evaluation.differential_report(built(spark, sf_dir), [ASKED], 10, DIGITS)
+    return rows.select("query", "our_ranking", "reference_ranking", "order_agrees")
+
+
 @query(f"{BASE}, {bm25_sql()}, {_OKAPI} SELECT id, sc.score AS ours, sc2.score AS other FROM sc JOIN sc2 USING (id)")
 def bm25_differential(spark, sf_dir):
     rows = evaluation.differential(built(spark, sf_dir), ASKED)
     return rows.select("id", F.round("ours", DIGITS).alias("ours"), F.round("other", DIGITS).alias("other"))
 
 
-@query()
+@query(f"""{BASE}, {bm25_sql()}, {_VECTOR}, {_MEANT}, p AS (SELECT id FROM (SELECT id FROM docs WHERE contains(lower(text), 'the ') ORDER BY ord, id LIMIT 20) UNION SELECT id FROM (SELECT id FROM sc ORDER BY score DESC, id LIMIT 20) UNION SELECT id FROM (SELECT id FROM sem ORDER BY round(score, {DIGITS}) DESC, id LIMIT 20)
+UNION SELECT id FROM (SELECT id FROM docs ORDER BY md5('7:' || id), id LIMIT 3)) SELECT id, CAST(row_number() OVER (ORDER BY md5('7:' || id), id) AS INTEGER) AS place FROM p""")
 def pooled_candidates(spark, sf_dir):
     d = corpus(spark, sf_dir)
-    return evaluation.pool_candidates(search.scan_scores(d, ASKED), None, d, 20, 7)
+    lexical = search.scan_scores(d, ASKED).withColumn("score", F.round("score", DIGITS))
+    q = F.array(*(F.lit(x) for x in _query_vector(spark, sf_dir)))
+    semantic = store(spark, sf_dir).join(d.select("id"), "id", "left_semi").select("id", F.round(vectors.cosine(F.col("vec"), q), DIGITS).alias("score"))
+    return evaluation.pool_candidates(d, "The ", lexical, semantic, 20, 7)
+
+
+def _chunk_sql() -> str:
+    cell = lambda name, w, start: f"SELECT '{name}' AS cell, {w} AS w, {name[-1]} AS o, s.conv_id, s.i AS start, t.text, t.turn, t.i FROM w s JOIN w t ON t.conv_id = s.conv_id AND t.i >= s.i AND t.i < s.i + {w} WHERE {start}"
+    return f"""WITH {_WINDOWS}, m AS ({cell("1+0", 1, "true")} UNION ALL {cell("2+0", 2, "s.i % 2 = 0")} UNION ALL {cell("2+1", 2, "s.i = 0 OR s.i + 1 < s.n")}),
+c AS (SELECT cell, w, o, cell || '|yt:' || conv_id || ':seg' || lpad(CAST(min(turn) AS VARCHAR), 3, '0') || CASE WHEN count(*) > 1 THEN '+w2' ELSE '' END AS id, string_agg(text, ' ' ORDER BY i) AS text, list(turn) AS turns, conv_id FROM m GROUP BY cell, w, o, conv_id, start),
+tk AS (SELECT cell, id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS ts FROM c),
+st AS (SELECT cell, count(*) AS n, avg(len(ts)) AS average FROM tk GROUP BY cell),
+qs AS (SELECT * FROM (VALUES ('q1', 'that'), ('q1', 'with'), ('q2', 'und'), ('q2', 'der')) x(query_id, term)),
+h AS (SELECT cell, id, len(ts) AS length, query_id, term, len(list_filter(ts, lambda x: x = term)) AS tf FROM tk CROSS JOIN qs WHERE list_contains(ts, term)),
+df AS (SELECT cell, query_id, term, count(*) AS df FROM h GROUP BY ALL),
+sc AS (SELECT cell, query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / average))) AS score FROM h JOIN df USING (cell, query_id, term) JOIN st USING (cell) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cell, query_id ORDER BY score DESC, id) AS rank FROM sc),
+rel AS (SELECT conv_id, query_id FROM w CROSS JOIN (VALUES ('q1'), ('q2')) x(query_id) WHERE turn = 1),
+tot AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
+hit AS (SELECT cell, query_id, count(DISTINCT conv_id) AS hits FROM rk JOIN c USING (cell, id) JOIN rel USING (conv_id, query_id) WHERE rank <= 10 AND list_contains(turns, 1) GROUP BY ALL)
+SELECT CAST(w AS INTEGER) AS "window", CAST(o AS INTEGER) AS overlap, round(avg(coalesce(hits / n, 0)), {DIGITS}) AS recall_10 FROM (SELECT DISTINCT cell, w, o FROM m) CROSS JOIN tot LEFT JOIN hit USING (cell, query_id) GROUP BY w, o"""
 
 
-@query()
+_WINDOWS = """w AS (SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
+
+
+@query(_chunk_sql())
 def chunk_window_sweep(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.format_string("yt:%d:seg%03d", "conv_id", "turn").alias("id"), "text")
     queries = spark.createDataFrame([("q1", "that with"), ("q2", "und der")], "query_id string, query string")
     grades = c.where(F.col("id").endswith("seg001")).crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("grade"))
-    return evaluation.chunk_sweep(c, queries, grades, (1, 2), (0, 1), (10,))
+    return evaluation.chunk_sweep(c, queries, grades, (1, 2), (0, 1), (10,)).withColumn("recall_10", F.round("recall_10", DIGITS))
 
 
 # ---- windows over conversations and events
 
-_WINDOWS = """w AS (SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
-
 
 @query(f"WITH {_WINDOWS}, s AS (SELECT conv_id, unnest(range(0, CASE WHEN n <= 3 THEN 1 ELSE CAST(ceil((n - 3) / 2.0) AS BIGINT) + 1 END)) * 2 AS start FROM (SELECT DISTINCT conv_id, n FROM w)) SELECT conv_id, CAST(start AS INTEGER) AS start, count(*) AS n, list(turn ORDER BY turn) AS turns FROM s JOIN w USING (conv_id) WHERE i >= start AND i < start + 3 GROUP BY ALL")
 def chunk_windows(spark, sf_dir):
@@ -307,10 +366,13 @@ def chunk_windows(spark, sf_dir):
 
 @query("WITH l AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role THEN 1 ELSE 0 END AS c FROM conversations), g AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM l) SELECT conv_id, CAST(island AS BIGINT) AS island, role, string_agg(text, ' ' ORDER BY turn) AS text FROM g GROUP BY ALL")
 def role_islands(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumn("c", (~F.lag("role").over(w).eqNullSafe(F.col("role"))).cast("int")).withColumn("island", F.sum("c").over(w))
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return rows.groupBy("conv_id", "island", "role").agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
+    return chunking.islands(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role", "text")
+
+
+@query(f"WITH {_WINDOWS}, s AS (SELECT conv_id, unnest(range(0, CASE WHEN n <= 2 THEN 1 ELSE CAST(ceil((n - 2) / 1.0) AS BIGINT) + 1 END)) AS start FROM (SELECT DISTINCT conv_id, n FROM w)), c AS (SELECT conv_id, start, list('yt:' || conv_id || ':seg' || lpad(CAST(turn AS VARCHAR), 3, '0') ORDER BY i) AS doc_ids, string_agg(text, ' ' ORDER BY i) AS text FROM s JOIN w USING (conv_id) WHERE i >= start AND i < start + 2 GROUP BY ALL) SELECT doc_ids[1] || CASE WHEN len(doc_ids) > 1 THEN '+w2' ELSE '' END AS chunk_id, doc_ids, text FROM c")
+def chunk_corpus(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.format_string("yt:%d:seg%03d", "conv_id", "turn").alias("id"), "text")
+    return chunking.chunk_corpus(c, 2, 1)
 
 
 @query("SELECT event_type AS video, CAST(floor(epoch(ts) / 75) AS INTEGER) AS window, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ' ' ORDER BY event_id) AS text FROM events GROUP BY 1, 2")
@@ -438,11 +500,11 @@ def queue_rollup(spark, sf_dir):
 _KINDS = "CASE l_returnflag WHEN 'A' THEN 'power' WHEN 'N' THEN 'jobs' ELSE 'money' END"
 
 
-@query(f"""WITH q AS (SELECT o_orderpriority AS jurisdiction, o_orderkey, {_KINDS} AS kind, l_quantity AS v, CASE WHEN l_linestatus = 'O' THEN 'annual' ELSE 'total' END AS cadence FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 20)
+@query(f"""WITH q AS (SELECT o_orderpriority AS jurisdiction, o_orderkey, {_KINDS} AS kind, l_quantity AS v, CASE WHEN l_linestatus = 'O' THEN 'annual' ELSE 'total' END AS cadence FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT jurisdiction, coalesce(sum(v) FILTER (kind = 'power'), 0) AS promised_mw, 0.0::DOUBLE AS promised_gpd, coalesce(sum(v) FILTER (kind = 'jobs'), 0) AS promised_jobs, coalesce(sum(v) FILTER (kind = 'money' AND cadence = 'annual'), 0) AS promised_dollars_annual,
 coalesce(sum(v) FILTER (kind = 'money' AND cadence = 'total'), 0) AS promised_dollars_total, count(DISTINCT o_orderkey) FILTER (v IS NOT NULL) AS n_quantified FROM q GROUP BY jurisdiction""")
 def quantity_rollup(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_quantity > 20")
+    line = table(spark, sf_dir, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "power").when(F.col("l_returnflag") == "N", "jobs").otherwise("money")
     one = F.struct(kind.alias("kind"), F.col("l_quantity").alias("value"), F.lit(None).cast("string").alias("unit"), F.when(F.col("l_linestatus") == "O", "annual").otherwise("total").alias("cadence"), F.lit("").alias("raw_span"))
     items = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(one).alias("quantities"))
@@ -479,13 +541,12 @@ def cross_with_record(spark, sf_dir):
     return rows.select("symbol", "n_events", "n_transactions", "on_record")
 
 
-@query(f"WITH {DOCS}, f AS (SELECT *, sha256(text) AS accession, row_number() OVER (PARTITION BY sha256(text) ORDER BY ord) AS n FROM docs) SELECT id, accession FROM f WHERE n = 1 AND accession NOT IN (SELECT sha256(text) FROM docs WHERE ord % 7 = 0) AND date >= '2024-02-01' AND source_type IN ('en', 'fr')")
+@query(f"WITH {DOCS}, f AS (SELECT *, sha256(text) AS accession FROM docs WHERE date >= '2024-02-01' AND source_type IN ('en', 'fr') AND sha256(text) NOT IN (SELECT sha256(text) FROM docs WHERE jurisdiction = 'src7')) SELECT arg_min(id, ord) AS id, accession FROM f GROUP BY accession")
 def new_filings(spark, sf_dir):
+    """Texts stand for filings: copies are one, and what one source has is known."""
     rows = corpus(spark, sf_dir).withColumn("accession", F.sha2("text", 256))
-    first = joins.first_by(rows, ["accession"], ["ord"])
-    known = rows.where("ord % 7 = 0").select("accession")
-    entries = first.select("id", "accession", F.col("source_type").alias("form"), F.col("date").alias("filing_date"), "ord")
-    return joins.new_filings(entries, known, "2024-02-01", ("en", "fr")).select("id", "accession")
+    entries = rows.select("id", "accession", F.col("source_type").alias("form"), F.col("date").alias("filing_date"), "ord")
+    return joins.new_filings(entries, rows.where("jurisdiction = 'src7'").select("accession"), "2024-02-01", ("en", "fr")).select("id", "accession")
 
 
 @query(f"WITH {DOCS} SELECT jurisdiction, arg_max(id, (date, -ord)) AS video_id FROM docs WHERE ord % 2 = 0 GROUP BY 1")
@@ -495,24 +556,18 @@ def newest_alive(spark, sf_dir):
     return joins.newest_alive(rows, alive)
 
 
-@query(f"WITH {DOCS}, w AS (SELECT b.jurisdiction, a.id AS promise_id, b.id AS doc_id, b.date, row_number() OVER (PARTITION BY a.id ORDER BY b.date, b.id) AS place FROM docs a JOIN docs b ON a.jurisdiction = b.jurisdiction AND b.date > a.date WHERE a.ord % 100 = 0) SELECT promise_id, doc_id, CAST(place AS INTEGER) AS place FROM w WHERE place <= 5")
+@query(f"WITH {DOCS}, w AS (SELECT a.id AS promise_id, b.id AS doc_id, row_number() OVER (PARTITION BY a.id ORDER BY b.date, b.id) AS place FROM docs a JOIN docs b ON a.jurisdiction = b.jurisdiction AND b.date > a.date) SELECT promise_id, doc_id, CAST(place AS INTEGER) AS place FROM w WHERE place <= 5")
 def later_trail(spark, sf_dir):
     d = corpus(spark, sf_dir)
-    p = d.where("ord % 100 = 0").select("jurisdiction", F.col("id").alias("promise_id"), F.col("date").alias("since"))
-    rows = p.join(d.select("jurisdiction", F.col("id").alias("doc_id"), "date"), "jurisdiction").where("date > since")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("promise_id").orderBy("date", "doc_id"))).where("place <= 5").select("promise_id", "doc_id", "place")
+    return analytics.later_documents(d.select(F.col("id").alias("promise_id"), "jurisdiction", "date"), d, 5)
 
 
 @query("WITH a AS (SELECT doc_id AS id FROM documents WHERE lang = 'en'), b AS (SELECT doc_id AS id FROM documents WHERE source = 'src0') SELECT 'and' AS op, id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'or', id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'not', id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
 def set_operations(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     a, b = d.where("lang = 'en'").select(F.col("doc_id").alias("id")), d.where("source = 'src0'").select(F.col("doc_id").alias("id"))
-    parts = (("and", a.intersect(b)), ("or", a.union(b).distinct()), ("not", a.join(b, "id", "left_anti")))
-    out = None
-    for name, part in parts:
-        part = part.select(F.lit(name).alias("op"), "id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [search.combined(a, b, how).select(F.lit(how).alias("op"), "id") for how in ("and", "or", "not")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[A-Za-z0-9$'']+'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "))) AS INTEGER) AS n FROM documents")
@@ -525,17 +580,64 @@ def page_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parsers.html_text(F.col("html")).alias("text"))
 
 
-@query("SELECT lang, source, count(*) AS n, GROUPING(source) = 1 AS everyone FROM documents GROUP BY GROUPING SETS ((lang, source), (lang))")
+@query("SELECT lang AS jurisdiction, source AS status, count(*) AS n, GROUPING(lang) = 1 AS everyone FROM documents GROUP BY GROUPING SETS ((lang, source), (source))")
 def status_summary(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.groupingSets([["lang", "source"], ["lang"]], "lang", "source").agg(F.count("*").alias("n"), (F.grouping("source") == 1).alias("everyone"))
+    return analytics.outcome_summary(d.select(F.col("doc_id").alias("promise_id"), F.col("lang").alias("jurisdiction")), d.select(F.col("doc_id").alias("promise_id"), F.col("source").alias("status")))
 
 
-# ---- fixtures: parsers and extractors over literal rows
+@query("SELECT doc_id, o.status FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'quiet' ELSE 'followed_up' END AS status FROM labels) o USING (doc_id)")
+def promise_outcomes(spark, sf_dir):
+    found = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("promise_id"), F.when(F.col("toxic") == 1, "quiet").otherwise("followed_up").alias("status"), F.lit(None).cast("string").alias("trail"))
+    return analytics.with_outcomes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("promise_id")), found).select(F.col("promise_id").alias("doc_id"), "status")
+
+
+@query(rf"WITH x AS (SELECT CAST(doc_id AS VARCHAR) AS id, regexp_extract_all(text, '(?im)^[^\S\n]*item[\s]+(\d\.\d\d)\b', 1) AS items FROM documents) SELECT id, items FROM x WHERE len(items) > 0")
+def event_items_of_documents(spark, sf_dir):
+    return corpus(spark, sf_dir).select("id", extract.event_items(F.col("text")).alias("items")).where(F.size("items") > 0)
+
+
+@query()
+def quantities_of_documents(spark, sf_dir):
+    """Every quantity of every document; its SQL twin is quantity_fixture, on literal rows."""
+    return corpus(spark, sf_dir).select("id", F.inline(extract.quantities(F.col("text"))))
 
 
-def values(names: str, *rows: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) x({names})"
+@query()
+def names_of_documents(spark, sf_dir):
+    return analytics.mine_shell_candidates(corpus(spark, sf_dir).withColumn("source_type", F.lit("county_meeting"))).select("name", "n_docs", "first_seen", "jurisdictions")
+
+
+@query()
+def outcomes_of_passages(spark, sf_dir):
+    """Each benchmark passage as a promise in every jurisdiction, followed up by the documents that echo it."""
+    d = corpus(spark, sf_dir)
+    places = small(written(d.select("jurisdiction").where("jurisdiction is not null").distinct()), 100_000)
+    promises = table(spark, sf_dir, "benchmark").crossJoin(places).select(F.concat_ws(":", "item_id", "jurisdiction").alias("promise_id"), "jurisdiction", F.lit("2023-12-31").alias("date"), F.col("text").alias("quote"))
+    rows = analytics.outcomes(promises, d)
+    return rows.select("promise_id", "status", F.transform("trail", lambda t: t["doc_id"]).alias("trail"))
+
+
+@query("""WITH q AS (SELECT o_orderpriority AS jurisdiction, count(DISTINCT o_orderkey) FILTER (l_orderkey IS NOT NULL) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_quantified FROM q""")
+def promised_total(spark, sf_dir):
+    return analytics.promised_total(quantity_rollup(spark, sf_dir))
+
+
+@query(f"""WITH {_CLOSES}, {_HITS}, t AS (SELECT *, max(date) OVER (PARTITION BY ticker) AS last FROM p), u AS (SELECT * FROM t WHERE CAST(date AS DATE) >= CAST(last AS DATE) - 9), l AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prior FROM u),
+m AS (SELECT ticker, date, (close - prior) / prior * 100 AS r FROM l WHERE prior <> 0 AND abs((close - prior) / prior * 100) >= 5) SELECT m.ticker, m.date, round(r, {DIGITS}) AS return_pct, count(h.id) AS n FROM m LEFT JOIN h ON h.ticker = m.ticker AND CAST(m.date AS DATE) - CAST(h.date AS DATE) BETWEEN 0 AND 3 GROUP BY ALL""")
+def price_report(spark, sf_dir):
+    docs = clicks(spark, sf_dir).withColumns({c: F.lit("") for c in ("source_type", "venue_type", "deep_link", "text")})
+    rows = analytics.price_report(closes(spark, sf_dir), docs, 10, 5.0, 3)
+    return rows.select("ticker", "date", F.round("return_pct", DIGITS).alias("return_pct"), F.size("receipts").cast("long").alias("n"))
+
+
+@query(ORACLES["mention_returns"].replace("SELECT ticker, id AS doc_id", "SELECT doc_id, date, return_pct FROM (SELECT ticker, id AS doc_id") + ") WHERE CAST('2024-01-25' AS DATE) - CAST(date AS DATE) BETWEEN 0 AND 10 ORDER BY return_pct DESC, doc_id LIMIT 25")
+def recent_mentions(spark, sf_dir):
+    rows = analytics.mention_returns(clicks(spark, sf_dir), closes(spark, sf_dir), "2024-01-10")
+    return analytics.recent_mentions(rows, "2024-01-25", 10, 25).select("doc_id", "date", "return_pct")
+
+
+# ---- fixtures: parsers and extractors over literal rows
 
 
 @query(values("quote_id, kind, value, unit, cadence, raw_span",
@@ -552,9 +654,9 @@ def claim_fixture(spark, sf_dir):
     return spark.createDataFrame(fx.ANSWERS, "answer_id string, text string").select("answer_id", extract.claims(F.col("text")).alias("claims"))
 
 
-@query(values("id, verdict", "('v1', 'supported')", "('v2', 'unparseable')", "('v3', 'contradicted')", "('v4', 'unparseable')", "('v5', 'unparseable')"))
+@query(values("id, verdict, evidence_chunk", "('v1', 'supported', NULL::BIGINT)", "('v2', 'unparseable', NULL)", "('v3', 'contradicted', 2)", "('v4', 'unparseable', NULL)", "('v5', 'unparseable', NULL)", "('v6', 'unparseable', NULL)"))
 def verdict_fixture(spark, sf_dir):
-    return spark.createDataFrame(fx.JUDGED, "id string, text string").select("id", extract.verdict(F.col("text")).alias("verdict"))
+    return spark.createDataFrame(fx.JUDGED, "id string, text string").select("id", extract.judged(F.col("text")).alias("j")).select("id", "j.verdict", "j.evidence_chunk")
 
 
 @query(values("id, text, date, jurisdiction", "('yt:v1:seg000', 'good evening everyone', '2024-01-02', 'Alpha County, VA')", "('yt:v1:seg001', 'item & motion', '2024-01-02', 'Alpha County, VA')"))
@@ -654,17 +756,22 @@ def letter_fixture(spark, sf_dir):
     return rag.bad_letter_citations(spark.createDataFrame(fx.LETTERS, "letter_id string, letter string"), docs)
 
 
-@query(values("question_id, refused, answer, cited", "('q1', false, 'Yes [2], no [1].', [2, 1])", "('q2', true, NULL, [])", "('q3', true, NULL, [])"))
+@query(values("question_id, refused, reason, answer, cited, status, supported_claims, total_claims", "('q1', false, NULL, 'Yes [2], no [1].', [2, 1], 'grounded', 1, 1)", f"('q2', true, '{rag.LOW_SCORE}', NULL, [], 'ungrounded', 0, 0)", f"('q3', true, '{rag.NO_RECORDS}', NULL, [], 'ungrounded', 0, 0)", f"('q4', true, '{rag.NOT_COVERED}', NULL, [], 'ungrounded', 0, 0)"))
 def answer_fixture(spark, sf_dir):
-    questions = spark.createDataFrame([("q1", "What happened?"), ("q2", "Which one?"), ("q3", "None?")], "question_id string, question string")
-    found = spark.createDataFrame([("q1", 1, 2.0, "a", "2024", "t1"), ("q1", 2, 1.0, "b", "2024", "t2"), ("q2", 1, 0.1, "a", "2024", "t")], "question_id string, rank int, score double, source_type string, date string, text string")
-    generate = lambda rows: rows.withColumn("answer", F.when(F.col("question_id") == "q1", "Yes [2], no [1][9].").otherwise(rag.SENTINEL))
-    return rag.answers(questions, found, generate, 0.5).select("question_id", "refused", "answer", "cited")
+    questions = spark.createDataFrame([("q1", "What happened?"), ("q2", "Which one?"), ("q3", "None?"), ("q4", "Else?")], "question_id string, question string")
+    found = spark.createDataFrame([("q1", 1, 2.0, "a", "2024", "t1"), ("q1", 2, 1.0, "b", "2024", "t2"), ("q2", 1, 0.1, "a", "2024", "t"), ("q4", 1, 0.5, "a", "2024", "t")], "question_id string, rank int, score double, source_type string, date string, text string")
+    generate = lambda rows: rows.withColumn("answer", F.when(F.col("question_id") == "q1", "Yes [2], no [1][9].").otherwise(F.lit(f"So: {rag.SENTINEL}.")))
+    return rag.answers(questions, found, generate, 0.5).select("question_id", "refused", "reason", "answer", "cited", "grounding.status", "grounding.supported_claims", "grounding.total_claims")
 
 
-@query(values("answer_id, claims, errors, faithfulness", "('a', 2::BIGINT, 0::BIGINT, 0.5::DOUBLE)", "('b', 1, 1, NULL)"))
+@query(values("answer_id, supported, total, errors, faithfulness", "('a', 1::BIGINT, 2::BIGINT, 0::BIGINT, 0.5::DOUBLE)", "('b', 0, 1, 0, 0)", "('c', 0, 1, 1, 0)", "('d', 0, 0, 0, 0)", "('mean', NULL, NULL, NULL, 0.125)", "('all failed', NULL, NULL, NULL, NULL)"))
 def faithfulness_fixture(spark, sf_dir):
-    return evaluation.faithfulness(spark.createDataFrame([("a", "supported"), ("a", "unsupported"), ("b", "unparseable")], "answer_id string, verdict string"))
+    """Unparseable verdicts and calls that failed support nothing; the mean is null only where every call failed."""
+    said = spark.createDataFrame([("a", "supported"), ("a", "unsupported"), ("b", "unparseable"), ("c", "error")], "answer_id string, verdict string")
+    each = evaluation.faithfulness(said, spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "answer_id string"))
+    none = F.lit(None).cast("long")
+    mean = lambda rows, name: evaluation.macro_faithfulness(rows).select(F.lit(name).alias("answer_id"), none.alias("supported"), none.alias("total"), none.alias("errors"), "faithfulness")
+    return each.unionByName(mean(each, "mean")).unionByName(mean(each.where("answer_id = 'c'"), "all failed"))
 
 
 @query(values("id, reason", "('ok', NULL)", "(NULL, 'missing text')", "(NULL, 'not a JSON object')", "(NULL, 'not a JSON object')"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, compact_date, given, iso_date, lenient_number
 from ..functions.udf import series_udf
-from ..operators.chunking import caption_windows
+from ..operators.chunking import caption_windows, islands
 
 # ---- captions
 
@@ -231,12 +231,8 @@ def transcript_docs(calls: DataFrame) -> DataFrame:
     rows = lines.withColumn("new", named).withColumn("said", F.when(named, F.substr("line", F.length(name) + 3)).otherwise(F.col("line"))).withColumn("name", F.when(named, name))
     by = Window.partitionBy(*keys)
     at = by.orderBy("pos")
-    rows = rows.withColumn("who", F.last("name", ignorenulls=True).over(at)).withColumn("any", F.max("new").over(by))
-    changed = ~F.col("who").eqNullSafe(F.lag("who").over(at)) | (F.row_number().over(at) == 1)
-    rows = rows.withColumn("island", F.sum(changed.cast("int")).over(at))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "said")))
-    runs = rows.where("any").groupBy(*keys, "island").agg(F.first("who").alias("speaker"), parts.alias("p"))
-    runs = runs.select(*keys, "island", "speaker", F.array_join(F.transform("p", lambda x: x["said"]), " ").alias("text"))
+    rows = rows.withColumn("speaker", F.last("name", ignorenulls=True).over(at)).withColumn("any", F.max("new").over(by))
+    runs = islands(rows.where("any"), keys, "pos", "speaker", "said").withColumnRenamed("said", "text")
     whole = calls.join(rows.where("any").select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(1).cast("long").alias("island"), F.lit(None).cast("string").alias("speaker"), F.trim("content").alias("text"))
     made = runs.unionByName(whole).join(calls.select(*keys, F.substring(F.trim("date"), 1, 10).alias("date")), keys)
     link = F.format_string("https://financialmodelingprep.com/api/v3/earning_call_transcript/%s?quarter=%d&year=%d", "symbol", "quarter", "year")
@@ -257,7 +253,7 @@ _FORM4 = (
 def _tree(text: str | None):
     """The root of an XML text; None if it is malformed or declares types or entities."""
     text = text or ""
-    if "<!DOCTYPE" in text[:4096] or "<!ENTITY" in text[:4096]:
+    if "<!DOCTYPE" in text or "<!ENTITY" in text:  # wherever they stand
         return None
     try:
         return ET.fromstring(text)

@@ -6,7 +6,7 @@ again after a failure leaves the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,6 +36,12 @@ def over_limit(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.col("n") > limit)
 
 
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """What the last batch wrote; with complete results that is all."""
+    last = spark.read.parquet(path)
+    return last.where(F.col("version") == last.agg(F.max("version")).first()[0]).drop("version")
+
+
 def versioned_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Writes each batch as a version of its own; a version that fails leaves the last one in place."""
 

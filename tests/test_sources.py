@@ -1,50 +1,17 @@
 """Files in, tables out: workbooks, corpora, stores; and the streaming forms."""
 
-import io
 import json
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from attesto.plans.fixtures import SHEETS, workbook
 from attesto.sources import documents, parsers
 from attesto.streaming import streams
 
 
-def workbook(sheets: dict[str, list[list]]) -> bytes:
-    """A minimal workbook with inline strings; tuples are days."""
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-        for i, rows in enumerate(sheets.values(), 1):
-            body = ""
-            for r, row in enumerate(rows, 1):
-                cells = ""
-                for c, v in enumerate(row):
-                    ref = f"{chr(65 + c)}{r}"
-                    if isinstance(v, tuple):
-                        cells += f'<c r="{ref}" s="1"><v>{v[0]}</v></c>'
-                    elif isinstance(v, str):
-                        cells += f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
-                    elif v is not None:
-                        cells += f'<c r="{ref}"><v>{v}</v></c>'
-                body += f'<row r="{r}">{cells}</row>'
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
-
-
 def test_workbooks(spark):
-    book = workbook({
-        "Project Details - Large Gen": [["title"], [], ["INR", "County", "Capacity (MW)", "Fuel", "Projected COD", "Air Permit"], ["I1", "Polk", 120.5, "GAS", (45292,), "yes"], [None, "none"]],
-        "Grid GenerationQueue": [["Queue Position", "County", "State", "Net MWs to Grid", "MW-1", "Application Status", "Fuel-1", "Queue Date"], ["7", "Kern", "CA", None, "1,000", "Withdrawn", "Sun", (45293,)]],
-        "Planned": [["x"], ["Entity Name", "Plant Name", "Plant State", "County", "Nameplate Capacity (MW)", "Technology", "Sector", "Planned Operation Month", "Planned Operation Year"], ["E", "P", "TX", "Polk", 5, "Wind", "IPP", 3, 2026], ["E2", "P2", "TX", "Polk", 5, "Wind", "IPP", None, 2026]],
-    })
+    book = workbook(SHEETS)
     files = spark.createDataFrame([(bytearray(book),), (bytearray(b"junk"),)], "content binary")
     e = parsers.ercot_queue(files).collect()
     assert [(r.queue_id, r.county, r.mw, r.queue_date, r.air_permit, r.state) for r in e] == [("I1", "Polk", 120.5, "2024-01-01", "yes", "TX")]
