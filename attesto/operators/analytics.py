@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import event_items, quantities, shell_names
 from ..functions.text import content_tokens, count_phrases, given, head_snippet, k_grams
+from .joins import carried
 from .tables import small
 
 #: Phrases of an evasive answer.
@@ -214,26 +215,33 @@ def by_sector(tickers: DataFrame) -> DataFrame:
 def mention_returns(docs: DataFrame, prices: DataFrame, since: str) -> DataFrame:
     """Each mention of a ticker with its close as of the day, the latest, the peak since, and both returns.
 
-    Prices and mentions are one stream by ticker and day: the last close before a mention
-    and the greatest from it on are windows over it. Mentions before the series and series
-    of one price give no row. A ticker's rows are one window; the day's order is Spark's.
+    Prices and mentions are one stream by ticker and month. Within a month, the last close
+    up to a mention and the greatest from it on are running windows; what earlier and later
+    months add is carried from one row a month, so a ticker with very many rows is many
+    tasks. Mentions before the series and series of one price give no row.
     """
     hits = docs.where((given(F.col("ticker")).isNotNull()) & (given(F.col("date")) >= since)).select("ticker", "date", F.col("id").alias("doc_id"))
     points = prices.select("ticker", "date", F.lit(None).cast("string").alias("doc_id"), "close")
-    stream = points.unionByName(hits.withColumn("close", F.lit(None).cast("double")))
-    back = Window.partitionBy("ticker").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # From the last day backwards, so that this frame too only ever grows; to the end of the partition it would be summed anew for each row.
-    ahead = Window.partitionBy("ticker").orderBy(F.desc("date")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    stream = points.unionByName(hits.withColumn("close", F.lit(None).cast("double"))).withColumn("month", F.substring("date", 1, 7))
+    day = F.when(F.col("close").isNotNull(), F.col("date"))
+    months = stream.groupBy("ticker", "month").agg(F.max_by("close", day).alias("end"), F.max("close").alias("top"), F.max(day).alias("last"), F.count("close").alias("n"))
+    order = Window.partitionBy("ticker").orderBy("month")
+    later = Window.partitionBy("ticker").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("ticker")
-    stream = stream.select(
-        "ticker", "date", "doc_id", F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).over(back).alias("entry"), F.max("close").over(ahead).alias("peak"),
-        F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).over(whole).alias("latest"), F.count("close").over(whole).alias("n"),
+    months = months.select(
+        "ticker", "month", F.last("end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.max("top").over(later).alias("after"),
+        F.max_by("end", "last").over(whole).alias("latest"), F.sum("n").over(whole).alias("n"),
     )
-    rows = stream.where("doc_id is not null and n >= 2 and entry > 0").withColumn("peak", F.coalesce("peak", "latest"))
+    back = Window.partitionBy("ticker", "month").orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # From the last day backwards, so that this frame too only ever grows; to the end of the partition it would be taken anew for each row.
+    ahead = Window.partitionBy("ticker", "month").orderBy(F.desc("date")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = stream.withColumns({"own": F.max_by("close", day).over(back), "top": F.max("close").over(ahead)}).where("doc_id is not null").join(months, ["ticker", "month"])
+    rows = rows.select("ticker", "doc_id", "date", "latest", "n", F.coalesce("own", "before").alias("entry"), F.greatest("top", "after").alias("peak")).where("n >= 2 and entry > 0")
+    rows = rows.withColumn("peak", F.coalesce("peak", "latest"))
+    mentions = rows.groupBy("ticker").agg((F.count("*") - 1).alias("co_mentions"))
     change = lambda x: F.round((F.col(x) / F.col("entry") - 1) * 100, 2)
-    return rows.select(
-        "ticker", "doc_id", "date", F.round("entry", 2).alias("entry_close"), F.round("latest", 2).alias("latest_close"), change("latest").alias("return_pct"),
-        change("peak").alias("peak_pct"), (F.count("*").over(whole) - 1).alias("co_mentions"),
+    return rows.join(mentions, "ticker").select(
+        "ticker", "doc_id", "date", F.round("entry", 2).alias("entry_close"), F.round("latest", 2).alias("latest_close"), change("latest").alias("return_pct"), change("peak").alias("peak_pct"), "co_mentions",
     )
 
 
@@ -243,9 +251,10 @@ def mention_rows(docs: DataFrame, prices: DataFrame, since: str) -> DataFrame:
 
 
 def significant_moves(prices: DataFrame, threshold_pct: float = 5.0) -> DataFrame:
-    """ticker, date, return_pct of the days whose close moved by threshold_pct or more; none after a close of 0."""
-    prior = F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))
-    rows = prices.withColumn("prior", prior).where("prior is not null and prior <> 0")
+    """ticker, date, return_pct of the days whose close moved by threshold_pct or more; none after a close of 0. Prices have a row a day."""
+    rows = carried(prices.withColumn("__month", F.substring("date", 1, 7)), ["ticker"], "__month", "date", "close", "__before")
+    prior = F.coalesce(F.lag("close").over(Window.partitionBy("ticker", "__month").orderBy("date")), F.col("__before"))
+    rows = rows.withColumn("prior", prior).where("prior is not null and prior <> 0")
     rows = rows.withColumn("return_pct", (F.col("close") - F.col("prior")) / F.col("prior") * 100)
     return rows.where(F.abs("return_pct") >= threshold_pct).select("ticker", "date", "return_pct")
 
@@ -254,8 +263,8 @@ def trailing(prices: DataFrame, days: int) -> DataFrame:
     """The last days of each series, counted back from its own last day; all of it for 0 or less."""
     if days <= 0:
         return prices
-    last = F.max(F.to_date("date")).over(Window.partitionBy("ticker"))
-    return prices.withColumn("__last", last).where(F.to_date("date") >= F.date_sub("__last", days - 1)).drop("__last")
+    last = prices.groupBy("ticker").agg(F.max(F.to_date("date")).alias("__last"))
+    return prices.join(last, "ticker").where(F.to_date("date") >= F.date_sub("__last", days - 1)).select(*prices.columns)
 
 
 def nearby_receipts(moves: DataFrame, docs: DataFrame, window_days: int = 7, bucket: int | None = None) -> DataFrame:

@@ -55,17 +55,42 @@ def novel_candidates(hits: DataFrame, known: DataFrame, query: str, forms: list[
     return rows.withColumn("provenance", source)
 
 
+def time_bucket(time: str, kind: str):
+    """A coarse part of a time column: days of timestamps and dates, months of ISO text, 86,400 of numbers."""
+    if kind.startswith(("timestamp", "date")):
+        return F.to_date(time).cast("string")
+    if kind == "string":
+        return F.substring(time, 1, 7)
+    return F.floor(F.col(time) / 86_400)
+
+
+def carried(rows: DataFrame, by: list[str], bucket: str, order: str, value: str, name: str) -> DataFrame:
+    """rows with name: the last value, not null, of their key's earlier buckets.
+
+    Each bucket ends in one row, and only these rows of a key are put in order, so a key
+    with very many rows is as many tasks as it has buckets.
+    """
+    ends = rows.groupBy(*by, bucket).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(ends.select(*by, bucket, F.last("__end", ignorenulls=True).over(before).alias(name)), [*by, bucket])
+
+
 def asof_backward(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str) -> DataFrame:
-    """left with the value of the last right row of its key at or before its time, null without one.
+    """left with the value of the last right row of its key at or before its time, null without one; null keys and times have none.
 
     Both sides are one stream, so the join is a sort by key and time and a window, linear in
-    the rows, where a join by inequality would pair each with all before it.
+    the rows, where a join by inequality would pair each with all before it. The windows are
+    of a key's time bucket, and the last value is carried from bucket to bucket.
     """
+    kind = right.schema[right_time].dataType.simpleString()
     a = left.withColumn("__t", F.col(left_time)).withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(F.col(by), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    w = Window.partitionBy(by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__v", ignorenulls=True).over(w))
-    return rows.where("__side = 1").drop("__t", "__side", "__v").withColumnRenamed("__last", f"asof_{value}")
+    b = right.select(F.col(by), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v")).where(F.col(by).isNotNull() & F.col("__t").isNotNull())
+    usable = F.col(by).isNotNull() & F.col("__t").isNotNull()
+    stream = a.where(usable).unionByName(b, allowMissingColumns=True).withColumn("__bucket", time_bucket("__t", kind))
+    stream = carried(stream, [by], "__bucket", "__t", "__v", "__before")
+    w = Window.partitionBy(by, "__bucket").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = stream.withColumn("__last", F.coalesce(F.last("__v", ignorenulls=True).over(w), "__before")).where("__side = 1").select(*left.columns, F.col("__last").alias(f"asof_{value}"))
+    return rows.unionByName(a.where(~usable).select(*left.columns, F.col("__v").alias(f"asof_{value}")))
 
 
 def newest_alive(docs: DataFrame, alive: DataFrame, order: str = "ord") -> DataFrame:

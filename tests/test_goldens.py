@@ -3,6 +3,7 @@
 import math
 import re
 import time
+from itertools import pairwise
 
 import pytest
 from hypothesis import given, settings
@@ -223,6 +224,35 @@ def test_asof_join_takes_the_last_at_or_before(spark):
     assert {(r.k, r.t): r.asof_v for r in joins.asof_backward(a, b, "k", "t", "u", "v").collect()} == {("k", 5): "five", ("k", 1): None, ("j", 5): None}
 
 
+def test_asof_join_over_many_buckets(spark):
+    rng = __import__("random").Random(5)
+    left = [(rng.choice(["k", "j", None]), rng.randrange(10**6) if i else None, i) for i in range(300)]
+    right = [(rng.choice(["k", "j"]), t, f"v{t}") for t in rng.sample(range(10**6), 200)] + [(None, 5, "null key")]
+    a, b = spark.createDataFrame(left, "k string, t int, n int"), spark.createDataFrame(right, "k string, u int, v string")
+    got = {r.n: r.asof_v for r in joins.asof_backward(a, b, "k", "t", "u", "v").collect()}
+    want = {n: max(((u, v) for j, u, v in right if k is not None and t is not None and j == k and u <= t), default=(0, None))[1] for k, t, n in left}
+    assert got == want
+
+
+def test_mentions_over_many_months(spark):
+    rng = __import__("random").Random(6)
+    days = [f"20{20 + y}-{m:02d}-{d:02d}" for y in range(2) for m in range(1, 13) for d in (1, 11, 21)]
+    prices = [(t, d, float(rng.randrange(1, 99))) for t in "AB" for d in rng.sample(days, 40)]
+    hits = [(f"d{i}", "x", rng.choice("ABC"), rng.choice(days)[:8] + f"{rng.randrange(1, 29):02d}") for i in range(80)]
+    d, p = spark.createDataFrame(hits, "id string, text string, ticker string, date string"), spark.createDataFrame(prices, "ticker string, date string, close double")
+    got = {r.doc_id: (r.entry_close, r.latest_close, r.peak_pct) for r in analytics.mention_returns(d, p, "2020-01-01").collect()}
+    want = {}
+    for i, _, t, day in hits:
+        own = sorted((x, c) for s, x, c in prices if s == t)
+        before, after = [c for x, c in own if x <= day], [c for x, c in own if x >= day]
+        if before:
+            want[i] = (before[-1], own[-1][1], round((max(after, default=own[-1][1]) / before[-1] - 1) * 100 + 1e-9, 2))
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert all(abs(got[k][2] - want[k][2]) < 0.011 for k in want)
+    moves = {(r.ticker, r.date) for r in analytics.significant_moves(p, 50).collect()}
+    assert moves == {(t, y[0]) for t in "AB" for x, y in pairwise(sorted((d, c) for s, d, c in prices if s == t)) if abs(y[1] / x[1] - 1) >= 0.5}
+
+
 def test_queue_join_is_exact(spark):
     rows = spark.createDataFrame([("Polk", "IA", 1.0), ("polk", "IA", 2.0), ("Polk County", "IA", 3.0), (None, "IA", 4.0)], "county string, state string, mw double")
     hits, misses = joins.join_jurisdictions(rows, spark.createDataFrame([("Polk, IA", "Polk County, IA")], "place string, jurisdiction string"))
