@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import B, K1, bm25
-from ..functions.text import analyze_text, given, head_snippet, tokens
+from ..functions.text import analyze_text, centred_snippet, given, head_snippet, tokens
 from .fusion import fused_scores, hybrid, project_to_docs
 from .index import Index, of_terms
 from .tables import written
@@ -138,6 +138,12 @@ def filtered(docs: DataFrame, source_type=None, venue_type=None, ticker=None, ju
     return docs
 
 
+def _snippet(query: str):
+    """Around the first of the query's words, else the head; for the few rows of a result."""
+    words = sorted(set(analyze_text(query)))
+    return centred_snippet(F.col("text"), F.array(*(F.lit(w) for w in words))) if words else head_snippet(F.col("text"))
+
+
 FIELDS = ("source_type", "venue_type", "date", "deep_link", "ticker", "jurisdiction")
 
 
@@ -158,7 +164,7 @@ def search(index: Index, query: str, k: int = 10, op: str = "OR", sort: str = "r
     else:
         order = [F.desc(F.coalesce("date", F.lit(""))), *order]
         best = found.join(docs.select("id", "date"), "id").orderBy(*order).limit(max(0, k)).select("id", "score")
-    rows = best.join(docs, "id").select("id", "score", head_snippet(F.col("text")).alias("snippet"), *(c for c in FIELDS if c in docs.columns))
+    rows = best.join(docs, "id").select("id", "score", _snippet(query).alias("snippet"), *(c for c in FIELDS if c in docs.columns))
     return rows.orderBy(*order)
 
 
@@ -196,5 +202,6 @@ def find(index: Index, query: str, mode: str = "lexical", k: int = 20, op: str =
         order = [F.desc(F.coalesce("date", F.lit(""))), *order]
     kept = ranked.join(docs.select("id", "date"), "id") if whole else ranked
     best = kept.orderBy(*order).limit(k).select("id", "score")
-    rows = best.join(index.docs, "id").select("id", "score", head_snippet(F.col("text")).alias("snippet"), *(c for c in FIELDS if c in index.docs.columns))
+    snippet = head_snippet(F.col("text")) if mode == "semantic" else _snippet(query)
+    rows = best.join(index.docs, "id").select("id", "score", snippet.alias("snippet"), *(c for c in FIELDS if c in index.docs.columns))
     return rows.orderBy(*order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -132,5 +133,54 @@ def embed_in_steps(pairs: DataFrame, provider: Callable[[list[str]], list[list[f
     return spark.read.parquet(path)
 
 
+Provider = Callable[[list[str]], list[list[float]]]
+PROVIDERS: dict[str, Callable[..., Provider]] = {}
+
+
+def register_provider(name: str):
+    """Decorates a factory of providers; provider(name) finds it."""
+
+    def add(factory: Callable[..., Provider]) -> Callable[..., Provider]:
+        PROVIDERS[name] = factory
+        return factory
+
+    return add
+
+
+def provider(name: str, **options) -> Provider:
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name!r}; known are {', '.join(sorted(PROVIDERS)) or 'none'}")
+    return PROVIDERS[name](**options)
+
+
+def limited(call: Provider, texts: int = 512, chars: int = 1_000_000, retries: int = 4, wait: float = 1.0) -> Provider:
+    """call with at most so many texts and characters at once, tried again after a growing wait when it fails or returns too few vectors."""
+
+    def once(part: list[str]) -> list[list[float]]:
+        for attempt in range(retries + 1):
+            try:
+                found = call(part)
+                if len(found) == len(part):
+                    return found
+                error: Exception = ValueError(f"{len(found)} vectors for {len(part)} texts")
+            except Exception as failed:  # the last failure is raised below
+                error = failed
+            if attempt < retries:
+                time.sleep(wait * 2**attempt)
+        raise error
+
+    def run(batch: list[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        part: list[str] = []
+        for t in batch:
+            if part and (len(part) >= texts or sum(map(len, part)) + len(t) > chars):
+                out += once(part)
+                part = []
+            part.append(t)
+        return out + (once(part) if part else [])
+
+    return run
+
+
 def rows_for(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids.select("chunk_id"), "chunk_id", "left_semi")

@@ -486,6 +486,34 @@ def test_embedding_goes_on_where_it_stopped(spark, tmp_path):
         vectors.check_store(spark.createDataFrame([("a", [float("inf"), 0.0], "m", 2)], "chunk_id string, vec array<float>, model string, dim int"), "m", 2)
 
 
+def test_providers():
+    calls = []
+
+    @vectors.register_provider("letters")
+    def letters(scale=1.0):
+        def call(texts):
+            calls.append(len(texts))
+            if len(calls) == 2:
+                raise OSError("down")
+            return [[scale * len(t)] for t in texts][: -1 if len(calls) == 3 else None]
+
+        return call
+
+    run = vectors.limited(vectors.provider("letters", scale=2.0), texts=2, chars=10, wait=0.0)
+    assert run(["a", "bb", "ccc", "d" * 9, "e"]) == [[2.0], [4.0], [6.0], [18.0], [2.0]] and calls == [2, 1, 1, 1, 2]
+    with pytest.raises(ValueError, match="unknown provider"):
+        vectors.provider("none")
+    with pytest.raises(OSError):
+        vectors.limited(lambda t: (_ for _ in ()).throw(OSError("down")), retries=1, wait=0.0)(["x"])
+
+
+def test_snippets_of_results(spark):
+    rows = [("a", "x " * 200 + "the Substation here" + " y" * 200), ("b", "substation first")]
+    i = index.build(spark.createDataFrame([(*r, "s", "v", "2024", "l", None, None) for r in rows], "id string, text string, source_type string, venue_type string, date string, deep_link string, ticker string, jurisdiction string"))
+    got = {r.id: r.snippet for r in search.search(i, "substation").collect()}
+    assert got["b"] == "substation first" and "the Substation here" in got["a"] and len(got["a"]) == 170
+
+
 def test_half_precision(spark):
     import numpy as np
 
