@@ -182,5 +182,13 @@ def limited(call: Provider, texts: int = 512, chars: int = 1_000_000, retries: i
     return run
 
 
+def entry_for(store: DataFrame, chunk_id: str) -> DataFrame:
+    """The row of one chunk; an error if there is none."""
+    found = store.where(F.col("chunk_id") == chunk_id)
+    if not found.limit(1).count():
+        raise KeyError(chunk_id)
+    return found
+
+
 def rows_for(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids.select("chunk_id"), "chunk_id", "left_semi")

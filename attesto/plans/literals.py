@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import analytics, evaluation, fusion, joins, rag, search, vectors
+from ..operators import analytics, chunking, evaluation, fusion, joins, rag, search, vectors
 from ..operators import index as indexes
 from ..sources import documents, parsers
 from . import fixtures as fx
@@ -63,17 +63,23 @@ def hybrid_rows_fixture(spark, sf_dir):
     return fusion.hybrid_rows(fused, docs, spark.createDataFrame([("a", "hit")], "id string, snippet string")).select("id", "snippet")
 
 
-@query(values("what, message", "('identity', 'chunk ''c'' is not one document')", "('family', '''gpt-5'' may not judge ''gpt-4''')", "('unknown', '''gpt-5'' may not judge ''unheard''')", "('operator', 'unknown operator ''XOR''')", "('delete', '''9''')", "('criterion', 'q: the criterion has changed')", "('link', 'Falcon -> T: receipt is not in the corpus')"))
+@query(values("what, message", "('identity', 'chunk ''c'' is not one document')", "('family', '''gpt-5'' may not judge ''gpt-4''')", "('unknown', '''gpt-5'' may not judge ''unheard''')", "('operator', 'unknown operator ''XOR''')", "('delete', '''9''')", "('criterion', 'q: the criterion has changed')", "('link', 'Falcon -> T: receipt is not in the corpus')", "('window', 'window must be at least 1 and overlap less than it')", "('sweep', 'windows are 1 or more, overlaps 0 or more, and ks hold 10')", "('rrf', 'k must be positive')", "('infinite', 'embedding store: components that are not finite')", "('foreign', 'embedding store: another model or dimension')", "('missing', '1 chunks have no embedding')", "('entry', '''zz''')", "('repeated id', 'repeated document id ''1''')", "('repeated chunk', 'repeated chunk id ''c''')", "('by', 'by is jurisdiction or ticker')"))
 def guards_fixture(spark, sf_dir):
     """What the guards say of faults."""
     one = indexes.build(spark.createDataFrame([("1", "a")], "id string, text string"))
     links = spark.createDataFrame([("Falcon", "T", "confirmed", ["zz"])], "shell string, ticker string, confidence string, receipts array<string>")
     judged = spark.createDataFrame([("q", "old", "d", 1)], "query_id string, criterion string, doc_id string, ord int")
+    held = lambda x: spark.createDataFrame([("c", "h", [x], "m", 1)], "chunk_id string, content_hash string, vec array<float>, model string, dim int")
     cases = {
         "identity": lambda: fusion.require_identity_chunks(spark.createDataFrame([("c", ["a", "b"])], "chunk_id string, doc_ids array<string>")),
         "family": lambda: evaluation.require_other_family("gpt-4", "gpt-5"), "unknown": lambda: evaluation.require_other_family("unheard", "gpt-5"),
         "operator": lambda: search.boolean_search(one, "a", "XOR"), "delete": lambda: one.delete(["9"]),
         "criterion": lambda: evaluation.pending_judgments(one.docs.select("id"), judged, "q", "new"), "link": lambda: analytics.checked_links(links, one.docs),
+        "window": lambda: chunking.chunk_corpus(one.docs, 2, 2), "sweep": lambda: evaluation.chunk_sweep(one.docs, judged, judged, (1,), (0,), (5,)), "rrf": lambda: fusion.rrf_fuse([], 0),
+        "infinite": lambda: vectors.check_store(held(float("inf")), "m", 1), "foreign": lambda: vectors.check_store(held(1.0), "other", 1), "entry": lambda: vectors.entry_for(held(1.0), "zz"),
+        "missing": lambda: vectors.semantic_search(held(1.0), spark.createDataFrame([("c", "x"), ("d", "y")], "chunk_id string, text string"), [1.0], 1),
+        "repeated id": lambda: indexes.assert_unique(one.docs.union(one.docs)), "by": lambda: analytics.quantity_rollup(one.docs, "id"),
+        "repeated chunk": lambda: vectors.embed_corpus(held(1.0).union(held(2.0)).select("chunk_id", F.lit("x").alias("text")), lambda t: [[1.0]] * len(t), "m", 1),
     }
     said = []
     for name, case in cases.items():

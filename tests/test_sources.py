@@ -169,3 +169,40 @@ def test_positions_and_reports(spark):
         analytics.recent_mentions(mentions, "2024-01-10", 0, 5)
     live, soon = analytics.upcoming(spark.createDataFrame([("j", "v1", "is_live"), ("j", "v2", "is_upcoming")], "jurisdiction string, video_id string, status string"))
     assert live.first().video_id == "v1" and soon.first().video_id == "v2"
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from attesto.operators import tables
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app-x"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(cluster)
+    with tables.cleared(keep=1):
+        gone = tables.written(spark.range(3))
+        kept = tables.written(gone.where("id > 0"))
+    assert kept.count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0]).count()
+    at = tables.put(spark, f"{tables.shared_dir(spark)}/note/x.txt", "a\nb")
+    assert tables.exists(spark, at) and [r.value for r in spark.read.text(at).collect()] == ["a", "b"]
+
+
+def test_workers_find_the_package_without_the_drivers_path(tmp_path):
+    """A driver that knows the package by sys.path alone; workers get it from Spark."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession, functions as F\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.driver.host', '127.0.0.1').getOrCreate()\n"
+        "from attesto.functions import text\n"
+        "assert spark.createDataFrame([('ＡＢＣ',)], 't string').select(text.analyze(F.col('t')).alias('a')).first().a == ['abc']\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=200)
