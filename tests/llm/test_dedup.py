@@ -110,7 +110,7 @@ def test_pipeline_stage_links_from_80_hundredths(spark):
     assert 2 * (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 3e-5
 
 
-@pytest.mark.parametrize("segment", [7, 64, 1 << 21])
+@pytest.mark.parametrize("segment", [7, 64, 1 << 19])
 def test_shingles_match_words(monkeypatch, segment):
     monkeypatch.setattr(hashing, "SEGMENT", segment)
     texts = [t or "" for _, t in documents()]
@@ -118,7 +118,7 @@ def test_shingles_match_words(monkeypatch, segment):
     offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
     got = hashing.shingles(data, offsets)
     assert [len(x) for x in got] == [len(word_shingles(t)) for t in texts]
-    monkeypatch.setattr(hashing, "SEGMENT", 1 << 21)
+    monkeypatch.setattr(hashing, "SEGMENT", 1 << 19)
     assert all((a == b).all() for a, b in zip(got, hashing.shingles(data, offsets)))
 
 
