@@ -18,13 +18,21 @@ __all__ = ["WORD", "blocks", "chars", "cleared", "in_arrow", "partitions", "shar
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch, where a session has Spark's own 64 MB: a worker and its executor hold a few batches each.
+BATCH, SPARKS_BATCH = "8m", ("64m", "64MB", "67108864", "67108864b")
+
+
 def in_arrow(df: DataFrame, f: Callable, ddl) -> DataFrame:
-    """df.mapInArrow() by workers that can import this package."""
-    reachable(df.sparkSession)
+    """df.mapInArrow() by workers that can import this package, in batches of BATCH bytes."""
+    spark = df.sparkSession
+    reachable(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", SPARKS_BATCH[0]) in SPARKS_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return df.mapInArrow(f, ddl)
 
 

@@ -18,7 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of a long text whose sums are in memory at once.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
