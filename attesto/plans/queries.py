@@ -207,7 +207,11 @@ def content_hashes(spark, sf_dir):
     return corpus(spark, sf_dir).select("id", text.content_hash(F.lit("m"), F.lit(64), F.col("text")).alias("content_hash"))
 
 
-@query()
+_LETTERS = ", ".join(f"length(t) - length(replace(t, '{c}', '')) + 1" for c in "abcdefgh")
+
+
+@query(f"""WITH x AS (SELECT *, CAST([{_LETTERS}] AS DOUBLE[]) AS v FROM (SELECT *, substr(text, 1, 24000) AS t FROM documents))
+SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha256('letters' || chr(10) || '8' || chr(10) || text) AS content_hash, list_transform(v, lambda e: CAST(e / sqrt(list_sum(list_transform(v, lambda y: y * y))) AS FLOAT)) AS vec, 'letters' AS model, 8 AS dim, length(text) > 24000 AS truncated FROM x""")
 def embed_corpus(spark, sf_dir):
     """Embeds documents with a provider that counts letters, one call for each distinct text."""
     provider = lambda texts: [[float(t.count(c)) + 1 for c in "abcdefgh"] for t in texts]
