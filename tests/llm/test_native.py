@@ -239,6 +239,13 @@ def test_segments_bear_loss_for_assistants_only(spark):
     assert row.formatted.count("[INST]") == 2 and row.formatted.count("</s>") == 2
 
 
+def test_the_mask_marks_what_is_read_back_as_loss(spark):
+    df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
+    under = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")
+    masked = {r.conv_id: r.digest for r in chat.formatted(df).select("conv_id", F.sha2(chat.unescaped(under), 256).alias("digest")).collect()}
+    assert masked == {r.conv_id: r.loss_sha256 for r in chat.chat_format(df).collect()}
+
+
 def test_plans_are_native(spark):
     _, df = _mix_docs(spark)
     chats = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
