@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 from ._common import small, written
 
-#: Edges from which a node's are joined by a broadcast of the node's row, and such rows that are broadcast at most.
-HOT, BROADCAST_HOT = 2_000, 1_000_000
+#: Edges from which a node's are joined by a broadcast of the node's row, and such rows that are broadcast at most. Tables
+#: of fewer than FEW edges are not searched for such nodes.
+HOT, BROADCAST_HOT, FEW = 2_000, 1_000_000, 10_000
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, edges: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
     up = both.where("v > u")
-    hot = written(least.where(F.col("c") > HOT).drop("c"))
     out = up.join(least.drop("c"), "u")
-    if hot.limit(1).count():  # a node with very many edges is not one task's work
+    hot = written(least.where(F.col("c") > HOT).drop("c")) if edges >= FEW else None
+    if hot is not None and hot.limit(1).count():  # a node with very many edges is not one task's work
         held = small(hot, BROADCAST_HOT)
         out = up.join(held, "u").unionByName(up.join(held.select("u"), "u", "left_anti").join(least.where(F.col("c") <= HOT).drop("c"), "u"))
     return out.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -48,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     state = _state(e)
     while state[0]:
-        e = written(_small_star(_large_star(e)))
+        e = written(_small_star(_large_star(e, state[0])))
         last, state = state, _state(e)
         if last == state:
             break

@@ -57,6 +57,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 3)
     monkeypatch.setattr(near_dedup, "STAR", 2)
     monkeypatch.setattr("attesto.llm.components.HOT", 3)
+    monkeypatch.setattr("attesto.llm.components.FEW", 1)
     rows = documents()
     df = spark.createDataFrame(rows, SCHEMA)
     assert key(tuple(r) for r in near_dedup.near_duplicates(df, percent=85).collect()) == key(brute_components(rows))
