@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count, tokens
+from .tables import spread
 
 #: Postings of a file of a saved index, about.
 FILE_ROWS = 2_000_000
@@ -110,9 +111,10 @@ def build(docs: DataFrame, analyzer=tokens, counter=None) -> Index:
     searches of more than one query are meant to run on a saved index.
     """
     counter = counter or (token_count if analyzer is tokens else lambda text: F.size(analyzer(text)).cast("long"))
-    terms = docs.select("id", analyzer(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("length"), F.posexplode("t").alias("pos", "term"))
+    texts = spread(docs.select("id", "text"))
+    terms = texts.select("id", analyzer(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("length"), F.posexplode("t").alias("pos", "term"))
     postings = terms.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    lengths = docs.select("id", counter(F.col("text")).alias("length"))
+    lengths = texts.select("id", counter(F.col("text")).alias("length"))
     return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths))
 
 

@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes a core up to which a table is small enough to be dealt out before costly work on its texts.
+SMALL_SHARE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is small: a file of one row group would be one core's work. A large one is as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
