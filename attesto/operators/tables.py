@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,8 +73,9 @@ def _clean() -> None:
     for spark, path in _made:
         try:
             _delete(spark, path)
-        except Exception:  # the session may have ended before
-            pass
+        except Exception:  # the session may have ended before; a local folder goes all the same
+            if path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def written(df: DataFrame) -> DataFrame:
