@@ -16,6 +16,7 @@ from .licenses import KNOWN, license_scan
 from .mixing import mixed, weight_table
 from .near_dedup import near_duplicates
 from .packing import packed
+from .pieces import Vocabulary, encoded
 from .quality import ablations, quality_rules
 from .secrets import RULES, secret_scan, update
 from .suffix_dedup import repeats_removed
@@ -69,6 +70,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(rows.unionByName(more))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    found = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), Vocabulary.load(model))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablations(table(spark, sf_dir, "documents"))
 
@@ -88,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_suffix_dedup, op3_license_scan, op4_mixing, op5_exact_top_k,
         op6_quality_rules, op7_secret_scan, op8_language_id, op9_near_dedup, op10_chat_format,
+        op12_sentencepiece,
         quality_ablation, license_fixture,
     )
 }
