@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ._common import in_arrow
 
@@ -252,5 +253,5 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: st
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(texts, pa.string())], [*batch.schema.names, ids, decoded])
 
-    schema = source.schema.add(ids, "array<int>").add(decoded, "string")
+    schema = T.StructType([*source.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
     return in_arrow(source, run, schema)
