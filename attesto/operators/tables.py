@@ -63,16 +63,26 @@ def put(spark: SparkSession, path: str, content: str | bytes) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def renamed(spark: SparkSession, path: str, to: str) -> str:
+    """Moves a file or folder within one file system; the folder above the new place is made if need be."""
+    a, b = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    files = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(b.getParent())
+    if not files.rename(a, b):
+        raise OSError(f"{path} can't be moved to {to}")
+    return to
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session may have ended before; a local folder goes all the same
             if path.startswith("file://"):
                 shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
@@ -98,7 +108,7 @@ def cleared(keep: int = 0) -> Iterator[None]:
     finally:
         _open.pop()
         for spark, path in paths[: len(paths) - keep]:
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
