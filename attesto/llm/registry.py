@@ -19,6 +19,7 @@ from .packing import packed
 from .pieces import Vocabulary, encoded
 from .quality import ablations, quality_rules
 from .secrets import RULES, secret_scan, update
+from .sequenced import applied
 from .suffix_dedup import repeats_removed
 from .topk import top_k
 
@@ -70,6 +71,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(rows.unionByName(more))
 
 
+def op11_change_applier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("change_id").cast("string"))
+    day = F.unix_date(F.to_date("valid_at")) + 9 * (h % 4)
+    found = applied(table(spark, sf_dir, "client_changes"), day, h % 11 != 0, first_day=19723, days=160)
+    return found.withColumn("cents", F.floor(100 * F.col("balance") + 0.5)).drop("balance")
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     if model is None:
         import public_tokenizers
@@ -100,7 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_suffix_dedup, op3_license_scan, op4_mixing, op5_exact_top_k,
         op6_quality_rules, op7_secret_scan, op8_language_id, op9_near_dedup, op10_chat_format,
-        op12_sentencepiece,
+        op11_change_applier, op12_sentencepiece,
         quality_ablation, license_fixture,
     )
 }
