@@ -243,3 +243,68 @@ FROM c WHERE epochs > 0 OR before < rest
 
 
 MIXING = _mixing()
+
+LEXICAL_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY t, docs),
+i AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS x FROM p JOIN w USING (t), c),
+s AS (SELECT item_id, r, doc_id, sum(x)::BIGINT AS score FROM q JOIN i USING (t) GROUP BY ALL HAVING sum(x) > 0),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+CHANGE_APPLIER = r"""
+WITH RECURSIVE
+bits AS (SELECT i, 0 AS step, i AS v FROM range(256) t(i) UNION ALL SELECT i, step + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE step < 8),
+lookup AS (SELECT list(v ORDER BY i) AS x FROM bits WHERE step = 8),
+ids AS (SELECT DISTINCT change_id FROM client_changes WHERE change_id IS NOT NULL),
+crc AS (
+  SELECT change_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(change_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: xor(a // 256, x[xor(a, b) % 256 + 1])), 4294967295::BIGINT) AS h
+  FROM ids, lookup),
+base AS (
+  SELECT d.*, dense_rank() OVER (PARTITION BY client_id ORDER BY seq NULLS FIRST) AS n, datediff('day', DATE '1970-01-01', valid_at::DATE) + 9 * (h % 4) AS day, h
+  FROM (SELECT DISTINCT * FROM client_changes) d LEFT JOIN crc USING (change_id)),
+kept AS (SELECT *, least(12, 1 + (day - 19723) * 12 // 160) AS batch FROM base WHERE valid_at IS NOT NULL AND h % 11 <> 0),
+heads AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY client_id, n ORDER BY day, change_id) = 1),
+highs AS (SELECT b, (SELECT max(day) FROM kept WHERE batch < b) AS high FROM range(1, 13) t(b) UNION ALL SELECT 13, 1000000000),
+runs AS (  -- stretches of numbers of which each is there by batch b
+  SELECT client_id, b, min(n) AS a, max(n) AS z FROM (
+    SELECT client_id, b, n, n - row_number() OVER (PARTITION BY client_id, b ORDER BY n) AS g FROM heads, range(1, 14) t(b) WHERE batch <= b)
+  GROUP BY client_id, b, g),
+-- phase 0 of batch b: what is due jumps, one jump a step; phase 1: the batch's own rows
+state(client_id, b, phase, next, first, upto, missed, step) AS (
+  SELECT DISTINCT client_id, 1, 0, 1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0 FROM heads
+  UNION ALL
+  SELECT s.client_id, CASE WHEN s.phase = 1 THEN s.b + 1 ELSE s.b END,
+    CASE WHEN s.phase = 1 THEN 0 WHEN due THEN 0 ELSE 1 END,
+    CASE WHEN s.phase = 1 THEN coalesce(own.z + 1, s.next) WHEN due THEN held.z + 1 ELSE s.next END,
+    CASE WHEN s.phase = 1 THEN s.next WHEN due THEN held.n ELSE 0 END,
+    CASE WHEN s.phase = 1 THEN coalesce(own.z, 0) WHEN due THEN held.z ELSE 0 END,
+    CASE WHEN s.phase = 0 AND due THEN held.n - s.next ELSE 0 END, s.step + 1
+  FROM state s JOIN highs USING (b)
+  LEFT JOIN runs own ON own.client_id IS NOT DISTINCT FROM s.client_id AND own.b = s.b AND s.phase = 1 AND s.next BETWEEN own.a AND own.z
+  LEFT JOIN LATERAL (
+    SELECT min(x.n) AS n, min(x.day) + 3 <= high AS due, min(y.z) AS z FROM heads x JOIN runs y ON y.client_id IS NOT DISTINCT FROM x.client_id AND y.b = s.b - 1 AND x.n BETWEEN y.a AND y.z
+    WHERE s.phase = 0 AND x.client_id IS NOT DISTINCT FROM s.client_id AND x.batch < s.b AND x.n >= s.next) held ON true
+  WHERE s.b < 13 OR s.phase = 0 AND coalesce(due, false)),
+steps AS (SELECT client_id, first, upto, missed, step, CASE WHEN lag(b) OVER w < b AND lag(phase) OVER w = 1 THEN b - 1 ELSE b END AS batch FROM state WINDOW w AS (PARTITION BY client_id ORDER BY step)),
+done AS (
+  SELECT h.*, s.batch AS done_in, CASE WHEN h.n = s.first THEN s.missed ELSE 0 END AS missed
+  FROM heads h JOIN steps s ON h.client_id IS NOT DISTINCT FROM s.client_id AND h.n BETWEEN s.first AND s.upto),
+grouped AS (SELECT *, sum(CASE WHEN op IN ('I', 'D') THEN 1 ELSE 0 END) OVER (PARTITION BY client_id ORDER BY n) AS g, max(n) OVER (PARTITION BY client_id) AS z FROM done),
+valued AS (
+  SELECT change_id, done_in, missed, n = z AND op IS DISTINCT FROM 'D' AS current,
+    last_value(CASE WHEN op IN ('I', 'U') THEN city END IGNORE NULLS) OVER w AS city, last_value(CASE WHEN op IN ('I', 'U') AND NOT isnan(balance) THEN balance END IGNORE NULLS) OVER w AS balance
+  FROM grouped WINDOW w AS (PARTITION BY client_id, g ORDER BY n ROWS UNBOUNDED PRECEDING))
+SELECT k.change_id, client_id, CASE WHEN v.change_id IS NULL THEN 'rejected' ELSE 'applied' END AS status, coalesce(done_in, batch)::INTEGER AS batch, coalesce(v.missed, 0)::BIGINT AS missed,
+  v.city, floor(100 * v.balance + 0.5)::BIGINT AS cents, coalesce(v.current, false) AS current
+FROM kept k LEFT JOIN valued v USING (change_id)
+"""

@@ -12,6 +12,7 @@ from . import oracles
 from ._common import table
 from .chat import chat_format
 from .langid import language_id
+from .lexical import ranked
 from .licenses import KNOWN, license_scan
 from .mixing import mixed, weight_table
 from .near_dedup import near_duplicates
@@ -89,6 +90,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 50)
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablations(table(spark, sf_dir, "documents"))
 
@@ -108,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_suffix_dedup, op3_license_scan, op4_mixing, op5_exact_top_k,
         op6_quality_rules, op7_secret_scan, op8_language_id, op9_near_dedup, op10_chat_format,
-        op11_change_applier, op12_sentencepiece,
+        op11_change_applier, op12_sentencepiece, op13_lexical_search,
         quality_ablation, license_fixture,
     )
 }
@@ -122,6 +127,8 @@ ORACLES: dict[str, str] = {
     "op7_secret_scan": oracles.SECRET_SCAN,
     "op9_near_dedup": oracles.NEAR_DEDUP,
     "op10_chat_format": oracles.CHAT_FORMAT,
+    "op11_change_applier": oracles.CHANGE_APPLIER,
+    "op13_lexical_search": oracles.LEXICAL_SEARCH,
     "quality_ablation": oracles.ABLATIONS,
     "license_fixture": oracles.LICENSE_FIXTURE,
 }
