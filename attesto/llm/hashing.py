@@ -1,11 +1,14 @@
 """Vectorised 64-bit hashes of words, lines, shingles and byte windows of UTF-8 buffers.
 
-Any substring's hash comes from prefix sums of random byte values times powers of an
-odd number, modulo 2**64, and a final mix.
+Words and lines are hashed lane by lane through bijections, so no structure of a text makes them collide. Windows of
+bytes, for which prefix sums modulo 2**64 serve, may collide by their structure: these hashes only choose places, and
+whoever takes them compares bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _rng = np.random.default_rng(7041)
@@ -52,8 +55,33 @@ def prefix(data: np.ndarray, lower: bool = False) -> np.ndarray:
     return out
 
 
-def of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+#: Bytes of a span that are mixed in 64-bit lanes, and spans in work at once; what is longer gets a BLAKE2 digest.
+LANES, SPANS = 64 * 8, 1 << 16
+_MASKS = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
+_SEED = np.uint64(_rng.integers(1, 2**63))
+
+
+def _digest(data: np.ndarray, lower: bool) -> int:
+    found = hashlib.blake2b(digest_size=8)
+    for a in range(0, len(data), SEGMENT):
+        part = data[a : a + SEGMENT]
+        found.update((_LOWER[part] if lower else part).tobytes())
+    return int.from_bytes(found.digest(), "little")
+
+
+def _lanes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Eight bytes at a time, each lane through a bijection: spans of one length up to eight bytes never collide, and longer
+    ones as random numbers do. data goes on for 8 bytes after the last span."""
+    at = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    out = mix(sizes.astype(np.uint64) + _SEED)
+    left = np.flatnonzero(sizes > 0)
+    lane = 0
+    while len(left):
+        rest = sizes[left] - lane
+        out[left] = mix(out[left] ^ (at[starts[left] + lane] & _MASKS[np.minimum(rest, 8)]))
+        lane += 8
+        left = left[rest > 8]
+    return out
 
 
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
@@ -61,17 +89,17 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     out = np.zeros(len(starts), np.uint64)
     i, n = 0, len(starts)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
+        j = min(max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right"))), i + SPANS)
         a, b = int(starts[i]), int(ends[j - 1])
         if b - a <= SEGMENT:
-            sums = prefix(data[a:b], lower)
-            out[i:j] = of(sums, starts[i:j] - a, ends[i:j] - a)
-        else:  # one long span: the sums of its segments, each times its place
-            total = 0
-            for s in range(a, b, SEGMENT):
-                part = int(prefix(data[s : min(b, s + SEGMENT)], lower)[-1])
-                total = (total + part * pow(_P, s - a, 2**64)) % 2**64
-            out[i] = mix(np.array([total], np.uint64))[0]
+            part = np.zeros(b - a + 8, np.uint8)
+            part[: b - a] = _LOWER[data[a:b]] if lower else data[a:b]
+            sizes = ends[i:j] - starts[i:j]
+            out[i:j] = _lanes(part, starts[i:j] - a, np.where(sizes > LANES, 0, sizes))
+            for k in np.flatnonzero(sizes > LANES) + i:
+                out[k] = _digest(data[starts[k] : ends[k]], lower)
+        else:
+            out[i] = _digest(data[a:b], lower)
         i = j
     return out
 
