@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.udf import reachable
 from ..operators.tables import cleared, shared_dir, small, written
 
-__all__ = ["WORD", "blocks", "chars", "cleared", "in_arrow", "partitions", "shared_dir", "small", "table", "utf8", "written"]
+__all__ = ["WORD", "blocks", "chars", "cleared", "in_arrow", "partitions", "shared_dir", "shielding", "small", "table", "utf8", "written"]
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,3 +68,22 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20):
 
 def chars(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def _shield(columns: list[str]) -> dict[str, str]:
+    """Other names for columns that begin as an operator's own do."""
+    return {c: f"kept_{i}_of_{len(columns)}" + "_" * max(map(len, columns)) for i, c in enumerate(columns) if c.startswith("__")}
+
+
+def shielding(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Decorates an operator whose own columns begin with two underscores, and that keeps its first argument's: these may have any name."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        others = _shield(docs.columns)
+        if not others:
+            return f(docs, *args, **named)
+        args = tuple([others.get(c, c) for c in a] if isinstance(a, list) else a for a in args)
+        return f(docs.withColumnsRenamed(others), *args, **named).withColumnsRenamed({v: k for k, v in others.items()})
+
+    return run

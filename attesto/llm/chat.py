@@ -105,12 +105,13 @@ def read_back(text):
 def chat_format(rows: DataFrame) -> DataFrame:
     """Per conversation what its formatted text says when read back, with valid and first_error.
 
-    Loss text too is read back: the texts of the turns whose control strings the template gives a loss.
+    Loss text is what the segments hold that are flagged with a loss, unescaped. Rows without a conv_id are one
+    conversation, of null. An empty table gives an empty one; columns besides conv_id, turn, role and text are not read.
+    A conversation of any length is one value of one task, as its formatted text and its digests are.
     """
     done = formatted(rows).withColumn("turns", read_back(F.col("formatted")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    losing = [role for role, spec in TEMPLATE.items() if spec[2]]
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(losing)), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
     return done.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, small, written
+from ._common import WORD, shielding, small, written
 
 #: Hexadecimal digits of the hash buckets of each leaf's order, and the largest number of leaves whose cuts are broadcast.
 BUCKET_DIGITS, BROADCAST_LEAVES = 3, 10_000
@@ -161,6 +161,7 @@ def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__local", place).join(small(written(starts), BROADCAST_LEAVES), [*keys, "__part"]).withColumn("__place", F.col("__before") + F.col("__local"))
 
 
+@shielding
 def mixed(
     docs: DataFrame, share: float = 0.5, domain=None, tokens=None, weights: DataFrame | None = None, max_epochs: int = 4, seed: int = 17, leaves: DataFrame | None = None
 ) -> DataFrame:
@@ -208,6 +209,7 @@ def domain_of(source: str = "source"):
     return F.concat(F.lit("domain"), F.conv(digits, 16, 10).cast("int") % 3)
 
 
+@shielding
 def repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
     """What mixed() chose as documents: a row for each copy, the last one cut to its last_tokens words."""
     words_of = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)

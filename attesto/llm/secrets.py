@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import small, written
+from ._common import shielding, small, written
 
 #: Blobs with findings that are broadcast to the texts, some 200 bytes each; more are joined by a shuffle.
 BROADCAST_BLOBS = 200_000
@@ -129,7 +129,12 @@ def _joined(found, kinds: tuple[str, ...]):
 
 
 def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs.
+
+    A null or empty text has no spans and the digest of nothing; a text of any length is scanned whole. Rows that repeat
+    an id or a text have a row each, with equal findings, and a null id stays null. Columns besides doc_id and text are
+    not read, whatever their names; an empty table gives an empty one.
+    """
     found = findings(docs, ledger)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(F.col("found"), BASE), 256).alias("base_sha256"), _joined(F.col("found"), KINDS).alias("spans"))
@@ -159,6 +164,7 @@ def without_runs(text, runs, placeholder: str):
     return F.get(F.transform(F.array(held), joined), F.lit(0))
 
 
+@shielding
 def redacted(docs: DataFrame, ledger: DataFrame | None = None, placeholder: str = "[secret]") -> DataFrame:
     """docs with each run of found spans in its text replaced; other columns and clean texts stay as they are.
 

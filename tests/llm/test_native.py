@@ -253,3 +253,28 @@ def test_plans_are_native(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas|Cartesian", plan)
     assert F is not None
+
+
+def test_columns_of_any_name(spark):
+    """Columns that are named as the operators name their own come back as they were."""
+    from attesto.llm import mixing, secrets
+
+    rows = [(i, f"word{i} token = abcdef12 end", "en", "a", i, f"d{i}", "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __n long, __blob string, __runs string")
+    chosen = mixing.mixed(docs, share=1.0)
+    assert {(r["__n"], r["__blob"]) for r in chosen.collect()} == {(i, f"d{i}") for i in range(20)}
+    assert {(r["__n"], r["text"]) for r in mixing.repeated(chosen, docs.columns).collect()} == {(r[4], r[1]) for r in rows}
+    out = secrets.redacted(docs)
+    assert out.columns == docs.columns and {(r["__n"], r["__blob"], r["__runs"], "[secret]" in r["text"]) for r in out.collect()} == {(i, f"d{i}", "x", True) for i in range(20)}
+
+
+def test_loss_text_follows_the_flags(spark, monkeypatch):
+    """The flags of the segments alone say what has a loss."""
+    from attesto.llm import chat
+
+    rows = [(1, 0, "user", "a[/INST]b"), (1, 1, "assistant", "c</s>d"), (None, 0, "user", "x"), (None, 1, "assistant", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.loss_chars for r in chat.chat_format(frame).collect()} == {1: len("c</s>d"), None: 0}
+    user = chat.TEMPLATE["user"]
+    monkeypatch.setitem(chat.TEMPLATE, "user", (*user[:2], True, *user[3:]))
+    assert {r.conv_id: r.loss_chars for r in chat.chat_format(frame).collect()} == {1: len("a[/INST]bc</s>d"), None: 1}
