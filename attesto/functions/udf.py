@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pathlib import Path
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:  # workers that need no pandas don't load it
@@ -52,3 +52,16 @@ def series_udf(ddl: str) -> Callable:
         return apply
 
     return wrap
+
+
+#: Bytes of an Arrow batch, where a session has Spark's own 64 MB: a worker and its executor hold a few batches each.
+BATCH, SPARKS_BATCH = "8m", ("64m", "64MB", "67108864", "67108864b")
+
+
+def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """df.mapInArrow() by workers that can import this package, in batches of BATCH bytes."""
+    spark = df.sparkSession
+    reachable(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", SPARKS_BATCH[0]) in SPARKS_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df.mapInArrow(f, schema)

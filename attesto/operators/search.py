@@ -12,7 +12,7 @@ from ..functions.text import analyze_text, centred_snippet, given, head_snippet,
 from .fusion import fused_scores, hybrid, project_to_docs
 from .index import Index, of_terms
 from .tables import written
-from .vectors import cosine
+from .vectors import cosines
 
 
 def _terms(df: DataFrame, query: str, schema: str, rows) -> DataFrame:
@@ -189,7 +189,7 @@ def find(index: Index, query: str, mode: str = "lexical", k: int = 20, op: str =
     asked = {name: x for name, x in filters.items() if x is not None}
     docs = filtered(index.docs, **asked)
     whole = bool(asked) or sort != "score"
-    hits = store.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", cosine(F.col("vec"), F.array(*(F.lit(float(x)) for x in vector))).alias("score"))
+    hits = cosines(store.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "vec"), vector)
     semantic = project_to_docs(hits, chunks, index.docs).groupBy("id").agg(F.max("score").alias("score"))
     if mode == "semantic":
         ranked = semantic

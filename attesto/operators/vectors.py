@@ -2,35 +2,200 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scoring import dot, norm, normalised
 from ..functions.text import content_hash
+from ..functions.udf import in_arrow
 
 INPUT_CHARS = 24_000
 
 
+#: Vectors of a packed block.
+BLOCK = 4096
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of an Arrow column of lists, and which rows have one: of this width, all components finite."""
+    n = len(column)
+    sizes = np.zeros(n, np.int64)
+    sizes[:] = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten()  # without what null rows may cover
+    flat = (pc.fill_null(values, float("nan")) if values.null_count else values).to_numpy(zero_copy_only=False)
+    fits = sizes == width
+    if not fits.all():
+        flat = flat[np.repeat(fits, sizes)]
+    matrix = flat.reshape(-1, width)
+    good = np.isfinite(matrix).all(1)
+    fits[np.flatnonzero(fits)[~good]] = False
+    return matrix[good], fits
+
+
+def _cosines(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosines in double precision, each row by itself, so that equal vectors score the same; 0 for a vector of length 0."""
+    out = np.zeros(len(matrix))
+    for a in range(0, len(matrix), 1024):
+        part = matrix[a : a + 1024].astype(np.float64)
+        lengths = np.sqrt(np.einsum("ij,ij->i", part, part)) * math.sqrt(float(query @ query))
+        np.divide(np.einsum("ij,j->i", part, query), lengths, out=out[a : a + 1024], where=lengths > 0)
+    return out
+
+
+def _rounded(scores: np.ndarray, digits: int) -> np.ndarray:
+    """Half up on the decimal text, as SQL rounds."""
+    values, at = np.unique(scores, return_inverse=True)
+    step = Decimal(1).scaleb(-digits)
+    return np.array([float(Decimal(repr(float(x))).quantize(step, ROUND_HALF_UP)) for x in values] or [0.0])[at]
+
+
+def _best_rows(matrix: np.ndarray, query: np.ndarray, order: list, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k best rows, ties by order. One product in the vectors' own precision says which rows can be among them."""
+    if not len(matrix) or k <= 0:
+        return np.zeros(0, np.int64), np.zeros(0)
+    near = np.arange(len(matrix))
+    if len(matrix) > 4 * k:
+        with np.errstate(all="ignore"):
+            squares = np.einsum("ij,ij->i", matrix, matrix)
+            rough = (matrix @ query.astype(matrix.dtype)) / (np.sqrt(squares).astype(np.float64) * math.sqrt(float(query @ query)))
+            rough[~((squares > 1e-30) & (squares < 1e30) & np.isfinite(rough))] = np.inf  # beyond this precision: looked at again
+        slack = 2 * (np.finfo(matrix.dtype).eps * (matrix.shape[1] + 8)) + (0 if digits is None else 10.0**-digits)
+        near = np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack)
+    scores = _cosines(matrix[near], query)
+    if digits is not None:
+        scores = _rounded(scores, digits)
+    ranked = sorted(range(len(near)), key=lambda i: (-scores[i], order[near[i]]))[:k] if len(near) <= 8 * k + 1024 else _by_cut(scores, [order[i] for i in near], k)
+    return near[ranked], scores[ranked]
+
+
+def _by_cut(scores: np.ndarray, order: list, k: int) -> list[int]:
+    """The k first by score and order where many tie: only those that reach the kth score are sorted."""
+    cut = np.partition(scores, len(scores) - k)[len(scores) - k]
+    return sorted(np.flatnonzero(scores >= cut).tolist(), key=lambda i: (-scores[i], order[i]))[:k]
+
+
+def _partial(query: np.ndarray, k: int, order: str, vec: str, digits: int | None):
+    """The best rows of a task, batch by batch; the running ones go through the next batch's cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            matrix, fits = _matrix(batch.column(vec), len(query))
+            rows = batch.filter(pa.array(fits))
+            at, scores = _best_rows(matrix, query, rows.column(order).to_pylist(), k, digits)
+            new = pa.Table.from_batches([rows.take(pa.array(at))]).append_column("score", pa.array(scores, pa.float64()))
+            held = new if held is None else pa.concat_tables([held, new])
+            if held.num_rows > k:
+                keys = list(zip((-held.column("score").to_numpy()).tolist(), held.column(order).to_pylist()))
+                held = held.take(pa.array(sorted(range(len(keys)), key=keys.__getitem__)[:k]))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return run
+
+
 def cosine_top_k(store: DataFrame, query: list[float], k: int, order: str = "row", vec: str = "vec", digits: int | None = None) -> DataFrame:
-    """The k rows of greatest cosine with query, ties by order; score and rank. All in generated code.
+    """The k rows of greatest cosine with query, ties by order; score and rank.
 
-    Vectors of the store are of length 1, or of any length: the cosine divides by it.
+    Vectors of the store are of length 1, or of any length: the cosine divides by it. Each Arrow batch is one matrix,
+    a task gives its k best rows, and these meet in one small merge. Rows whose vector is null, of another width, or
+    holds a component that is null or not finite take no part.
     """
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return _top(store.withColumn("score", cosine(F.col(vec), q)), k, order, digits)
+    kept = store.drop("score")
+    best = in_arrow(kept, _partial(np.array(query, np.float64), max(0, k), order, vec, digits), T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return _top(best, k, order)
+
+
+def cosines(store: DataFrame, query: list[float], vec: str = "vec", digits: int | None = None) -> DataFrame:
+    """The store's other columns with the score of each row, batch by batch; rows without a whole vector take no part."""
+    asked = np.array(query, np.float64)
+    others = [c for c in store.columns if c not in (vec, "score")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix, fits = _matrix(batch.column(vec), len(asked))
+            scores = _cosines(matrix, asked)
+            kept = batch.select(others).filter(pa.array(fits))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores if digits is None else _rounded(scores, digits), pa.float64())], [*others, "score"])
+
+    schema = T.StructType([*(store.schema[c] for c in others), T.StructField("score", T.DoubleType())])
+    return in_arrow(store.select(*others, vec), run, schema)
+
+
+def packed(store: DataFrame, order: str = "row", vec: str = "vec", size: int = BLOCK) -> DataFrame:
+    """Blocks of vectors: ids (the order column), width, and the vectors as packed four-byte floats, row after row.
+
+    A block is what a task reads next to each other, size rows at most and of one width. Vectors that are null, or hold a
+    component that is null or not finite, are left out; so a packed store answers as cosine_top_k() does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = pc.fill_null(pc.list_value_length(batch.column(vec)), 0).to_numpy(zero_copy_only=False)
+            for width in np.unique(widths[widths > 0]).tolist():
+                matrix, fits = _matrix(batch.column(vec), width)
+                ids = batch.column(order).filter(pa.array(fits))
+                for a in range(0, len(matrix), size):
+                    part = np.ascontiguousarray(matrix[a : a + size], "<f4")
+                    mine = ids.slice(a, size)
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine)
+                    yield pa.RecordBatch.from_arrays([lists, pa.array([width], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["ids", "width", "vectors"])
+
+    kind = store.schema[order].dataType
+    return in_arrow(store.select(order, vec), run, T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("width", T.IntegerType()), T.StructField("vectors", T.BinaryType())]))
+
+
+def packed_top_k(blocks: DataFrame, query: list[float], k: int, order: str = "row", digits: int | None = None) -> DataFrame:
+    """cosine_top_k() over packed blocks: order, score and rank. A block is one product; bytes go through as they are."""
+    asked = np.array(query, np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []
+        for batch in batches:
+            for i in range(len(batch)):
+                if batch.column("width")[i].as_py() != len(asked):
+                    continue
+                matrix = np.frombuffer(batch.column("vectors")[i].as_buffer(), "<f4").reshape(-1, len(asked))
+                ids = batch.column("ids")[i].values
+                at, scores = _best_rows(matrix, asked, _Lazy(ids), k, digits)
+                best = sorted([*best, *zip((-scores).tolist(), ids.take(pa.array(at)).to_pylist())])[:k]
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in best], kind), pa.array([-x[0] for x in best], pa.float64())], [order, "score"])
+
+    element = blocks.schema["ids"].dataType.elementType
+    kind = to_arrow_type(element)
+    best = in_arrow(blocks.select("ids", "width", "vectors"), run, T.StructType([T.StructField(order, element), T.StructField("score", T.DoubleType())]))
+    return _top(best, k, order)
+
+
+class _Lazy:
+    """Values of an Arrow array, made one by one where they are asked for."""
+
+    def __init__(self, values: pa.Array):
+        self.values = values
+
+    def __getitem__(self, i):
+        return self.values[int(i)].as_py()
 
 
 def cosine(x, y):
+    """The cosine of two columns of vectors, for where both differ by row; one query goes through cosine_top_k() or cosines()."""
     lengths = norm(x) * norm(y)
     return F.when(lengths > 0, dot(x, y) / lengths).otherwise(0.0)
 
 
-def _top(rows: DataFrame, k: int, order: str, digits: int | None = None) -> DataFrame:
-    rows = rows.withColumn("score", F.round("score", digits)) if digits else rows
+def _top(rows: DataFrame, k: int, order: str) -> DataFrame:
     best = rows.orderBy(F.desc("score"), order).limit(max(0, k))
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), order)))
 

@@ -81,3 +81,13 @@ def built(spark: SparkSession, sf_dir: str) -> index.Index:
     """The saved index, built once an application and folder; searches read it."""
     path = _saved.get((spark.sparkContext.applicationId, sf_dir))
     return index.Index.load(spark, path) if path else build_index(spark, sf_dir)
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that follows from a folder's, written once an application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#{name}")
+    if key not in _saved:
+        path = f"{shared_dir(spark)}/{name}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+        make().write.mode("overwrite").parquet(path)
+        _saved[key] = path
+    return spark.read.parquet(_saved[key])

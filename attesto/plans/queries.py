@@ -11,7 +11,7 @@ from ..operators.tables import small, written
 from ..sources import documents, parsers
 from . import fixtures as fx
 from . import lifecycle, literals  # noqa: F401  (they register their queries)
-from .base import ALL, ASKED, BASE, DIGITS, DOCS, MARKERS, ORACLES, PHRASE, QUERIES, bm25_sql, build_index, built, corpus, query, table, values
+from .base import ALL, ASKED, BASE, DIGITS, DOCS, MARKERS, ORACLES, PHRASE, QUERIES, bm25_sql, build_index, built, corpus, kept, query, table, values
 
 # ---- index and lexical search
 
@@ -144,6 +144,12 @@ def cosine_top10(spark, sf_dir):
     return vectors.cosine_top_k(store(spark, sf_dir), _query_vector(spark, sf_dir), 10, digits=DIGITS).select("row", "score", "rank")
 
 
+@query(ORACLES["cosine_top10"])
+def cosine_packed_top10(spark, sf_dir):
+    """The same from a store of packed blocks, written once an application and folder."""
+    return vectors.packed_top_k(kept(spark, sf_dir, "blocks", lambda: vectors.packed(store(spark, sf_dir))), _query_vector(spark, sf_dir), 10, digits=DIGITS)
+
+
 @query(f"WITH {_VECTOR}, {_COSINE} SELECT CAST(vec_id AS VARCHAR) AS chunk_id, score FROM cs JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) WHERE label % 2 = 1 ORDER BY score DESC, 1 LIMIT 10")
 def covered_top10(spark, sf_dir):
     """Chunks are there for vectors of odd labels only."""
@@ -197,8 +203,7 @@ def rows_for_labels(spark, sf_dir):
 @query(f"{BASE}, {bm25_sql()}, {_VECTOR}, {_COSINE}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc), b AS (SELECT CAST(vec_id AS VARCHAR) AS id, row_number() OVER (ORDER BY score DESC, CAST(vec_id AS VARCHAR)) AS rank FROM cs), u AS (SELECT * FROM a UNION ALL SELECT * FROM b), f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY id) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM f ORDER BY score DESC, id LIMIT 20")
 def hybrid_top20(spark, sf_dir):
     lexical = search.scan_scores(corpus(spark, sf_dir), ASKED).withColumn("score", F.round("score", DIGITS))
-    q = F.array(*(F.lit(x) for x in _query_vector(spark, sf_dir)))
-    semantic = store(spark, sf_dir).select("id", F.round(vectors.cosine(F.col("vec"), q), DIGITS).alias("score"))
+    semantic = vectors.cosines(store(spark, sf_dir).select("id", "vec"), _query_vector(spark, sf_dir), digits=DIGITS)
     return fusion.hybrid(lexical, semantic, 20, None, 9)
 
 
@@ -326,8 +331,7 @@ UNION SELECT id FROM (SELECT id FROM docs ORDER BY md5('7:' || id), id LIMIT 3))
 def pooled_candidates(spark, sf_dir):
     d = corpus(spark, sf_dir)
     lexical = search.scan_scores(d, ASKED).withColumn("score", F.round("score", DIGITS))
-    q = F.array(*(F.lit(x) for x in _query_vector(spark, sf_dir)))
-    semantic = store(spark, sf_dir).join(d.select("id"), "id", "left_semi").select("id", F.round(vectors.cosine(F.col("vec"), q), DIGITS).alias("score"))
+    semantic = vectors.cosines(store(spark, sf_dir).join(d.select("id"), "id", "left_semi").select("id", "vec"), _query_vector(spark, sf_dir), digits=DIGITS)
     return evaluation.pool_candidates(d, "The ", lexical, semantic, 20, 7)
 
 
