@@ -69,9 +69,10 @@ def _best_rows(matrix: np.ndarray, query: np.ndarray, order: list, k: int, digit
         with np.errstate(all="ignore"):
             squares = np.einsum("ij,ij->i", matrix, matrix)
             rough = (matrix @ query.astype(matrix.dtype)) / (np.sqrt(squares).astype(np.float64) * math.sqrt(float(query @ query)))
-            rough[~((squares > 1e-30) & (squares < 1e30) & np.isfinite(rough))] = np.inf  # beyond this precision: looked at again
+            odd = ~((squares > 1e-30) & (squares < 1e30) & np.isfinite(rough))  # beyond this precision: looked at again
+        rough[odd] = -np.inf
         slack = 2 * (np.finfo(matrix.dtype).eps * (matrix.shape[1] + 8)) + (0 if digits is None else 10.0**-digits)
-        near = np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack)
+        near = np.flatnonzero(odd | (rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack))
     scores = _cosines(matrix[near], query)
     if digits is not None:
         scores = _rounded(scores, digits)
