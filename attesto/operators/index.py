@@ -1,24 +1,54 @@
-"""The positional inverted index as tables: docs, postings, term_stats, doc_stats, corpus_stats."""
+"""The positional inverted index as tables: docs, postings, term_stats, doc_stats, corpus_stats; saved as segments of blocks.
+
+A saved index is a manifest and the segments that it names. A segment holds its postings in blocks: those of one term in
+one range of documents, in order of id, with the greatest count and the least length among them, so that a search knows
+what a block can score before it reads it. Ranges hold documents of about one length, and are the same for all terms.
+Deleted ids are a table beside the segments; whoever reads leaves them out, and a compaction merges all into one segment.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_count, tokens
-from .tables import spread
+from ..functions.udf import in_arrow
+from .tables import exists, put, small, spread
 
-#: Postings of a file of a saved index, about.
-FILE_ROWS = 2_000_000
+#: Postings of a file of a saved index, and documents of a range of one length, about.
+FILE_ROWS, RANGE_DOCS = 2_000_000, 4096
+#: Rows up to which deleted ids are broadcast.
+BROADCAST_IDS = 200_000
+BLOCKS = "term string, range int, n int, tf int, length long, p array<struct<id: string, tf: int, length: long, positions: array<int>>>, bucket int"
+
+
+@dataclass(frozen=True)
+class Segment:
+    """blocks(bucket, term, range, n, tf, length, p array of (id, tf, length, positions)); tf is the greatest, length the least of a block."""
+
+    number: int
+    blocks: DataFrame
+    buckets: int
+
+    def of_terms(self, words: list[str]) -> DataFrame:
+        """The terms' blocks. The bucket names folders, so others are not read."""
+        wanted = [F.pmod(F.hash(F.lit(w)), F.lit(self.buckets)) for w in words]
+        return self.blocks.where(F.col("bucket").isin(wanted) & F.col("term").isin(words)).drop("bucket")
 
 
 @dataclass(frozen=True)
 class Index:
     """docs(id, ...), postings(term, id, tf, length, positions), term_stats(term, df), doc_stats(id, length), corpus_stats(n, average).
 
-    Saved postings lie in buckets by a hash of the term: bucketed are they with that column.
+    A loaded one has its segments, and gone(id, upto): ids deleted from segments up to a number.
     """
 
     docs: DataFrame
@@ -26,17 +56,27 @@ class Index:
     term_stats: DataFrame
     doc_stats: DataFrame
     corpus_stats: DataFrame
-    buckets: int | None = None
-    bucketed: DataFrame | None = None
+    segments: tuple[Segment, ...] = ()
+    gone: DataFrame | None = None
+    saved: tuple[tuple[Segment, DataFrame, DataFrame, DataFrame], ...] = ()  # each segment's docs, frequencies and lengths
+
+    def of_terms(self, words, ranges: DataFrame | None = None) -> DataFrame:
+        """Postings of these terms; with ranges (segment, range), a few, only of documents in them: other blocks are not unpacked."""
+        words = sorted(set(words))
+        if not self.segments or not words:
+            return of_terms(self.postings, words)
+        parts = []
+        for s in self.segments:
+            rows = s.of_terms(words)
+            if ranges is not None:
+                rows = rows.join(F.broadcast(ranges.where(F.col("segment") == s.number).select("range")), "range", "left_semi")
+            parts.append(_living(rows.select("term", F.inline("p")), s.number, self.gone))
+        return reduce(DataFrame.unionByName, parts)
 
-    def of_terms(self, words) -> DataFrame:
-        """Postings of these terms. The condition goes into the files' scan, or below the aggregation that builds them, where a join would not."""
+    def heads(self, words) -> DataFrame:
+        """term, segment, range, n, tf, length of the terms' blocks, without what they hold."""
         words = sorted(set(words))
-        rows = self.postings
-        if self.buckets and words:
-            wanted = [F.pmod(F.hash(F.lit(w)), F.lit(self.buckets)) for w in words]  # folds to numbers: other folders are not read
-            rows = self.bucketed.where(F.col("bucket").isin(wanted)).drop("bucket")
-        return of_terms(rows, words)
+        return reduce(DataFrame.unionByName, [s.of_terms(words).select("term", F.lit(s.number).alias("segment"), "range", "n", "tf", "length") for s in self.segments])
 
     def df(self, term: str) -> DataFrame:
         """One row with the number of documents that hold term, 0 if none."""
@@ -53,40 +93,127 @@ class Index:
         return found
 
     def delete(self, ids: DataFrame | list[str]) -> Index:
-        """The index without these documents; an unknown id is an error."""
-        if isinstance(ids, list):
-            ids = self.docs.sparkSession.createDataFrame([(x,) for x in ids], "id string")
-        unknown = ids.join(self.docs, "id", "left_anti").limit(1).collect()
-        if unknown:
-            raise KeyError(unknown[0].id)
+        """The index without these documents; an unknown id is an error. What is saved stays as it is, see delete_saved()."""
+        ids = _known(self, ids)
+        if self.segments:
+            more = ids.select("id", F.lit(self.segments[-1].number).alias("upto"))
+            return _combined(self.saved, more if self.gone is None else self.gone.unionByName(more))
         docs, postings, lengths = (x.join(ids, "id", "left_anti") for x in (self.docs, self.postings, self.doc_stats))
-        bucketed = self.bucketed.join(ids, "id", "left_anti") if self.bucketed is not None else None
-        return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths), self.buckets, bucketed)
+        return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths))
 
     def save(self, path: str) -> None:
-        """Parquet tables, built once each: what follows from a table is read from what was written of it.
-
-        Postings lie in buckets by term, so that a term reads one folder, and in slots by
-        id within, so that a term of all documents is many files; both numbers follow from
-        the corpus' size.
-        """
+        """Writes the index as one segment; what was saved there before is replaced when all is written."""
         spark = self.docs.sparkSession
-        written = lambda name: spark.read.parquet(f"{path}/{name}")
-        for name in ("docs", "doc_stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        sizes = written("doc_stats").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        slots = max(1, -(-sizes[0] // FILE_ROWS))
-        buckets = max(8, -(-sizes[1] // (FILE_ROWS * slots)))
-        rows = self.postings.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)))
-        rows.repartition(int(buckets * slots), "bucket", "slot").sortWithinPartitions("term", "id").drop("slot").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        term_stats(written("postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
-        corpus_stats(written("doc_stats")).withColumn("buckets", F.lit(int(buckets))).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        before = _manifest(spark, path) if exists(spark, f"{path}/manifest.json") else {"next": 0}
+        number = before["next"]
+        _write_segment(self, path, number)
+        _commit(spark, path, {"next": number + 1, "segments": [number], "gone": []})
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        stats, postings = read("corpus_stats"), read("postings")
-        return Index(read("docs"), postings.drop("bucket"), read("term_stats"), read("doc_stats"), stats.drop("buckets"), stats.first().buckets, postings)
+        known = _manifest(spark, path)
+        gone = spark.read.schema("id string, upto int").parquet(*[f"{path}/gone/{x}" for x in known["gone"]]) if known["gone"] else None
+        return _combined([_read_segment(spark, path, n) for n in known["segments"]], gone)
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/manifest.json").collect()))
+
+
+def _commit(spark: SparkSession, path: str, manifest: dict) -> None:
+    """From here on readers see the new state; a writer that stopped before has changed nothing."""
+    put(spark, f"{path}/manifest.json", json.dumps(manifest))
+
+
+def _known(index: Index, ids: DataFrame | list[str]) -> DataFrame:
+    if isinstance(ids, list):
+        ids = index.docs.sparkSession.createDataFrame([(x,) for x in ids], "id string")
+    unknown = ids.join(index.docs, "id", "left_anti").limit(1).collect()
+    if unknown:
+        raise KeyError(unknown[0].id)
+    return ids.select("id").distinct()
+
+
+def _living(rows: DataFrame, number: int, gone: DataFrame | None) -> DataFrame:
+    """rows of a segment, without those of ids deleted from it."""
+    if gone is None:
+        return rows
+    return rows.join(small(gone.where(F.col("upto") >= number).select("id"), BROADCAST_IDS), "id", "left_anti").select(*rows.columns)
+
+
+def _write_segment(index: Index, path: str, number: int) -> None:
+    """Documents, lengths, blocks and frequencies, built once each: what follows from a table is read from what was written of it.
+
+    One exchange of postings: blocks lie in buckets by term, so that a term reads one folder, and in slots by range, so
+    that a term of all documents is many files; all numbers follow from the corpus' size.
+    """
+    spark, path = index.docs.sparkSession, f"{path}/segments/{number:06d}"
+    written = lambda name: spark.read.parquet(f"{path}/{name}")
+    for name in ("docs", "doc_stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    n, total = written("doc_stats").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    slots = max(1, -(-n // FILE_ROWS))
+    buckets = max(8, -(-total // (FILE_ROWS * slots)))
+    band = F.floor(2 * F.log2(F.col("length") + 1)).cast("int")
+    rows = index.postings.select(
+        F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), (F.shiftleft(band, 24) + F.pmod(F.xxhash64("id"), F.lit(max(1, n // RANGE_DOCS))).cast("int")).alias("range"), "term", "id", "tf", "length", "positions"
+    )
+    rows = rows.withColumn("slot", F.pmod(F.hash("range"), F.lit(slots))).repartition(int(buckets * slots), "bucket", "slot")
+    blocks = rows.groupBy("bucket", "slot", "term", "range").agg(  # by what the rows are already dealt by
+        F.count("*").cast("int").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"), F.sort_array(F.collect_list(F.struct("id", "tf", "length", "positions"))).alias("p")
+    )
+    # Parquet's second format stores runs of numbers as differences.
+    blocks.drop("slot").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/blocks")
+    written("blocks").groupBy("term").agg(F.sum("n").alias("df")).withColumn("buckets", F.lit(int(buckets))).write.mode("overwrite").parquet(f"{path}/term_stats")
+
+
+def _read_segment(spark: SparkSession, path: str, number: int) -> tuple[Segment, DataFrame, DataFrame, DataFrame]:
+    path = f"{path}/segments/{number:06d}"
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    stats = read("term_stats")
+    some = stats.select("buckets").first()
+    return Segment(number, spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), some.buckets if some else 1), read("docs"), stats.drop("buckets"), read("doc_stats")
+
+
+def _combined(read: Sequence[tuple[Segment, DataFrame, DataFrame, DataFrame]], gone: DataFrame | None) -> Index:
+    """The index of these segments without what is gone. Frequencies are sums of the segments', less those of deleted documents."""
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    docs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_living(d, s.number, gone) for s, d, _, _ in read])
+    lengths = union([_living(n, s.number, gone) for s, _, _, n in read])
+    postings = union([_living(s.blocks.select("term", F.inline("p")), s.number, gone) for s, *_ in read])
+    stats = union([t for _, _, t, _ in read])
+    if gone is not None:
+        lost = union([s.blocks.select("term", F.inline(F.transform("p", lambda x: F.struct(x["id"].alias("id"))))).join(small(gone.where(F.col("upto") >= s.number).select("id").distinct(), BROADCAST_IDS), "id", "left_semi").select("term") for s, *_ in read])
+        stats = stats.unionByName(lost.groupBy("term").agg((-F.count("*")).alias("df")))
+    if len(read) > 1 or gone is not None:
+        stats = stats.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    return Index(docs, postings, stats, lengths, corpus_stats(lengths), tuple(s for s, *_ in read), gone, tuple(read))
+
+
+def add_saved(spark: SparkSession, path: str, docs: DataFrame, analyzer=tokens, counter=None) -> None:
+    """New documents as a segment of their own; an id that is there, and not deleted, is an error."""
+    known = _manifest(spark, path)
+    held = Index.load(spark, path)
+    twice = assert_unique(docs).join(held.docs, "id", "left_semi").limit(1).collect()
+    if twice:
+        raise ValueError(f"repeated document id {twice[0].id!r}")
+    _write_segment(build(docs, analyzer, counter), path, known["next"])
+    _commit(spark, path, known | {"next": known["next"] + 1, "segments": [*known["segments"], known["next"]]})
+
+
+def delete_saved(spark: SparkSession, path: str, ids: DataFrame | list[str]) -> None:
+    """Deletes documents of a saved index: only their ids are written. An unknown id is an error."""
+    known = _manifest(spark, path)
+    name = uuid.uuid4().hex
+    _known(Index.load(spark, path), ids).select("id", F.lit(max(known["segments"])).cast("int").alias("upto")).write.parquet(f"{path}/gone/{name}")
+    _commit(spark, path, known | {"gone": [*known["gone"], name]})
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Merges all segments into one, without the deleted documents. Readers of the old state can go on; its files stay."""
+    known = _manifest(spark, path)
+    _write_segment(Index.load(spark, path), path, known["next"])
+    _commit(spark, path, {"next": known["next"] + 1, "segments": [known["next"]], "gone": []})
 
 
 def of_terms(rows: DataFrame, words) -> DataFrame:
@@ -102,18 +229,42 @@ def corpus_stats(doc_stats: DataFrame) -> DataFrame:
     return doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents and their words, a row for each document and word, with the word's places; a document's rows never leave its batch."""
+    for batch in batches:
+        ids, words = batch.column(0), batch.column(1)
+        sizes = np.zeros(len(batch), np.int64)
+        sizes[:] = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        ends = np.cumsum(sizes)
+        doc = np.repeat(np.arange(len(batch)), sizes)
+        place = np.arange(len(doc)) - np.repeat(ends - sizes, sizes)
+        key = doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # places stay in order
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        bounds = np.append(first, len(key))
+        owner = doc[order][first]
+        yield pa.RecordBatch.from_arrays(
+            [
+                coded.dictionary.take(pa.array(coded.indices.to_numpy()[order][first])), ids.take(pa.array(owner)), pa.array(np.diff(bounds), pa.int32()), pa.array(sizes[owner]),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place[order], pa.int32())),
+            ],
+            ["term", "id", "tf", "length", "positions"],
+        )
+
+
 def build(docs: DataFrame, analyzer=tokens, counter=None) -> Index:
     """docs has id and text. Positions start at 0 and are in order; ids must be unique.
 
-    One explode and one shuffle on (term, id). A posting carries its document's length, so
-    that scoring joins no table of all documents. counter gives the number of tokens where
-    that is cheaper than to take them. The tables are plans; save() computes each once, and
-    searches of more than one query are meant to run on a saved index.
+    Words are grouped within their document, so no word is shuffled, only postings are when they are saved. A posting
+    carries its document's length, so that scoring joins no table of all documents. counter gives the number of tokens
+    where that is cheaper than to take them. The tables are plans; save() computes each once, and searches of more than
+    one query are meant to run on a saved index.
     """
     counter = counter or (token_count if analyzer is tokens else lambda text: F.size(analyzer(text)).cast("long"))
     texts = spread(docs.select("id", "text"))
-    terms = texts.select("id", analyzer(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("length"), F.posexplode("t").alias("pos", "term"))
-    postings = terms.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.max("length").alias("length"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    postings = in_arrow(texts.select("id", analyzer(F.col("text")).alias("t")), _grouped, "term string, id string, tf int, length long, positions array<int>")
     lengths = texts.select("id", counter(F.col("text")).alias("length"))
     return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths))
 

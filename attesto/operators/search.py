@@ -63,12 +63,12 @@ def phrase_scan(docs: DataFrame, phrase: str) -> DataFrame:
     return docs.where(F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" ")).contains(f" {' '.join(words)} ")).select("id")
 
 
-def scores(index: Index, query: str, k1: float = K1, b: float = B, weight=None) -> DataFrame:
-    """id, score of every document that holds a term; a repeated term counts as often as it is asked."""
+def scores(index: Index, query: str, k1: float = K1, b: float = B, weight=None, ranges: DataFrame | None = None) -> DataFrame:
+    """id, score of every document that holds a term; a repeated term counts as often as it is asked. ranges: as Index.of_terms()."""
     asked = _terms(index.postings, query, "term string, times int", lambda ws: sorted(Counter(ws).items()))
     extra = {"weight": weight} if weight else {}
     words = analyze_text(query)
-    hits = index.of_terms(words).join(asked, "term").select("term", "id", "tf", "length", "times")
+    hits = index.of_terms(words, ranges).join(asked, "term").select("term", "id", "tf", "length", "times")
     # One row of corpus statistics, and one row a query term: both bounded, both broadcast.
     stats = F.broadcast(of_terms(index.term_stats, words).crossJoin(index.corpus_stats))
     hits = hits.join(stats, "term")
@@ -118,12 +118,58 @@ def top(scored: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def ranked_search(index: Index, query: str, k: int = 10, k1: float = K1, b: float = B, op: str = "OR") -> DataFrame:
-    """id, score, rank by BM25; with op AND only documents that hold every term are ranked."""
-    found = scores(index, query, k1, b)
+#: Postings of a query's terms from which a ranked search looks at its blocks' bounds first, and ranges that set the first score.
+SKIP_FROM, FIRST_RANGES = 5_000_000, 16
+#: Ranges up to which those that can reach the kth score are broadcast; beyond, all are read.
+BROADCAST_RANGES = 100_000
+
+
+def bounds(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """segment, range, blocks, bound: what no document of a range can exceed, from the blocks' greatest counts and least lengths alone.
+
+    A score grows with the count and falls with the length, and a range is the same for all terms, so the sum over
+    the terms' blocks of a range is a bound of the whole score, for all k1 and b from 0 to 1.
+    """
+    words = analyze_text(query)
+    asked = _terms(index.docs, query, "term string, times int", lambda ws: sorted(Counter(ws).items()))
+    stats = F.broadcast(of_terms(index.term_stats, words).crossJoin(index.corpus_stats))
+    heads = index.heads(words).withColumnRenamed("n", "held").join(asked, "term").join(stats, "term")
+    most = F.col("times") * bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), k1, b)
+    return heads.groupBy("segment", "range").agg(F.count("*").alias("blocks"), F.sum("held").alias("postings"), F.sum(most).alias("bound"))
+
+
+def worth_reading(index: Index, query: str, k: int, k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:
+    """bounds(), and those ranges of it that can hold one of the k best.
+
+    The ranges of the greatest bounds are read first, and their kth score cuts the others: what cannot reach it is not
+    unpacked. Nothing but that score comes to the driver.
+    """
+    every = written(bounds(index, query, k1, b))
+    first = every.orderBy(F.desc("bound"), "segment", "range").limit(FIRST_RANGES)
+    found = scores(index, query, k1, b, ranges=first.select("segment", "range")).orderBy(F.desc("score")).limit(k).agg(F.count("*"), F.min("score")).first()
+    if k <= 0 or found[0] < k:
+        return every, every
+    return every, every.where(F.col("bound") >= found[1] * (1 - 1e-9) - 1e-9)
+
+
+def best_scores(index: Index, query: str, k: int, k1: float = K1, b: float = B, least: int = SKIP_FROM) -> DataFrame:
+    """scores() of the k best at least, and of no others that need not be read; in full where there are fewer than least postings."""
+    words = sorted(set(analyze_text(query)))
+    if not index.segments or not words or (of_terms(index.term_stats, words).agg(F.sum("df")).first()[0] or 0) < least:
+        return scores(index, query, k1, b)
+    every, kept = worth_reading(index, query, k, k1, b)
+    few = kept.select("segment", "range").limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
+    return scores(index, query, k1, b, ranges=kept.select("segment", "range") if few else None)
+
+
+def ranked_search(index: Index, query: str, k: int = 10, k1: float = K1, b: float = B, op: str = "OR", least: int = SKIP_FROM) -> DataFrame:
+    """id, score, rank by BM25; with op AND only documents that hold every term are ranked.
+
+    A saved index is read in blocks, and of queries with many postings only those blocks that can reach the kth score.
+    """
     if op == "AND":
-        found = found.join(boolean_search(index, query, "AND"), "id", "left_semi")
-    return top(found, k)
+        return top(scores(index, query, k1, b).join(boolean_search(index, query, "AND"), "id", "left_semi"), k)
+    return top(best_scores(index, query, k, k1, b, least), k)
 
 
 def filtered(docs: DataFrame, source_type=None, venue_type=None, ticker=None, jurisdiction=None, date_from=None, date_to=None) -> DataFrame:

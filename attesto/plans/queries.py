@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import analytics, chunking, evaluation, fusion, joins, rag, search, vectors
-from ..operators.tables import small, written
+from ..operators import analytics, chunking, evaluation, fusion, index, joins, rag, search, vectors
+from ..operators.tables import shared_dir, small, written
 from ..sources import documents, parsers
 from . import fixtures as fx
 from . import lifecycle, literals  # noqa: F401  (they register their queries)
@@ -20,7 +22,7 @@ from .base import ALL, ASKED, BASE, DIGITS, DOCS, MARKERS, ORACLES, PHRASE, QUER
 def index_build(spark, sf_dir):
     """Builds, saves and loads the index that all searches by index read."""
     i = build_index(spark, sf_dir)
-    sizes = i.postings.agg(F.count("*").alias("postings")).crossJoin(i.term_stats.agg(F.count("*").alias("terms")))
+    sizes = i.term_stats.agg(F.sum("df").alias("postings")).crossJoin(i.term_stats.agg(F.count("*").alias("terms")))
     return i.corpus_stats.crossJoin(sizes).select("n", F.round("average", DIGITS).alias("average"), "postings", "terms")
 
 
@@ -34,6 +36,32 @@ def bm25_index_top10(spark, sf_dir):
     return search.top(search.scores(built(spark, sf_dir), ASKED), 10, DIGITS).select("id", "score", "rank")
 
 
+@query(ORACLES["bm25_top10"])
+def bm25_skipping_top10(spark, sf_dir):
+    """By the blocks' bounds, whatever the number of postings; ranks go by rounded scores, so one more than ten is asked."""
+    return search.top(search.best_scores(built(spark, sf_dir), ASKED, 50, least=0), 10, DIGITS).select("id", "score", "rank")
+
+
+@query(f"{BASE}, r AS (SELECT term, count(*) AS n FROM post WHERE term IN ('that', 'with', 'from') GROUP BY term) SELECT sum(n)::BIGINT AS postings, true AS within FROM r")
+def blocks_read(spark, sf_dir):
+    """Postings of the query's terms by the heads of their blocks, and that the bounds leave no more blocks to read than there are."""
+    every, kept_ = search.worth_reading(built(spark, sf_dir), ASKED, 10)
+    return every.agg(F.sum("postings").alias("postings"), F.sum("blocks").alias("all")).crossJoin(kept_.agg(F.sum("blocks").alias("read"))).select("postings", (F.col("read") <= F.col("all")).alias("within"))
+
+
+@query(f"{BASE}, {bm25_sql()} SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc ORDER BY score DESC, id LIMIT 10".replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT CAST(doc_id AS VARCHAR), lower(text), lang, 'public', source, source, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS VARCHAR), 'link:' || doc_id, doc_id FROM documents WHERE doc_id % 20 = 3)"))
+def segments_top10(spark, sf_dir):
+    """An index that was built, lost a tenth of its documents, got half of these again as a segment, and was searched; a compaction answers alike."""
+    docs, path = corpus(spark, sf_dir), f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    index.build(docs).save(path)
+    index.delete_saved(spark, path, docs.where("ord % 10 = 3").select("id"))
+    index.add_saved(spark, path, docs.where("ord % 20 = 3").withColumn("text", F.lower("text")))
+    found = lambda: search.top(search.best_scores(index.Index.load(spark, path), ASKED, 50, least=0), 10, DIGITS).select("id", "score", "rank")
+    before = written(found())
+    index.compact(spark, path)
+    return before.intersect(found())
+
+
 @query(f"{BASE}, {bm25_sql()}, a AS (SELECT id FROM post JOIN q USING (term) GROUP BY id HAVING count(*) = 3) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc SEMI JOIN a USING (id) ORDER BY 2 DESC, 1 LIMIT 10")
 def bm25_and_top10(spark, sf_dir):
     i = built(spark, sf_dir)
