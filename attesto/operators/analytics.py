@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import extract
 from ..functions.extract import event_items, quantities, shell_names
 from ..functions.text import content_tokens, count_phrases, given, head_snippet, k_grams
 from .joins import carried
@@ -285,6 +286,19 @@ def nearby_receipts(moves: DataFrame, docs: DataFrame, window_days: int = 7, buc
     return moves.join(found, ["ticker", "date"], "left").withColumn("receipts", F.coalesce("receipts", empty))
 
 
+#: Words of promises up to which they are broadcast.
+BROADCAST_WORDS = 200_000
+
+
+def _rarest(p: DataFrame, d: DataFrame) -> DataFrame:
+    """promise_id and t: of each of a promise's grams whose words are all held by documents, the word that the fewest hold."""
+    words = p.select("promise_id", F.posexplode("grams").alias("at", "g")).select("promise_id", "at", F.size(F.array_distinct("g")).alias("need"), F.explode(F.array_distinct("g")).alias("t"))
+    known = small(words.select("t").distinct(), BROADCAST_WORDS)
+    df = d.select(F.explode("held").alias("t")).join(known, "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    best = words.join(df, "t").groupBy("promise_id", "at", "need").agg(F.min(F.struct("df", "t")).alias("x"), F.count("*").alias("n"))
+    return best.where("n = need").select("promise_id", F.col("x.t").alias("t")).distinct()
+
+
 def outcomes(promises: DataFrame, docs: DataFrame, entity_terms: DataFrame | None = None) -> DataFrame:
     """promise_id, status, trail: later documents of a promise's jurisdiction that take it up, five at most by date.
 
@@ -294,8 +308,8 @@ def outcomes(promises: DataFrame, docs: DataFrame, entity_terms: DataFrame | Non
     later, else too recent.
 
     Pairs come from an equality on jurisdiction and a key that any of the three needs in
-    the document: the quantity, the term's first word, the longest of the four words. A
-    jurisdiction's last day is an aggregate, so no promise meets all its documents.
+    the document: the quantity, the term's first word, of the four words the one that the
+    fewest documents hold; runs with a word that none holds ask for nothing. A jurisdiction's last day is an aggregate, so no promise meets all its documents.
     """
     p = promises.select("promise_id", "jurisdiction", F.coalesce("date", F.lit("")).alias("promise_date"), F.coalesce("quote", F.lit("")).alias("quote"))
     p = p.withColumn("promised", F.transform(quantities(F.col("quote")), lambda q: F.struct(q["kind"].alias("kind"), q["value"].alias("value"))))
@@ -309,20 +323,21 @@ def outcomes(promises: DataFrame, docs: DataFrame, entity_terms: DataFrame | Non
     words = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), 0)
     amount = lambda q: F.concat_ws(":", F.lit("q"), q["kind"], q["value"])
     tagged = lambda tag, items: F.transform(items, lambda x: F.concat(F.lit(tag), x))
-    longest = lambda g: F.array_max(F.transform(g, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     first_word = lambda t: F.coalesce(F.get(words(t), F.lit(0)), F.lit(""))
-    asked = F.concat(F.transform("promised", amount), tagged("w", F.transform("terms", first_word)), tagged("t", F.transform("grams", longest)))
+    asked = F.concat(F.transform("promised", amount), tagged("w", F.transform("terms", first_word)))
     has = F.concat(F.transform("found", amount), tagged("w", words(F.col("text"))), tagged("t", F.col("held")))
-    p_keys = p.where("promise_date <> ''").select("promise_id", "jurisdiction", "promise_date", F.explode(F.array_distinct(asked)).alias("key"))
+    due = p.where("promise_date <> ''")
+    p_keys = due.select("promise_id", "jurisdiction", "promise_date", F.explode(F.array_distinct(asked)).alias("key"))
+    p_keys = p_keys.unionByName(_rarest(due, d).join(due.select("promise_id", "jurisdiction", "promise_date"), "promise_id").select("promise_id", "jurisdiction", "promise_date", F.concat(F.lit("t"), "t").alias("key")))
     d_keys = d.select("jurisdiction", "doc_id", "date", F.explode(F.array_distinct(has)).alias("key"))
     meet = p_keys.join(d_keys, ["jurisdiction", "key"]).where(F.col("date") > F.col("promise_date")).select("promise_id", "doc_id").distinct()
     pairs = meet.join(p.drop("jurisdiction"), "promise_id").join(d, "doc_id")
     same = F.get(F.filter("found", lambda q: F.array_contains("promised", F.struct(q["kind"].alias("kind"), q["value"].alias("value")))), F.lit(0))
     by_term = F.get(F.filter("terms", lambda t: (t != "") & F.call_function("rlike", F.col("text"), bounded(t))), F.lit(0))
-    filler = r"\W+(?:\w{1,3}\W+)*"  # words of up to three letters may stand between
-    pattern = lambda g: F.concat(F.lit("(?iU)"), F.array_join(F.transform(g, lambda t: F.replace(t, F.lit("$"), F.lit(r"\$"))), filler))
     possible = F.filter("grams", lambda g: F.size(F.array_except(g, F.col("held"))) == 0)
-    phrase = F.get(F.filter(F.transform(possible, lambda g: F.call_function("regexp_extract", F.col("text"), pattern(g), F.lit(0))), lambda s: s != ""), F.lit(0))
+    # Only pairs without another signal whose document holds all words of a gram have their words' places compared.
+    unsure = same.isNull() & by_term.isNull() & (F.size(possible) > 0)
+    phrase = F.when(unsure, extract.phrase_spans(F.when(unsure, F.col("text")), F.when(unsure, possible)))
     signal = F.when(same.isNotNull(), "quantity").when(by_term.isNotNull(), "entity").when(phrase.isNotNull(), "phrase")
     span = F.coalesce(same["raw_span"], by_term, phrase)
     signals = pairs.select("promise_id", "promise_date", "doc_id", "date", "deep_link", signal.alias("signal"), span.alias("matched_span"))

@@ -164,7 +164,7 @@ def _write_segment(index: Index, path: str, number: int) -> None:
     )
     # Parquet's second format stores runs of numbers as differences.
     blocks.drop("slot").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/blocks")
-    written("blocks").groupBy("term").agg(F.sum("n").alias("df")).withColumn("buckets", F.lit(int(buckets))).write.mode("overwrite").parquet(f"{path}/term_stats")
+    spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df")).withColumn("buckets", F.lit(int(buckets))).write.mode("overwrite").parquet(f"{path}/term_stats")
 
 
 def _read_segment(spark: SparkSession, path: str, number: int) -> tuple[Segment, DataFrame, DataFrame, DataFrame]:

@@ -644,13 +644,22 @@ def names_of_documents(spark, sf_dir):
     return analytics.mine_shell_candidates(corpus(spark, sf_dir).withColumn("source_type", F.lit("county_meeting"))).select("name", "n_docs", "first_seen", "jurisdictions")
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+
+
+@query(rf"""WITH {DOCS}, d AS (SELECT *, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9$'']+'), lambda t: t NOT IN ({_STOP})) AS ts FROM docs),
+p AS (SELECT 'p' || item_id AS promise_id, d.jurisdiction, '2023-12-31' AS date, list_filter(regexp_extract_all(lower(b.text), '[a-z0-9$'']+'), lambda t: t NOT IN ({_STOP})) AS ts FROM benchmark b JOIN d ON d.ord = item_id WHERE d.jurisdiction IS NOT NULL),
+g AS (SELECT DISTINCT promise_id, jurisdiction, ts[i:i + 3] AS g FROM (SELECT promise_id, jurisdiction, ts, unnest(range(1, len(ts) - 2)) AS i FROM p)),
+h AS (SELECT DISTINCT promise_id, d.id, d.date FROM g JOIN d USING (jurisdiction) WHERE list_has_all(d.ts, g.g)
+  AND regexp_matches(d.text, '(?i)' || array_to_string(list_transform(g.g, lambda t: replace(t, '$', '\$')), '[^\p{{L}}\p{{N}}_]+(?:[\p{{L}}\p{{N}}_]{{1,3}}[^\p{{L}}\p{{N}}_]+)*'))),
+t AS (SELECT promise_id, list(id ORDER BY date, id)[1:5] AS trail FROM h GROUP BY promise_id)
+SELECT promise_id, CASE WHEN trail IS NOT NULL THEN 'followed_up' WHEN datediff('day', DATE '2023-12-31', CAST((SELECT max(date) FROM docs x WHERE x.jurisdiction = p.jurisdiction) AS DATE)) > {analytics.QUIET_DAYS} THEN 'quiet' ELSE 'too_recent' END AS status,
+  coalesce(trail, []::VARCHAR[]) AS trail FROM p LEFT JOIN t USING (promise_id)""")
 def outcomes_of_passages(spark, sf_dir):
-    """Each benchmark passage as a promise in every jurisdiction, followed up by the documents that echo it."""
+    """Each benchmark passage as a promise in the jurisdiction of the document of its number, followed up by the documents that echo it."""
     d = corpus(spark, sf_dir)
-    places = small(written(d.select("jurisdiction").where("jurisdiction is not null").distinct()), 100_000)
-    promises = table(spark, sf_dir, "benchmark").crossJoin(places).select(F.concat_ws(":", "item_id", "jurisdiction").alias("promise_id"), "jurisdiction", F.lit("2023-12-31").alias("date"), F.col("text").alias("quote"))
-    rows = analytics.outcomes(promises, d)
+    promises = table(spark, sf_dir, "benchmark").join(d.select("ord", "jurisdiction"), F.col("item_id") == F.col("ord")).where("jurisdiction is not null")
+    rows = analytics.outcomes(promises.select(F.concat(F.lit("p"), "item_id").alias("promise_id"), "jurisdiction", F.lit("2023-12-31").alias("date"), F.col("text").alias("quote")), d)
     return rows.select("promise_id", "status", F.transform("trail", lambda t: t["doc_id"]).alias("trail"))
 
 

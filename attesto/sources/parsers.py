@@ -13,6 +13,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from datetime import date, timedelta
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -89,67 +90,117 @@ def caption_docs(files: DataFrame, jurisdictions: DataFrame | None = None) -> Da
 
 # ---- HTML filings
 
-_HEADING = re.compile(r"^item\s+(\d+)\s*([a-z]?)\.", re.I)
-_WEIGHT = re.compile(r"font-weight\s*:\s*([a-z0-9]+)", re.I)
 SECTIONS, LEAST_SECTION = {("1", "a"): "item1a", ("7", ""): "item7"}, 200
+#: Elements without an end, elements that end a line, and elements whose text is not shown.
+EMPTY, BLOCKS, UNSHOWN = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"), ("p", "tr", "table", "hr", "div"), ("script", "style")
+BOLD_TAGS, BOLD_FROM = ("b", "strong"), 600
 
 
-def _bold(tag: str, style: str | None) -> bool:
-    m = _WEIGHT.search(style or "")
-    weight = m.group(1).lower() if m else ""
-    return tag in ("b", "strong") or weight in ("bold", "bolder") or (weight.isdigit() and int(weight) >= 600)
+class _Run(NamedTuple):
+    """Text of one look, or (mark) the start or end of a paragraph, or the end of another block."""
 
+    text: str
+    bold: bool = False
+    linked: bool = False
+    mark: str = ""
 
-class _Text(HTMLParser):
-    """Text with line ends after blocks, and the wholly bold paragraphs that read as item headings."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.size, self.headings = [], 0, []
-        self.hidden, self.paragraph, self.bold = 0, None, []
+def _css(style: str | None) -> dict[str, str]:
+    pairs = (part.split(":", 1) for part in (style or "").lower().split(";") if ":" in part)
+    return {name.strip(): value.split("!")[0].strip() for name, value in pairs}
+
+
+def _heavy(tag: str, style: str | None) -> bool:
+    weight = _css(style).get("font-weight", "")
+    return tag in BOLD_TAGS or weight.startswith("bold") or (weight.isdecimal() and int(weight) >= BOLD_FROM)
 
-    def say(self, text: str) -> None:
-        self.out.append(text)
-        self.size += len(text)
+
+class _Runs(HTMLParser):
+    """A page as runs, in order. Each open element knows its look and whether it links; looks are inherited."""
+
+    def __init__(self, page: str | None):
+        super().__init__(convert_charrefs=True)
+        self.runs: list[_Run] = []
+        self.open: list[tuple[str, bool, bool]] = []
+        self.feed(page or "")
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        if tag in ("script", "style"):
-            self.hidden += 1
-        elif self.hidden:
-            return
-        elif tag == "p":
-            self.paragraph, self.bold = {"text": [], "plain": False, "link": False}, [_bold("", attrs.get("style"))]
-        elif self.paragraph is not None and tag not in ("br", "img", "hr", "input", "meta", "link"):
-            self.bold.append(_bold(tag, attrs.get("style")))
-            self.paragraph["link"] |= tag == "a" and attrs.get("href") is not None
+        held = dict(attrs)
+        if tag == "p" and (place := next((i for i, x in enumerate(self.open) if x[0] == "p"), None)) is not None:
+            del self.open[place:]  # a paragraph ends where the next one begins
+        _, bold, linked = self.open[-1] if self.open else ("", False, False)
+        bold, linked = bold or _heavy(tag, held.get("style")), linked or (tag == "a" and held.get("href") is not None)
+        if tag == "p":
+            self.runs.append(_Run("", mark="start"))
+        if linked:
+            self.runs.append(_Run("", bold, True))
+        if tag not in EMPTY:
+            self.open.append((tag, bold, linked))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in EMPTY:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        elif self.hidden:
-            return
-        elif tag == "p" and self.paragraph is not None:
-            p, self.paragraph = self.paragraph, None
-            text = "".join(p["text"])
-            m = None if p["plain"] else _HEADING.match(" ".join(text.split()))
-            if m:
-                self.headings.append((self.size, (m.group(1), m.group(2).lower()), p["link"]))
-            self.say(text + "\n")
-        elif self.paragraph is not None:
-            if len(self.bold) > 1:
-                self.bold.pop()
-        elif tag in ("p", "tr", "table", "hr", "div"):
-            self.say("\n")
+        place = next((i for i in reversed(range(len(self.open))) if self.open[i][0] == tag), None)
+        if place is not None:
+            del self.open[place:]
+        if tag in BLOCKS:
+            self.runs.append(_Run("", mark="end" if tag == "p" else "block"))
 
     def handle_data(self, data):
-        if self.hidden:
-            return
-        if self.paragraph is None:
-            self.say(data)
+        if not any(tag in UNSHOWN for tag, _, _ in self.open):
+            _, bold, linked = self.open[-1] if self.open else ("", False, False)
+            self.runs.append(_Run(data, bold, linked))
+
+
+def _item_of(text: str) -> tuple[str, str] | None:
+    """Number and letter of a heading such as Item 1A. that a text begins with."""
+    word, _, rest = " ".join(text.lower().split()).partition(" ")
+    number = rest[: len(rest) - len(rest.lstrip("0123456789"))]
+    rest = rest[len(number) :].lstrip()
+    letter = rest[0] if rest and "a" <= rest[0] <= "z" else ""
+    return (number, letter) if word == "item" and number and rest.startswith(".", len(letter)) else None
+
+
+def _paragraphs(page: str | None) -> list[tuple[str, list[_Run] | None]]:
+    """The page's text in pieces: each paragraph with its runs, and what stands outside of one without."""
+    pieces: list[tuple[str, list[_Run] | None]] = []
+    inside: list[_Run] | None = None
+
+    def ended() -> None:
+        if inside is not None:
+            pieces.append(("".join(r.text for r in inside) + "\n", inside))
+
+    for run in _Runs(page).runs:
+        if run.mark == "start":
+            ended()
+            inside = []
+        elif run.mark == "end":
+            ended()
+            if inside is None:
+                pieces.append(("\n", None))
+            inside = None
+        elif run.mark and inside is None:
+            pieces.append(("\n", None))
+        elif inside is not None:
+            inside.append(run)
         else:
-            self.paragraph["text"].append(data)
-            self.paragraph["plain"] |= bool(data.strip()) and not any(self.bold)
+            pieces.append((run.text, None))
+    ended()
+    return pieces
+
+
+def _headings(pieces: list[tuple[str, list[_Run] | None]]) -> list[tuple[int, tuple[str, str], bool]]:
+    """Place in the text, item and whether it is a link, of the paragraphs that are all bold and read as an item's heading."""
+    out, at = [], 0
+    for text, runs in pieces:
+        if runs is not None and all(r.bold for r in runs if r.text.strip()) and (item := _item_of(text)):
+            out.append((at, item, any(r.linked for r in runs)))
+        at += len(text)
+    return out
 
 
 def tidy(text: str) -> str:
@@ -161,16 +212,15 @@ def filing_sections(page: str | None, form: str | None) -> list[dict]:
     form = (form or "").upper()
     if not (form in ("10-K", "10-Q", "8-K") or form.startswith("EX-99")):
         return []
-    parser = _Text()
-    parser.feed(page or "")
-    parser.close()
-    text = "".join(parser.out)
+    pieces = _paragraphs(page)
+    text = "".join(x for x, _ in pieces)
     if form not in ("10-K", "10-Q"):
         body = tidy(text)
         return [{"section": "body" if form == "8-K" else form.lower(), "text": body}] if body else []
     found: dict[str, str] = {}
-    ends = [h[0] for h in parser.headings[1:]] + [len(text)]
-    for (start, item, linked), end in zip(parser.headings, ends, strict=False):
+    headings = _headings(pieces)
+    ends = [h[0] for h in headings[1:]] + [len(text)]
+    for (start, item, linked), end in zip(headings, ends, strict=False):
         section, body = SECTIONS.get(item), tidy(text[start:end])
         if section and section not in found and not linked and len(body) >= LEAST_SECTION:
             found[section] = body
@@ -184,13 +234,7 @@ def _sections(page: pd.Series, form: pd.Series) -> pd.Series:
 
 @series_udf("string")
 def html_text(page: pd.Series) -> pd.Series:
-    def one(x):
-        parser = _Text()
-        parser.feed(x or "")
-        parser.close()
-        return tidy("".join(parser.out))
-
-    return page.map(one)
+    return page.map(lambda x: tidy("".join(text for text, _ in _paragraphs(x))))
 
 
 def filing_docs(files: DataFrame) -> DataFrame:
@@ -521,7 +565,7 @@ def table_of(content: bytes, sheet: str, key: str, scan: int = 60) -> list[dict]
 
 
 def _workbook(sheet: str, key: str, scan: int = 60):
-    return F.pandas_udf(lambda s: s.map(lambda x: table_of(x, sheet, key, scan)), "array<map<string,string>>")
+    return series_udf("array<map<string,string>>")(lambda s: s.map(lambda x: table_of(x, sheet, key, scan)))
 
 
 def _cells(files: DataFrame, sheet: str, key: str):
@@ -565,7 +609,7 @@ def generators(files: DataFrame, sheet: str) -> DataFrame:
             raise ValueError(f"{sheet}: missing columns {lacking}")
         return table_of(content, sheet, "Plant Name", 10)
 
-    rows = files.select(F.explode(F.pandas_udf(lambda s: s.map(one), "array<map<string,string>>")(F.col("content"))).alias("m"))
+    rows = files.select(F.explode(series_udf("array<map<string,string>>")(lambda s: s.map(one))(F.col("content"))).alias("m"))
     m = lambda c: clean(F.try_element_at("m", F.lit(c)))
     month, year = m("Planned Operation Month"), m("Planned Operation Year")
     online = F.when(month.rlike(r"^\d+$") & year.rlike(r"^\d+$"), F.format_string("%04d-%02d", year.try_cast("int"), month.try_cast("int"))).otherwise("")
