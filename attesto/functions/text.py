@@ -52,21 +52,45 @@ def head_snippet(text) -> Column:
     return F.substring(text, 1, SNIPPET)
 
 
+def _joins(c: str) -> bool:
+    """Whether a character may be composed with the one before it: a combining one, or a vowel or end of a Korean syllable."""
+    return unicodedata.combining(c) != 0 or "\u1160" <= c <= "\u11ff"
+
+
+def placed_tokens(text: str) -> list[tuple[str, int, int]]:
+    """The words that analyze_text() finds, each with the stretch of the raw text that it came from."""
+    if text.isascii():
+        return [(m.group().lower(), *m.span()) for m in _TOKEN.finditer(text)]
+    folded, starts, ends = [], [], []
+    at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and _joins(text[end]):
+            end += 1
+        part = unicodedata.normalize("NFKC", text[at:end]).casefold()
+        folded.append(part)
+        starts += [at] * len(part)
+        ends += [end] * len(part)
+        at = end
+    return [(m.group(), starts[m.start()], ends[m.end() - 1]) for m in _TOKEN.finditer("".join(folded))]
+
+
 @series_udf("string")
 def centred_snippet(text: pd.Series, terms: pd.Series) -> pd.Series:
-    """The text around the earliest occurrence of any term; its head where none occurs."""
+    """The text around the earliest word that is one of the terms, as the index knows words; its head where none occurs.
+
+    Words are found in the normalised text and mapped back, so a composed and a decomposed form are one word.
+    """
 
     def one(body, wanted) -> str:
         body = body or ""
         wanted = set(wanted if wanted is not None else ())
-        for m in re.finditer(r"\S+", body):
-            for t in _TOKEN.finditer(m.group()):
-                if wanted & set(analyze_text(t.group())):
-                    a, b = m.start() + t.start(), m.start() + t.end()
-                    return body[max(0, a - MARGIN) : b + MARGIN]
+        for word, a, b in placed_tokens(body):
+            if word in wanted:
+                return body[max(0, a - MARGIN) : b + MARGIN]
         return body[:SNIPPET]
 
-    return pd.Series([one(a, b) for a, b in zip(text, terms, strict=True)])
+    return pd.Series([one(a, b) for a, b in zip(text, terms, strict=True)], dtype=object)
 
 
 def literal(text: str) -> str:

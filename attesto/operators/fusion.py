@@ -46,10 +46,59 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, depth: int | None =
     return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def fused_scores(lexical: DataFrame, semantic: DataFrame, digits: int | None = None) -> DataFrame:
-    """id, score of every hit of two scored rankings, fused by their ranks over all hits."""
-    order = [F.desc("score"), F.col("id")]
-    return rrf_fuse([global_rank(arm.select("id", "score"), order).select("id", "rank") for arm in (lexical, semantic)], digits=digits)
+#: Bins of an arm's histogram of scores.
+BINS = 4096
+
+
+def _binned(arm: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
+    """The arm's hits with their bin, and bin, before (hits of better bins) and held (hits of the bin): BINS rows at most.
+
+    Bins are of equal width from the greatest score down; any that never put a better score behind a worse one would do.
+    """
+    low, high = arm.agg(F.min("score"), F.max("score")).first()
+    scale = (BINS - 1) / (high - low) if low is not None and high > low else 0.0
+    hits = arm.withColumn(f"bin{i}", F.least(F.floor((F.lit(float(high or 0.0)) - F.col("score")) * F.lit(scale)), F.lit(BINS - 1)).cast("int"))
+    counts = sorted((r[0], r[1]) for r in hits.groupBy(f"bin{i}").count().collect())
+    rows, before = [], 0
+    for bin_, n in counts:
+        rows.append((bin_, before, n))
+        before += n
+    bins = arm.sparkSession.createDataFrame(rows, f"bin{i} int, before{i} long, held{i} long")
+    return hits, F.broadcast(bins)
+
+
+def filtered_hybrid(lexical: DataFrame, semantic: DataFrame, kept: DataFrame, k: int, by_date: bool = False) -> DataFrame:
+    """id, date and fused score of the k best of kept (id, date) by their ranks over all hits of two scored rankings; no arm is sorted.
+
+    by_date sorts by day, newest first, before the score; ties are by id. A histogram of each arm's scores says between
+    which ranks a hit lies, and so between which scores it is fused: the k best lower bounds of kept documents cut off
+    all whose upper bound is below. Only for the bins of those that are left are hits put in order, each bin by itself.
+    """
+    arms = [_binned(written(arm.select("id", "score")), i) for i, arm in enumerate((lexical, semantic))]
+    # A bin's first rank bounds a fused score from above, its last from below; nothing is added by an arm without the document.
+    share = lambda rank: F.coalesce(reciprocal(rank), F.lit(0.0))
+    parts = []
+    for i, (hits, bins) in enumerate(arms):
+        held = hits.join(bins, f"bin{i}").join(kept.select("id", "date"), "id").select("id", "date", F.col(f"bin{i}"), F.col(f"before{i}"), F.col(f"held{i}"))
+        parts.append(held.select("id", "date", *(F.col(f"{c}{j}") if i == j else F.lit(None).cast("int" if c == "bin" else "long").alias(f"{c}{j}") for j in (0, 1) for c in ("bin", "before", "held"))))
+    both = parts[0].unionByName(parts[1]).groupBy("id").agg(F.max("date").alias("date"), *(F.max(f"{c}{j}").alias(f"{c}{j}") for j in (0, 1) for c in ("bin", "before", "held")))
+    day = F.coalesce("date", F.lit("")) if by_date else F.lit("")
+    least = share(F.col("before0") + F.col("held0")) + share(F.col("before1") + F.col("held1"))
+    most = share(F.col("before0") + 1) + share(F.col("before1") + 1)
+    bounded = written(both.withColumns({"day": day, "least": least, "most": most}))
+    last = bounded.orderBy(F.desc("day"), F.desc("least")).limit(k).agg(F.count("*"), F.min(F.struct("day", "least"))).first()
+    left = bounded
+    if last[0] >= k:
+        left = bounded.where((F.col("day") > last[1]["day"]) | ((F.col("day") == last[1]["day"]) & (F.col("most") >= last[1]["least"] * (1 - 1e-12))))
+    left = written(left.select("id", "date", "day", "bin0", "before0", "bin1", "before1"))
+    fused = left
+    for i, (hits, _) in enumerate(arms):
+        wanted = F.broadcast(left.select(f"bin{i}").where(F.col(f"bin{i}").isNotNull()).distinct())  # BINS rows at most
+        place = F.row_number().over(Window.partitionBy(f"bin{i}").orderBy(F.desc("score"), "id"))
+        placed = hits.join(wanted, f"bin{i}", "left_semi").select("id", place.alias(f"place{i}"))
+        fused = fused.join(placed, "id", "left")
+    score = share(F.col("before0") + F.col("place0")) + share(F.col("before1") + F.col("place1"))
+    return fused.withColumn("score", score).orderBy(F.desc("day"), F.desc("score"), "id").limit(k).select("id", "date", "score")
 
 
 def _counted(lexical: DataFrame, semantic: DataFrame, k: int, digits: int | None) -> DataFrame:

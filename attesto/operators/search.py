@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import B, K1, bm25
 from ..functions.text import analyze_text, centred_snippet, given, head_snippet, tokens
-from .fusion import fused_scores, hybrid, project_to_docs
+from .fusion import filtered_hybrid, hybrid, project_to_docs
 from .index import Index, of_terms
 from .tables import written
 from .vectors import cosines
@@ -240,7 +240,7 @@ def find(index: Index, query: str, mode: str = "lexical", k: int = 20, op: str =
     if mode == "semantic":
         ranked = semantic
     elif whole:
-        ranked = fused_scores(scores(index, query), semantic)
+        ranked = filtered_hybrid(scores(index, query), semantic, docs, k, sort != "score").select("id", "score")
     else:
         ranked = hybrid(scores(index, query), semantic, k).select("id", "score")
     order = [F.desc("score"), F.col("id")]

@@ -164,12 +164,28 @@ def history_fixture(spark, sf_dir):
     return evaluation.latest_by_mode(spark.read.schema("mode string, ndcg double, ord int").json(path))
 
 
-@query(values("lane, status, rows, error", "('a', 'ok', 1::BIGINT, NULL)", "('b', 'skipped', 0, NULL)", "('c', 'failed', 0, 'feed is down')"))
+@query("""WITH e AS (SELECT user_id, min(floor(epoch(ts))) AS first FROM events GROUP BY user_id), h AS (SELECT floor((min(floor(epoch(ts))) + max(floor(epoch(ts)))) / 2) AS t FROM events)
+SELECT * FROM (SELECT '1' AS run, count(*) FILTER (first < t) AS rows, 1 AS turn FROM e, h UNION ALL SELECT '1', count(*) FILTER (first < t), 2 FROM e, h UNION ALL SELECT '2', count(*) FILTER (first >= t), 3 FROM e, h
+UNION ALL SELECT 'all', count(*), 4 FROM e)""")
+def lane_runs(spark, sf_dir):
+    """A lane of the users seen up to the middle of the events, run twice, then of all; each run reports new users only, and together they hold each once."""
+    events, path = table(spark, sf_dir, "events"), _fresh(spark)
+    events = events.select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    middle = events.agg(F.floor((F.min("at") + F.max("at")) / 2).alias("t"))
+    early = events.crossJoin(F.broadcast(middle)).where("at < t").select("user_id")  # one row
+    keys = {"users": ["user_id"]}
+    made = [lanes.refresh(spark, {"users": lambda s, day, r=rows: r}, "2024-01-01", path, run, keys)[0] for run, rows in (("1", early), ("1", early), ("2", events.select("user_id")))]
+    turns = spark.createDataFrame([(r["run"], r["rows"], i) for i, r in enumerate(made, 1)], "run string, rows long, turn int")
+    held = lanes.lane_rows(spark, path, "users", f"user_id {dict(events.dtypes)['user_id']}")
+    return turns.unionByName(held.agg(F.lit("all").alias("run"), F.count("*").alias("rows"), F.lit(4).alias("turn")))
+
+
+@query(values("lane, status, rows, error", "('a', 'ok', 1::BIGINT, NULL)", "('b', 'skipped', 0, NULL)", "('c', 'failed', 0, 'feed is down')", "('d', 'ok', 0, NULL)"))
 def lanes_fixture(spark, sf_dir):
     def broken(s, day):
         raise RuntimeError("feed is down")
 
-    steps = {"a": lambda s, day: s.createDataFrame([(day,)], "d string"), "b": lambda s, day: None, "c": broken}
+    steps = {"a": lambda s, day: s.createDataFrame([(day,)], "d string"), "b": lambda s, day: None, "c": broken, "d": lambda s, day: s.createDataFrame([], "d string")}
     made = lanes.refresh(spark, steps, lanes.since({"created_at": "2024-05-06T00:00:00"}), _fresh(spark))
     return spark.createDataFrame([(r["lane"], r["status"], r["rows"], r["error"]) for r in made], "lane string, status string, rows long, error string")
 
@@ -200,7 +216,7 @@ def _streamed(spark, sf_dir, df, mode: str):
     """What a stream over all of a table leaves in its versioned sink."""
     path = _fresh(spark)
     streams.versioned_sink(df, f"{path}/out", f"{path}/checkpoint", mode).awaitTermination()
-    return streams.latest_version(spark, f"{path}/out")
+    return streams.sink_rows(spark, f"{path}/out", mode)
 
 
 def _events(spark, sf_dir):
@@ -239,7 +255,8 @@ def cli_search(spark, sf_dir):
     return rows.select("id", F.round("score", DIGITS).alias("score"))
 
 
-@query(f"{BASE}, {bm25_sql("('that', 1), ('with', 1), ('from', 1)")} SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 12")
+@query(f"{BASE}, {bm25_sql("('that', 1), ('with', 1), ('from', 1)")} SELECT id, score, 'strasse' AS word, 'power' AS kind, 1 AS n_claims FROM sc ORDER BY score DESC, id LIMIT 12")
 def sql_surface(spark, sf_dir):
     sql.register(spark, built(spark, sf_dir))
-    return spark.sql(f"SELECT id, round(sum(bm25), {DIGITS}) AS score FROM hits WHERE term IN ('that', 'with', 'from') GROUP BY id ORDER BY score DESC, id LIMIT 12")
+    best = f"SELECT id, round(sum(bm25), {DIGITS}) AS score FROM hits WHERE term IN ('that', 'with', 'from') GROUP BY id ORDER BY score DESC, id LIMIT 12"
+    return spark.sql(f"SELECT id, score, analyze(concat('Stra\u00dfe ', id))[0] AS word, q.kind, size(claims(id)) AS n_claims FROM ({best}) b, LATERAL quantities(concat('300 MW at ', id)) q")

@@ -15,11 +15,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, scoring, text
+from ..functions.udf import reachable
 from ..operators.index import Index
 
 
 def register(spark: SparkSession, index: Index | None = None) -> None:
-    """Registers analyze, claims and verdict as functions, quantities as a table function, and an index' tables as views."""
+    """Registers analyze, claims and verdict as functions, quantities as a table function, and an index' tables as views; workers get the package."""
+    reachable(spark)
 
     def analyze(x: pd.Series) -> pd.Series:
         return x.map(text.analyze_text)
@@ -28,7 +30,7 @@ def register(spark: SparkSession, index: Index | None = None) -> None:
         return x.map(extract.claims_of)
 
     def verdict(x: pd.Series) -> pd.Series:
-        return x.map(extract.verdict_of)
+        return x.map(lambda said: extract.verdict_of(said)[0])
 
     for name, f, kind in (("analyze", analyze, "array<string>"), ("claims", claims, "array<string>"), ("verdict", verdict, "string")):
         f.__annotations__ = {"x": pd.Series, "return": pd.Series}

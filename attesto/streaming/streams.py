@@ -36,14 +36,16 @@ def over_limit(counts: DataFrame, limit: int) -> DataFrame:
     return counts.where(F.col("n") > limit)
 
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """What the last batch wrote; with complete results that is all."""
-    last = spark.read.parquet(path)
-    return last.where(F.col("version") == last.agg(F.max("version")).first()[0]).drop("version")
+def sink_rows(spark: SparkSession, path: str, mode: str = "append") -> DataFrame:
+    """What a versioned sink holds: of complete results the last batch's, else what all batches brought."""
+    rows = spark.read.parquet(path)
+    if mode == "complete":
+        rows = rows.where(F.col("version") == rows.agg(F.max("version")).first()[0])
+    return rows.drop("version")
 
 
 def versioned_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Writes each batch as a version of its own; a version that fails leaves the last one in place."""
+    """Writes each batch as a version of its own; a version that fails leaves those before in place. sink_rows() reads them."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id:08d}")

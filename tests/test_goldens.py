@@ -549,3 +549,27 @@ def test_global_rank(spark):
     got = {(r.x, r["rank"]) for r in global_rank(df, [F.desc("x"), F.col("id")]).collect()}
     assert got == {(x, 1000 - x) for x in range(1000)}
     assert global_rank(df.limit(0), [F.col("x")]).count() == 0
+
+
+def test_filtered_hybrid_is_the_ranking_of_all(spark, monkeypatch):
+    """Bounds from histograms leave the same rows, in the same order, as ranks of all hits do; ties and missing dates included."""
+    import random
+
+    r = random.Random(11)
+    for n, bins in ((0, 8), (1, 8), (300, 6), (300, 500)):
+        monkeypatch.setattr(fusion, "BINS", bins)
+        lexical = [(f"d{i}", float(r.choice([0.5, 1.0, r.random() * 3]))) for i in range(n) if r.random() < 0.6]
+        semantic = [(f"d{i}", round(r.uniform(-1, 1), 1)) for i in range(n) if r.random() < 0.8]
+        kept = [(f"d{i}", r.choice([None, "2024-01-01", "2024-01-02", "2024-03-01"])) for i in range(n + 5) if r.random() < 0.3]
+        ranks = [{x: p for p, (x, _) in enumerate(sorted(arm, key=lambda h: (-h[1], h[0])), 1)} for arm in (lexical, semantic)]
+        dates = dict(kept)
+        score = {x: sum(1.0 / (60 + rank[x]) for rank in ranks if x in rank) for x in dates if any(x in rank for rank in ranks)}
+        frames = [spark.createDataFrame(x, s) for x, s in ((lexical, "id string, score double"), (semantic, "id string, score double"), (kept, "id string, date string"))]
+        for k, by_date in ((5, False), (5, True), (1000, True)):
+            order = sorted(score, key=lambda x: x)
+            order.sort(key=lambda x: -score[x])
+            if by_date:
+                order.sort(key=lambda x: dates[x] or "", reverse=True)
+            found = fusion.filtered_hybrid(*frames, k, by_date)
+            assert [(x.id, round(x.score, 12)) for x in found.collect()] == [(x, round(score[x], 12)) for x in order[:k]]
+            assert "rangepartitioning(score" not in found._jdf.queryExecution().executedPlan().toString()

@@ -151,6 +151,43 @@ def test_lanes(spark, tmp_path):
     made = lanes.refresh(spark, {"a": lambda s, day: s.createDataFrame([(day,)], "d string"), "b": lambda s, day: None, "c": broken}, lanes.since({"created_at": "2024-05-06T00:00:00"}), str(tmp_path / "lanes"))
     assert [(r["lane"], r["status"], r["rows"]) for r in made] == [("a", "ok", 1), ("b", "skipped", 0), ("c", "failed", 0)]
     assert lanes.since(None) == "2024-01-01"
+    path = str(tmp_path / "runs")
+    feed = lambda *ids: {"a": lambda s, day: s.createDataFrame([(i, "x") for i in ids], "id long, t string"), "empty": lambda s, day: s.createDataFrame([], "id long, t string")}
+    turns = [lanes.refresh(spark, feed(*ids), "2024-01-01", path, run, {"a": ["id"]}) for run, ids in (("1", (1, 2, 3)), ("1", (1, 2, 3)), ("2", (2, 3, 4, 5, 5)), ("2", (4,)))]
+    assert [[(r["status"], r["rows"]) for r in t] for t in turns] == [[("ok", n), ("ok", 0)] for n in (3, 3, 2, 1)]
+    assert sorted((r.id, r.run) for r in lanes.lane_rows(spark, path, "a", "id long").collect()) == [(1, "1"), (2, "1"), (3, "1"), (4, "2")]
+    assert lanes.refresh(spark, {"a": broken}, "2024-01-01", path, "2")[0]["status"] == "failed"
+    assert lanes.lane_rows(spark, path, "a", "id long").count() == 4 and lanes.lane_rows(spark, path, "never", "id long").count() == 0
+
+
+def test_sinks_of_several_batches(spark, tmp_path):
+    from attesto.streaming import streams
+
+    for mode in ("append", "complete"):
+        at = tmp_path / mode
+        for turn in range(2):
+            spark.createDataFrame([(turn, "k")], "n long, k string").coalesce(1).write.mode("append").parquet(str(at / "in"))
+            stream = spark.readStream.schema("n long, k string").parquet(str(at / "in"))
+            stream = stream.groupBy("k").count() if mode == "complete" else stream
+            streams.versioned_sink(stream, str(at / "out"), str(at / "checkpoint"), mode).awaitTermination()
+        got = sorted(tuple(r) for r in streams.sink_rows(spark, str(at / "out"), mode).collect())
+        assert got == ([("k", 2)] if mode == "complete" else [(0, "k"), (1, "k")])
+
+
+def test_snippets_by_the_index_words(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from attesto.functions import text
+
+    body = "x " * 200 + "cafe\u0301 noir " + "y " * 200 + "noir"
+    for form in (body, unicodedata.normalize("NFC", body), body.replace("noir", "ＮＯＩＲ")):
+        got = spark.createDataFrame([(form,)], "t string").select(text.centred_snippet(F.col("t"), F.array(F.lit("café"))).alias("s")).first().s
+        assert unicodedata.normalize("NFC", got[80:]).startswith("café") and len(got) < 200
+    samples = ["½ Straße ﬁn a\u0308b", "한글 \u1112\u1161\u11ab", "plain Words 1_2", "", "e\u0301\u0327x ＡＢ", "\u0301lead"]
+    for s in samples:
+        assert [w for w, _, _ in text.placed_tokens(s)] == text.analyze_text(s)
 
 
 def test_positions_and_reports(spark):
@@ -203,6 +240,13 @@ def test_workers_find_the_package_without_the_drivers_path(tmp_path):
         "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.driver.host', '127.0.0.1').getOrCreate()\n"
         "from attesto.functions import text\n"
         "assert spark.createDataFrame([('ＡＢＣ',)], 't string').select(text.analyze(F.col('t')).alias('a')).first().a == ['abc']\n"
+        "from attesto.plans import sql\n"
+        "from attesto.sources import parsers\n"
+        "sql.register(spark)\n"
+        "assert spark.sql(\"SELECT analyze('Straße')[0] AS t, size(claims('One. Two.')) AS n, verdict('{}') AS v\").first().t == 'strasse'\n"
+        "assert spark.sql(\"SELECT q.kind FROM quantities('300 MW') q\").first().kind == 'power'\n"
+        "files = spark.createDataFrame([(b'no workbook',)], 'content binary')\n"
+        "assert parsers.ercot_queue(files).count() == 0 and parsers.caiso_queue(files).count() == 0\n"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=200)
