@@ -17,7 +17,7 @@ from .chunking import chunk_corpus
 from .index import Index, of_terms
 from .ranking import global_rank
 from .search import scores, top
-from .tables import small, written
+from .tables import exists, small, written
 
 #: Labels of an evaluation run, in order, and the metric's column of each.
 LABELS = {"P@5": "precision_5", "P@10": "precision_10", "R@10": "recall_10", "R@50": "recall_50", "MRR": "mrr", "NDCG@10": "ndcg_10"}
@@ -296,6 +296,13 @@ def judge_answers(answers: DataFrame, judge: Callable[[str], str]) -> DataFrame:
     unparseable. Both support nothing.
     """
 
+    return judged_prompts(judge_prompts(answers), judge)
+
+
+def judged_prompts(rows: DataFrame, judge: Callable[[str], str]) -> DataFrame:
+    """rows with verdict and evidence_chunk in place of their prompt."""
+    kept = [c for c in rows.columns if c != "prompt"]
+
     def run(frames):
         for f in frames:
             said = []
@@ -304,11 +311,73 @@ def judge_answers(answers: DataFrame, judge: Callable[[str], str]) -> DataFrame:
                     said.append(verdict_of(judge(prompt)))
                 except Exception:  # a judge that fails is data
                     said.append(("error", None))
-            yield f.drop(columns="prompt").assign(verdict=[v for v, _ in said], evidence_chunk=pd.array([c for _, c in said], "Int64"))
+            yield f[kept].assign(verdict=[v for v, _ in said], evidence_chunk=pd.array([c for _, c in said], "Int64"))
 
-    rows = judge_prompts(answers)
     reachable(rows.sparkSession)
-    return rows.mapInPandas(run, "answer_id string, at int, claim string, verdict string, evidence_chunk long")
+    ddl = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes if c != "prompt")
+    return rows.mapInPandas(run, f"{ddl}, verdict string, evidence_chunk long")
+
+
+def ledgered(rows: DataFrame, key: str, call: Callable[[DataFrame], DataFrame], path: str, steps: int = 4) -> DataFrame:
+    """What call says of rows, by key: only of keys that the ledger below path lacks, each key once, step by step.
+
+    Keys are dealt to steps by their hash, and a step's results are appended when it is done; a run that was stopped, or
+    that is made again with more rows, pays for nothing twice. call takes one row of each key and returns key and more.
+    """
+    spark = rows.sparkSession
+    due = rows.dropDuplicates([key])
+    if exists(spark, path):
+        due = due.join(spark.read.parquet(path).select(key), key, "left_anti")
+    due = written(due)
+    for step in range(steps):
+        call(due.where(F.pmod(F.xxhash64(key), F.lit(steps)) == step)).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(rows.select(key).distinct(), key, "left_semi")
+
+
+def qa_run(
+    qa: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame], judge: Callable[[str], str], path: str, corpus_version: str = "unversioned",
+    git_sha: str = "unversioned", timestamp: str | None = None, min_confidence: float | None = None,
+) -> DataFrame:
+    """One row for the history of question answering, appended below path and returned: timestamp, git_sha, corpus_version, n, metrics.
+
+    qa has qa_id, question, answer_doc_ids and answerable. retrieve takes (question_id, question) and gives question_id,
+    rank, score, doc_id, source_type, date, text; generate and judge are as for rag.answers() and judge_answers(). metrics
+    are the refusal rate of unanswerable questions, the false refusal rate of answerable ones, the answer recall of what
+    was retrieved, and the faithfulness of the answers given. Both callables are asked through ledgers below path: what a
+    stopped run was told is not asked again.
+    """
+    from . import rag
+
+    spark = qa.sparkSession
+    questions = qa.select(F.col("qa_id").alias("question_id"), "question")
+    found = written(retrieve(questions).select("question_id", "rank", "score", "doc_id", "source_type", "date", "text"))
+
+    def told(asked: DataFrame) -> DataFrame:
+        keyed = asked.withColumn("key", F.sha2(F.concat_ws("\n", "question", "prompt_context"), 256))
+        said = ledgered(keyed, "key", lambda rows: rows.join(generate(rows.select("question_id", "question", "prompt_context")), "question_id").select("key", "answer"), f"{path}/answers")
+        return keyed.select("question_id", "key").join(said, "key")
+
+    answered = written(rag.answers(questions, found, told, min_confidence))
+    given_ = answered.where(~F.col("refused"))
+    chunks = found.groupBy(F.col("question_id").alias("answer_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("x")).select("answer_id", F.transform("x", lambda c: c["text"]).alias("chunk_texts"))
+    rows = given_.join(questions, "question_id").select(F.col("question_id").alias("answer_id"), "question", F.col("answer").alias("answer_text")).join(chunks, "answer_id")
+    prompts = written(judge_prompts(rows).withColumn("key", F.sha2("prompt", 256)))
+    verdicts = prompts.drop("prompt").join(ledgered(prompts.select("key", "prompt"), "key", lambda due: judged_prompts(due, judge), f"{path}/verdicts"), "key")
+    rates = refusal_rates(answered.join(qa.select(F.col("qa_id").alias("question_id"), "answerable"), "question_id"))
+    recall = answer_recall(found.select(F.col("question_id").alias("qa_id"), "doc_id"), qa)
+    faith = macro_faithfulness(faithfulness(verdicts, rows.select("answer_id")))
+    now = F.lit(timestamp) if timestamp else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    metrics_ = F.struct("refusal_rate", "false_refusal_rate", "answer_recall", "faithfulness")
+    row = rates.crossJoin(recall).crossJoin(faith).crossJoin(qa.agg(F.count("*").alias("n")))  # a row each
+    row = written(row.select(now.alias("timestamp"), F.lit(git_sha).alias("git_sha"), F.lit(corpus_version).alias("corpus_version"), "n", metrics_.alias("metrics")))
+    row.coalesce(1).write.mode("append").json(f"{path}/history")
+    return row
+
+
+def save_artifact(row: DataFrame, path: str) -> str:
+    """Writes an artifact's one row as a JSON file, in place of an older one, and returns the path."""
+    row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return path
 
 
 def faithfulness(verdicts: DataFrame, answers: DataFrame | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -134,8 +135,10 @@ def cosines(store: DataFrame, query: list[float], vec: str = "vec", digits: int
     return in_arrow(store.select(*others, vec), run, schema)
 
 
-def packed(store: DataFrame, order: str = "row", vec: str = "vec", size: int = BLOCK) -> DataFrame:
-    """Blocks of vectors: ids (the order column), width, and the vectors as packed four-byte floats, row after row.
+def packed(store: DataFrame, order: str = "row", vec: str = "vec", size: int = BLOCK, half: bool = False) -> DataFrame:
+    """Blocks of vectors: ids (the order column), width, and the vectors as packed floats of four bytes, or two (half), row after row.
+
+    Half precision is for vectors of length 1; a component beyond it is an error.
 
     A block is what a task reads next to each other, size rows at most and of one width. Vectors that are null, or hold a
     component that is null or not finite, are left out; so a packed store answers as cosine_top_k() does.
@@ -149,6 +152,10 @@ def packed(store: DataFrame, order: str = "row", vec: str = "vec", size: int = B
                 ids = batch.column(order).filter(pa.array(fits))
                 for a in range(0, len(matrix), size):
                     part = np.ascontiguousarray(matrix[a : a + size], "<f4")
+                    if half:
+                        if (np.abs(part) > HALF_MAX).any():
+                            raise ValueError("component beyond half precision")
+                        part = part.astype("<f2")
                     mine = ids.slice(a, size)
                     lists = pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine)
                     yield pa.RecordBatch.from_arrays([lists, pa.array([width], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["ids", "width", "vectors"])
@@ -167,8 +174,9 @@ def packed_top_k(blocks: DataFrame, query: list[float], k: int, order: str = "ro
             for i in range(len(batch)):
                 if batch.column("width")[i].as_py() != len(asked):
                     continue
-                matrix = np.frombuffer(batch.column("vectors")[i].as_buffer(), "<f4").reshape(-1, len(asked))
-                ids = batch.column("ids")[i].values
+                ids, raw = batch.column("ids")[i].values, batch.column("vectors")[i].as_buffer()
+                kind_ = "<f2" if len(raw) == 2 * len(asked) * len(ids) else "<f4"
+                matrix = np.frombuffer(raw, kind_).reshape(-1, len(asked)).astype("<f4", copy=False)
                 at, scores = _best_rows(matrix, asked, _Lazy(ids), k, digits)
                 best = sorted([*best, *zip((-scores).tolist(), ids.take(pa.array(at)).to_pylist())])[:k]
         if best:
@@ -274,27 +282,30 @@ def half(x):
 def embed_in_steps(pairs: DataFrame, provider: Callable[[list[str]], list[list[float]]], model: str, dim: int, path: str, every: int = 50_000, batch: int = 512) -> DataFrame:
     """embed_corpus() by steps of about every pairs, each appended to a store below path when it is done.
 
-    A run that was stopped goes on with what the store lacks; steps are dealt by a hash of
-    the id, so what a step holds does not depend on what is there. Equal texts of different
-    steps share the vector of the first.
+    What the store lacks is found once and dealt once, to a folder for each step, so a step reads its own rows only. Equal
+    texts fall into one step, as steps go by the text's hash, and a text whose vector the store has takes that one. A run
+    that was stopped goes on with what is missing.
     """
-    from .tables import exists
+    from .tables import exists, shared_dir
 
     spark = pairs.sparkSession
+    due = pairs.select("chunk_id", "text").withColumn("content_hash", content_hash(F.lit(model), F.lit(dim), F.col("text")))
+    held = spark.read.parquet(path) if exists(spark, path) else None
+    if held is not None:
+        known = held.select(F.col("content_hash").alias("_hash"), F.col("vec").alias("_vec")).dropDuplicates(["_hash"])
+        due = due.join(held.select("chunk_id"), "chunk_id", "left_anti").join(known, F.col("content_hash") == F.col("_hash"), "left").drop("_hash")
+    else:
+        due = due.withColumn("_vec", F.lit(None).cast("array<float>"))
     steps = max(1, -(-pairs.count() // every))
-    for step in range(steps):
-        due = pairs.where(F.pmod(F.xxhash64("chunk_id"), F.lit(steps)) == step)
-        held = spark.read.parquet(path) if exists(spark, path) else None
-        rows = due if held is None else due.join(held.select("chunk_id"), "chunk_id", "left_anti")
-        if not rows.limit(1).count():
-            continue
-        if held is not None:
-            known = held.select("content_hash", F.col("vec").alias("__vec")).dropDuplicates(["content_hash"])
-            hashed = rows.withColumn("content_hash", content_hash(F.lit(model), F.lit(dim), F.col("text"))).join(known, "content_hash", "left")
-            shared = hashed.where("__vec is not null").select("chunk_id", "content_hash", F.col("__vec").alias("vec"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), (F.length("text") > INPUT_CHARS).alias("truncated"))
-            made = embed_corpus(hashed.where("__vec is null").select("chunk_id", "text"), provider, model, dim, batch=batch).unionByName(shared)
+    work = f"{shared_dir(spark)}/embedding-{uuid.uuid4().hex}"
+    due.withColumn("step", F.when(F.col("_vec").isNull(), F.pmod(F.xxhash64("content_hash"), F.lit(steps))).otherwise(-1).cast("int")).write.partitionBy("step").parquet(work)
+    rows = spark.read.schema("chunk_id string, text string, content_hash string, _vec array<float>, step int").parquet(work)
+    for step in [r.step for r in rows.select("step").distinct().orderBy("step").collect()]:
+        mine = rows.where(F.col("step") == step)
+        if step < 0:
+            made = mine.select("chunk_id", "content_hash", F.col("_vec").alias("vec"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), (F.length("text") > INPUT_CHARS).alias("truncated"))
         else:
-            made = embed_corpus(rows, provider, model, dim, batch=batch)
+            made = embed_corpus(mine.select("chunk_id", "text"), provider, model, dim, batch=batch)
         made.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 

@@ -315,6 +315,7 @@ def sweep_best(spark, sf_dir):
     queries, grades = _graded(spark, sf_dir)
     cells = evaluation.sweep(built(spark, sf_dir), queries, grades, (0.9, 1.5), (0.4, 0.75), 10, DIGITS)
     made = evaluation.sweep_artifact(cells.withColumn("ndcg", F.round("ndcg", DIGITS)), 3, 10)
+    made = spark.read.schema(made.schema).json(evaluation.save_artifact(made, f"{shared_dir(spark)}/sweep-{uuid.uuid4().hex}"))
     return made.select("best.k1", "best.b", F.col("best.ndcg10").alias("ndcg"))
 
 
@@ -338,6 +339,44 @@ def evaluation_run(spark, sf_dir):
     return rows.select("query_id", *(F.round(F.col(f"`{n}`"), DIGITS).alias(n) for n, *_ in _LABELS))
 
 
+@query(f"""{BASE}, b AS (SELECT item_id, array_to_string(ts[1:4], ' ') AS question, ts[1:4] AS ws, coalesce(quality = 1, false) AS answerable
+  FROM (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS ts FROM benchmark) LEFT JOIN labels ON doc_id = item_id),
+qt AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(ws) AS term FROM b) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+hit AS (SELECT item_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / average))), {DIGITS}) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN tok USING (id) CROSS JOIN stat GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM hit) WHERE rank <= 5),
+a AS (SELECT b.*, coalesce(n, 0) AS n, coalesce(own, 0) AS own, coalesce(n, 0) = 0 OR length(question) % 3 = 0 AS refused FROM b LEFT JOIN (SELECT item_id, count(*) AS n, max((id = CAST(item_id AS VARCHAR))::INT) AS own FROM top GROUP BY 1) USING (item_id))
+SELECT count(*) AS n, round(coalesce(avg(refused::INT) FILTER (NOT answerable), 0), {DIGITS}) AS refusal_rate, round(coalesce(avg(refused::INT) FILTER (answerable), 0), {DIGITS}) AS false_refusal_rate,
+  round(avg(own), {DIGITS}) AS answer_recall, round(coalesce(avg(CASE WHEN n = 1 THEN 2 / 3.0 ELSE 1 / 3.0 END) FILTER (NOT refused), 0), {DIGITS}) AS faithfulness FROM a""")
+def qa_evaluation(spark, sf_dir):
+    """Questions of the first words of benchmark passages through retrieval by the index, a generator, a judge and the metrics, run twice: the second run asks nobody."""
+    d, i, path = corpus(spark, sf_dir), built(spark, sf_dir), f"{shared_dir(spark)}/qa-{uuid.uuid4().hex}"
+    graded = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), "quality")
+    qa = table(spark, sf_dir, "benchmark").join(graded, "item_id", "left").select(
+        F.col("item_id").cast("string").alias("qa_id"), F.array_join(F.slice(text.tokens(F.col("text")), 1, 4), " ").alias("question"),
+        F.array(F.col("item_id").cast("string")).alias("answer_doc_ids"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("answerable"),
+    )
+
+    def retrieve(questions):
+        best = evaluation.ranks(evaluation.batch_scores(i, questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("query"))), ["query_id"], 5, DIGITS)
+        return best.join(d, "id").select(F.col("query_id").alias("question_id"), "rank", "score", F.col("id").alias("doc_id"), "source_type", "date", "text")
+
+    def generate(rows):
+        cited = F.size(F.regexp_extract_all("prompt_context", F.lit(r"(?m)^\[[1-5]\] [a-z]+ \| \d{4}-"), 0))
+        said = F.concat(F.lit("It is so [1]. It is also so ["), cited, F.lit("]. And nothing else."))
+        return rows.select("question_id", F.when(F.length("question") % 3 == 0, rag.SENTINEL).otherwise(said).alias("answer"))
+
+    def judge(prompt):
+        claim = prompt.split("\nCLAIM\n")[1].split("\n")[0]
+        return '{"verdict": "supported", "evidence_chunk": 1}' if "[1]" in claim else '{"verdict": "unsupported", "evidence_chunk": null}'
+
+    def nobody(_):
+        raise AssertionError("asked again")
+
+    evaluation.qa_run(qa, retrieve, generate, judge, path)
+    row = evaluation.qa_run(qa, retrieve, lambda rows: rows.select("question_id", F.raise_error(F.lit("asked again")).cast("string").alias("answer")), nobody, path)
+    return row.select("n", *(F.round(F.col(f"metrics.{m}"), DIGITS).alias(m) for m in ("refusal_rate", "false_refusal_rate", "answer_recall", "faithfulness")))
+
+
 def _top(score: str) -> str:
     return f"list(id ORDER BY {score} DESC, id) FILTER (place_{score} <= 10)"
 

@@ -573,3 +573,54 @@ def test_filtered_hybrid_is_the_ranking_of_all(spark, monkeypatch):
             found = fusion.filtered_hybrid(*frames, k, by_date)
             assert [(x.id, round(x.score, 12)) for x in found.collect()] == [(x, round(score[x], 12)) for x in order[:k]]
             assert "rangepartitioning(score" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_ledger_pays_once(spark, tmp_path):
+    """A run that stops half-way goes on with what is missing; more rows ask only for theirs."""
+    path, broken = str(tmp_path / "ledger"), []
+
+    def call(rows):
+        if len(broken) == 2:
+            raise RuntimeError("stopped")
+        broken.append(1)
+        return rows.select("key", F.concat(F.lit("said "), "key").alias("said"), F.lit(len(broken)).alias("call"))
+
+    rows = spark.createDataFrame([(f"k{i % 30}", i) for i in range(60)], "key string, i int")
+    with pytest.raises(RuntimeError):
+        evaluation.ledgered(rows, "key", call, path)
+    held = {r.key: r.call for r in spark.read.parquet(path).collect()}
+    assert 0 < len(held) < 30
+    broken.clear()
+    broken.extend([1] * 10)
+    more = rows.unionByName(spark.createDataFrame([("new", 1)], "key string, i int"))
+    got = {r.key: (r.said, r.call) for r in evaluation.ledgered(more, "key", call, path).collect()}
+    assert len(got) == 31 and all(said == f"said {k}" for k, (said, _) in got.items())
+    assert all(got[k][1] == c for k, c in held.items()) and all(got[k][1] > 10 for k in got if k not in held)
+
+
+def test_embedding_steps_go_on_and_share(spark, tmp_path):
+    path = str(tmp_path / "store")
+    asked = []
+
+    def provider(texts):
+        return [[float(len(t)) + 1, 2.0] for t in texts]
+
+    pairs = spark.createDataFrame([(f"c{i}", f"text {i % 40}") for i in range(100)], "chunk_id string, text string")
+    vectors.embed_in_steps(pairs.limit(30), provider, "m", 2, path, every=7)
+    first = {r.chunk_id: tuple(r.vec) for r in spark.read.parquet(path).collect()}
+    out = vectors.embed_in_steps(pairs, provider, "m", 2, path, every=7)
+    got = {r.chunk_id: tuple(r.vec) for r in out.collect()}
+    assert out.count() == len(got) == 100 and all(got[k] == v for k, v in first.items()) and not asked
+    by_text = {}
+    for r in pairs.collect():
+        assert by_text.setdefault(r.text, got[r.chunk_id]) == got[r.chunk_id]
+    size = lambda p: spark.read.parquet(str(p)).agg(F.sum(F.length("vectors"))).first()[0]
+    rows = spark.createDataFrame([(i, [0.01 * ((i * j) % 97) for j in range(64)]) for i in range(500)], "row long, vec array<float>").coalesce(1)
+    for half in (False, True):
+        vectors.packed(rows, half=half).write.parquet(str(tmp_path / f"half{half}"))
+    assert 2 * size(tmp_path / "halfTrue") == size(tmp_path / "halfFalse") == 500 * 64 * 4
+    query = [float(j % 5) for j in range(64)]
+    near = {half: [(r.row, round(r.score, 2)) for r in vectors.packed_top_k(spark.read.parquet(str(tmp_path / f"half{half}")), query, 5, digits=2).collect()] for half in (False, True)}
+    assert [s for _, s in near[True]] == [s for _, s in near[False]]
+    with pytest.raises(Exception, match="half precision"):
+        vectors.packed(spark.createDataFrame([(1, [70000.0])], "row long, vec array<float>"), half=True).count()
