@@ -91,7 +91,7 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
     while i < n:
         j = min(max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right"))), i + SPANS)
         a, b = int(starts[i]), int(ends[j - 1])
-        if b - a <= SEGMENT:
+        if b - a <= max(SEGMENT, LANES):
             part = np.zeros(b - a + 8, np.uint8)
             part[: b - a] = _LOWER[data[a:b]] if lower else data[a:b]
             sizes = ends[i:j] - starts[i:j]

@@ -98,6 +98,11 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablations(table(spark, sf_dir, "documents"))
 
 
+def suffix_dedup_by_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 returns, by the merge of suffix runs alone: no whole copies or periodic stretches are decided before it."""
+    return repeats_removed(table(spark, sf_dir, "documents"), shortcuts=False).drop("kept")
+
+
 def license_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole licence texts, wrapped at several widths behind a copyright line."""
     rows = []
@@ -114,7 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_best_fit_packing, op2_suffix_dedup, op3_license_scan, op4_mixing, op5_exact_top_k,
         op6_quality_rules, op7_secret_scan, op8_language_id, op9_near_dedup, op10_chat_format,
         op11_change_applier, op12_sentencepiece, op13_lexical_search,
-        quality_ablation, license_fixture,
+        quality_ablation, suffix_dedup_by_merge, license_fixture,
     )
 }
 
@@ -129,6 +134,7 @@ ORACLES: dict[str, str] = {
     "op10_chat_format": oracles.CHAT_FORMAT,
     "op11_change_applier": oracles.CHANGE_APPLIER,
     "op13_lexical_search": oracles.LEXICAL_SEARCH,
+    "suffix_dedup_by_merge": oracles.SUFFIX_DEDUP,
     "quality_ablation": oracles.ABLATIONS,
     "license_fixture": oracles.LICENSE_FIXTURE,
 }
