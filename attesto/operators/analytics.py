@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..functions.extract import event_items, quantities, shell_names
 from ..functions.text import content_tokens, count_phrases, given, head_snippet, k_grams
+from ..functions.udf import in_arrow
 from .joins import carried
-from .tables import small
+from .tables import small, written
 
 #: Phrases of an evasive answer.
 DODGE_MARKERS = (
@@ -35,8 +39,6 @@ EVENT_ITEMS = {
     "9.01": "Financial Statements and Exhibits",
 }
 QUIET_DAYS, TRAIL, SAMPLES = 90, 5, 3
-#: Terms that are broadcast to the words of texts; more are joined by a shuffle.
-BROADCAST_TERMS = 100_000
 
 
 def first_samples(rows: DataFrame, key: list[str], order: list, fields: list[str], n: int = SAMPLES, name: str = "samples") -> DataFrame:
@@ -154,19 +156,58 @@ def bounded(term):
     return F.concat(F.lit(r"(?U)\b\Q"), term, F.lit(r"\E\b"))
 
 
+#: Characters of all terms that one automaton holds; more terms are several automata and as many passes.
+AUTOMATON_CHARS = 4_000_000
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_" or unicodedata.category(c) in ("Mn", "Mc", "Me", "Pc")
+
+
+def _edge(text: str, at: int) -> bool:
+    """Whether a word begins or ends at a place."""
+    return (at > 0 and _in_word(text[at - 1])) != (at < len(text) and _in_word(text[at]))
+
+
+def _found_terms(terms: list[str]):
+    """(id, term) of the texts of a batch: one pass of an automaton of all terms, each hit checked for the words' edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            machine.add_word(term, (i, len(term)))
+        machine.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for place, text in enumerate(batch.column(1).to_pylist()):
+                if text:
+                    held = {i for end, (i, n) in machine.iter(text) if _edge(text, end + 1 - n) and _edge(text, end + 1)}
+                    ids += [place] * len(held)
+                    found += sorted(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array([terms[i] for i in found], pa.string())], ["id", "term"])
+
+    return run
+
+
 def term_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, term) where a text holds a term as whole words; terms is one column, term, of fixed names.
 
-    Terms are found through a word of theirs: an equi-join of ids and words with the terms'
-    first words, so no pair of a text and a term that share no word is made. Only ids and
-    words are joined; the texts of ids that are left meet their terms once.
+    All terms are one automaton, which goes to the workers and passes over each text once, whatever the number of terms;
+    no text is shuffled. Terms of more than AUTOMATON_CHARS characters are parted by their hash, a pass for each part, so
+    what goes through the driver is bounded. Null and empty terms are in no text; an id that repeats is one document.
     """
-    word = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), 0)
-    keyed = terms.select("term", F.get(word(F.col("term")), F.lit(0)).alias("word")).where("word is not null").distinct()
-    words = docs.select("id", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
-    near = words.join(small(keyed, BROADCAST_TERMS), "word").groupBy("id").agg(F.collect_set("term").alias("terms"))
-    held = docs.select("id", "text").join(near, "id").select("id", "text", F.explode("terms").alias("term"))
-    return held.where(F.call_function("rlike", F.col("text"), bounded(F.col("term")))).select("id", "term").distinct()
+    known = written(terms.select("term").where("term <> ''").distinct())
+    parts = max(1, -(-(known.agg(F.sum(F.length("term"))).first()[0] or 0) // AUTOMATON_CHARS))
+    texts = docs.select("id", "text")
+    schema = f"id {dict(texts.dtypes)['id']}, term string"
+    hits = []
+    for part in range(parts):
+        mine = sorted(r.term for r in known.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).collect())
+        if mine:
+            hits.append(in_arrow(texts, _found_terms(mine), schema))
+    return reduce(DataFrame.unionByName, hits).distinct() if hits else docs.sparkSession.createDataFrame([], schema)
 
 
 def link_evidence(candidates: DataFrame, docs: DataFrame, company_terms: DataFrame) -> DataFrame:

@@ -825,6 +825,22 @@ def evidence_fixture(spark, sf_dir):
     return analytics.link_evidence(analytics.mine_names(rows), rows, terms).select("shell", "ticker", "n_cooccurrence_docs")
 
 
+_THREE = r"[\p{L}\p{N}]+( [\p{L}\p{N}]+){2}"
+_EDGES = r"'(^|[^\p{L}\p{N}_])' || %s || '([^\p{L}\p{N}_]|$)'"
+
+
+@query(f"""WITH n AS (SELECT item_id, regexp_extract(text, '{_THREE}') AS head, regexp_extract_all(text, '{_THREE}')[-1] AS tail FROM benchmark),
+a AS (SELECT DISTINCT head AS shell, doc_id FROM n JOIN documents d ON CASE WHEN contains(d.text, head) THEN regexp_matches(d.text, {_EDGES % 'head'}) ELSE false END WHERE head <> ''),
+b AS (SELECT DISTINCT 'T' || item_id AS ticker, doc_id FROM n JOIN documents d ON CASE WHEN contains(d.text, tail) THEN regexp_matches(d.text, {_EDGES % 'tail'}) ELSE false END WHERE tail <> '')
+SELECT shell, ticker, count(*) AS n_cooccurrence_docs FROM a JOIN b USING (doc_id) GROUP BY ALL""")
+def evidence_in_documents(spark, sf_dir):
+    """Names and terms are the first and the last three words of benchmark passages that stand together; all documents are looked through."""
+    items = table(spark, sf_dir, "benchmark").withColumn("all", F.regexp_extract_all("text", F.lit(_THREE), F.lit(0)))
+    names = items.select(F.get("all", F.lit(0)).alias("name")).where("name is not null").distinct()
+    terms = items.select(F.concat(F.lit("T"), "item_id").alias("ticker"), F.get("all", F.size("all") - 1).alias("term")).where("term is not null")
+    return analytics.link_evidence(names, corpus(spark, sf_dir), terms).select("shell", "ticker", "n_cooccurrence_docs")
+
+
 @query(values("promise_id, status, signals", "('p1', 'followed_up', 'd1:quantity,d2:entity,d3:phrase')", "('p2', 'quiet', '')", "('p3', 'too_recent', '')", "('p4', 'too_recent', '')"))
 def outcome_fixture(spark, sf_dir):
     docs = spark.createDataFrame(fx.OUTCOME_DOCS, "id string, text string, jurisdiction string, date string").withColumn("deep_link", F.lit(""))

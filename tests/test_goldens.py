@@ -624,3 +624,19 @@ def test_embedding_steps_go_on_and_share(spark, tmp_path):
     assert [s for _, s in near[True]] == [s for _, s in near[False]]
     with pytest.raises(Exception, match="half precision"):
         vectors.packed(spark.createDataFrame([(1, [70000.0])], "row long, vec array<float>"), half=True).count()
+
+
+def test_terms_by_an_automaton(spark, monkeypatch):
+    """Overlapping terms, terms within words, signs at their ends, several automata: as the patterns of whole words say."""
+    import random
+
+    r = random.Random(2)
+    terms = ["Acme", "Acme Corp", "Corp", "me C", "é", "Öl AG", "A.B.", "x_y", "(z)", "", None]
+    pieces = ["Acme", "Corp", "Acme Corp", "Öl AG", "é", "cafés", "A.B.", "x_y", "x_yz", "(z)", " ", ", ", "-", ""]
+    rows = [(f"d{i}", "".join(r.choice(pieces) + r.choice(["", " ", " "]) for _ in range(r.randrange(8)))) for i in range(200)] + [("n", None), ("e", "")]
+    frame, asked = docs(spark, rows), spark.createDataFrame([(t,) for t in terms], "term string")
+    want = {(i, t) for i, text_ in rows for t in terms if t and text_ and re.search(rf"\b{re.escape(t)}\b", text_)}
+    assert {tuple(x) for x in analytics.term_hits(frame, asked).collect()} == want and want
+    monkeypatch.setattr(analytics, "AUTOMATON_CHARS", 9)
+    assert {tuple(x) for x in analytics.term_hits(frame, asked).collect()} == want
+    assert analytics.term_hits(frame, asked.limit(0)).count() == 0 and analytics.term_hits(frame.limit(0), asked).count() == 0
