@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ._common import shielding, small, written
 
-#: Blobs with findings that are broadcast to the texts, some 200 bytes each; more are joined by a shuffle.
-BROADCAST_BLOBS = 200_000
+#: Blobs with findings, and spans of all of them, that are broadcast to the texts, some 200 bytes a blob and 40 a span; more are joined by a shuffle.
+BROADCAST_BLOBS, BROADCAST_SPANS = 200_000, 1_000_000
 #: Fixed values of the contract, in its order, then this module's own rules: kind, version,
 #: pattern, group that is measured, its least length.
 RULES = (
@@ -64,7 +64,13 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     hits = each.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).where("p.hit")
     span = F.struct("kind", "version", "start", (F.col("start") + F.col("p.n")).cast("int").alias("end"))
     found = written(hits.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("found")))
-    return rows.select("blob", "scanned").join(small(found, BROADCAST_BLOBS), "blob", "left").select("blob", "scanned", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+    return rows.select("blob", "scanned").join(_few(found, "found"), "blob", "left").select("blob", "scanned", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+
+
+def _few(rows: DataFrame, spans: str) -> DataFrame:
+    """rows of blobs to be broadcast if they, and all their spans together, are few; a blob may hold any number of spans."""
+    blobs, held = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(spans)), F.lit(0))).first()
+    return F.broadcast(rows) if blobs <= BROADCAST_BLOBS and held <= BROADCAST_SPANS else rows
 
 
 def blob_of(text: str = "text"):
@@ -117,7 +123,7 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> D
     dirty = written(_found(complete(docs, ledger, rules), rules).groupBy("blob").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found")))
     paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_of().alias("blob"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return paths.join(small(dirty, BROADCAST_BLOBS), "blob", "left").select("doc_id", "blob", F.coalesce("found", empty).alias("found"))
+    return paths.join(_few(dirty, "found"), "blob", "left").select("doc_id", "blob", F.coalesce("found", empty).alias("found"))
 
 
 def _joined(found, kinds: tuple[str, ...]):
@@ -173,7 +179,7 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None, placeholder: str
     """
     dirty = written(_runs(_found(complete(docs, ledger), RULES)).select(F.col("blob").alias("__blob"), F.col("runs").alias("__runs")))
     text = F.when(F.col("__runs").isNotNull(), without_runs(F.col("text"), F.col("__runs"), placeholder)).otherwise(F.col("text"))
-    rows = docs.withColumn("__blob", blob_of()).join(small(dirty, BROADCAST_BLOBS), "__blob", "left").withColumn("text", text)
+    rows = docs.withColumn("__blob", blob_of()).join(_few(dirty, "__runs"), "__blob", "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__runs").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -278,3 +278,17 @@ def test_loss_text_follows_the_flags(spark, monkeypatch):
     user = chat.TEMPLATE["user"]
     monkeypatch.setitem(chat.TEMPLATE, "user", (*user[:2], True, *user[3:]))
     assert {r.conv_id: r.loss_chars for r in chat.chat_format(frame).collect()} == {1: len("a[/INST]bc</s>d"), None: 1}
+
+
+def test_many_spans_are_not_broadcast(spark, monkeypatch):
+    """One blob may hold any number of spans; beyond the bound the join is shuffled, and the result is the same."""
+    from attesto.llm import secrets
+
+    docs = spark.createDataFrame([(i, " ".join(f"token=abc{i}def{j}" for j in range(40 if i == 3 else 1))) for i in range(8)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in secrets.secret_scan(docs).collect())
+    text = sorted(tuple(r) for r in secrets.redacted(docs).collect())
+    monkeypatch.setattr(secrets, "BROADCAST_SPANS", 20)
+    rows = secrets.written(spark.createDataFrame([("a", [1] * 21)], "blob string, found array<int>"))
+    assert "broadcast" not in secrets._few(rows, "found")._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in secrets._few(rows.select("blob", F.slice("found", 1, 20).alias("found")), "found")._jdf.queryExecution().logical().toString().lower()
+    assert sorted(tuple(r) for r in secrets.secret_scan(docs).collect()) == want and sorted(tuple(r) for r in secrets.redacted(docs).collect()) == text
