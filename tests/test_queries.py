@@ -35,7 +35,7 @@ def test_entry_imports_without_the_subpackage(tmp_path, leaves_folder):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
-@pytest.mark.parametrize("name", ["boolean_and_scan", "bm25_top10", "range_join", "asof_join", "phrase"])
+@pytest.mark.parametrize("name", ["boolean_and_scan", "bm25_top10", "range_join", "asof_join", "phrase", "outcomes_of_passages", "evidence_in_documents", "find_hybrid_by_date", "bm25_skipping_top10"])
 def test_plans_have_no_product(spark, name):
     """No cartesian product; top-k is one operator; scans read the columns they need."""
     if not os.path.isdir(SF):
