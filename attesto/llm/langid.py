@@ -200,7 +200,8 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
     Only the text is an input of the prediction. lang_pred is und with score 0 if the
     text is null, empty or has no letter, or if nothing could be learned. Texts are read
-    whole. Repeated rows, null ids and other columns are no matter.
+    whole. Of languages with equal scores the first by name is taken. Repeated rows, null
+    ids and other columns are no matter.
     """
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return in_arrow(rows, _predict(net, ("lang_pred", "score")), "doc_id long, held_out boolean, lang_pred string, score double")

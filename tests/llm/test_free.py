@@ -335,3 +335,16 @@ def test_pipeline(spark, tmp_path):
     bins = corpus_pipeline.run(spark, path).collect()
     assert Counter(d for b in bins for d in b.doc_ids) == Counter(d for d, _ in kept[3])
     assert hashlib.sha256 and all(sum(b.lengths) == b.used <= b.capacity for b in bins)
+
+
+def test_equal_scores_take_the_first_language_by_name(spark):
+    class Undecided:
+        languages = ["de", "en", "fr"]
+
+        def predict(self, windows):
+            import numpy as np
+
+            return np.tile([0.2, 0.4, 0.4], (len(windows), 1))
+
+    rows = spark.createDataFrame([(1, "some words"), (2, "12 34"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.identify(rows, Undecided()).collect()} == {1: ("en", 0.4), 2: ("und", 0.0), 3: ("und", 0.0)}
