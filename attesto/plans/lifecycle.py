@@ -236,6 +236,17 @@ def stream_new_entries(spark, sf_dir):
     return _streamed(spark, sf_dir, streams.new_entries(rows), "append").select("accession")
 
 
+@query("""WITH c AS (SELECT event_type AS video, epoch_us(ts) AS us, repeat('so ', (1 + user_id % 4)::INT) || (user_id % 2) AS text FROM events),
+l AS (SELECT *, lag(text) OVER (PARTITION BY video ORDER BY us, text) AS last FROM c WHERE us < (SELECT max(us) // 1000 * 1000 FROM c) - 3600000000),
+s AS (SELECT video, us, CASE WHEN last IS NULL THEN text WHEN starts_with(text, last) THEN trim(substr(text, length(last) + 1), ' ') WHEN ends_with(last, text) THEN '' ELSE text END AS text FROM l)
+SELECT * FROM s WHERE text <> ''""")
+def stream_rollups(spark, sf_dir):
+    """Events as cues; what the watermark has passed is given out, each cue without what the one before said."""
+    text = F.concat(F.repeat(F.lit("so "), (1 + F.col("user_id") % 4).cast("int")), (F.col("user_id") % 2).cast("string"))
+    cues = _events(spark, sf_dir).select(F.col("event_type").alias("video"), "ts", text.alias("text"))
+    return _streamed(spark, sf_dir, streams.without_rollups(cues, "1 hour"), "append").select("video", F.col("at").alias("us"), "text")
+
+
 @query("SELECT event_type AS video, CAST(floor(epoch(ts) / 75) * 75 AS BIGINT) AS at, count(*) AS n FROM events GROUP BY ALL")
 def stream_captions(spark, sf_dir):
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("video"), "ts", F.col("event_id").cast("string").alias("text"))

@@ -6,18 +6,67 @@ again after a failure leaves the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.udf import reachable
 from ..operators.chunking import CAPTION_SECONDS
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def new_entries(stream: DataFrame, key: str = "accession", time: str = "ts", delay: str = "7 days") -> DataFrame:
     """Each key once within the watermark."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def _said(last: str | None, text: str) -> str:
+    """What a cue says that the one before has not."""
+    if last is None:
+        return text
+    return text[len(last) :].strip(" ") if text.startswith(last) else "" if last.endswith(text) else text
+
+
+def _rolled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Holds a video's cues until the watermark has passed them, then gives out, in order, what each adds."""
+    import pandas as pd
+
+    last, held = state.get if state.exists else (None, [])
+    held = [(r[0], r[1]) for r in held]
+    for frame in frames:
+        held += zip(frame["at"].tolist(), frame["text"].tolist())
+    held.sort()
+    until = state.getCurrentWatermarkMs() * 1000
+    out = []
+    while held and held[0][0] < until:
+        at, text = held.pop(0)
+        said, last = _said(last, text), text
+        if said:
+            out.append((key[0], at, said))
+    state.update((last, held))
+    if held:
+        state.setTimeoutTimestamp(max(held[0][0] // 1000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(out, columns=["video", "at", "text"])
+
+
+def without_rollups(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """video, at (microseconds) and text of cues (video, ts, text) without what rolling captions repeat, as the batch form of a file.
+
+    A cue waits until the watermark has passed it, so one that comes late, but within delay, is still in its place. Cues of
+    one time go by their text. State is a video's last text and the cues that wait. Rows with nulls are left out.
+    """
+    reachable(stream.sparkSession)
+    cues = stream.where("video is not null and ts is not null and text is not null").withWatermark("ts", delay)
+    cues = cues.select("video", "ts", F.unix_micros("ts").alias("at"), "text")
+    return cues.groupBy("video").applyInPandasWithState(_rolled, "video string, at long, text string", "last string, held array<struct<at:long,text:string>>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def tumbling_captions(stream: DataFrame, delay: str = "10 minutes", seconds: int = CAPTION_SECONDS) -> DataFrame:
     """Cues (video, ts, text) gathered by windows of their start."""
     rows = stream.withWatermark("ts", delay).groupBy("video", F.window("ts", f"{seconds} seconds").alias("w"))

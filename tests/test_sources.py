@@ -250,3 +250,24 @@ def test_workers_find_the_package_without_the_drivers_path(tmp_path):
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=200)
+
+
+def test_rollups_of_a_stream_are_those_of_a_file(spark, tmp_path):
+    """Two batches, the second with a cue that belongs before some of the first's."""
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from attesto.sources import parsers
+    from attesto.streaming import streams
+
+    texts = ["we call", "we call the roll", "the roll", "the roll of members", "new business", "new business", "business", "none"]
+    rows = [("v", datetime(2024, 1, 1) + timedelta(seconds=5 * i), t) for i, t in enumerate(texts)]
+    end = [("w", datetime(2024, 1, 2), "end"), ("v", datetime(2024, 1, 1), None)]
+    for turn, part in enumerate(([rows[i] for i in (0, 1, 3, 5)], [rows[i] for i in (2, 4, 7, 6)], end)):
+        spark.createDataFrame(part, "video string, ts timestamp, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("video string, ts timestamp, text string").parquet(str(tmp_path / "in"))
+        streams.versioned_sink(streams.without_rollups(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = [r.text for r in streams.sink_rows(spark, str(tmp_path / "out")).where("video = 'v'").orderBy("at").collect()]
+    cues = F.array(*(F.struct(F.lit(5.0 * i).alias("start"), F.lit(t).alias("text")) for i, t in enumerate(texts)))
+    assert got == [c.text for c in spark.range(1).select(parsers.without_rollups(cues).alias("c")).first().c]
