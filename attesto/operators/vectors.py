@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import time
-import uuid
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -279,34 +278,53 @@ def half(x):
     return F.transform(x, lambda v: F.when(F.abs(v) > HALF_MAX, F.raise_error(F.lit("component beyond half precision"))).otherwise(one(v)).cast("float"))
 
 
+def _embedded(provider: Callable[[list[str]], list[list[float]]], batch: int):
+    """Vectors of rows in order of their texts' hash: one call for each text without one, however many rows and frames it spans."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = made = None
+        for f in frames:
+            asked = f[f["_vec"].isna() & (f["content_hash"] != last)].drop_duplicates("content_hash")
+            found = {} if last is None else {last: made}
+            for a in range(0, len(asked), batch):
+                part = asked.iloc[a : a + batch]
+                found.update(zip(part["content_hash"], provider(part["text"].fillna("").tolist())))
+            out = f.drop(columns="text")
+            out["vec"] = [None if known is not None else found[h] for h, known in zip(f["content_hash"], f["_vec"])]
+            if len(f) and f["_vec"].iloc[-1] is None:
+                last = f["content_hash"].iloc[-1]
+                made = found[last]
+            yield out
+
+    return run
+
+
 def embed_in_steps(pairs: DataFrame, provider: Callable[[list[str]], list[list[float]]], model: str, dim: int, path: str, every: int = 50_000, batch: int = 512) -> DataFrame:
-    """embed_corpus() by steps of about every pairs, each appended to a store below path when it is done.
+    """embed_corpus() by steps of about every pairs, each in the store below path as soon as it is done.
 
-    What the store lacks is found once and dealt once, to a folder for each step, so a step reads its own rows only. Equal
-    texts fall into one step, as steps go by the text's hash, and a text whose vector the store has takes that one. A run
-    that was stopped goes on with what is missing.
+    What the store lacks is found once and dealt once: a step is a task of one job, so steps run side by side, and its file
+    moves to the store when the task commits, not when the job does. Equal texts fall into one step, as steps go by the
+    text's hash, and a text whose vector the store has takes that one. A run that was stopped goes on with what is missing.
     """
-    from .tables import exists, shared_dir
+    from .tables import exists
 
     spark = pairs.sparkSession
-    due = pairs.select("chunk_id", "text").withColumn("content_hash", content_hash(F.lit(model), F.lit(dim), F.col("text")))
+    twice = pairs.groupBy("chunk_id").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"repeated chunk id {twice[0].chunk_id!r}")
+    due = pairs.select("chunk_id", F.substring("text", 1, INPUT_CHARS).alias("text"), content_hash(F.lit(model), F.lit(dim), F.col("text")).alias("content_hash"), (F.length("text") > INPUT_CHARS).alias("truncated"))
     held = spark.read.parquet(path) if exists(spark, path) else None
     if held is not None:
-        known = held.select(F.col("content_hash").alias("_hash"), F.col("vec").alias("_vec")).dropDuplicates(["_hash"])
-        due = due.join(held.select("chunk_id"), "chunk_id", "left_anti").join(known, F.col("content_hash") == F.col("_hash"), "left").drop("_hash")
+        known = held.select("content_hash", F.col("vec").alias("_vec")).dropDuplicates(["content_hash"])
+        due = due.join(held.select("chunk_id"), "chunk_id", "left_anti").join(known, "content_hash", "left")
     else:
         due = due.withColumn("_vec", F.lit(None).cast("array<float>"))
     steps = max(1, -(-pairs.count() // every))
-    work = f"{shared_dir(spark)}/embedding-{uuid.uuid4().hex}"
-    due.withColumn("step", F.when(F.col("_vec").isNull(), F.pmod(F.xxhash64("content_hash"), F.lit(steps))).otherwise(-1).cast("int")).write.partitionBy("step").parquet(work)
-    rows = spark.read.schema("chunk_id string, text string, content_hash string, _vec array<float>, step int").parquet(work)
-    for step in [r.step for r in rows.select("step").distinct().orderBy("step").collect()]:
-        mine = rows.where(F.col("step") == step)
-        if step < 0:
-            made = mine.select("chunk_id", "content_hash", F.col("_vec").alias("vec"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), (F.length("text") > INPUT_CHARS).alias("truncated"))
-        else:
-            made = embed_corpus(mine.select("chunk_id", "text"), provider, model, dim, batch=batch)
-        made.write.mode("append").parquet(path)
+    dealt = due.select("chunk_id", "content_hash", "truncated", "_vec", "text").repartition(steps, "content_hash").sortWithinPartitions("content_hash")
+    made = dealt.mapInPandas(_embedded(provider, batch), "chunk_id string, content_hash string, truncated boolean, _vec array<float>, vec array<float>")
+    rows = made.select("chunk_id", "content_hash", F.coalesce("_vec", normalised(F.col("vec"))).alias("vec"), F.lit(model).alias("model"), F.lit(dim).alias("dim"), "truncated")
+    # Hadoop's second way to commit: a finished task's file is there at once, and one that is made again has the same name.
+    rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
     return spark.read.parquet(path)
 
 

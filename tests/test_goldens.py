@@ -486,6 +486,29 @@ def test_embedding_goes_on_where_it_stopped(spark, tmp_path):
         vectors.check_store(spark.createDataFrame([("a", [float("inf"), 0.0], "m", 2)], "chunk_id string, vec array<float>, model string, dim int"), "m", 2)
 
 
+def test_embedding_steps_are_one_job(spark, tmp_path):
+    """However many steps; a finished step is in the store although a later one fails."""
+    context, path = spark.sparkContext, str(tmp_path / "store")
+    pairs = spark.createDataFrame([(f"c{i}", None if i == 7 else f"text {i % 90}") for i in range(120)], "chunk_id string, text string")
+
+    def slow(texts):
+        if "text 3" in texts:
+            time.sleep(4)
+            raise RuntimeError("stopped")
+        return [[float(len(t)) + 1, 2.0] for t in texts]
+
+    with pytest.raises(Exception, match="stopped"):
+        vectors.embed_in_steps(pairs, slow, "m", 2, path, every=4)
+    assert 0 < spark.read.parquet(path).count() < 120
+    context.setJobGroup("steps", "steps")
+    store = vectors.embed_in_steps(pairs, lambda texts: [[float(len(t)) + 1, 2.0] for t in texts], "m", 2, path, every=4)
+    jobs = len(context.statusTracker().getJobIdsForGroup("steps"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert store.count() == store.select("chunk_id").distinct().count() == 120 and jobs < 20
+    with pytest.raises(ValueError, match="repeated chunk id"):
+        vectors.embed_in_steps(pairs.unionByName(pairs), slow, "m", 2, path, every=4)
+
+
 def test_providers():
     calls = []
 
