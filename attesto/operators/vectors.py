@@ -213,8 +213,8 @@ def covered_top_k(store: DataFrame, chunks: DataFrame, query: list[float], k: in
     return cosine_top_k(store.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), query, k, order="chunk_id", digits=digits)
 
 
-def semantic_search(store: DataFrame, chunks: DataFrame, query: list[float], k: int) -> DataFrame:
-    """chunk_id, score, rank and the chunk of the best chunks.
+def semantic_search(store: DataFrame, chunks: DataFrame, query: list[float], k: int, digits: int | None = None) -> DataFrame:
+    """chunk_id, score, rank and the chunk of the best chunks; with digits, by rounded scores, so that ties go by chunk_id.
 
     Every chunk must have a vector, and each row that is returned the hash of its chunk's
     text; otherwise an error says so. Only returned rows are hashed.
@@ -224,7 +224,7 @@ def semantic_search(store: DataFrame, chunks: DataFrame, query: list[float], k:
     missing = chunks.join(store, "chunk_id", "left_anti").count()
     if missing:
         raise ValueError(f"{missing} chunks have no embedding")
-    hits = covered_top_k(store, chunks, query, k).join(chunks, "chunk_id")
+    hits = covered_top_k(store, chunks, query, k, digits).join(chunks, "chunk_id")
     good = content_hash(F.col("model"), F.col("dim"), F.col("text")) == F.col("content_hash")
     return hits.withColumn("score", F.when(good, F.col("score")).otherwise(F.raise_error(F.concat(F.lit("stale embedding of "), F.col("chunk_id")))))
 

@@ -219,7 +219,7 @@ def semantic_search(spark, sf_dir):
     rows = store(spark, sf_dir).select(F.col("id").alias("chunk_id"), "vec").join(pairs, "chunk_id")
     held = rows.select("chunk_id", "vec", F.lit("m").alias("model"), F.lit(64).alias("dim"), text.content_hash(F.lit("m"), F.lit(64), F.col("text")).alias("content_hash"))
     chunks = pairs.join(held.select("chunk_id"), "chunk_id", "left_semi")
-    return vectors.semantic_search(held, chunks, _query_vector(spark, sf_dir), 8).select("chunk_id", F.round("score", DIGITS).alias("score"), "content_hash")
+    return vectors.semantic_search(held, chunks, _query_vector(spark, sf_dir), 8, DIGITS).select("chunk_id", F.round("score", DIGITS).alias("score"), "content_hash")
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS chunk_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")

@@ -509,6 +509,15 @@ def test_embedding_steps_are_one_job(spark, tmp_path):
         vectors.embed_in_steps(pairs.unionByName(pairs), slow, "m", 2, path, every=4)
 
 
+def test_semantic_ties_go_by_id_as_rounded(spark):
+    """Scores that are equal as rounded, in the other order of their ids."""
+    pairs = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "chunk_id string, text string")
+    store = spark.createDataFrame([("a", [1.0, 0.0003], "x"), ("b", [1.0, 0.0002], "y"), ("c", [1.0, 0.0001], "z")], "chunk_id string, vec array<double>, text string")
+    store = store.select("chunk_id", "vec", F.lit("m").alias("model"), F.lit(2).alias("dim"), text.content_hash(F.lit("m"), F.lit(2), F.col("text")).alias("content_hash"))
+    found = lambda *digits: [r.chunk_id for r in vectors.semantic_search(store, pairs, [1.0, 0.0], 2, *digits).orderBy("rank").collect()]
+    assert found(6) == ["a", "b"] and found() == ["c", "b"]
+
+
 def test_providers():
     calls = []
 
