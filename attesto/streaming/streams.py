@@ -6,6 +6,7 @@ again after a failure leaves the same rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -44,11 +45,12 @@ def _rolled(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     held.sort()
     until = state.getCurrentWatermarkMs() * 1000
     out = []
-    while held and held[0][0] < until:
-        at, text = held.pop(0)
+    due = bisect_left(held, (until,))  # those before the watermark
+    for at, text in held[:due]:
         said, last = _said(last, text), text
         if said:
             out.append((key[0], at, said))
+    held = held[due:]
     state.update((last, held))
     if held:
         state.setTimeoutTimestamp(max(held[0][0] // 1000, state.getCurrentWatermarkMs() + 1))

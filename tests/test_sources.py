@@ -271,3 +271,32 @@ def test_rollups_of_a_stream_are_those_of_a_file(spark, tmp_path):
     got = [r.text for r in streams.sink_rows(spark, str(tmp_path / "out")).where("video = 'v'").orderBy("at").collect()]
     cues = F.array(*(F.struct(F.lit(5.0 * i).alias("start"), F.lit(t).alias("text")) for i, t in enumerate(texts)))
     assert got == [c.text for c in spark.range(1).select(parsers.without_rollups(cues).alias("c")).first().c]
+
+
+def test_rollups_take_linear_time():
+    """Each cue that the watermark has passed is taken once; the others aren't moved for it."""
+    import time
+
+    import pandas as pd
+
+    from attesto.streaming import streams
+
+    class State:
+        exists, get = False, None
+
+        def getCurrentWatermarkMs(self):
+            return 10**12
+
+        def update(self, value):
+            self.held = value
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+    n, state = 600_000, State()
+    late = 10**15 + 5
+    frame = pd.DataFrame({"at": [*range(n), late], "text": [f"said {i}" for i in range(n + 1)]})
+    began = time.process_time()
+    out = next(streams._rolled(("v",), iter([frame]), state))
+    assert time.process_time() - began < 15
+    assert len(out) == n and out["at"].is_monotonic_increasing and state.held == (f"said {n - 1}", [(late, f"said {n}")])
