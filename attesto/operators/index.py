@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -141,6 +142,18 @@ def _living(rows: DataFrame, number: int, gone: DataFrame | None) -> DataFrame:
     return rows.join(small(gone.where(F.col("upto") >= number).select("id"), BROADCAST_IDS), "id", "left_anti").select(*rows.columns)
 
 
+@contextmanager
+def _by_sorting(spark: SparkSession) -> Iterator[None]:
+    """Lists are gathered from sorted rows within."""
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _write_segment(index: Index, path: str, number: int) -> None:
     """Documents, lengths, blocks and frequencies, built once each: what follows from a table is read from what was written of it.
 
@@ -159,11 +172,14 @@ def _write_segment(index: Index, path: str, number: int) -> None:
         F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), (F.shiftleft(band, 24) + F.pmod(F.xxhash64("id"), F.lit(max(1, n // RANGE_DOCS))).cast("int")).alias("range"), "term", "id", "tf", "length", "positions"
     )
     rows = rows.withColumn("slot", F.pmod(F.hash("range"), F.lit(slots))).repartition(int(buckets * slots), "bucket", "slot")
-    blocks = rows.groupBy("bucket", "slot", "term", "range").agg(  # by what the rows are already dealt by
+    # Rows are sorted once, words first as they tell rows apart, and a group is what lies next to each other: a hash
+    # aggregation of lists falls back to sorting after a few groups, by the bucket first, which all rows of a task share.
+    blocks = rows.sortWithinPartitions("term", "range", "bucket", "slot", "id").groupBy("term", "range", "bucket", "slot").agg(  # by what the rows are already dealt by
         F.count("*").cast("int").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"), F.sort_array(F.collect_list(F.struct("id", "tf", "length", "positions"))).alias("p")
     )
-    # Parquet's second format stores runs of numbers as differences.
-    blocks.drop("slot").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/blocks")
+    with _by_sorting(spark):
+        # Parquet's second format stores runs of numbers as differences.
+        blocks.drop("slot").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/blocks")
     spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df")).withColumn("buckets", F.lit(int(buckets))).write.mode("overwrite").parquet(f"{path}/term_stats")
 
 

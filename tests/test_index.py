@@ -101,3 +101,12 @@ def test_an_empty_index(spark, tmp_path):
     assert search.ranked_search(held, "w1", 3, least=0).count() == 0 and held.postings.count() == 0 and held.corpus_stats.first().n == 0
     index.add_saved(spark, path, _frame(spark, [("a", "w1 w2", "t")]))
     assert [r.id for r in search.ranked_search(index.Index.load(spark, path), "w1", 3, least=0).collect()] == ["a"]
+
+
+def test_blocks_are_gathered_from_sorted_rows(spark):
+    """The plans of a write see no hash aggregation of lists; the setting is as before afterwards."""
+    rows = lambda: spark.range(9).groupBy("id").agg(F.collect_list("id"))._jdf.queryExecution().sparkPlan().toString()
+    assert "ObjectHashAggregate" in rows()
+    with index._by_sorting(spark):
+        assert "ObjectHashAggregate" not in rows() and "SortAggregate" in rows()
+    assert "ObjectHashAggregate" in rows()
