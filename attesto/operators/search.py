@@ -45,13 +45,15 @@ def phrase_search(index: Index, phrase: str) -> DataFrame:
     """id of the documents that hold the words next to each other, in order; repeated words are no matter.
 
     Each position less the word's place is where the phrase would start; a start that all
-    places agree on is a match. One aggregation, no join of postings with each other.
+    places agree on is a match. One aggregation of a row for each word of a document, with its
+    starts as an array; no join of postings with each other.
     """
     words = analyze_text(phrase)
     places = _terms(index.postings, phrase, "term string, place int", lambda ws: [(w, i) for i, w in enumerate(ws)])
-    starts = index.of_terms(words).join(places, "term").select("id", "place", F.explode("positions").alias("pos")).select("id", (F.col("pos") - F.col("place")).alias("start"))
-    full = starts.groupBy("id", "start").count().where(F.col("count") == len(words))
-    return full.select("id").distinct().orderBy("id")
+    starts = index.of_terms(words).join(places, "term").select("id", F.transform("positions", lambda x: x - F.col("place")).alias("starts"))
+    full = starts.groupBy("id").agg(F.collect_list("starts").alias("s")).where(F.size("s") == len(words))
+    common = F.reduce(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.get("s", F.lit(0)), F.array_intersect)
+    return full.where(F.size(common) > 0).select("id").orderBy("id")
 
 
 def phrase_scan(docs: DataFrame, phrase: str) -> DataFrame:

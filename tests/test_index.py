@@ -110,3 +110,12 @@ def test_blocks_are_gathered_from_sorted_rows(spark):
     with index._by_sorting(spark):
         assert "ObjectHashAggregate" not in rows() and "SortAggregate" in rows()
     assert "ObjectHashAggregate" in rows()
+
+
+def test_a_phrase_takes_a_row_for_each_word_of_a_document(spark):
+    texts = ["a b c", "a a b", "b a", "a x b a b", "b a a", "a b c a b d"]
+    built = index.build(spark.createDataFrame([(f"d{i}", t, "t") for i, t in enumerate(texts)], SCHEMA))
+    found = lambda words: [r.id for r in search.phrase_search(built, words).collect()]
+    assert found("a b") == ["d0", "d1", "d3", "d5"] and found("a a") == ["d1", "d4"] and found("a b d") == ["d5"] and found("b") == [f"d{i}" for i in range(6)]
+    assert not found("a z") and not found("")
+    assert "explode(" not in search.phrase_search(built, "a b")._jdf.queryExecution().toString()
