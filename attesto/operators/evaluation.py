@@ -25,6 +25,8 @@ KS = (5, 10, 50)
 GATE = 0.5
 #: Terms of a set of queries that are pushed into the postings' scan, and rows of a grid or of such terms that are broadcast.
 PUSHED, BROADCAST_ROWS = 1000, 100_000
+#: Hits of a task, a term of a query in a document each, about.
+TASK_HITS = 1_000_000
 
 
 def last_grades(judgments: DataFrame, order: str = "ord") -> DataFrame:
@@ -101,6 +103,12 @@ def batch_scores(index: Index, queries: DataFrame, grid: DataFrame | None = None
         hits, extra = hits.crossJoin(F.broadcast(grid)), ["k1", "b"]
     constants = (F.col("k1"), F.col("b")) if grid is not None else (F.lit(1.5), F.lit(0.75))
     score = F.col("times") * bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"), *constants, weight=weight)
+    # A document's hits lie in blocks by term, so sums before the exchange would hold all hits and join few of them; a
+    # task's share is bounded by the number of hits, which the frequencies say.
+    many = (asked.agg(F.sum("df")).first()[0] or 0) * (grid.count() if grid is not None else 1)
+    if many > TASK_HITS:
+        hits = hits.select(*extra, "query_id", "id", score.alias("score")).repartition(-(-many // TASK_HITS), "query_id", "id")
+        score = F.col("score")
     return hits.groupBy(*extra, "query_id", "id").agg(F.sum(score).alias("score"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attesto.operators import index, search
+from attesto.operators import evaluation, index, search
 
 WORDS = ["w%d" % i for i in range(40)]
 SCHEMA = "id string, text string, source_type string"
@@ -119,3 +119,14 @@ def test_a_phrase_takes_a_row_for_each_word_of_a_document(spark):
     assert found("a b") == ["d0", "d1", "d3", "d5"] and found("a a") == ["d1", "d4"] and found("a b d") == ["d5"] and found("b") == [f"d{i}" for i in range(6)]
     assert not found("a z") and not found("")
     assert "explode(" not in search.phrase_search(built, "a b")._jdf.queryExecution().toString()
+
+
+def test_hits_of_many_queries_are_dealt_by_their_number(spark, monkeypatch):
+    built = index.build(_frame(spark, _corpus(3, 200)))
+    queries = spark.createDataFrame([(f"q{i}", f"w{i} w{i + 1} w3") for i in range(9)], "query_id string, query string")
+    grid = spark.createDataFrame([(0.9, 0.4), (1.5, 0.75)], "k1 double, b double")
+    taken = lambda g: {tuple(r[:-1]): round(r.score, 9) for r in evaluation.batch_scores(built, queries, g).collect()}
+    few = taken(None), taken(grid)
+    monkeypatch.setattr(evaluation, "TASK_HITS", 20)
+    assert (taken(None), taken(grid)) == few and len(few[1]) == 2 * len(few[0])
+    assert "REPARTITION_BY_NUM" in evaluation.batch_scores(built, queries)._jdf.queryExecution().executedPlan().toString()
