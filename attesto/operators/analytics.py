@@ -359,20 +359,26 @@ def outcomes(promises: DataFrame, docs: DataFrame, entity_terms: DataFrame | Non
         p = p.join(entity_terms, "promise_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
     else:
         p = p.withColumn("terms", F.array().cast("array<string>"))
-    d = docs.where(given(F.col("jurisdiction")).isNotNull()).select("jurisdiction", F.col("id").alias("doc_id"), "date", "deep_link", "text")
-    d = d.withColumn("found", quantities(F.col("text"))).withColumn("held", F.array_distinct(content_tokens(F.col("text"))))
+    read = lambda d: d.withColumn("found", quantities(F.col("text"))).withColumn("held", F.array_distinct(content_tokens(F.col("text"))))
+    plain = docs.where(given(F.col("jurisdiction")).isNotNull()).select("jurisdiction", F.col("id").alias("doc_id"), "date", "deep_link", "text")
+    d = read(plain)
     words = lambda x: F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), 0)
     amount = lambda q: F.concat_ws(":", F.lit("q"), q["kind"], q["value"])
     tagged = lambda tag, items: F.transform(items, lambda x: F.concat(F.lit(tag), x))
     first_word = lambda t: F.coalesce(F.get(words(t), F.lit(0)), F.lit(""))
     asked = F.concat(F.transform("promised", amount), tagged("w", F.transform("terms", first_word)))
-    has = F.concat(F.transform("found", amount), tagged("w", words(F.col("text"))), tagged("t", F.col("held")))
+    firsts = () if entity_terms is None else (tagged("w", words(F.col("text"))),)
+    has = F.concat(F.transform("found", amount), *firsts, tagged("t", F.col("held")))
     due = p.where("promise_date <> ''")
     p_keys = due.select("promise_id", "jurisdiction", "promise_date", F.explode(F.array_distinct(asked)).alias("key"))
     p_keys = p_keys.unionByName(_rarest(due, d).join(due.select("promise_id", "jurisdiction", "promise_date"), "promise_id").select("promise_id", "jurisdiction", "promise_date", F.concat(F.lit("t"), "t").alias("key")))
-    d_keys = d.select("jurisdiction", "doc_id", "date", F.explode(F.array_distinct(has)).alias("key"))
+    p_keys = written(p_keys)
+    asked_for = small(p_keys.select("jurisdiction", "key").distinct(), BROADCAST_WORDS)  # so that no other word of a document is dealt
+    d_keys = d.select("jurisdiction", "doc_id", "date", F.explode(F.array_distinct(has)).alias("key")).join(asked_for, ["jurisdiction", "key"], "left_semi")
     meet = p_keys.join(d_keys, ["jurisdiction", "key"]).where(F.col("date") > F.col("promise_date")).select("promise_id", "doc_id").distinct()
-    pairs = meet.join(p.drop("jurisdiction"), "promise_id").join(d, "doc_id")
+    meet = written(meet)
+    met = read(plain.join(meet.select("doc_id").distinct(), "doc_id", "left_semi"))  # only these are read again
+    pairs = meet.join(p.drop("jurisdiction"), "promise_id").join(met, "doc_id")
     same = F.get(F.filter("found", lambda q: F.array_contains("promised", F.struct(q["kind"].alias("kind"), q["value"].alias("value")))), F.lit(0))
     by_term = F.get(F.filter("terms", lambda t: (t != "") & F.call_function("rlike", F.col("text"), bounded(t))), F.lit(0))
     possible = F.filter("grams", lambda g: F.size(F.array_except(g, F.col("held"))) == 0)

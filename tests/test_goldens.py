@@ -486,6 +486,15 @@ def test_embedding_goes_on_where_it_stopped(spark, tmp_path):
         vectors.check_store(spark.createDataFrame([("a", [float("inf"), 0.0], "m", 2)], "chunk_id string, vec array<float>, model string, dim int"), "m", 2)
 
 
+def test_outcomes_deal_only_words_that_a_promise_asks_for(spark):
+    d = [(f"d{i}", "We build the amber harbor bridge now" if i % 3 == 0 else f"other words {i} of no weight", "J", f"2024-01-{1 + i % 28:02d}", "") for i in range(40)]
+    promises = spark.createDataFrame([("p1", "J", "2023-12-31", "We will build the amber harbor bridge"), ("p2", "J", "2023-12-31", "nobody says anything alike here")], "promise_id string, jurisdiction string, date string, quote string")
+    rows = analytics.outcomes(promises, docs(spark, d, ", jurisdiction string, date string, deep_link string"))
+    got = {r.promise_id: (r.status, [t.doc_id for t in r.trail]) for r in rows.collect()}
+    assert got == {"p1": ("followed_up", ["d0", "d30", "d3", "d33", "d6"]), "p2": ("too_recent", [])}
+    assert "explode(" not in rows._jdf.queryExecution().optimizedPlan().toString()  # the words of all documents met their keys before
+
+
 def test_embedding_steps_are_one_job(spark, tmp_path):
     """However many steps; a finished step is in the store although a later one fails."""
     context, path = spark.sparkContext, str(tmp_path / "store")
