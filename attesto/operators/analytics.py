@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract
-from ..functions.extract import event_items, quantities, shell_names
+from ..functions.extract import event_items, may_have_name, quantities, shell_names
 from ..functions.text import content_tokens, count_phrases, given, head_snippet, k_grams
 from ..functions.udf import in_arrow
 from .joins import carried
@@ -138,7 +138,7 @@ def build_events(docs: DataFrame) -> DataFrame:
 
 def mine_names(docs: DataFrame) -> DataFrame:
     """name, n_docs, first_seen, jurisdictions of the project and entity names in meetings, most frequent first."""
-    rows = docs.where(F.col("source_type") == "county_meeting").select("id", "date", "jurisdiction", "deep_link", F.explode(shell_names(F.col("text"))).alias("name"))
+    rows = docs.where((F.col("source_type") == "county_meeting") & may_have_name(F.col("text"))).select("id", "date", "jurisdiction", "deep_link", F.explode(shell_names(F.col("text"))).alias("name"))
     return rows.groupBy("name").agg(
         F.count_distinct("id").alias("n_docs"), F.min("date").alias("first_seen"), F.sort_array(F.collect_set(given(F.col("jurisdiction")))).alias("jurisdictions")
     ).orderBy(F.desc("n_docs"), "name")
@@ -146,7 +146,7 @@ def mine_names(docs: DataFrame) -> DataFrame:
 
 def mine_shell_candidates(docs: DataFrame) -> DataFrame:
     """mine_names with the first documents of each name, by date and id."""
-    rows = docs.where(F.col("source_type") == "county_meeting").select(F.col("id").alias("doc_id"), "date", "deep_link", F.explode(shell_names(F.col("text"))).alias("name"))
+    rows = docs.where((F.col("source_type") == "county_meeting") & may_have_name(F.col("text"))).select(F.col("id").alias("doc_id"), "date", "deep_link", F.explode(shell_names(F.col("text"))).alias("name"))
     samples = first_samples(rows.dropDuplicates(["name", "doc_id"]), ["name"], ["date", "doc_id"], ["doc_id", "deep_link"], name="sample_receipts")
     return mine_names(docs).join(samples, "name").orderBy(F.desc("n_docs"), "name")
 

@@ -300,3 +300,19 @@ def test_rollups_take_linear_time():
     out = next(streams._rolled(("v",), iter([frame]), state))
     assert time.process_time() - began < 15
     assert len(out) == n and out["at"].is_monotonic_increasing and state.held == (f"said {n - 1}", [(late, f"said {n}")])
+
+
+def test_texts_without_names_are_not_taken_apart(spark, monkeypatch):
+    from attesto.functions import extract
+    from attesto.operators import analytics
+
+    taken, last = [], extract._last_word
+    monkeypatch.setattr(extract, "_last_word", lambda chunk: taken.append(chunk) or last(chunk))
+    body = "Some Words Here " * 200 + "of Acme Land Holdings, LLC and (Project Blue Sky Review)"
+    assert extract.projects_of(body) == ["Project Blue Sky"] and extract.entities_of(body) == ["Acme Land Holdings"]
+    assert len(taken) < 12
+    docs = spark.createDataFrame([(str(i), t, "county_meeting", "2024-01-01", "l", "j") for i, t in enumerate(["nothing here", None, body])], "id string, text string, source_type string, date string, deep_link string, jurisdiction string")
+    mined = analytics.mine_names(docs)
+    assert sorted(r.name for r in mined.collect()) == ["Acme Land Holdings", "Project Blue Sky"]
+    plan = mined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Contains(text")
