@@ -46,6 +46,7 @@ def series_udf(ddl: str) -> Callable:
             session = SparkSession.getActiveSession()
             if session is not None:
                 reachable(session)
+                _bounded(session)
             return F.pandas_udf(f, ddl)(*columns)
 
         apply.__name__, apply.__doc__ = f.__name__, f.__doc__
@@ -58,10 +59,14 @@ def series_udf(ddl: str) -> Callable:
 BATCH, SPARKS_BATCH = "8m", ("64m", "64MB", "67108864", "67108864b")
 
 
+def _bounded(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", SPARKS_BATCH[0]) in SPARKS_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def in_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
     """df.mapInArrow() by workers that can import this package, in batches of BATCH bytes."""
     spark = df.sparkSession
     reachable(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", SPARKS_BATCH[0]) in SPARKS_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    _bounded(spark)
     return df.mapInArrow(f, schema)

@@ -316,3 +316,13 @@ def test_texts_without_names_are_not_taken_apart(spark, monkeypatch):
     assert sorted(r.name for r in mined.collect()) == ["Acme Land Holdings", "Project Blue Sky"]
     plan = mined._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Contains(text")
+
+
+def test_batches_of_texts_are_small_for_functions_of_series(spark):
+    from pyspark.sql import functions as F
+
+    from attesto.functions import text, udf
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    spark.range(1).select(text.analyze(F.lit("a b"))).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == udf.BATCH
