@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,7 @@ TOKEN = r"[\p{L}\p{N}]+"
 #: ASCII, the letters of Latin-1 and punctuation that parts words in every form: nothing here composes or folds to anything else.
 PLAIN = r"^[\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u00FF\u2010-\u2016\u2018-\u201F\u2020-\u2022\u20AC]*$"
 _TOKEN = re.compile(r"[^\W_]+")
+_PIECE = re.compile(r"[^ \n]+|[ \n][^ \n]*")
 SNIPPET, MARGIN = 160, 80
 
 
@@ -57,30 +59,52 @@ def _joins(c: str) -> bool:
     return unicodedata.combining(c) != 0 or "\u1160" <= c <= "\u11ff"
 
 
-def placed_tokens(text: str) -> list[tuple[str, int, int]]:
-    """The words that analyze_text() finds, each with the stretch of the raw text that it came from."""
+def placed_tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """The words that analyze_text() finds, each with the stretch of the raw text that it came from; taken as they are asked for."""
     if text.isascii():
-        return [(m.group().lower(), *m.span()) for m in _TOKEN.finditer(text)]
-    folded, starts, ends = [], [], []
-    at = 0
-    while at < len(text):
-        end = at + 1
-        while end < len(text) and _joins(text[end]):
-            end += 1
-        part = unicodedata.normalize("NFKC", text[at:end]).casefold()
-        folded.append(part)
-        starts += [at] * len(part)
-        ends += [end] * len(part)
-        at = end
-    return [(m.group(), starts[m.start()], ends[m.end() - 1]) for m in _TOKEN.finditer("".join(folded))]
-
-
-@series_udf("string")
-def centred_snippet(text: pd.Series, terms: pd.Series) -> pd.Series:
+        for m in _TOKEN.finditer(text):
+            yield m.group().lower(), *m.span()
+        return
+    for piece in _PIECE.finditer(text):  # no word goes on behind a space, and nothing is composed with one that follows
+        base = piece.start()
+        if piece.group().isascii():
+            for m in _TOKEN.finditer(piece.group()):
+                yield m.group().lower(), base + m.start(), base + m.end()
+            continue
+        folded, starts, ends = [], [], []
+        at = base
+        while at < piece.end():
+            end = at + 1
+            while end < piece.end() and _joins(text[end]):
+                end += 1
+            part = unicodedata.normalize("NFKC", text[at:end]).casefold()
+            folded.append(part)
+            starts += [at] * len(part)
+            ends += [end] * len(part)
+            at = end
+        for m in _TOKEN.finditer("".join(folded)):
+            yield m.group(), starts[m.start()], ends[m.end() - 1]
+
+
+def centred_snippet(text, terms) -> Column:
     """The text around the earliest word that is one of the terms, as the index knows words; its head where none occurs.
 
-    Words are found in the normalised text and mapped back, so a composed and a decomposed form are one word.
+    Plain texts stay in generated code, but for those with a sharp s, whose words may be longer than they are written.
+    In others, words are found in the normalised text and mapped back, so a composed and a decomposed form are one word.
     """
+    text = F.coalesce(text, F.lit(""))
+    plain = text.rlike(PLAIN) & ~text.contains("ß")
+    low, letter = F.lower(text), r"[\p{L}\p{N}]"
+    words = F.filter(terms, lambda w: w.rlike(f"^{letter}+$"))  # nothing else is a word of a text
+    pattern = F.concat(F.lit(f"(?<!{letter})(?:"), F.array_join(words, "|"), F.lit(f")(?!{letter})"))
+    at = F.when(F.size(words) > 0, F.regexp_instr(low, pattern)).otherwise(0)
+    start = F.greatest(at - 1 - MARGIN, F.lit(0))
+    around = F.substring(text, start + 1, at - 1 + F.length(F.regexp_substr(low, pattern)) + MARGIN - start)
+    return F.when(plain, F.when(at > 0, around).otherwise(head_snippet(text))).otherwise(_centred_snippet(F.when(~plain, text), terms))
+
+
+@series_udf("string")
+def _centred_snippet(text: pd.Series, terms: pd.Series) -> pd.Series:
 
     def one(body, wanted) -> str:
         body = body or ""

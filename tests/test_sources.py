@@ -302,6 +302,21 @@ def test_rollups_take_linear_time():
     assert len(out) == n and out["at"].is_monotonic_increasing and state.held == (f"said {n - 1}", [(late, f"said {n}")])
 
 
+def test_snippets_of_plain_texts_stay_in_generated_code(spark):
+    """The same by generated code as word by word; others are looked at up to the word that is asked for."""
+    from pyspark.sql import functions as F
+
+    from attesto.functions import text
+
+    rows = ["", None, "that", "thatch a-THAT? " + "z" * 200, "Straße " * 50 + "that", "x\n" * 300 + "Été, WITH it", "éthat with", "no word " * 60, "that_1 _with_", "ſomething " * 40 + "WİTH with that"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "n int, t string")
+    for terms in (["that", "with"], ["strasse", "a.b"], ["été"], [".*"], []):
+        wanted = F.array(*(F.lit(t) for t in terms)).cast("array<string>")
+        got = [r.s for r in frame.select("n", text.centred_snippet(F.col("t"), wanted).alias("s")).orderBy("n").collect()]
+        assert got == [r.s for r in frame.select("n", text._centred_snippet(F.col("t"), wanted).alias("s")).orderBy("n").collect()]
+    assert next(text.placed_tokens("ſome " + "word " * 3)) == ("some", 0, 4)  # nothing behind it is taken
+
+
 def test_texts_without_names_are_not_taken_apart(spark, monkeypatch):
     from attesto.functions import extract
     from attesto.operators import analytics
