@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +29,23 @@ from .tables import exists, put, small, spread
 FILE_ROWS, RANGE_DOCS = 2_000_000, 4096
 #: Rows up to which deleted ids are broadcast.
 BROADCAST_IDS = 200_000
-BLOCKS = "term string, range int, n int, tf int, length long, p array<struct<id: string, tf: int, length: long, positions: array<int>>>, bucket int"
+#: Words of documents that one task of a build puts into blocks, about, and words of a document that make it a piece of a range more.
+TASK_WORDS, PIECE_WORDS = 4_000_000, 2048
+PART = "term string, range int, n int, tf int, length long, p array<struct<id: string, tf: int, length: long, positions: array<int>>>"
+BLOCKS = f"{PART}, bucket int"
 
 
 @dataclass(frozen=True)
 class Segment:
-    """blocks(bucket, term, range, n, tf, length, p array of (id, tf, length, positions)); tf is the greatest, length the least of a block."""
+    """blocks(bucket, term, range, n, tf, length, p array of (id, tf, length, positions)); tf is the greatest, length the least of a block.
+
+    ranges is what _range() was given for the segment's documents, 0 if that is not known.
+    """
 
     number: int
     blocks: DataFrame
     buckets: int
+    ranges: int = 0
 
     def of_terms(self, words: list[str]) -> DataFrame:
         """The terms' blocks. The bucket names folders, so others are not read."""
@@ -60,6 +68,7 @@ class Index:
     segments: tuple[Segment, ...] = ()
     gone: DataFrame | None = None
     saved: tuple[tuple[Segment, DataFrame, DataFrame, DataFrame], ...] = ()  # each segment's docs, frequencies and lengths
+    parts: Callable[[int, int], DataFrame] | None = None  # the postings as PART, for so many ranges and words in all; from postings if None
 
     def of_terms(self, words, ranges: DataFrame | None = None) -> DataFrame:
         """Postings of these terms; with ranges (segment, range), a few, only of documents in them: other blocks are not unpacked."""
@@ -157,8 +166,8 @@ def _by_sorting(spark: SparkSession) -> Iterator[None]:
 def _write_segment(index: Index, path: str, number: int) -> None:
     """Documents, lengths, blocks and frequencies, built once each: what follows from a table is read from what was written of it.
 
-    One exchange of postings: blocks lie in buckets by term, so that a term reads one folder, and in slots by range, so
-    that a term of all documents is many files; all numbers follow from the corpus' size.
+    One exchange of parts of blocks: blocks lie in buckets by term, so that a term reads one folder, and in slots by range,
+    so that a term of all documents is many files; all numbers follow from the corpus' size.
     """
     spark, path = index.docs.sparkSession, f"{path}/segments/{number:06d}"
     written = lambda name: spark.read.parquet(f"{path}/{name}")
@@ -167,28 +176,73 @@ def _write_segment(index: Index, path: str, number: int) -> None:
     n, total = written("doc_stats").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     slots = max(1, -(-n // FILE_ROWS))
     buckets = max(8, -(-total // (FILE_ROWS * slots)))
-    band = F.floor(2 * F.log2(F.col("length") + 1)).cast("int")
-    rows = index.postings.select(
-        F.pmod(F.hash("term"), F.lit(buckets)).alias("bucket"), (F.shiftleft(band, 24) + F.pmod(F.xxhash64("id"), F.lit(max(1, n // RANGE_DOCS))).cast("int")).alias("range"), "term", "id", "tf", "length", "positions"
-    )
-    rows = rows.withColumn("slot", F.pmod(F.hash("range"), F.lit(slots))).repartition(int(buckets * slots), "bucket", "slot")
-    # Rows are sorted once, words first as they tell rows apart, and a group is what lies next to each other: a hash
-    # aggregation of lists falls back to sorting after a few groups, by the bucket first, which all rows of a task share.
-    blocks = rows.sortWithinPartitions("term", "range", "bucket", "slot", "id").groupBy("term", "range", "bucket", "slot").agg(  # by what the rows are already dealt by
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"), F.sort_array(F.collect_list(F.struct("id", "tf", "length", "positions"))).alias("p")
+    wanted = max(1, n // RANGE_DOCS)
+    # Ranges of a segment that are about as large as they should be are kept, so a compaction takes its blocks as they are.
+    ranges = max((s.ranges for s in index.segments if wanted <= 2 * s.ranges and s.ranges <= 2 * wanted), default=wanted)
+    rows = index.parts(ranges, total) if index.parts else _singles(index.postings, ranges)
+    rows = rows.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).withColumn("slot", F.pmod(F.hash("range"), F.lit(slots))).repartition(int(buckets * slots), "bucket", "slot")
+    # Rows are sorted once, and a group is what lies next to each other: a hash aggregation of lists falls back to sorting
+    # after a few groups.
+    held = F.collect_list("p")
+    blocks = rows.sortWithinPartitions("bucket", "term", "range", "slot").groupBy("bucket", "term", "range", "slot").agg(  # by what the rows are already dealt by
+        F.sum("n").cast("int").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"), F.when(F.size(held) == 1, held[0]).otherwise(F.sort_array(F.flatten(held))).alias("p")
     )
     with _by_sorting(spark):
         # Parquet's second format stores runs of numbers as differences.
         blocks.drop("slot").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/blocks")
-    spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df")).withColumn("buckets", F.lit(int(buckets))).write.mode("overwrite").parquet(f"{path}/term_stats")
+    stats = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
+    stats.withColumns({"buckets": F.lit(int(buckets)), "ranges": F.lit(int(ranges))}).write.mode("overwrite").parquet(f"{path}/term_stats")
+
+
+def _range(ranges: int):
+    """A document's range, by its length and id."""
+    band = F.floor(2 * F.log2(F.col("length") + 1)).cast("int")
+    return F.shiftleft(band, 24) + F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")
+
+
+def _singles(postings: DataFrame, ranges: int) -> DataFrame:
+    """Parts of one posting each."""
+    return postings.select("term", _range(ranges).alias("range"), F.lit(1).alias("n"), "tf", "length", F.array(F.struct("id", "tf", "length", "positions")).alias("p"))
+
+
+def _kept_blocks(segment: Segment, lengths: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """The segment's blocks as PART, without deleted documents. These meet the blocks of their range, no posting is moved for them."""
+    rows = segment.blocks.drop("bucket")
+    if gone is None:
+        return rows
+    lost = small(gone.where(F.col("upto") >= segment.number).select("id").distinct(), BROADCAST_IDS)
+    lost = lengths.join(lost, "id", "left_semi").select(_range(segment.ranges).alias("range"), "id").groupBy("range").agg(F.collect_list("id").alias("lost"))
+    return in_arrow(rows.join(lost, "range", "left").select(*rows.columns, "lost"), _pruned, PART)
+
+
+def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks and ids, the blocks without these ids' postings."""
+    for batch in batches:
+        p, lost = batch.column("p"), batch.column("lost")
+        flat = p.flatten()
+        keep = pc.invert(pc.is_in(flat.field("id"), value_set=lost.flatten().unique())).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(batch)), p.value_lengths().to_numpy())[keep]
+        flat = flat.filter(pa.array(keep))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        some = pa.array(owner[first])
+        yield _blocks(batch.column("term").take(some), batch.column("range").take(some), first, flat.field("tf").to_numpy(), flat.field("length").to_numpy(), flat)
+
+
+def _blocks(terms: pa.Array, ranges: pa.Array, first: np.ndarray, tf: np.ndarray, length: np.ndarray, postings: pa.StructArray) -> pa.RecordBatch:
+    """PART of postings in order, the places of the first of each block, and their counts and lengths."""
+    bounds = np.append(first, len(postings)).astype(np.int32)
+    most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(length, first)) if len(first) else (tf, length)
+    columns = [terms, ranges, pa.array(np.diff(bounds), pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), postings)]
+    return pa.RecordBatch.from_arrays(columns, ["term", "range", "n", "tf", "length", "p"])
 
 
 def _read_segment(spark: SparkSession, path: str, number: int) -> tuple[Segment, DataFrame, DataFrame, DataFrame]:
     path = f"{path}/segments/{number:06d}"
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     stats = read("term_stats")
-    some = stats.select("buckets").first()
-    return Segment(number, spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), some.buckets if some else 1), read("docs"), stats.drop("buckets"), read("doc_stats")
+    some = stats.select("buckets", F.col("ranges") if "ranges" in stats.columns else F.lit(0).alias("ranges")).first()
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    return Segment(number, blocks, some.buckets if some else 1, some.ranges if some else 0), read("docs"), stats.drop("buckets", "ranges"), read("doc_stats")
 
 
 def _combined(read: Sequence[tuple[Segment, DataFrame, DataFrame, DataFrame]], gone: DataFrame | None) -> Index:
@@ -203,7 +257,8 @@ def _combined(read: Sequence[tuple[Segment, DataFrame, DataFrame, DataFrame]], g
         stats = stats.unionByName(lost.groupBy("term").agg((-F.count("*")).alias("df")))
     if len(read) > 1 or gone is not None:
         stats = stats.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    return Index(docs, postings, stats, lengths, corpus_stats(lengths), tuple(s for s, *_ in read), gone, tuple(read))
+    parts = lambda ranges, _: union([_kept_blocks(s, n, gone) if s.ranges == ranges else _singles(_living(s.blocks.select("term", F.inline("p")), s.number, gone), ranges) for s, _, _, n in read])
+    return Index(docs, postings, stats, lengths, corpus_stats(lengths), tuple(s for s, *_ in read), gone, tuple(read), parts)
 
 
 def add_saved(spark: SparkSession, path: str, docs: DataFrame, analyzer=tokens, counter=None) -> None:
@@ -270,6 +325,28 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents in order of range and id, with their words, a row for each word and range, with the postings in order of id."""
+    for batch in batches:
+        ids, ranges, words = batch.columns
+        sizes = np.zeros(len(batch), np.int64)
+        sizes[:] = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        doc = np.repeat(np.arange(len(batch)), sizes)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")  # documents and places stay in order
+        codes, doc = codes[order], doc[order]
+        first = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        bounds = np.append(first, len(doc)).astype(np.int32)
+        owner, code, tf = doc[first], codes[first], np.diff(bounds)
+        length, where = sizes[owner], ranges.to_numpy()[owner]
+        positions = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[order], pa.int32()))
+        postings = pa.StructArray.from_arrays([ids.take(pa.array(owner)), pa.array(tf, pa.int32()), pa.array(length), positions], ["id", "tf", "length", "positions"])
+        start = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(where, prepend=-1) != 0))
+        yield _blocks(coded.dictionary.take(pa.array(code[start])), pa.array(where[start], pa.int32()), start, tf, length, postings)
+
+
 def build(docs: DataFrame, analyzer=tokens, counter=None) -> Index:
     """docs has id and text. Positions start at 0 and are in order; ids must be unique.
 
@@ -282,7 +359,16 @@ def build(docs: DataFrame, analyzer=tokens, counter=None) -> Index:
     texts = spread(docs.select("id", "text"))
     postings = in_arrow(texts.select("id", analyzer(F.col("text")).alias("t")), _grouped, "term string, id string, tf int, length long, positions array<int>")
     lengths = texts.select("id", counter(F.col("text")).alias("length"))
-    return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths))
+
+    def parts(ranges: int, words: int) -> DataFrame:
+        """Texts are dealt by range, long ones in pieces of it, so that a task puts whole blocks together where it finds the words."""
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        dealt = docs.select("id", "text", counter(F.col("text")).alias("length")).select("id", "text", "length", _range(ranges).alias("range"))
+        piece = F.pmod(F.hash("id"), (F.lit(max(1, cores // ranges)) + F.floor(F.col("length") / PIECE_WORDS)).cast("int"))
+        dealt = dealt.withColumn("piece", piece).repartition(max(2 * cores, words // TASK_WORDS), "range", "piece").sortWithinPartitions("range", "id")
+        return in_arrow(dealt.select("id", "range", analyzer(F.col("text")).alias("t")), _in_blocks, PART)
+
+    return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths), parts=parts)
 
 
 def assert_unique(docs: DataFrame) -> DataFrame:

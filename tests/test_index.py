@@ -130,3 +130,26 @@ def test_hits_of_many_queries_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "TASK_HITS", 20)
     assert (taken(None), taken(grid)) == few and len(few[1]) == 2 * len(few[0])
     assert "REPARTITION_BY_NUM" in evaluation.batch_scores(built, queries)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_built_and_compacted_whole(spark, tmp_path, monkeypatch):
+    """A build and a compaction move blocks, not postings; segments of other ranges are dealt anew, with the same result."""
+    rows, path = _corpus(7, 240), str(tmp_path / "i")
+    live = [r for r in rows if int(r[0][1:]) % 5]
+    fresh = index.build(_frame(spark, live))
+    assert fresh.parts(1, 1000).count() < fresh.postings.count() / 3
+    dealt, singles = [], index._singles
+    monkeypatch.setattr(index, "_singles", lambda *a: dealt.append(a) or singles(*a))
+    index.build(_frame(spark, rows[:200])).save(path)
+    index.add_saved(spark, path, _frame(spark, rows[200:]))
+    index.delete_saved(spark, path, [r[0] for r in rows if not int(r[0][1:]) % 5])
+    for docs, again in ((4096, 0), (30, 1), (4096, 1)):
+        monkeypatch.setattr(index, "RANGE_DOCS", docs)
+        dealt.clear()
+        index.compact(spark, path)
+        held = index.Index.load(spark, path)
+        assert len(dealt) == again and _rows(held.postings, "term", "id") == _rows(fresh.postings, "term", "id")
+        blocks = held.segments[0].blocks.select("term", "range", "n", "tf", "length", "p").collect()
+        assert len({(b.term, b.range) for b in blocks}) == len(blocks) and (docs == 4096 or held.segments[0].ranges == len(live) // 30)
+        for b in blocks:
+            assert (b.n, b.tf, b.length) == (len(b.p), max(x.tf for x in b.p), min(x.length for x in b.p)) and [x.id for x in b.p] == sorted(x.id for x in b.p)
