@@ -37,6 +37,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,18 +149,27 @@ def _sampled(batches, shortcuts: bool):
             )
 
 
-def keys_of(data: np.ndarray, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """A row of WIDTH bytes for each anchor of one text."""
-    n = len(data)
-    padded = np.zeros(LEFT + n + LENGTH, np.uint8)
-    padded[LEFT : LEFT + n] = data
-    windows = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)[at]
+def padded(data: np.ndarray) -> np.ndarray:
+    """The bytes with room around them for what the keys of the first and last anchors hold."""
+    out = np.zeros(LEFT + len(data) + LENGTH, np.uint8)
+    out[LEFT : LEFT + len(data)] = data
+    return out
+
+
+def keys_of(wide: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """A row of WIDTH bytes for each anchor: its place among the padded bytes, and where its text begins and ends there."""
+    right, left = np.minimum(LENGTH, end - at), np.minimum(LEFT, at - begin)
+    around = np.lib.stride_tricks.sliding_window_view(wide, LEFT + LENGTH)[at]
+    short = np.flatnonzero(right < LENGTH)  # what another text holds is not read
+    around[short, LEFT:] *= np.arange(LENGTH) < right[short, None]
+    short = np.flatnonzero(left < LEFT)
+    around[short, :LEFT] *= np.arange(LEFT, 0, -1) <= left[short, None]
     out = np.empty((len(at), WIDTH), np.uint8)
     out[:, :8] = grams.astype(">u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8 : 8 + LENGTH] = windows[:, LEFT:]
-    out[:, 8 + LENGTH : -2] = windows[:, LEFT - 1 :: -1]
-    out[:, -2] = np.minimum(LENGTH, n - at)
-    out[:, -1] = np.minimum(LEFT, at)
+    out[:, 8 : 8 + LENGTH] = around[:, LEFT:]
+    out[:, 8 + LENGTH : -2] = around[:, LEFT - 1 :: -1]
+    out[:, -2] = right
+    out[:, -1] = left
     return out
 
 
@@ -183,34 +193,41 @@ def run(keys: np.ndarray, docs: np.ndarray, at: np.ndarray, ranges: int):
     where = (heads[:, :8].copy().view(">u8").ravel() >> np.uint64(32)).astype(np.int64) * ranges >> 32
     cuts = np.flatnonzero(np.diff(where, prepend=-1))
     member = np.concatenate(([0], np.cumsum(counts)))
-    for a, b in zip(cuts, np.append(cuts[1:], len(where)), strict=True):
-        lcp = shared[first[a:b]].copy()
-        lcp[0] = 0
-        tail = heads[a:b][np.arange(WIDTH) >= lcp[:, None]].tobytes()
+    lcp = shared[first]
+    lcp[cuts] = 0
+    tails = heads[np.arange(WIDTH) >= lcp[:, None]]
+    tail = np.concatenate(([0], np.cumsum(WIDTH - lcp)))
+    lcp, counts, at = lcp.astype(np.uint16), counts.astype(np.int32), at.astype(np.int32)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(where)], strict=True):
         m = slice(member[a], member[b])
-        yield int(where[a]), b"".join((np.int64(b - a).tobytes(), lcp.astype(np.uint16).tobytes(), counts[a:b].astype(np.int32).tobytes(), docs[m].tobytes(), at[m].astype(np.int32).tobytes(), zlib.compress(tail, 1)))
+        yield int(where[a]), b"".join((np.int64(b - a).tobytes(), lcp[a:b].tobytes(), counts[a:b].tobytes(), docs[m].tobytes(), at[m].tobytes(), zlib.compress(tails[tail[a] : tail[b]], 1)))
 
 
 def _runs(ranges: int):
     def send(held):
         if held:
-            for where, blob in run(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges):
-                yield pa.RecordBatch.from_arrays([pa.array([where], pa.int32()), pa.array([blob], pa.binary())], ["range", "run"])
+            wheres, blobs = zip(*run(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(wheres, pa.int32()), pa.array(blobs, pa.binary())], ["range", "run"])
 
     def make(batches):
         held, count = [], 0
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
+            wide = padded(data)
             hits = batch.column("hits")
             bounds, both = hits.offsets.to_numpy(), hits.values
-            pos, gram = both.field(0).to_numpy().astype(np.int64), both.field(1).to_numpy().view(np.uint64)
+            every = slice(bounds[0], bounds[-1])
+            pos, gram = both.field(0).to_numpy()[every].astype(np.int64), both.field(1).to_numpy()[every].view(np.uint64)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             ids = np.empty(batch.num_rows, ID)
             ids["d"], ids["p"] = batch.column("d").to_numpy(), batch.column("p").to_numpy()
-            for i in range(batch.num_rows):
-                part = slice(bounds[i], bounds[i + 1])
-                at = pos[part]
-                held.append((keys_of(data[offsets[i] : offsets[i + 1]], at, gram[part]), np.repeat(ids[i : i + 1], len(at)), at))
-                count += len(at)
+            a = 0
+            while a < len(pos):
+                part = slice(a, min(len(pos), a + RUN_KEYS - count))
+                i = doc[part]
+                held.append((keys_of(wide, offsets[i], offsets[i + 1], offsets[i] + pos[part], gram[part]), ids[i], pos[part]))
+                count += part.stop - a
+                a = part.stop
                 if count >= RUN_KEYS:
                     yield from send(held)
                     held, count = [], 0
@@ -277,9 +294,9 @@ def merged(readers: list[Reader]):
         size *= 2
     entries: list[list] = []
     for r in readers:
-        entries.append([0 if r.step() >= 0 else -1, r])
-    entries += [[-1, None] for _ in range(size - len(readers))]
-    losers: list[list | None] = [None] * size
+        entries.append([0 if r.step() >= 0 else -1, r, size + len(entries)])
+    entries += [[-1, None, 2 * size - 1 - i] for i in range(size - len(readers))]
+    losers: list[list] = [[]] * size
     winners: list[list] = [[]] * size + entries
     for node in range(size - 1, 0, -1):
         a, b = winners[2 * node], winners[2 * node + 1]
@@ -287,100 +304,126 @@ def merged(readers: list[Reader]):
             winners[node], losers[node] = a, b
         else:
             winners[node], losers[node] = b, a
-    leaf = {id(e): size + i for i, e in enumerate(entries)}
     top = winners[1] if size > 1 else entries[0]
     while top[0] >= 0:
         yield top[0], top[1]
-        top[0] = top[1].step()
-        node = leaf[id(top)] >> 1
+        x = top[0] = top[1].step()
+        node = top[2] >> 1
         while node:
             other = losers[node]
-            if not _beats(top, other):
-                losers[node], top = top, other
+            y = other[0]
+            if x < y or (x == y and not _beats(top, other)):  # unequal prefixes decide alone
+                losers[node], top, x = top, other, y
             node >>= 1
 
 
-def windows(keys: np.ndarray, shared: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """Per merged key the sorted offsets o for which the window from anchor - o occurs twice."""
+def windows(keys: np.ndarray, shared: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per merged key the least and the greatest offset o for which the window from anchor - o occurs twice; LENGTH and -1 if none does.
+
+    All windows of a key hold its anchor, so what goes is one stretch, between these two.
+    """
     n = len(keys)
     right, left = keys[:, -2].astype(np.int64), keys[:, -1].astype(np.int64)
-    offsets = np.arange(LEFT + 1)
-    hit = (counts > 1)[:, None] & (offsets <= left[:, None]) & (LENGTH - offsets <= right[:, None])
+    least, most = np.full(n, LENGTH), np.full(n, -1)
+    whole = (counts > 1) & (LENGTH - right <= left)
+    least[whole], most[whole] = LENGTH - right[whole], left[whole]
     near = np.zeros(n, bool)
     near[1:] = shared[1:] >= 8 + K
     group = np.flatnonzero(near | np.append(near[1:], False))  # keys with a neighbour of the same K-gram
-    if len(group):
-        within = shared[group].copy()
-        within[~near[group]] = 0
-        before = keys[group, 8 + LENGTH : -2]
-        order = np.argsort(np.ascontiguousarray(before).view(f"S{LEFT}").ravel(), kind="stable")
-        sorted_before = before[order]
-        agree = np.zeros(len(group), np.int64)
-        agree[1:] = common(sorted_before[:-1], sorted_before[1:])
-        many = counts[group]
-        for o in range(LEFT + 1):
-            part = (left[group] >= o) & (right[group] >= LENGTH - o)
-            if not part.any():
-                continue
-            a = np.cumsum(within < 8 + LENGTH - o)
-            b = np.empty(len(group), np.int64)
-            b[order] = np.cumsum(agree < o)
-            _, inverse = np.unique(a[part] * (len(group) + 1) + b[part], return_inverse=True)
-            total = np.bincount(inverse, weights=many[part])
-            hit[group[part], o] |= total[inverse] > 1
-    return [np.flatnonzero(x) for x in hit]
-
-
-def spans(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Joined [start, end) runs of windows of LENGTH bytes from sorted starts."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > LENGTH)
-    return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + LENGTH).tolist(), strict=True))
-
-
-def _flush(keys, shared, counts, members):
-    """(d, p, start, end) of what goes, for each place that has one of the keys."""
+    if not len(group):
+        return least, most
+    within = np.where(near[group], shared[group], 0)
+    gram = np.cumsum(within < 8 + K)
+    # In order of their left contexts, K-gram by K-gram.
+    before = np.empty((len(group), 4 + LEFT), np.uint8)
+    before[:, :4] = gram.astype(">u4").view(np.uint8).reshape(-1, 4)
+    before[:, 4:] = keys[group, 8 + LENGTH : -2]
+    order = np.argsort(before.view(f"S{4 + LEFT}").ravel(), kind="stable")
+    agree = np.zeros(len(group), np.int64)
+    agree[1:] = np.maximum(common(before[order[:-1]], before[order[1:]]) - 4, 0)
+    # No key agrees further with any other than with its neighbours in each of the two orders.
+    low = LENGTH - np.minimum(right[group], np.maximum(within, np.append(within[1:], 0)) - 8)
+    high = np.empty(len(group), np.int64)
+    high[order] = np.maximum(agree, np.append(agree[1:], 0))
+    high = np.minimum(high, left[group])
+    # What neighbours in either order say of each other; most keys need no more.
+    a, b = np.flatnonzero(gram[1:] == gram[:-1]), np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
+    for i, j, forth, back in (
+        (a, a + 1, within[a + 1] - 8, common(before[a, 4:], before[a + 1, 4:])),
+        (order[b], order[b + 1], common(keys[group[order[b]], 8 : 8 + LENGTH], keys[group[order[b + 1]], 8 : 8 + LENGTH]), agree[b + 1]),
+    ):
+        first = LENGTH - np.minimum(forth, np.minimum(right[group[i]], right[group[j]]))
+        last = np.minimum(back, np.minimum(left[group[i]], left[group[j]]))
+        met = first <= last
+        for x in (i, j):
+            np.minimum.at(least, group[x[met]], first[met])
+            np.maximum.at(most, group[x[met]], last[met])
+    able = low <= high
+    open_ = able & ((least[group] > low) | (most[group] < high))
+    asked = np.zeros(gram[-1] + 1, bool)
+    asked[gram[open_]] = True
+    able &= asked[gram]
+    some = np.flatnonzero(able)
+    if not open_.any():
+        return least, most
+    many = counts[group]
+    for o in range(low[open_].min(), high[open_].max() + 1):
+        part = some[(low[some] <= o) & (o <= high[some])]
+        if not open_[part].any():
+            continue
+        a = np.cumsum(within < 8 + LENGTH - o)
+        b = np.empty(len(group), np.int64)
+        b[order] = np.cumsum(agree < o)
+        _, inverse = np.unique(a[part] * (len(group) + 1) + b[part], return_inverse=True)
+        met = group[part[np.bincount(inverse, weights=many[part])[inverse] > 1]]
+        least[met], most[met] = np.minimum(least[met], o), np.maximum(most[met], o)
+    return least, most
+
+
+def _flush(keys, shared, of, starts, counts, ids, pos):
+    """(d, p, start, end) of what goes, for each place that has one of the keys.
+
+    A stretch of places in ids and pos, from starts and of so many as counts says, has the key that of names.
+    """
     rows = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, WIDTH)
-    ids, starts, ends = [], [], []
-    for offsets, (docs, at) in zip(windows(rows, np.array(shared), np.array(counts)), members, strict=True):
-        for a, b in spans(-offsets[::-1]):
-            for d, p in zip(docs, at, strict=True):
-                ids.append(d)
-                starts.append(p + np.int32(a))
-                ends.append(p + np.int32(b))
-    if ids:
-        ids = np.concatenate(ids)
-        columns = [np.ascontiguousarray(ids["d"]), np.ascontiguousarray(ids["p"]), np.concatenate(starts), np.concatenate(ends)]
-        for i in range(0, len(ids), FLUSH):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + FLUSH]) for x in columns], ["d", "p", "start", "end"])
+    of, starts, counts = np.array(of), np.array(starts), np.array(counts)
+    least, most = windows(rows, np.array(shared), np.bincount(of, counts).astype(np.int64))
+    met = most[of] >= 0
+    of, starts, counts = of[met], starts[met], counts[met]
+    key = np.repeat(of, counts)
+    place = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(len(key))
+    ids, at = ids[place], pos[place]
+    columns = [np.ascontiguousarray(ids["d"]), np.ascontiguousarray(ids["p"]), at - most[key].astype(np.int32), at + (LENGTH - least[key]).astype(np.int32)]
+    for i in range(0, len(key), FLUSH):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + FLUSH]) for x in columns], ["d", "p", "start", "end"])
 
 
 def _merge(batches):
     """Merges the runs of each range; the ranges arrive in order."""
 
     def one(blobs):
-        keys, shared, counts, members, fresh = [], [], [], [], 0
         readers = [Reader(x) for x in blobs]
-        bounds = [np.concatenate(([0], np.cumsum(r.counts))).tolist() for r in readers]
-        place = {id(r): b for r, b in zip(readers, bounds, strict=True)}
+        ids, pos = np.concatenate([r.docs for r in readers]), np.concatenate([r.pos for r in readers])
+        base, place = 0, {}
+        for r in readers:  # where the places of each of its keys begin, and how many they are
+            place[id(r)] = ((base + np.cumsum(r.counts) - r.counts).tolist(), r.counts.tolist())
+            base += len(r.pos)
+            r.docs = r.pos = None
+        keys, shared, of, starts, counts, fresh = [], [], [], [], [], 0
         for lcp, r in merged(readers):
-            a, b = place[id(r)][r.i : r.i + 2]
-            fresh += b - a
-            if lcp == WIDTH:
-                counts[-1] += b - a
-                members[-1][0].append(r.docs[a:b])
-                members[-1][1].append(r.pos[a:b])
-                continue
-            if keys and lcp < 8 + K and fresh >= FLUSH:  # a block ends where another K-gram begins
-                yield from _flush(keys, shared, counts, members)
-                keys, shared, counts, members, fresh = [], [], [], [], 0
-            keys.append(r.key)
-            shared.append(lcp)
-            counts.append(b - a)
-            members.append(([r.docs[a:b]], [r.pos[a:b]]))
+            begin, many = place[id(r)]
+            fresh += many[r.i]
+            if lcp < WIDTH:
+                if lcp < 8 + K and keys and fresh >= FLUSH:  # a block ends where another K-gram begins
+                    yield from _flush(keys, shared, of, starts, counts, ids, pos)
+                    keys, shared, of, starts, counts, fresh = [], [], [], [], [], 0
+                keys.append(r.key)
+                shared.append(lcp)
+            of.append(len(keys) - 1)
+            starts.append(begin[r.i])
+            counts.append(many[r.i])
         if keys:
-            yield from _flush(keys, shared, counts, members)
+            yield from _flush(keys, shared, of, starts, counts, ids, pos)
 
     now, blobs = None, []
     for batch in batches:
@@ -394,32 +437,44 @@ def _merge(batches):
         yield from one(blobs)
 
 
+def joined(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that are in order of doc and start, those joined that touch or overlap."""
+    if not len(doc):
+        return doc, starts, ends
+    far = doc * (int(ends.max()) + 2)
+    reach = np.maximum.accumulate(far + ends)
+    fresh = np.append(True, far[1:] + starts[1:] > reach[:-1])
+    first = np.flatnonzero(fresh)
+    return doc[first], starts[first], (reach - far)[np.append(first[1:], len(doc)) - 1]
+
+
 def _clean(batches):
     """Removes each text's runs; without a list of runs nothing goes, whole copies go whole."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for first, last in blocks(offsets):
-            part = batch.slice(first, last - first)
-            out: list[list] = [[], [], [], [], []]
-            for i, runs in zip(range(first, last), part.column("runs").to_pylist(), strict=True):
-                text = data[offsets[i] : offsets[i + 1]]
-                joined: list[list[int]] = []
-                for x in runs or []:
-                    if x["start"] == COPY:
-                        joined += [[0, len(text)]] if len(text) >= LENGTH else []
-                    elif joined and x["start"] <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], x["end"])
-                    else:
-                        joined.append([x["start"], x["end"]])
-                kept, end = [], 0
-                for a, b in joined:
-                    kept.append(text[end:a])
-                    end = b
-                rest = b"".join(x.tobytes() for x in (*kept, text[end:]))
-                for column, value in zip(out, (len(text), sum(b - a for a, b in joined), len(joined), hashlib.sha256(rest).hexdigest(), rest), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], names)
+            part, n = batch.slice(first, last - first), last - first
+            begin, size = offsets[first:last] - offsets[first], np.diff(offsets[first : last + 1])
+            text = data[offsets[first] : offsets[last]]
+            runs = part.column("runs")
+            each = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+            doc, found = np.repeat(np.arange(n), each), runs.flatten()  # without those of null lists
+            starts, ends = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.flatten())
+            copy = starts == COPY
+            starts, ends = np.where(copy, 0, starts), np.where(copy, size[doc], ends)
+            real = ~copy | (ends >= LENGTH)
+            doc, starts, ends = joined(doc[real], starts[real], ends[real])
+            edge = np.zeros(len(text) + 1, np.int8)
+            edge[begin[doc] + starts] += 1
+            edge[begin[doc] + ends] -= 1
+            rest = text[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+            gone = np.bincount(doc, ends - starts, n).astype(np.int64)
+            cuts = np.concatenate(([0], np.cumsum(size - gone)))
+            digests = [hashlib.sha256(rest[a:b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(rest)])
+            columns = [size, gone, np.bincount(doc, minlength=n)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns), pa.array(digests, pa.string()), kept], names)
 
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortcuts: bool = True) -> DataFrame:
@@ -442,7 +497,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     anchored = sampled.agg(F.sum(F.size("pos"))).first()[0] or 0
-    ranges = max(4 * n, -(-anchored // RANGE_KEYS))
+    ranges = n * max(1, -(-anchored // (n * RANGE_KEYS)))  # as many for each merge task
     classes = sampled.groupBy("sha").agg(F.min(F.struct("d", "p")).alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copied = sampled.select("d", "p", "sha").join(classes, "sha")
     copied = copied if shortcuts else copied.limit(0)
@@ -457,7 +512,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The small sides are hashed and the texts stream by: sorting them for a merge would hold them in memory.
     runs = texts.join(hits.hint("shuffle_hash"), ["d", "p"]).select("d", "p", "text", "hits")
     runs = in_arrow(runs, _runs(ranges), "range int, run binary")
-    found = in_arrow(runs.repartition(n, "range").sortWithinPartitions("range"), _merge, "d long, p long, start int, end int")
+    found = in_arrow(runs.repartitionById(n, F.col("range")).sortWithinPartitions("range"), _merge, "d long, p long, start int, end int")
     within = sampled.where(F.size("stretches") > 0).select("d", "p", F.explode("stretches").alias("x")).select("d", "p", "x.start", "x.end")
     copies = copied.select("d", "p", F.lit(COPY).alias("start"), F.lit(0).alias("end"))
     found = found.unionByName(within).unionByName(copies).groupBy("d", "p").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))

@@ -1,8 +1,10 @@
 import hashlib
 import itertools
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -196,6 +198,83 @@ def test_repeats_of_nothing(spark):
     assert removed(spark, []) == []
 
 
+def text_with_hits(texts):
+    """A batch as the run makers get it: every 40th place of each text as an anchor."""
+    places = [list(range(0, max(0, len(t) - suffix_dedup.K), 40)) for t in texts]
+    hits = [[{"pos": p, "gram": int(zlib.crc32(t[p : p + suffix_dedup.K])) << 31} for p in ps] for t, ps in zip(texts, places)]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("gram", pa.int64())]))
+    ids = pa.array(range(len(texts)), pa.int64())
+    return pa.RecordBatch.from_arrays([ids, ids, pa.array([t.decode() for t in texts]), pa.array(hits, kind)], ["d", "p", "text", "hits"]), places
+
+
+def test_runs_are_sent_together_and_bounded(monkeypatch):
+    """One Arrow batch for the runs of all ranges, and a long text's keys in runs of RUN_KEYS, not in one of its own length."""
+    monkeypatch.setattr(suffix_dedup, "RUN_KEYS", 50)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, n, np.uint8).tobytes() for n in (300, 90, 0, 12_000, 33, 500)]
+    batch, places = text_with_hits(texts)
+    sent = list(suffix_dedup._runs(16)([batch]))
+    total = sum(map(len, places))
+    assert len(sent) == -(-total // 50)
+    sizes = [sum(len(suffix_dedup.Reader(x.as_py()).pos) for x in b.column("run")) for b in sent]
+    assert sum(sizes) == total and max(sizes) <= 50
+    # A key holds its own text's bytes only.
+    found = {}
+    for b in sent:
+        for x in b.column("run"):
+            r = suffix_dedup.Reader(x.as_py())
+            while r.step() >= 0:
+                i = int(r.counts[: r.i].sum())
+                found[int(r.docs["d"][i]), int(r.pos[i])] = r.key
+    for d, (t, ps) in enumerate(zip(texts, places)):
+        for p in ps:
+            right, left = t[p : p + 200], t[max(0, p - 168) : p][::-1]
+            assert found[d, p][8:] == right.ljust(200, b"\0") + left.ljust(168, b"\0") + bytes([len(right), len(left)])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(2, 40), st.integers(1, 4))
+def test_windows_equal_brute_force(seed, n, grams):
+    """The stretch of each key, where contexts branch at random places on both sides."""
+    rng = np.random.default_rng(seed)
+    rows = np.zeros((n, suffix_dedup.WIDTH), np.uint8)
+    for i in range(n):
+        rows[i, :8] = rng.integers(grams)
+        for a, size in ((8, 200), (208, 168)):
+            rows[i, a : a + size] = 97
+            if a == 8:
+                rows[i, 8:40] = rows[i, 0]
+            cut = rng.integers(40 if a == 8 else 0, size + 1)
+            rows[i, a + cut : a + size] = rng.integers(97, 100)
+        rows[i, -2] = rng.choice([200, 200, rng.integers(32, 201)])
+        rows[i, -1] = rng.choice([168, 168, rng.integers(0, 169)])
+        rows[i, 8 + int(rows[i, -2]) : 208] = 0
+        rows[i, 208 + int(rows[i, -1]) : 376] = 0
+    keys, counts = unique_rows(rows)
+    shared = np.append(0, suffix_dedup.common(keys[:-1], keys[1:]))
+    least, most = suffix_dedup.windows(keys, shared, counts)
+    for i, k in enumerate(keys):
+        held = []
+        for j, other in enumerate(keys):
+            if (i == j and counts[i] < 2) or bytes(k[:8]) != bytes(other[:8]):
+                continue
+            right = min(suffix_dedup.common(k[None, 8:208], other[None, 8:208])[0], k[-2], other[-2])
+            left = min(suffix_dedup.common(k[None, 208:376], other[None, 208:376])[0], k[-1], other[-1])
+            held += range(200 - int(right), int(left) + 1)
+        assert (least[i], most[i]) == ((min(held), max(held)) if held else (200, -1))
+
+
+def unique_rows(rows):
+    found = sorted(r.tobytes() for r in rows)
+    keys = sorted(set(found))
+    return np.frombuffer(b"".join(keys), np.uint8).reshape(-1, rows.shape[1]), np.array([found.count(k) for k in keys])
+
+
+def test_runs_that_touch_are_joined():
+    doc, starts, ends = (np.array(x) for x in ([0, 0, 0, 2, 2, 2], [0, 5, 30, 0, 3, 12], [10, 8, 40, 4, 12, 15]))
+    assert [x.tolist() for x in suffix_dedup.joined(doc, starts, ends)] == [[0, 0, 2], [0, 30, 0], [10, 40, 15]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=3, max_size=3), max_size=20), min_size=1, max_size=6))
 def test_loser_tree_merges(runs):
