@@ -13,7 +13,8 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,14 @@ from ..functions.text import token_count, tokens
 from ..functions.udf import in_arrow
 from .tables import exists, put, small, spread
 
-#: Postings of a file of a saved index, and documents of a range of one length, about.
-FILE_ROWS, RANGE_DOCS = 2_000_000, 4096
-#: Rows up to which deleted ids are broadcast.
-BROADCAST_IDS = 200_000
-#: Words of documents that one task of a build puts into blocks, about, and words of a document that make it a piece of a range more.
-TASK_WORDS, PIECE_WORDS = 4_000_000, 2048
-PART = "term string, range int, n int, tf int, length long, p array<struct<id: string, tf: int, length: long, positions: array<int>>>"
-BLOCKS = f"{PART}, bucket int"
+#: Words of a file of a saved index, and documents of a range of one length, about.
+FILE_ROWS, RANGE_DOCS = 4_000_000, 4096
+#: Rows up to which deleted ids are broadcast: some 50 MB.
+BROADCAST_IDS = 1_000_000
+#: Places of words that are packed together, about, and those of blocks that a task holds at once or gives out at once.
+PACK_PLACES, OPEN_PLACES, OUT_PLACES = 2_000_000, 2_000_000, 250_000
+BLOCKS = "term string, range int, n int, tf int, length long, p array<struct<id: string, tf: int, length: long, positions: array<int>>>, bucket int"
+CHUNKS = "bucket int, slot int, chunk binary"
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ class Segment:
 
     def of_terms(self, words: list[str]) -> DataFrame:
         """The terms' blocks. The bucket names folders, so others are not read."""
-        wanted = [F.pmod(F.hash(F.lit(w)), F.lit(self.buckets)) for w in words]
+        wanted = [_bucket(w.encode(), self.buckets) for w in words]
         return self.blocks.where(F.col("bucket").isin(wanted) & F.col("term").isin(words)).drop("bucket")
 
 
@@ -68,7 +69,8 @@ class Index:
     segments: tuple[Segment, ...] = ()
     gone: DataFrame | None = None
     saved: tuple[tuple[Segment, DataFrame, DataFrame, DataFrame], ...] = ()  # each segment's docs, frequencies and lengths
-    parts: Callable[[int, int], DataFrame] | None = None  # the postings as PART, for so many ranges and words in all; from postings if None
+    parts: Callable[..., DataFrame] | None = None  # the postings as CHUNKS, for so many ranges, buckets and slots; from postings if None
+    again: Callable[[DataFrame], Index] | None = None  # the same of other documents, taken as they are dealt
 
     def of_terms(self, words, ranges: DataFrame | None = None) -> DataFrame:
         """Postings of these terms; with ranges (segment, range), a few, only of documents in them: other blocks are not unpacked."""
@@ -153,45 +155,49 @@ def _living(rows: DataFrame, number: int, gone: DataFrame | None) -> DataFrame:
 
 @contextmanager
 def _by_sorting(spark: SparkSession) -> Iterator[None]:
-    """Lists are gathered from sorted rows within."""
-    name = "spark.sql.execution.useObjectHashAggregateExec"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Lists are gathered from sorted rows within, and a task writes its few folders side by side, without sorting rows for it."""
+    wanted = {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _bucket(term: bytes, buckets: int) -> int:
+    return crc32(term) % buckets
 
 
 def _write_segment(index: Index, path: str, number: int) -> None:
     """Documents, lengths, blocks and frequencies, built once each: what follows from a table is read from what was written of it.
 
-    One exchange of parts of blocks: blocks lie in buckets by term, so that a term reads one folder, and in slots by range,
-    so that a term of all documents is many files; all numbers follow from the corpus' size.
+    One exchange of packed postings, and none of texts: blocks lie in buckets by term, so that a term reads one folder, and in
+    slots by range, so that a term of all documents is many files; all numbers follow from the corpus' size.
     """
     spark, path = index.docs.sparkSession, f"{path}/segments/{number:06d}"
     written = lambda name: spark.read.parquet(f"{path}/{name}")
-    for name in ("docs", "doc_stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    put_down = lambda rows, name: rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    put_down(spread(index.docs) if index.again else index.docs, "docs")
+    if index.again:
+        index = index.again(written("docs"))
+    put_down(index.doc_stats, "doc_stats")
     n, total = written("doc_stats").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    slots = max(1, -(-n // FILE_ROWS))
+    # A chunk names its documents, so files grow in number by slots as well as by buckets: else a chunk of few words would have many documents.
+    slots = max(1, -(-n // FILE_ROWS), round(0.5 * (total / FILE_ROWS) ** 0.5))
     buckets = max(8, -(-total // (FILE_ROWS * slots)))
     wanted = max(1, n // RANGE_DOCS)
     # Ranges of a segment that are about as large as they should be are kept, so a compaction takes its blocks as they are.
     ranges = max((s.ranges for s in index.segments if wanted <= 2 * s.ranges and s.ranges <= 2 * wanted), default=wanted)
-    rows = index.parts(ranges, total) if index.parts else _singles(index.postings, ranges)
-    rows = rows.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets))).withColumn("slot", F.pmod(F.hash("range"), F.lit(slots))).repartition(int(buckets * slots), "bucket", "slot")
-    # Rows are sorted once, and a group is what lies next to each other: a hash aggregation of lists falls back to sorting
-    # after a few groups.
-    held = F.collect_list("p")
-    blocks = rows.sortWithinPartitions("bucket", "term", "range", "slot").groupBy("bucket", "term", "range", "slot").agg(  # by what the rows are already dealt by
-        F.sum("n").cast("int").alias("n"), F.max("tf").alias("tf"), F.min("length").alias("length"), F.when(F.size(held) == 1, held[0]).otherwise(F.sort_array(F.flatten(held))).alias("p")
-    )
+    chunks = index.parts(ranges, buckets, slots) if index.parts else _packed(_singles(index.postings, ranges), buckets, slots)
+    dealt = chunks.repartitionById(int(buckets * slots), (F.col("bucket") * slots + F.col("slot")).cast("int"))
     with _by_sorting(spark):
         # Parquet's second format stores runs of numbers as differences.
-        blocks.drop("slot").sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/blocks")
+        in_arrow(dealt, _opened, BLOCKS).write.mode("overwrite").options(**{"parquet.writer.version": "v2", "compression": "zstd"}).partitionBy("bucket").parquet(f"{path}/blocks")
     stats = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("term").agg(F.sum("n").alias("df"))
-    stats.withColumns({"buckets": F.lit(int(buckets)), "ranges": F.lit(int(ranges))}).write.mode("overwrite").parquet(f"{path}/term_stats")
+    put_down(stats.withColumns({"folders": F.lit(int(buckets)), "ranges": F.lit(int(ranges))}), "term_stats")
 
 
 def _range(ranges: int):
@@ -201,48 +207,204 @@ def _range(ranges: int):
 
 
 def _singles(postings: DataFrame, ranges: int) -> DataFrame:
-    """Parts of one posting each."""
-    return postings.select("term", _range(ranges).alias("range"), F.lit(1).alias("n"), "tf", "length", F.array(F.struct("id", "tf", "length", "positions")).alias("p"))
+    """Blocks of one posting each, as _kept_blocks() has them."""
+    return postings.select("term", _range(ranges).alias("range"), F.array(F.struct("id", "tf", "length", "positions")).alias("p"), F.lit(None).cast("array<string>").alias("lost"))
 
 
 def _kept_blocks(segment: Segment, lengths: DataFrame, gone: DataFrame | None) -> DataFrame:
-    """The segment's blocks as PART, without deleted documents. These meet the blocks of their range, no posting is moved for them."""
-    rows = segment.blocks.drop("bucket")
+    """term, range, p of the segment's blocks, and lost: the deleted ids of the range. So ids meet blocks, and no posting is moved for them."""
+    rows = segment.blocks.select("term", "range", "p")
     if gone is None:
-        return rows
-    lost = small(gone.where(F.col("upto") >= segment.number).select("id").distinct(), BROADCAST_IDS)
-    lost = lengths.join(lost, "id", "left_semi").select(_range(segment.ranges).alias("range"), "id").groupBy("range").agg(F.collect_list("id").alias("lost"))
-    return in_arrow(rows.join(lost, "range", "left").select(*rows.columns, "lost"), _pruned, PART)
+        return rows.withColumn("lost", F.lit(None).cast("array<string>"))
+    lost = gone.where(F.col("upto") >= segment.number).select("id").distinct()
+    few = lost.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    lost = lengths.join(F.broadcast(lost) if few else lost, "id", "left_semi").select(_range(segment.ranges).alias("range"), "id").groupBy("range").agg(F.collect_list("id").alias("lost"))
+    return rows.join(F.broadcast(lost) if few else lost, "range", "left").select(*rows.columns, "lost")
+
+
+def _packed(rows: DataFrame, buckets: int, slots: int) -> DataFrame:
+    """CHUNKS of blocks, as _kept_blocks() has them, without the lost ids."""
+    return in_arrow(rows.select("term", "range", "p", "lost"), partial(_blocks_in_chunks, buckets=buckets, slots=slots, places=PACK_PLACES), CHUNKS)
+
 
+def _held(batches: Iterator[pa.RecordBatch], places: Callable[[pa.RecordBatch], int], most: int) -> Iterator[pa.Table]:
+    """Batches together, as soon as they hold so many places."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += places(batch)
+        if n >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
-def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blocks and ids, the blocks without these ids' postings."""
+
+def _texts_in_chunks(batches: Iterator[pa.RecordBatch], buckets: int, slots: int, places: int) -> Iterator[pa.RecordBatch]:
+    """Of documents (id, range, words), a row for each bucket and slot of some of them, with what CHUNKS says."""
+    for table in _held(batches, lambda b: len(b.column(2).flatten()), places):
+        ids, ranges, words = map(_whole, table.columns)
+        sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+        coded = words.flatten().dictionary_encode()
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        place = np.arange(len(doc), dtype=np.int32) - np.repeat(np.cumsum(sizes, dtype=np.int32) - sizes, sizes)
+        yield _chunks(coded.dictionary, coded.indices.to_numpy(), doc, place, ids, ranges.to_numpy(), sizes, buckets, slots)
+
+
+def _blocks_in_chunks(batches: Iterator[pa.RecordBatch], buckets: int, slots: int, places: int) -> Iterator[pa.RecordBatch]:
+    """Of blocks (term, range, p, lost), the same, without lost ids."""
+    for table in _held(batches, lambda b: len(b.column(2).flatten().field("positions").flatten()), places):
+        terms, ranges, p, lost = map(_whole, table.columns)
+        flat, gone = p.flatten(), lost.flatten().unique()
+        owner = np.repeat(np.arange(len(p), dtype=np.int32), p.value_lengths().to_numpy())
+        if len(gone):
+            keep = pc.invert(pc.is_in(flat.field("id"), value_set=gone))
+            flat, owner = flat.filter(keep), owner[keep.to_numpy(zero_copy_only=False)]
+        coded, ids = terms.dictionary_encode(), flat.field("id").dictionary_encode()
+        doc, tf, positions = ids.indices.to_numpy(), flat.field("tf").to_numpy(), flat.field("positions").flatten()
+        where, length = np.zeros(len(ids.dictionary), np.int32), np.zeros(len(ids.dictionary), np.int64)
+        where[doc], length[doc] = ranges.to_numpy()[owner], flat.field("length").to_numpy()
+        yield _chunks(coded.dictionary, np.repeat(coded.indices.to_numpy()[owner], tf), np.repeat(doc, tf), positions.to_numpy(), ids.dictionary, where, length, buckets, slots)
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order by these keys, the first one foremost; what is equal stays in order."""
+    whole, span = keys[0].astype(np.int64), int(keys[0].max(initial=0)) + 1  # one number of them, in place
+    for key in keys[1:]:
+        n = int(key.max(initial=0)) + 1
+        span *= n
+        if span >= 1 << 62:
+            return np.lexsort(keys[::-1])
+        whole *= n
+        whole += key
+    return np.argsort(whole, kind="stable")
+
+
+def _ranked(terms: pa.Array, ids: pa.Array, ranges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The order of terms, that of documents by range and id, and the places that these orders give them."""
+    orders = [pc.sort_indices(terms).to_numpy(), pc.sort_indices(pa.table({"range": pa.array(ranges), "id": ids}), sort_keys=[("range", "ascending"), ("id", "ascending")]).to_numpy()]
+    ranks = [np.empty(len(x), np.int32) for x in orders]
+    for x, rank in zip(orders, ranks):
+        rank[x] = np.arange(len(x), dtype=np.int32)
+    return *orders, *ranks
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a key differs from the one before."""
+    return np.flatnonzero(np.logical_or.reduce([np.diff(k, prepend=-1) != 0 for k in keys]))
+
+
+def _chunks(terms: pa.Array, code: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: pa.Array, ranges: np.ndarray, lengths: np.ndarray, buckets: int, slots: int) -> pa.RecordBatch:
+    """Places of words as CHUNKS, by term, range and id. code and doc say which of terms, and which of ids, ranges and lengths; a word's places in a document are in order."""
+    folders = np.fromiter((_bucket(t, buckets) for t in terms.cast(pa.binary()).to_pylist()), np.int32, len(terms))
+    by_term, by_doc, term_rank, doc_rank = _ranked(terms, ids, ranges)
+    part, code, doc = (folders * slots)[code] + (ranges % slots).astype(np.int32)[doc], term_rank[code], doc_rank[doc]
+    order = _order(part, code, doc)
+    part, code, doc, place = part[order], code[order], doc[order], place[order]
+    terms, ids, ranges, lengths = terms.take(pa.array(by_term)), ids.take(pa.array(by_doc)), ranges[by_doc], lengths[by_doc]
+    cuts = np.append(_starts(part), len(part))
+    packed = [_pack(terms, code[a:b], doc[a:b], place[a:b], ids, ranges, lengths) for a, b in zip(cuts[:-1], cuts[1:])]
+    part = part[cuts[:-1]]
+    return pa.RecordBatch.from_arrays([pa.array(part // slots, pa.int32()), pa.array(part % slots, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "slot", "chunk"])
+
+
+def _pack(terms: pa.Array, code: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: pa.Array, ranges: np.ndarray, lengths: np.ndarray) -> bytes:
+    """One chunk: its terms and documents once each, a term's documents by steps, counts and places, each in as few bytes as its largest number needs."""
+    narrow = lambda x: pa.array(x.astype(np.min_scalar_type(int(x.max(initial=0)))))
+    first = _starts(code, doc)
+    tf, some = np.diff(np.append(first, len(code))), _starts(code[first])
+    used, doc = np.unique(doc[first], return_inverse=True)
+    steps = np.diff(doc, prepend=0)
+    steps[some] = doc[some]
+    taken = pa.array(used)
+    columns = [terms.take(pa.array(code[first][some])), narrow(np.diff(np.append(some, len(first)))), narrow(steps), narrow(tf), narrow(place), ids.take(taken), narrow(ranges[used]), narrow(lengths[used])]
+    row = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], list("tnsfpirl"))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(row)
+    return out.getvalue().to_pybytes()
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of chunks, the blocks; all chunks of a bucket and slot follow each other."""
+    held, at = [], None
     for batch in batches:
-        p, lost = batch.column("p"), batch.column("lost")
-        flat = p.flatten()
-        keep = pc.invert(pc.is_in(flat.field("id"), value_set=lost.flatten().unique())).to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(batch)), p.value_lengths().to_numpy())[keep]
-        flat = flat.filter(pa.array(keep))
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        some = pa.array(owner[first])
-        yield _blocks(batch.column("term").take(some), batch.column("range").take(some), first, flat.field("tf").to_numpy(), flat.field("length").to_numpy(), flat)
-
-
-def _blocks(terms: pa.Array, ranges: pa.Array, first: np.ndarray, tf: np.ndarray, length: np.ndarray, postings: pa.StructArray) -> pa.RecordBatch:
-    """PART of postings in order, the places of the first of each block, and their counts and lengths."""
+        for bucket, slot, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != (bucket, slot) and held:
+                yield from _merged(held, at[0])
+                held = []
+            at = bucket, slot
+            held.append(chunk)
+    if held:
+        yield from _merged(held, at[0])
+
+
+def _merged(chunks: list[bytes], bucket: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of a bucket and slot, by term and range. Where it has many places, it goes by some of the ranges after others."""
+    parts = []
+    n_terms = n_docs = 0
+    for chunk in chunks:
+        row = pa.ipc.open_stream(chunk).read_next_batch()
+        terms, each, steps, tf, place, ids, ranges, lengths = (c.flatten() for c in row.columns)
+        each, steps, tf, place, ranges, lengths = (x.to_numpy() for x in (each, steps, tf, place, ranges, lengths))
+        some = np.cumsum(each, dtype=np.int64) - each
+        doc = np.cumsum(steps, dtype=np.int64)
+        doc -= np.repeat(doc[some] - steps[some], each)
+        parts.append((terms, np.repeat(np.arange(n_terms, n_terms + len(terms), dtype=np.int32), each), (doc + n_docs).astype(np.int32), tf, place, ids, ranges.astype(np.int32), lengths.astype(np.int64)))
+        n_terms, n_docs = n_terms + len(terms), n_docs + len(ids)
+    terms, code, doc, tf, place, ids, ranges, lengths = (pa.concat_arrays(x) if isinstance(x[0], pa.Array) else np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    coded = terms.dictionary_encode()
+    by_term, by_doc, term_rank, doc_rank = _ranked(coded.dictionary, ids, ranges)
+    code, doc = term_rank[coded.indices.to_numpy()[code]], doc_rank[doc]
+    terms, ids, ranges, lengths = coded.dictionary.take(pa.array(by_term)), ids.take(pa.array(by_doc)), ranges[by_doc], lengths[by_doc]
+    turns = -(-len(place) // OPEN_PLACES)
+    turn = np.arange(len(ranges)) * 0 if turns < 2 else np.cumsum(np.diff(ranges, prepend=-1) != 0) % turns
+    for k in range(turns):
+        if turns == 1:
+            yield from _out(terms, code, doc, tf, place, ids, ranges, lengths, bucket)
+        else:
+            keep = turn[doc] == k
+            yield from _out(terms, code[keep], doc[keep], tf[keep], place[np.repeat(keep, tf)], ids, ranges, lengths, bucket)
+
+
+def _out(terms: pa.Array, code: np.ndarray, doc: np.ndarray, tf: np.ndarray, place: np.ndarray, ids: pa.Array, ranges: np.ndarray, lengths: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of postings that may be in any order, in batches of bounded size."""
+    order = _order(code, doc)
+    starts = (np.cumsum(tf, dtype=np.int64) - tf)[order]
+    code, doc, tf = code[order], doc[order], tf[order].astype(np.int32)
+    bounds = np.append(0, np.cumsum(tf, dtype=np.int64))
+    first = _starts(code, ranges[doc])
+    cuts = np.append(first[_starts(bounds[first] // OUT_PLACES)], len(code))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        places = np.repeat(starts[a:b] - (bounds[a:b] - bounds[a]), tf[a:b]) + np.arange(bounds[b] - bounds[a])
+        positions = pa.ListArray.from_arrays(pa.array((bounds[a : b + 1] - bounds[a]).astype(np.int32)), pa.array(place[places].astype(np.int32)))
+        length, here = lengths[doc[a:b]], first[(first >= a) & (first < b)] - a
+        p = pa.StructArray.from_arrays([ids.take(pa.array(doc[a:b])), pa.array(tf[a:b]), pa.array(length), positions], ["id", "tf", "length", "positions"])
+        yield _blocks(terms.take(pa.array(code[a:b][here])), pa.array(ranges[doc[a:b][here]]), here, tf[a:b], length, p, bucket)
+
+
+def _blocks(terms: pa.Array, ranges: pa.Array, first: np.ndarray, tf: np.ndarray, length: np.ndarray, postings: pa.StructArray, bucket: int) -> pa.RecordBatch:
+    """BLOCKS of postings in order, the places of the first of each block, and their counts and lengths."""
     bounds = np.append(first, len(postings)).astype(np.int32)
-    most, least = (np.maximum.reduceat(tf, first), np.minimum.reduceat(length, first)) if len(first) else (tf, length)
-    columns = [terms, ranges, pa.array(np.diff(bounds), pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), postings)]
-    return pa.RecordBatch.from_arrays(columns, ["term", "range", "n", "tf", "length", "p"])
+    most, least = np.maximum.reduceat(tf, first), np.minimum.reduceat(length, first)
+    columns = [terms, ranges, pa.array(np.diff(bounds), pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), postings), pa.array(np.full(len(first), bucket, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["term", "range", "n", "tf", "length", "p", "bucket"])
 
 
 def _read_segment(spark: SparkSession, path: str, number: int) -> tuple[Segment, DataFrame, DataFrame, DataFrame]:
     path = f"{path}/segments/{number:06d}"
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     stats = read("term_stats")
-    some = stats.select("buckets", F.col("ranges") if "ranges" in stats.columns else F.lit(0).alias("ranges")).first()
+    if "folders" not in stats.columns:
+        raise ValueError(f"{path} was saved by an older version, with other buckets; build it again")
+    some = stats.select("folders", "ranges").first()
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    return Segment(number, blocks, some.buckets if some else 1, some.ranges if some else 0), read("docs"), stats.drop("buckets", "ranges"), read("doc_stats")
+    return Segment(number, blocks, some.folders if some else 1, some.ranges if some else 0), read("docs"), stats.drop("folders", "ranges"), read("doc_stats")
 
 
 def _combined(read: Sequence[tuple[Segment, DataFrame, DataFrame, DataFrame]], gone: DataFrame | None) -> Index:
@@ -257,7 +419,12 @@ def _combined(read: Sequence[tuple[Segment, DataFrame, DataFrame, DataFrame]], g
         stats = stats.unionByName(lost.groupBy("term").agg((-F.count("*")).alias("df")))
     if len(read) > 1 or gone is not None:
         stats = stats.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    parts = lambda ranges, _: union([_kept_blocks(s, n, gone) if s.ranges == ranges else _singles(_living(s.blocks.select("term", F.inline("p")), s.number, gone), ranges) for s, _, _, n in read])
+
+
+    def parts(ranges: int, buckets: int, slots: int = 1) -> DataFrame:
+        rows = [_kept_blocks(s, n, gone) if s.ranges == ranges else _singles(_living(s.blocks.select("term", F.inline("p")), s.number, gone), ranges) for s, _, _, n in read]
+        return _packed(union(rows), buckets, slots)
+
     return Index(docs, postings, stats, lengths, corpus_stats(lengths), tuple(s for s, *_ in read), gone, tuple(read), parts)
 
 
@@ -325,28 +492,6 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of documents in order of range and id, with their words, a row for each word and range, with the postings in order of id."""
-    for batch in batches:
-        ids, ranges, words = batch.columns
-        sizes = np.zeros(len(batch), np.int64)
-        sizes[:] = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        coded = words.flatten().dictionary_encode()
-        doc = np.repeat(np.arange(len(batch)), sizes)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        codes = coded.indices.to_numpy()
-        order = np.argsort(codes, kind="stable")  # documents and places stay in order
-        codes, doc = codes[order], doc[order]
-        first = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        bounds = np.append(first, len(doc)).astype(np.int32)
-        owner, code, tf = doc[first], codes[first], np.diff(bounds)
-        length, where = sizes[owner], ranges.to_numpy()[owner]
-        positions = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[order], pa.int32()))
-        postings = pa.StructArray.from_arrays([ids.take(pa.array(owner)), pa.array(tf, pa.int32()), pa.array(length), positions], ["id", "tf", "length", "positions"])
-        start = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(where, prepend=-1) != 0))
-        yield _blocks(coded.dictionary.take(pa.array(code[start])), pa.array(where[start], pa.int32()), start, tf, length, postings)
-
-
 def build(docs: DataFrame, analyzer=tokens, counter=None) -> Index:
     """docs has id and text. Positions start at 0 and are in order; ids must be unique.
 
@@ -355,20 +500,20 @@ def build(docs: DataFrame, analyzer=tokens, counter=None) -> Index:
     where that is cheaper than to take them. The tables are plans; save() computes each once, and searches of more than
     one query are meant to run on a saved index.
     """
-    counter = counter or (token_count if analyzer is tokens else lambda text: F.size(analyzer(text)).cast("long"))
-    texts = spread(docs.select("id", "text"))
+    return _built(docs, spread(docs.select("id", "text")), analyzer, counter or (token_count if analyzer is tokens else lambda text: F.size(analyzer(text)).cast("long")))
+
+
+def _built(docs: DataFrame, texts: DataFrame, analyzer, counter) -> Index:
+    """The index of docs, whose id and text are texts too, dealt as the tasks shall be."""
     postings = in_arrow(texts.select("id", analyzer(F.col("text")).alias("t")), _grouped, "term string, id string, tf int, length long, positions array<int>")
     lengths = texts.select("id", counter(F.col("text")).alias("length"))
 
-    def parts(ranges: int, words: int) -> DataFrame:
-        """Texts are dealt by range, long ones in pieces of it, so that a task puts whole blocks together where it finds the words."""
-        cores = docs.sparkSession.sparkContext.defaultParallelism
-        dealt = docs.select("id", "text", counter(F.col("text")).alias("length")).select("id", "text", "length", _range(ranges).alias("range"))
-        piece = F.pmod(F.hash("id"), (F.lit(max(1, cores // ranges)) + F.floor(F.col("length") / PIECE_WORDS)).cast("int"))
-        dealt = dealt.withColumn("piece", piece).repartition(max(2 * cores, words // TASK_WORDS), "range", "piece").sortWithinPartitions("range", "id")
-        return in_arrow(dealt.select("id", "range", analyzer(F.col("text")).alias("t")), _in_blocks, PART)
+    def parts(ranges: int, buckets: int, slots: int = 1) -> DataFrame:
+        words = texts.select("id", analyzer(F.col("text")).alias("t")).withColumn("length", F.size("t"))
+        return in_arrow(words.select("id", _range(ranges).alias("range"), "t"), partial(_texts_in_chunks, buckets=buckets, slots=slots, places=PACK_PLACES), CHUNKS)
 
-    return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths), parts=parts)
+    again = lambda others: _built(others, others.select("id", "text"), analyzer, counter)
+    return Index(docs, postings, term_stats(postings), lengths, corpus_stats(lengths), parts=parts, again=again)
 
 
 def assert_unique(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,28 @@ def test_blocks_are_built_and_compacted_whole(spark, tmp_path, monkeypatch):
         assert len({(b.term, b.range) for b in blocks}) == len(blocks) and (docs == 4096 or held.segments[0].ranges == len(live) // 30)
         for b in blocks:
             assert (b.n, b.tf, b.length) == (len(b.p), max(x.tf for x in b.p), min(x.length for x in b.p)) and [x.id for x in b.p] == sorted(x.id for x in b.p)
+
+
+@pytest.mark.parametrize("buckets, slots, places, at_once", [(8, 1, 10**6, 10**6), (3, 4, 700, 10**6), (2, 2, 700, 300)])
+def test_postings_are_moved_packed(spark, monkeypatch, buckets, slots, places, at_once):
+    """A row for each bucket and slot of many documents, in a fraction of the postings' bytes; unpacked, each block is whole and once there."""
+    monkeypatch.setattr(index, "PACK_PLACES", places)
+    monkeypatch.setattr(index, "OPEN_PLACES", at_once)
+    monkeypatch.setattr(index, "OUT_PLACES", 200)
+    fresh = index.build(_frame(spark, _corpus(11, 300)))
+    chunks = sorted(fresh.parts(3, buckets, slots).collect(), key=lambda r: r[:2])
+    assert "hashpartitioning" not in fresh.parts(3, buckets, slots)._jdf.queryExecution().executedPlan().toString()  # no texts are exchanged
+    postings = fresh.postings.collect()
+    assert sum(len(c.chunk) for c in chunks) < 12 * len(postings) + 9000 * len(chunks)
+    batches = [pa.RecordBatch.from_pylist([c.asDict() for c in chunks[i : i + 5]], pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("chunk", pa.binary())])) for i in range(0, len(chunks), 5)]
+    blocks = [row for batch in index._opened(iter(batches)) for row in batch.to_pylist()]
+    assert len({(b["term"], b["range"]) for b in blocks}) == len(blocks)
+    assert all(b["bucket"] == index._bucket(b["term"].encode(), buckets) and b["n"] == len(b["p"]) and b["tf"] == max(x["tf"] for x in b["p"]) and b["length"] == min(x["length"] for x in b["p"]) for b in blocks)
+    assert sorted((b["term"], x["id"], x["tf"], x["length"], x["positions"]) for b in blocks for x in b["p"]) == sorted(map(tuple, postings))
+    assert len({b["range"] for b in blocks}) > 3
+
+
+def test_keys_too_large_for_one_number_are_put_in_order():
+    keys = [np.array(x) for x in ([1, 0, 1, 0], [2**40, 5, 2**40, 5], [7, 2**40, 6, 2**40])]
+    assert index._order(*keys).tolist() == [1, 3, 2, 0] == index._order(*(k % 1000 for k in keys[:1]), *keys[1:]).tolist()
+    assert index._order(np.zeros(0, np.int32), np.zeros(0, np.int32)).tolist() == []
