@@ -341,3 +341,50 @@ def test_batches_of_texts_are_small_for_functions_of_series(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     spark.range(1).select(text.analyze(F.lit("a b"))).collect()
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == udf.BATCH
+
+
+def test_rollups_of_a_hot_video_are_many_groups(spark, tmp_path):
+    """Spans of a few seconds, gaps, late cues and several batches: the same as the cues in order, and no state holds more than a span."""
+    import random
+    from datetime import datetime, timedelta
+
+    import pandas as pd
+
+    from attesto.streaming import streams
+
+    r, start = random.Random(4), datetime(2024, 1, 1)
+    at = lambda us: start + timedelta(microseconds=us)
+    texts = ["a", "a b", "b", "", "a b c", "c"]
+    held, got, late = [], set(), -1
+    for turn in range(4):
+        part = [("vw"[i % 2], r.randrange(25_000_000) // 700 * 700 + turn * 12_000_000 + (30_000_000 if i % 9 == 0 else 0), r.choice(texts)) for i in range(60)]
+        held += [x for x in part if x[1] >= late]
+        spark.createDataFrame([(v, at(us), t) for v, us, t in part], "video string, ts timestamp, text string").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("video string, ts timestamp, text string").parquet(str(tmp_path / "in"))
+        streams.versioned_sink(streams.without_rollups(stream, "9 seconds", span=5), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        late = max(late, (max(x[1] for x in part) // 1000 - 9000) * 1000)
+    want = []
+    for video in "vw":
+        last = None
+        for _, us, t in sorted(x for x in held if x[0] == video and x[1] < late):
+            said, last = streams._said(last, t), t
+            want += [(video, us, said)] if said else []
+    zero = spark.sql("select unix_micros(timestamp'2024-01-01') as z").first().z
+    got = sorted((x.video, x.at - zero, x.text) for x in streams.sink_rows(spark, str(tmp_path / "out")).collect())
+    assert got == sorted(want) and len(want) >= 50
+
+    class State:
+        exists, get = False, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.held = value
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+    rows = pd.DataFrame({"at": range(10), "text": ["x"] * 10})
+    state = State()
+    assert not len(next(streams._rolled(("v", streams._ALL), iter([rows]), state, 5))) and state.held == (None, [(9, "x")])
