@@ -31,7 +31,7 @@ FILE_ROWS, RANGE_DOCS = 4_000_000, 4096
 #: Rows up to which deleted ids are broadcast: some 50 MB.
 BROADCAST_IDS = 1_000_000
 #: Places of words that are packed together, about, and those of blocks that a task holds at once or gives out at once.
-PACK_PLACES, OPEN_PLACES, OUT_PLACES = 2_000_000, 2_000_000, 250_000
+PACK_PLACES, OPEN_PLACES, OUT_PLACES = 1_000_000, 1_000_000, 100_000
 BLOCKS = "term string, range int, n int, tf int, length long, p array<struct<id: string, tf: int, length: long, positions: array<int>>>, bucket int"
 CHUNKS = "bucket int, slot int, chunk binary"
 
@@ -238,6 +238,8 @@ def _held(batches: Iterator[pa.RecordBatch], places: Callable[[pa.RecordBatch],
             held, n = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    pa.default_memory_pool().release_unused()  # a worker stays for later tasks
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:
@@ -341,6 +343,8 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(chunk)
     if held:
         yield from _merged(held, at[0])
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _merged(chunks: list[bytes], bucket: int) -> Iterator[pa.RecordBatch]:

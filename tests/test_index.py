@@ -180,3 +180,25 @@ def test_keys_too_large_for_one_number_are_put_in_order():
     keys = [np.array(x) for x in ([1, 0, 1, 0], [2**40, 5, 2**40, 5], [7, 2**40, 6, 2**40])]
     assert index._order(*keys).tolist() == [1, 3, 2, 0] == index._order(*(k % 1000 for k in keys[:1]), *keys[1:]).tolist()
     assert index._order(np.zeros(0, np.int32), np.zeros(0, np.int32)).tolist() == []
+
+
+def test_blocks_are_not_moved_for_deleted_ids(spark, tmp_path, monkeypatch):
+    """Deleted ids of a range are sent to its blocks, whatever Spark knows of their size; with more of them than may be sent the result is the same."""
+    path, name = str(tmp_path / "i"), "spark.sql.autoBroadcastJoinThreshold"
+    index.build(_frame(spark, _corpus(2, 120))).save(path)
+    index.delete_saved(spark, path, [f"d{i}" for i in range(0, 120, 3)])
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        held = index.Index.load(spark, path)
+        segment, _, _, lengths = held.saved[0]
+        rows = index._kept_blocks(segment, lengths, held.gone)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [range" in plan and "SortMergeJoin [range" not in plan
+        monkeypatch.setattr(index, "BROADCAST_IDS", 5)
+        many = index._kept_blocks(segment, lengths, held.gone)
+        assert "SortMergeJoin [range" in many._jdf.queryExecution().executedPlan().toString()
+        flat = lambda x: _rows(x.select("term", "range", F.sort_array("lost")), "term", "range")
+        assert flat(rows) == flat(many)
+    finally:
+        spark.conf.set(name, before)
